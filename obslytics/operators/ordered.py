@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from obslytics.session import checkpoint_dir
+
 
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
@@ -30,8 +32,10 @@ def ordered_index(df: DataFrame, keys: list[str], order: str, tie: str | None =
     """
     order_cols = [order] + ([tie] if tie else [])
     n = _partitions(df, n_partitions)
+    checkpoint_dir(df.sparkSession)
     ranged = (df.repartitionByRange(n, *[F.col(k) for k in keys + order_cols])
-                .withColumn("_pid", F.spark_partition_id()))
+                .withColumn("_pid", F.spark_partition_id())
+                .checkpoint(eager=True))
     local = Window.partitionBy("_pid", *keys).orderBy(*order_cols)
     ranged = ranged.withColumn("_lrn", F.row_number().over(local))
     if prev_col:

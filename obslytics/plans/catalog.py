@@ -664,3 +664,296 @@ def q_label_stats(spark, sf):
     return lab.select("id", X.label_count("labels").alias("n_labels"), X.has_label("labels").alias("has_label"),
                       X.has_label("labels", "toxic").alias("has_toxic"),
                       F.coalesce(F.try_element_at("labels", F.lit(1))["activity"], F.lit("")).alias("first_label"))
+
+
+# --- metrics ------------------------------------------------------------------------
+
+def metrics(spark, sf):
+    return A.load_metrics(spark, sf)
+
+
+def _metric_alert_sql() -> str:
+    parts = []
+    for kind, sev, col, thr, fmt in S.METRIC_ALERT_RULES:
+        prefix, suffix = fmt.split("%.1f")
+        suffix = suffix.replace("%%", "%")
+        parts.append(f"""SELECT {O.TS_TEXT.format(c='"timestamp"')} AS "timestamp", host, '{kind}' AS type,
+       '{sev}' AS severity, '{prefix}' || {O.fixed(col, 1)} || '{suffix}' AS message, round({col}, 6) AS value
+FROM metrics WHERE {col} > {thr}""")
+    return "\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("metric_alerts", _metric_alert_sql())
+def q_metric_alerts(spark, sf):
+    """F9/P21/T5 batch form."""
+    from obslytics.operators import metrics as MT
+    return MT.metric_alerts(metrics(spark, sf))
+
+
+@register("metrics_summary", """
+, m AS (SELECT * FROM metrics WHERE "timestamp" >= TIMESTAMP '2024-01-30 00:00:00')
+SELECT 24 AS period_hours, count(*) AS sample_count,
+       round(avg(cpu_percent), 6) AS cpu_avg, round(max(cpu_percent), 6) AS cpu_max, round(min(cpu_percent), 6) AS cpu_min,
+       round(avg(memory_percent), 6) AS memory_avg, round(max(memory_percent), 6) AS memory_max,
+       round(min(memory_percent), 6) AS memory_min,
+       round(arg_max(disk_usage_percent, "timestamp"), 6) AS disk_current,
+       round(avg(process_count), 6) AS process_avg, arg_max(process_count, "timestamp") AS process_current
+FROM m""")
+def q_metrics_summary(spark, sf):
+    """A24/W7."""
+    from obslytics.operators import metrics as MT
+    return MT.metrics_summary(metrics(spark, sf), A.AS_OF, 24)
+
+
+@register("latest_metrics", f"""
+SELECT {O.TS_TEXT.format(c='"timestamp"')} AS "timestamp", host, round(cpu_percent, 6) AS cpu_percent
+FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY "timestamp" DESC) AS rn FROM metrics)
+WHERE rn <= 1000""")
+def q_latest_metrics(spark, sf):
+    """W8/T7 batch form."""
+    from obslytics.operators import metrics as MT
+    return MT.keep_latest(metrics(spark, sf), 1000).select("timestamp", "host", "cpu_percent")
+
+
+@register("metric_health", """
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, "timestamp"), '%Y-%m-%d %H:%M:%S.%f') AS window_start,
+       strftime(time_bucket(INTERVAL 1 HOUR, "timestamp") + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS window_end,
+       host, count(*) AS samples, round(avg(cpu_percent), 6) AS cpu_avg, round(max(cpu_percent), 6) AS cpu_max,
+       round(avg(memory_percent), 6) AS memory_avg, count(*) FILTER (WHERE cpu_percent > 80) AS cpu_alerts
+FROM metrics GROUP BY 1, 2, 3""")
+def q_metric_health(spark, sf):
+    """T6 batch form: hourly health per host."""
+    from obslytics.operators import metrics as MT
+    return MT.health_windows(metrics(spark, sf), "1 hour")
+
+
+# --- jobs ---------------------------------------------------------------------------
+
+@register("table_counts", """
+SELECT (SELECT count(*) FROM activities) AS total_activities, (SELECT count(*) FROM labeling) AS total_labeling_data""")
+def q_table_counts(spark, sf):
+    """A25."""
+    return SM.table_counts(activities=acts(spark, sf), labeling_data=A.load_labeling(spark, sf))
+
+
+@register("retention_stats", """
+SELECT (SELECT count(*) FROM activities WHERE "timestamp" < TIMESTAMP '2024-01-17 00:00:00') AS activities_deleted,
+       (SELECT count(*) FROM labeling WHERE "timestamp" < TIMESTAMP '2024-01-17 00:00:00') AS labeling_deleted,
+       '2024-01-17T00:00:00' AS cutoff_date""")
+def q_retention_stats(spark, sf):
+    """S11/F11/A36 with days_to_keep = 14."""
+    from obslytics.operators import jobs as J
+    return J.retention_stats({"activities": acts(spark, sf), "labeling": A.load_labeling(spark, sf)}, A.AS_OF, 14)
+
+
+# --- frames, detections, sequences ------------------------------------------------------------
+
+_BOX_RULE = """CASE WHEN width * height > 10000 THEN 'standing' WHEN width * height > 5000 THEN 'sitting'
+            ELSE 'focused_activity' END AS activity_type,
+       CASE WHEN width * height > 10000 THEN 0.75::DOUBLE WHEN width * height > 5000 THEN 0.70::DOUBLE
+            ELSE 0.65::DOUBLE END AS confidence"""
+
+
+@register("box_activity", f"""
+, d AS (SELECT upload_id, frame_index, {_BOX_RULE} FROM frames)
+SELECT upload_id, frame_index, activity_type, round(confidence, 6) AS confidence,
+       'Detected ' || activity_type || ' with ' || {O.fixed('confidence', 2)} || ' confidence' AS description
+FROM d WHERE confidence > 0.6""")
+def q_box_activity(spark, sf):
+    """Live path, every frame."""
+    from obslytics.operators import sequences as SQ
+    d = FL.significant_detections(SQ.detections(A.load_frames(spark, sf)))
+    return d.select("upload_id", "frame_index", "activity_type", "confidence", "description")
+
+
+@register("sampled_frames", """
+SELECT upload_id, frame_index FROM frames
+WHERE frame_index % 2 = 1 AND (frame_index // 2) % 10 = 0 AND frame_index // 2 < 100""")
+def q_sampled_frames(spark, sf):
+    """F8."""
+    return FL.sample_frames(A.load_frames(spark, sf)).select("upload_id", "frame_index")
+
+
+@register("upload_detections", f"""
+, d AS (SELECT upload_id, frame_index, {_BOX_RULE} FROM frames
+        WHERE frame_index % 2 = 1 AND (frame_index // 2) % 10 = 0 AND frame_index // 2 < 100)
+SELECT upload_id, frame_index, activity_type, round(confidence, 6) AS confidence
+FROM (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY frame_index) AS rn FROM d WHERE confidence > 0.6)
+WHERE rn <= 10""")
+def q_upload_detections(spark, sf):
+    """Upload path."""
+    from obslytics.operators import sequences as SQ
+    d = SQ.upload_detections(A.load_frames(spark, sf), 10)
+    return d.select("upload_id", "frame_index", "activity_type", "confidence")
+
+
+_SEQ_ROWS = """, seqrows AS (
+  SELECT session_id, row_number() OVER w AS rn, activity_type AS label, confidence,
+         cast(hour("timestamp") AS DOUBLE) AS hour, cast(k AS DOUBLE) AS k, cast(isodow("timestamp") - 1 AS DOUBLE) AS weekday,
+         coalesce((epoch_us("timestamp") - epoch_us(lag("timestamp") OVER w)) / 60000000.0::DOUBLE, 0.0) AS gap_minutes
+  FROM activities WINDOW w AS (PARTITION BY session_id ORDER BY "timestamp", id))"""
+
+
+@register("sequences", _SEQ_ROWS + """
+SELECT session_id, (rn - 1) // 10 AS seq_index, (rn - 1) % 10 AS step_index, label, round(confidence, 6) AS confidence,
+       hour, k, weekday, gap_minutes
+FROM (SELECT *, count(*) OVER (PARTITION BY session_id, (rn - 1) // 10) AS n FROM seqrows) WHERE n = 10""",
+          exact=("gap_minutes",))
+def q_sequences(spark, sf):
+    """Complete 10-step sequences per session, long form."""
+    from obslytics.operators import sequences as SQ
+    return SQ.sequences(acts_with_k(spark, sf), 10)
+
+
+def acts_with_k(spark, sf):
+    ev = A.table(spark, sf, "events")
+    a = A.activities_from_events(ev.withColumn("_k", F.get_json_object("props", "$.k").cast("int")))
+    return a.join(ev.select(F.col("event_id").cast("string").alias("id"),
+                            F.get_json_object("props", "$.k").cast("int").alias("k")), "id")
+
+
+@register("statistical_features", """
+SELECT session_id, round(avg(confidence), 6) AS mean, round(stddev_pop(confidence), 6) AS std,
+       round(min(confidence), 6) AS min, round(max(confidence), 6) AS max,
+       round(quantile_cont(confidence, 0.5), 6) AS median, round(quantile_cont(confidence, 0.25), 6) AS p25,
+       round(quantile_cont(confidence, 0.75), 6) AS p75, round(var_pop(confidence), 6) AS var,
+       round(max(confidence) - min(confidence), 6) AS ptp, count(confidence) AS length
+FROM activities GROUP BY 1""")
+def q_statistical_features(spark, sf):
+    """M15."""
+    from obslytics.operators import sequences as SQ
+    return SQ.statistical_features(acts(spark, sf), "session_id", "confidence")
+
+
+@register("temporal_features", """
+, g AS (SELECT session_id, "timestamp",
+               (epoch_us("timestamp") - epoch_us(lag("timestamp") OVER (PARTITION BY session_id ORDER BY "timestamp", id)))
+                 / 1000000.0::DOUBLE AS gap
+        FROM activities)
+SELECT session_id, round(avg(hour("timestamp")), 6) AS hour_mean, round(stddev_samp(hour("timestamp")), 6) AS hour_std,
+       round(avg(isodow("timestamp") - 1), 6) AS weekday_mean, count(DISTINCT cast("timestamp" AS DATE)) AS distinct_days,
+       coalesce((epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) / (count(*) - 1) / 1000000.0::DOUBLE, 0.0)
+         AS gap_mean,
+       round(coalesce(stddev_samp(gap), 0), 6) AS gap_std
+FROM g GROUP BY 1""", exact=("gap_mean",))
+def q_temporal_features(spark, sf):
+    """M16/W3."""
+    from obslytics.operators import sequences as SQ
+    return SQ.temporal_features(acts(spark, sf), "session_id")
+
+
+# --- ML evaluation (SQL-checkable parts) ------------------------------------------------------
+
+def embeddings(spark, sf):
+    return A.table(spark, sf, "embeddings")
+
+
+def rule_predictions(spark, sf):
+    """Fixed-rule predictions on ``embeddings`` for metric checks: two
+    'models' whose predictions derive from the row key."""
+    e = embeddings(spark, sf).select("vec_id", "label")
+    a = e.select(F.lit("mod10").alias("model_name"), "vec_id", "label", (F.col("vec_id") % 10).cast("int").alias("prediction"))
+    b = e.select(F.lit("mixed").alias("model_name"), "vec_id", "label",
+                 F.when(F.col("vec_id") % 3 == 0, F.col("label")).otherwise((F.col("vec_id") * 7) % 10).cast("int")
+                 .alias("prediction"))
+    return a.unionByName(b)
+
+
+_PRED_SQL = """, preds AS (
+  SELECT 'mod10' AS model_name, vec_id, label, cast(vec_id % 10 AS INTEGER) AS prediction FROM embeddings
+  UNION ALL
+  SELECT 'mixed', vec_id, label, cast(CASE WHEN vec_id % 3 = 0 THEN label ELSE (vec_id * 7) % 10 END AS INTEGER)
+  FROM embeddings),
+cls AS (SELECT model_name, label AS c FROM preds UNION SELECT model_name, prediction FROM preds),
+per AS (
+  SELECT cls.model_name, cls.c,
+         (SELECT count(*) FROM preds p WHERE p.model_name = cls.model_name AND p.label = cls.c AND p.prediction = cls.c) AS tp,
+         (SELECT count(*) FROM preds p WHERE p.model_name = cls.model_name AND p.label = cls.c) AS support,
+         (SELECT count(*) FROM preds p WHERE p.model_name = cls.model_name AND p.prediction = cls.c) AS predicted
+  FROM cls),
+per2 AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
+                   CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall FROM per),
+per3 AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1
+         FROM per2)"""
+
+
+@register("classification_report", _PRED_SQL + """
+SELECT model_name, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(precision), 6) AS precision_macro,
+       round(avg(recall), 6) AS recall_macro, round(avg(f1), 6) AS f1_macro,
+       round(sum(precision * support) / sum(support), 6) AS precision_weighted,
+       round(sum(recall * support) / sum(support), 6) AS recall_weighted,
+       round(sum(f1 * support) / sum(support), 6) AS f1_weighted, sum(support) AS support
+FROM per3 GROUP BY model_name""")
+def q_classification_report(spark, sf):
+    """M12."""
+    from obslytics.operators import ml as ML
+    return ML.classification_report(rule_predictions(spark, sf), by=["model_name"])
+
+
+@register("compare_models", _PRED_SQL + """
+SELECT model_name, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(precision), 6) AS precision_macro,
+       round(avg(recall), 6) AS recall_macro, round(avg(f1), 6) AS f1_macro,
+       round(sum(f1 * support) / sum(support), 6) AS f1_weighted
+FROM per3 GROUP BY model_name""")
+def q_compare_models(spark, sf):
+    """M14."""
+    from obslytics.operators import ml as ML
+    return ML.compare_models(rule_predictions(spark, sf))
+
+
+@register("confusion_matrix", f"""
+SELECT label, {', '.join(f'count(*) FILTER (WHERE vec_id % 10 = {c}) AS p_{c}' for c in range(10))}
+FROM embeddings GROUP BY label""")
+def q_confusion_matrix(spark, sf):
+    """M13."""
+    from obslytics.operators import ml as ML
+    p = rule_predictions(spark, sf).filter(F.col("model_name") == "mod10")
+    return ML.confusion_matrix(p, list(range(10)))
+
+
+@register("stratified_split", """
+SELECT vec_id, label,
+       CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42' || cast(vec_id AS VARCHAR)), vec_id)
+                 <= round(count(*) OVER (PARTITION BY label) * 0.2) THEN 'test' ELSE 'train' END AS split
+FROM embeddings""")
+def q_stratified_split(spark, sf):
+    """M11."""
+    from obslytics.operators import ml as ML
+    return ML.stratified_split(embeddings(spark, sf).select("vec_id", "label"), "label", "vec_id", 0.2, 42)
+
+
+@register("cluster_features", """
+SELECT activity_type, round(avg(confidence), 6) AS confidence_mean, round(coalesce(stddev_samp(confidence), 0), 6) AS confidence_std,
+       round(avg(hour), 6) AS hour_mean, round(coalesce(stddev_samp(hour), 0), 6) AS hour_std, count(*) AS timestamp_count
+FROM enriched GROUP BY 1""")
+def q_cluster_features(spark, sf):
+    """A4."""
+    from obslytics.operators import ml as ML
+    return ML.cluster_features(enriched(spark, sf))
+
+
+@register("scaled_features", """
+, f AS (SELECT activity_type, avg(confidence) AS confidence_mean, count(*) AS timestamp_count FROM enriched GROUP BY 1)
+SELECT activity_type,
+       round((confidence_mean - avg(confidence_mean) OVER ()) / coalesce(nullif(stddev_pop(confidence_mean) OVER (), 0), 1), 6)
+         AS confidence_mean_scaled,
+       round((timestamp_count - avg(timestamp_count) OVER ()) / coalesce(nullif(stddev_pop(timestamp_count) OVER (), 0), 1), 6)
+         AS timestamp_count_scaled
+FROM f""")
+def q_scaled_features(spark, sf):
+    """M1 (population std, constant columns divided by 1)."""
+    from obslytics.operators import ml as ML
+    f = ML.cluster_features(enriched(spark, sf))
+    s = ML.standardize(f, ["confidence_mean", "timestamp_count"])
+    return s.select("activity_type", "confidence_mean_scaled", "timestamp_count_scaled")
+
+
+@register("label_codes", """
+SELECT activity_type, cast(dense_rank() OVER (ORDER BY activity_type) - 1 AS DOUBLE) AS code
+FROM (SELECT DISTINCT activity_type FROM enriched)""")
+def q_label_codes(spark, sf):
+    """Alphabetical label codes."""
+    from obslytics.operators import ml as ML
+    d = enriched(spark, sf).select("activity_type").distinct()
+    out, _ = ML.encode_labels(d, "activity_type", "code")
+    return out
