@@ -957,3 +957,250 @@ def q_label_codes(spark, sf):
     d = enriched(spark, sf).select("activity_type").distinct()
     out, _ = ML.encode_labels(d, "activity_type", "code")
     return out
+
+
+# --- pipeline and SQL functions ------------------------------------------------------
+
+_PIPE_TYPES = ["sitting", "standing", "walking", "running", "jumping", "focused_activity"]
+
+
+@register("pipeline", f"""
+, f AS (SELECT * FROM enriched WHERE confidence >= 0.7 AND activity_type IN ({', '.join(repr(t) for t in _PIPE_TYPES)}))
+SELECT cast(date AS VARCHAR) AS date, count(*) AS activity_type, round(avg(confidence), 6) AS confidence,
+       (SELECT behavioral_category FROM f f2 WHERE f2.date = f.date AND behavioral_category IS NOT NULL
+        GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS behavioral_category
+FROM f GROUP BY date""")
+def q_pipeline(spark, sf):
+    """Fluent filter -> filter -> features -> aggregate."""
+    from obslytics.plans import pipeline as PL
+    return PL.pipeline(enriched(spark, sf), 0.7, _PIPE_TYPES)
+
+
+@register("sql_functions", """
+, p AS (SELECT behavioral_category AS category, sum(frequency) AS n, avg(avg_confidence) AS c
+        FROM patterns GROUP BY 1)
+SELECT e.time_period, e.confidence_category AS confidence_band, e.behavioral_category, count(*) AS n,
+       min(CASE WHEN p.category = 'Concerning' THEN CASE WHEN p.n > 5 AND p.c > 0.8 THEN 'High'
+                                                        WHEN p.n > 2 AND p.c > 0.7 THEN 'Medium' ELSE 'Low' END
+                WHEN p.category = 'Stimming' THEN CASE WHEN p.n > 10 THEN 'Medium' ELSE 'Low' END
+                ELSE 'Low' END) AS risk_level
+FROM enriched e LEFT JOIN p ON p.category = e.behavioral_category
+GROUP BY 1, 2, 3""")
+def q_sql_functions(spark, sf):
+    """The rules called from Spark SQL."""
+    from obslytics.plans import pipeline as PL
+    PL.register_sql_functions(spark)
+    acts(spark, sf).createOrReplaceTempView("obs_activities")
+    return spark.sql("""
+      WITH e AS (SELECT *, time_period(hour(timestamp)) AS time_period, confidence_band(confidence) AS confidence_band,
+                        behavioral_category(activity_type) AS behavioral_category
+                 FROM obs_activities WHERE timestamp >= TIMESTAMP '2024-01-01 00:00:00'),
+           p AS (SELECT behavioral_category AS category, sum(frequency) AS n, avg(avg_confidence) AS c
+                 FROM (SELECT activity_type, first(behavioral_category) AS behavioral_category, count(*) AS frequency,
+                              avg(confidence) AS avg_confidence FROM e GROUP BY activity_type) GROUP BY 1)
+      SELECT e.time_period, e.confidence_band, e.behavioral_category, count(*) AS n,
+             min(risk_level(p.category, p.n, p.c)) AS risk_level
+      FROM e LEFT JOIN p ON p.category = e.behavioral_category
+      GROUP BY 1, 2, 3""")
+
+
+@register("rejected_rows", """
+SELECT cast(event_id AS VARCHAR) AS id,
+       CASE WHEN value > 100 THEN 'range:confidence' ELSE 'type:timestamp' END AS reason
+FROM events WHERE value > 100 OR event_type = 'error' AND cast(json_extract(props, '$.k') AS INTEGER) % 10 = 0""")
+def q_rejected_rows(spark, sf):
+    """Validation of raw detection records.  Raw records are events whose
+    confidence is ``value / 100`` unclamped (above 1 is out of range) and whose
+    timestamp arrives as text; error events with k % 10 = 0 carry an
+    unparseable timestamp."""
+    from obslytics.sources import readers as RD
+    ev = A.table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    raw = ev.select(
+        F.col("event_id").cast("string").alias("id"),
+        F.when((F.col("event_type") == "error") & (k % 10 == 0), F.lit("not a time"))
+         .otherwise(F.col("ts").cast("string")).alias("timestamp"),
+        F.lit("sitting").alias("activity_type"),
+        (F.col("value") / 100.0).alias("confidence"),
+        F.lit("x").alias("description"), F.lit("live").alias("video_source"), F.lit("s").alias("session_id"))
+    valid, rejected = RD.split_valid(raw, S.ACTIVITIES, ranges={"confidence": (0.0, 1.0)})
+    return rejected.select("id", F.element_at("reasons", 1).alias("reason"))
+
+
+# --- streaming (batch-equal results) ------------------------------------------------------
+
+def _stream_dirs(spark, name):
+    import uuid
+    from obslytics.session import checkpoint_dir
+    base = f"{checkpoint_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    return f"{base}/out", f"{base}/chk"
+
+
+@register("stream_summary", """
+SELECT activity_type, hour("timestamp") AS hour, count(*) AS n, round(sum(confidence), 6) AS conf_sum
+FROM activities GROUP BY 1, 2""")
+def q_stream_summary(spark, sf):
+    """Streaming (type, hour) counts, complete mode, availableNow."""
+    from obslytics.streaming import streams as ST
+    out, chk = _stream_dirs(spark, "summary")
+    return ST.run_to_table(ST.stream_summary(ST.activities_stream(spark, f"{sf}/events.parquet")), out, chk, "complete")
+
+
+@register("stream_alert_rows", f"""
+SELECT id, {O.TS_TEXT.format(c='"timestamp"')} AS "timestamp", activity_type, round(confidence, 6) AS confidence, session_id
+FROM activities WHERE activity_type IN ({O.ALERTABLE})""")
+def q_stream_alert_rows(spark, sf):
+    """T2 rows: appended alert stream."""
+    from obslytics.streaming import streams as ST
+    out, chk = _stream_dirs(spark, "alerts")
+    return ST.run_to_table(ST.stream_alerts(ST.activities_stream(spark, f"{sf}/events.parquet")), out, chk, "append")
+
+
+@register("stream_metric_alerts", _metric_alert_sql())
+def q_stream_metric_alerts(spark, sf):
+    """T5: stateless metric alerts over the metric stream."""
+    from obslytics.streaming import streams as ST
+    out, chk = _stream_dirs(spark, "metric_alerts")
+    s = ST.stream_metric_alerts(ST.metrics_stream(spark, f"{sf}/events.parquet"))
+    return ST.run_to_table(s, out, chk, "append")
+
+
+@register("stream_health", """
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, "timestamp"), '%Y-%m-%d %H:%M:%S.%f') AS window_start,
+       strftime(time_bucket(INTERVAL 1 HOUR, "timestamp") + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS window_end,
+       host, count(*) AS samples, round(avg(cpu_percent), 6) AS cpu_avg, round(max(cpu_percent), 6) AS cpu_max,
+       round(avg(memory_percent), 6) AS memory_avg, count(*) FILTER (WHERE cpu_percent > 80) AS cpu_alerts
+FROM metrics GROUP BY 1, 2, 3""")
+def q_stream_health(spark, sf):
+    """Hourly tumbling health windows per host (complete mode)."""
+    from obslytics.streaming import streams as ST
+    out, chk = _stream_dirs(spark, "health")
+    s = ST.stream_health(ST.metrics_stream(spark, f"{sf}/events.parquet"), "1 hour")
+    return ST.run_to_table(s, out, chk, "complete")
+
+
+@register("stream_concerning", f"""
+, c AS (SELECT "timestamp", activity_type FROM enriched WHERE behavioral_category = 'Concerning'),
+w AS (SELECT time_bucket(INTERVAL 30 MINUTE, "timestamp") - i * INTERVAL 30 MINUTE AS ws, activity_type
+      FROM c, range(48) r(i))
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S.%f') AS window_start,
+       strftime(ws + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S.%f') AS window_end,
+       count(DISTINCT activity_type) AS concerning_types, count(*) AS events,
+       'Detected ' || cast(count(DISTINCT activity_type) AS VARCHAR) || ' concerning behavioral patterns' AS message
+FROM w GROUP BY ws HAVING count(DISTINCT activity_type) > 1""")
+def q_stream_concerning(spark, sf):
+    """T4: sliding-day Concerning-type alerts (complete mode)."""
+    from obslytics.streaming import streams as ST
+    out, chk = _stream_dirs(spark, "concerning")
+    s = ST.stream_concerning(ST.activities_stream(spark, f"{sf}/events.parquet"), "1 day", "30 minutes", 1)
+    return ST.run_to_table(s, out, chk, "complete")
+
+
+@register("stream_detections", f"""
+, d AS (SELECT cast(user_id AS VARCHAR) AS upload_id, {_BOX_RULE.replace('width * height', '(20 + event_id % 120) * (20 + event_id % 90)')}
+        FROM events)
+SELECT upload_id, activity_type, count(*) AS n FROM d WHERE confidence > 0.6 GROUP BY 1, 2""")
+def q_stream_detections(spark, sf):
+    """Live detections from a frame stream (per-upload counts of stored rows)."""
+    from obslytics.streaming import streams as ST
+    out, chk = _stream_dirs(spark, "detections")
+    ev = ST.events_stream(spark, f"{sf}/events.parquet")
+    eid = F.col("event_id")
+    frames = ev.select(F.col("user_id").cast("string").alias("upload_id"), eid.alias("frame_index"),
+                       F.array(F.create_map(F.lit("width"), (F.lit(20) + eid % 120).cast("double"),
+                                            F.lit("height"), (F.lit(20) + eid % 90).cast("double"))).alias("detections"))
+    rows = ST.run_to_table(ST.stream_detections(frames), out, chk, "append")
+    return rows.groupBy("upload_id", "activity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- models (rows-only checks: results depend on the fitted model) -------------------------
+
+@register("cluster_activities")
+def q_cluster_activities(spark, sf):
+    """M2: k-means (k=3, seed 42) of per-type features."""
+    from obslytics.operators import ml as ML
+    out, _, _ = ML.cluster_activities(enriched(spark, sf), 3, 42)
+    return out
+
+
+@register("cluster_rows")
+def q_cluster_rows(spark, sf):
+    """M3: row-level k-means."""
+    from obslytics.operators import ml as ML
+    return ML.cluster_rows(enriched(spark, sf))
+
+
+@register("pca_projection")
+def q_pca_projection(spark, sf):
+    """M4/M6: clusters in PCA space (consistently scaled)."""
+    from obslytics.operators import ml as ML
+    return ML.cluster_projection(enriched(spark, sf))
+
+
+@register("loading_weights")
+def q_loading_weights(spark, sf):
+    """M5: mean absolute PCA loading per feature."""
+    from obslytics.operators import ml as ML
+    base = ML.row_features(enriched(spark, sf))
+    _, _, load = ML.pca(base, ML.ROW_FEATURES, 2)
+    return ML.loading_weights(load, ML.ROW_FEATURES, spark)
+
+
+def _seq_vectors(spark, sf):
+    from obslytics.operators import sequences as SQ
+    return SQ.flatten_sequences(SQ.sequences(acts_with_k(spark, sf), 10))
+
+
+@register("forest_importances")
+def q_forest_importances(spark, sf):
+    """Forest on per-session statistical features, first 5
+    importances by index."""
+    from obslytics.operators import ml as ML
+    from obslytics.operators import sequences as SQ
+    feats = SQ.statistical_features(acts(spark, sf), "session_id", "confidence")
+    label = acts(spark, sf).groupBy("session_id").agg(F.mode("activity_type", True).alias("label"))
+    data = feats.join(label, "session_id")
+    cols = ["mean", "std", "min", "max", "median", "p25", "p75", "var", "ptp", "length"]
+    data = data.select("session_id", "label", *[F.col(c).cast("double").alias(c) for c in cols])
+    model = ML.train_forest(data, "label", cols, trees=50, depth=10, seed=42)
+    return ML.importances(model, spark, cols, 5, "index")
+
+
+@register("svm_predictions")
+def q_svm_predictions(spark, sf):
+    """M9: one-vs-rest linear SVM on random Fourier features of the embeddings."""
+    from obslytics.operators import ml as ML
+    from pyspark.ml.functions import array_to_vector
+    e = embeddings(spark, sf).select("vec_id", F.col("label").cast("string").alias("label"),
+                                     array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    split = ML.stratified_split(e, "label", "vec_id", 0.2, 42)
+    model, labels = ML.train_svm(split.filter("split = 'train'"), "label", "features", dim=64, n_features=128,
+                                 max_iter=20)
+    pred = ML.svm_predictions(model, labels, split.filter("split = 'test'"), "features", 64, 128)
+    return pred.select("vec_id", "label", "prediction")
+
+
+@register("confidence_regression")
+def q_confidence_regression(spark, sf):
+    """Forest regression of confidence, MSE and R^2."""
+    from obslytics.operators import ml as ML
+    return ML.confidence_regression(enriched(spark, sf), 50, 42)
+
+
+@register("mlp_predictions")
+def q_mlp_predictions(spark, sf):
+    """Multilayer perceptron on flattened 10x5 sequences."""
+    from obslytics.operators import ml as ML
+    seq = _seq_vectors(spark, sf)
+    split = ML.stratified_split(seq.withColumn("seq_key", F.concat_ws(":", "session_id", "seq_index")),
+                                "label", "seq_key", 0.2, 42)
+    model = ML.train_mlp(split.filter("split = 'train'"), "label", "features", (64, 32), 50, 42)
+    return model.transform(split.filter("split = 'test'")).select("session_id", "seq_index", "label", "prediction")
+
+
+@register("stream_history")
+def q_stream_history(spark, sf):
+    """Per-host bounded history (1000 samples) kept in streaming state."""
+    from obslytics.streaming import streams as ST
+    out, chk = _stream_dirs(spark, "history")
+    return ST.run_to_table(ST.stream_history(ST.metrics_stream(spark, f"{sf}/events.parquet"), 1000), out, chk, "update")

@@ -92,13 +92,18 @@ def append_labels(df: DataFrame, path: str) -> None:
        .write.mode("append").partitionBy("date").parquet(path))
 
 
-def split_valid(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Rows whose required fields are present and castable.
+def split_valid(df: DataFrame, schema: T.StructType,
+                ranges: dict[str, tuple[float, float]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows whose required fields are present, castable and in range.
 
     Returns (valid rows cast to ``schema``, rejected rows with a ``reasons``
-    array).  A value that is present but does not cast counts as a type error.
+    array).  A value that is present but does not cast counts as a type
+    error; ``ranges`` adds inclusive bounds checks.  Row-local, no shuffle.
     """
     checks = []
+    for name, (lo, hi) in (ranges or {}).items():
+        c = F.col(name).try_cast("double")
+        checks.append(F.when(c.isNotNull() & ((c < lo) | (c > hi)), F.lit(f"range:{name}")))
     for f in schema.fields:
         if f.name not in df.columns:
             if not f.nullable:
