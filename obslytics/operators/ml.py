@@ -237,13 +237,18 @@ def train_svm(df: DataFrame, label: str = "label", features: str = "features", d
     """M9: one-vs-rest linear SVMs on random Fourier features (an RBF-kernel
     approximation; MLlib has no exact kernel SVM).  ``regParam = 1 / (C n)``."""
     dim = dim or len(df.select(features).first()[0])
-    z = random_fourier_features(df, features, dim, "_rff", n_features, seed=seed)
+    z = random_fourier_features(df.select(label, features), features, dim, "_rff", n_features, seed=seed)
     idx = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(z)
-    z = idx.transform(z)
-    n = z.count()
-    ovr = OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=max_iter),
-                    labelCol="_label", featuresCol="_rff", predictionCol="_pred")
-    model = ovr.fit(z)
+    # the solver makes many passes: keep the projected features instead of
+    # re-running the Python projection on every pass
+    z = idx.transform(z).select("_label", "_rff").persist()
+    try:
+        n = z.count()
+        ovr = OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=max_iter),
+                        labelCol="_label", featuresCol="_rff", predictionCol="_pred", parallelism=4)
+        model = ovr.fit(z)
+    finally:
+        z.unpersist()
     return model, idx.labels
 
 
@@ -264,10 +269,12 @@ def confidence_regression(df: DataFrame, trees: int = 50, seed: int = 42, test_f
     model = RandomForestRegressor(featuresCol="_f", labelCol="confidence", numTrees=trees, seed=seed,
                                   predictionCol="_p").fit(vec.filter(~F.col("_test")))
     pred = model.transform(vec.filter(F.col("_test")))
-    mean_y = pred.agg(F.avg("confidence")).scalar()
-    err = (F.col("confidence") - F.col("_p"))
+    y = F.col("confidence")
+    err = y - F.col("_p")
+    # one pass: SST = sum(y^2) - (sum y)^2 / n
+    sst = F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(F.lit(1))
     return pred.agg(F.count(F.lit(1)).alias("n_test"), F.avg(err * err).alias("mse"),
-                    (F.lit(1.0) - F.sum(err * err) / F.sum((F.col("confidence") - mean_y) ** 2)).alias("r2"))
+                    (F.lit(1.0) - F.try_divide(F.sum(err * err), sst)).alias("r2"))
 
 
 def train_mlp(seq: DataFrame, label: str = "label", features: str = "features", hidden=(64, 32),
