@@ -43,16 +43,20 @@ def is_weekend(ts="timestamp") -> Column:
     return F.weekday(_c(ts)) >= 5
 
 
+def _period_of(h: int, include_midnight: bool) -> str | None:
+    if h == 0:
+        return "Night" if include_midnight else None
+    return S.TIME_PERIODS[(h - 1) // 6]
+
+
 def time_period(h="hour", include_midnight: bool = False) -> Column:
-    """Right-closed bins (0,6] (6,12] (12,18] (18,24]; hour 0 has no period."""
-    h = _c(h)
-    night = (h > 0) & (h <= 6)
-    if include_midnight:
-        night = (h >= 0) & (h <= 6)
-    return (F.when(night, "Night")
-            .when((h > 6) & (h <= 12), "Morning")
-            .when((h > 12) & (h <= 18), "Afternoon")
-            .when((h > 18) & (h <= 24), "Evening"))
+    """Right-closed bins (0,6] (6,12] (12,18] (18,24]; hour 0 has no period.
+
+    A lookup in a 25-slot array, so the hour expression is evaluated once
+    even when Catalyst inlines it into a pushed-down filter.
+    """
+    slots = F.array(*[F.lit(_period_of(h, include_midnight)).cast("string") for h in range(25)])
+    return F.try_element_at(slots, _c(h).cast("int") + 1)
 
 
 def confidence_band(c="confidence") -> Column:
@@ -79,13 +83,16 @@ def add_confidence_band(df: DataFrame, col: str = "confidence") -> DataFrame:
 
 # --- lookups (P10, P11, P20) -------------------------------------------------
 
+def _lookup(pairs, key: Column) -> Column:
+    """Map-literal lookup: one reference to ``key`` (cheap to inline), NULL
+    for keys not in the map."""
+    m = F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+    return F.try_element_at(m, key)
+
+
 def category_of(activity="activity_type") -> Column:
-    """Category as a CASE expression (no join); unmapped types give NULL."""
-    a = _c(activity)
-    expr = None
-    for _, name, cat, _, _ in S.TAXONOMY:
-        expr = F.when(a == name, cat) if expr is None else expr.when(a == name, cat)
-    return expr
+    """Category from the fixed taxonomy (no join); unmapped types give NULL."""
+    return _lookup([(name, cat) for _, name, cat, _, _ in S.TAXONOMY], _c(activity))
 
 
 def add_category(df: DataFrame, taxonomy: DataFrame | None = None, on: str = "activity_type") -> DataFrame:
@@ -102,19 +109,12 @@ def add_category(df: DataFrame, taxonomy: DataFrame | None = None, on: str = "ac
 
 
 def activity_color(activity="activity_type") -> Column:
-    a = _c(activity)
-    expr = None
-    for _, name, _, _, color in S.TAXONOMY:
-        expr = F.when(a == name, color) if expr is None else expr.when(a == name, color)
-    return expr.otherwise(S.DEFAULT_COLOR)
+    pairs = [(name, color) for _, name, _, _, color in S.TAXONOMY]
+    return F.coalesce(_lookup(pairs, _c(activity)), F.lit(S.DEFAULT_COLOR))
 
 
 def category_color(category="behavioral_category") -> Column:
-    c = _c(category)
-    expr = None
-    for name, color in S.CATEGORY_COLORS:
-        expr = F.when(c == name, color) if expr is None else expr.when(c == name, color)
-    return expr.otherwise(S.DEFAULT_COLOR)
+    return F.coalesce(_lookup(S.CATEGORY_COLORS, _c(category)), F.lit(S.DEFAULT_COLOR))
 
 
 def is_alertable(activity="activity_type") -> Column:

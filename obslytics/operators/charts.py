@@ -17,6 +17,17 @@ from obslytics.operators.ordered import minutes_between, ordered_index
 CATEGORIES = [c for c, _ in S.CATEGORY_COLORS]
 HOURS = list(range(24))
 
+# Grouping keys whose domain is fixed and small (weekdays, categories, hours,
+# periods): a per-group table keyed by one of them is safe to broadcast.
+BOUNDED_KEYS = {"day_of_week": 7, "behavioral_category": len(CATEGORIES) + 1, "hour": 24,
+                "time_period": len(S.TIME_PERIODS) + 1, "is_weekend": 2}
+
+
+def _small(df: DataFrame, key: str) -> DataFrame:
+    """Broadcast hint only for tables keyed by a bounded domain; otherwise
+    AQE decides at run time from the measured size."""
+    return F.broadcast(df) if key in BOUNDED_KEYS else df
+
 
 def _hour_cols(prefix: str = "h") -> list[str]:
     return [f"{prefix}{h}" for h in HOURS]
@@ -172,7 +183,7 @@ def box_stats(df: DataFrame, by: str, value: str = "confidence", exact: bool = T
     Quartiles use linear interpolation (``percentile``; ``exact=False`` uses
     ``percentile_approx`` for very large groups of distinct values).  The
     second pass joins the per-group bounds back; the bounds table has one row
-    per group of a low-cardinality key, so it is broadcast.
+    per group, broadcast when the key's domain is bounded (weekday, category).
     """
     v = F.col(value)
     if exact:
@@ -184,13 +195,16 @@ def box_stats(df: DataFrame, by: str, value: str = "confidence", exact: bool = T
                    F.col("_q")[2].alias("q3")))
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    joined = df.select(by, value).join(F.broadcast(q.select(by, "lo_fence", "hi_fence")), by)
+    # one more pass over the rows: the per-group quartiles ride along with the
+    # fences, so the result needs no join back to ``q``
+    joined = df.select(by, value).join(_small(q, by), by)
     inside = (v >= F.col("lo_fence")) & (v <= F.col("hi_fence"))
-    w = joined.groupBy(by).agg(
+    return joined.groupBy(by).agg(
+        F.first("n").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
+        F.first("q3").alias("q3"),
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"))
-    return q.drop("lo_fence", "hi_fence").join(w, by)
 
 
 def confidence_density(df: DataFrame, by: str = "behavioral_category", value: str = "confidence",
@@ -221,7 +235,7 @@ def confidence_density(df: DataFrame, by: str = "behavioral_category", value: st
                        (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / (points - 1)).alias("x"))
     z = (F.col("x") - F.col(value)) / F.col("bw")
     k = F.col("m") * F.exp(-0.5 * z * z)
-    dens = (vals.join(F.broadcast(grid), by)
+    dens = (vals.join(_small(grid, by), by)
                 .groupBy(by, "point", "x", "n", "bw").agg(F.sum(k).alias("_s")))
     return dens.select(by, "point", "x",
                        (F.col("_s") / (F.col("n") * F.col("bw") * F.lit((2 * 3.141592653589793) ** 0.5)))

@@ -1204,3 +1204,41 @@ def q_stream_history(spark, sf):
     from obslytics.streaming import streams as ST
     out, chk = _stream_dirs(spark, "history")
     return ST.run_to_table(ST.stream_history(ST.metrics_stream(spark, f"{sf}/events.parquet"), 1000), out, chk, "update")
+
+
+# --- variants that exercise optional parameters --------------------------------------------
+
+@register("session_summary", """
+, s1 AS (SELECT * FROM activities WHERE "timestamp" >= TIMESTAMP '2024-01-24 00:00:00' AND session_id = 'session_7')
+SELECT (SELECT count(*) FROM s1) AS total_activities,
+       round(coalesce((SELECT avg(coalesce(confidence, 0)) FROM s1), 0), 6) AS average_confidence,
+       (SELECT activity_type FROM (SELECT activity_type, count(*) AS n FROM s1 GROUP BY 1)
+        ORDER BY n DESC, activity_type LIMIT 1) AS most_common_activity""")
+def q_session_summary(spark, sf):
+    """A1 + F1: summary of one session over 7 days."""
+    s = SM.summary(acts(spark, sf), A.AS_OF, session_id="session_7", days=7)
+    return s.select("total_activities", "average_confidence", "most_common_activity")
+
+
+@register("time_features_midnight", """
+SELECT id, hour, CASE WHEN hour >= 0 AND hour <= 6 THEN 'Night' ELSE time_period END AS time_period, is_weekend, week, month
+FROM enriched""")
+def q_time_features_midnight(spark, sf):
+    """P2-P8 with ``include_midnight=True`` (hour 0 in Night)."""
+    df = R.read_activities(spark, acts(spark, sf), A.AS_OF, 30, include_midnight=True)
+    return df.select("id", "hour", "time_period", "is_weekend", "week", "month")
+
+
+@register("stream_alert_windows", f"""
+, a AS (SELECT "timestamp", session_id FROM activities WHERE activity_type IN ({O.ALERTABLE})),
+w AS (SELECT time_bucket(INTERVAL 5 MINUTE, "timestamp") - i * INTERVAL 5 MINUTE AS ws, session_id
+      FROM a, range(12) r(i))
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S.%f') AS window_start,
+       strftime(ws + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS window_end, session_id, count(*) AS alerts
+FROM w GROUP BY 1, 2, 3""")
+def q_stream_alert_windows(spark, sf):
+    """T2 windows: alerts per session over a 1-hour window sliding by 5 minutes."""
+    from obslytics.streaming import streams as ST
+    out, chk = _stream_dirs(spark, "alert_windows")
+    s = ST.stream_alert_windows(ST.activities_stream(spark, f"{sf}/events.parquet"), "1 hour", "5 minutes")
+    return ST.run_to_table(s, out, chk, "complete")

@@ -35,10 +35,11 @@ def activities_from_events(events: DataFrame, since: _dt.datetime | None = None)
     """
     if since is not None:
         events = events.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
-    e = F.array_position(F.array(*[F.lit(t) for t in S.EVENT_TYPE_ORDER]), F.col("event_type")) - 1
-    idx = e * 3 + F.pmod(_k(), F.lit(3))
+    # block of three classes per event type (NULL for an unknown type)
+    block = F.try_element_at(F.create_map(*[F.lit(x) for i, t in enumerate(S.EVENT_TYPE_ORDER)
+                                            for x in (t, i * 3 + 1)]), F.col("event_type"))
     names = F.array(*[F.lit(t) for t in S.ACTIVITY_TYPES])
-    activity = F.when(e >= 0, F.try_element_at(names, (idx + 1).cast("int")))
+    activity = F.try_element_at(names, (block + F.pmod(_k(), F.lit(3))).cast("int"))
     eid = F.col("event_id")
     box = F.create_map(
         F.lit("x"), (eid % 640).cast("double"),
