@@ -7,18 +7,12 @@ from pyspark.sql import functions as F
 
 from obslytics import schemas as S
 from obslytics.functions import features as X
-from obslytics.operators.summary import combine_rows, data_summary
+from obslytics.operators.summary import py_ts_text
 
 
-def patterns(df: DataFrame) -> DataFrame:
-    """One row per activity type.
-
-    ``duration_minutes`` is the mean gap between successive events of the
-    type.  The mean of consecutive differences telescopes to
-    ``(last - first) / (n - 1)``, so no sort or window is needed; 5.0 when
-    there are fewer than two events.  ``time_of_day`` is the modal hour,
-    lowest on ties, 12 when there is none.
-    """
+def type_profile(df: DataFrame) -> DataFrame:
+    """Patterns plus first/last time per type: one aggregate that both the
+    pattern list and the report's data summary are derived from (one scan)."""
     n = F.count(F.lit(1))
     span = F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))
     return (df.groupBy("activity_type").agg(
@@ -27,9 +21,34 @@ def patterns(df: DataFrame) -> DataFrame:
         F.when(n < 2, F.lit(5.0)).otherwise(span / (n - 1) / F.lit(60_000_000.0)).alias("duration_minutes"),
         F.coalesce(F.mode(X.hour("timestamp"), True), F.lit(12)).alias("time_of_day"),
         F.min("behavioral_category").alias("behavioral_category"),
+        F.min("timestamp").alias("t_min"), F.max("timestamp").alias("t_max"),
     ))
 
 
+def _summary_exprs() -> list[F.Column]:
+    return [F.coalesce(F.sum("frequency"), F.lit(0)).cast("long").alias("total_activities"),
+            F.coalesce(F.concat_ws(" to ", py_ts_text(F.min("t_min")), py_ts_text(F.max("t_max"))),
+                       F.lit("No data")).alias("date_range"),
+            F.count("activity_type").alias("unique_activity_types")]
+
+
+def profile_summary(profile: DataFrame) -> DataFrame:
+    """A26/P22 from the type profile: count, time range text, distinct types."""
+    return profile.agg(*_summary_exprs())
+
+
+def patterns(df: DataFrame) -> DataFrame:
+    """One row per activity type.
+
+    ``duration_minutes`` is the mean gap between successive events of the
+    type.  The mean of consecutive differences telescopes to
+    ``(last - first) / (n - 1)``, so no sort or window is needed; 5.0 when
+    there are fewer than two events.  ``time_of_day`` is the modal hour,
+    lowest on ties, 12 when there is none.
+    """
+    return type_profile(df).drop("t_min", "t_max")
+
+
 def ranked_patterns(p: DataFrame) -> DataFrame:
     """Patterns in report order: frequency descending, then type (tie key)."""
     return p.orderBy(F.col("frequency").desc(), F.col("activity_type").asc())
@@ -86,18 +105,20 @@ def insights(p: DataFrame) -> DataFrame:
         risk_level().alias("risk_level"))
 
 
+def _insight_exprs() -> list[F.Column]:
+    null_safe = F.coalesce(F.col("behavioral_category"), F.lit("\u0000"))
+    return [F.count(F.lit(1)).alias("total_patterns"),
+            F.min_by(F.col("activity_type"),
+                     F.struct((-F.col("frequency")).alias("k"), F.col("activity_type").alias("t"))
+                     ).alias("most_frequent_activity"),
+            F.round(F.avg("avg_confidence"), 3).alias("overall_confidence"),
+            F.count_distinct(null_safe).alias("behavioral_diversity"),
+            F.count_if(F.col("behavioral_category") == "Concerning").alias("concerning_behaviors")]
+
+
 def insight_summary(p: DataFrame) -> DataFrame:
     """Summary over all patterns (one row)."""
-    null_safe = F.coalesce(F.col("behavioral_category"), F.lit("\u0000"))
-    return p.agg(
-        F.count(F.lit(1)).alias("total_patterns"),
-        F.min_by(F.col("activity_type"),
-                 F.struct((-F.col("frequency")).alias("k"), F.col("activity_type").alias("t"))
-                 ).alias("most_frequent_activity"),
-        F.round(F.avg("avg_confidence"), 3).alias("overall_confidence"),
-        F.count_distinct(null_safe).alias("behavioral_diversity"),
-        F.count_if(F.col("behavioral_category") == "Concerning").alias("concerning_behaviors"),
-    )
+    return p.agg(*_insight_exprs())
 
 
 def recommendations(p: DataFrame) -> DataFrame:
@@ -135,8 +156,13 @@ def concerning_alert(p: DataFrame, threshold: int = 1) -> DataFrame:
 
 def analysis_report(df: DataFrame) -> DataFrame:
     """The report as one row of nested columns (for ``write_report``)."""
-    p = patterns(df)
-    data = data_summary(df)
+    # the per-type profile (one row per type) feeds every section; it is
+    # checkpointed once so the rows are scanned once for the whole report
+    from obslytics.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    prof = type_profile(df).checkpoint(eager=True)
+    p = prof.drop("t_min", "t_max")
+    data = profile_summary(prof)
     pats = p.agg(F.array_sort(F.collect_list(F.struct(
         (-F.col("frequency")).alias("_k"), "activity_type", "frequency",
         X.round3("avg_confidence").alias("avg_confidence"), "behavioral_category")
@@ -162,5 +188,5 @@ def analysis_report(df: DataFrame) -> DataFrame:
 
 def report_flat(df: DataFrame) -> DataFrame:
     """S7 in flat form: the scalar fields of the analysis report (one row)."""
-    p = patterns(df)
-    return combine_rows(data_summary(df), insight_summary(p))
+    # one aggregate over the per-type profile: a single scan of the rows
+    return type_profile(df).agg(*_summary_exprs(), *_insight_exprs())
