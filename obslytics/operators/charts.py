@@ -176,16 +176,30 @@ def category_counts(df: DataFrame) -> DataFrame:
               .withColumn("color", X.category_color("behavioral_category")))
 
 
-def box_stats(df: DataFrame, by: str, value: str = "confidence", exact: bool = True,
+# Above this many distinct values, exact quantiles (whose buffers hold one
+# entry per distinct value) give way to percentile_approx.
+EXACT_DISTINCT_LIMIT = 1_000_000
+
+
+def few_distinct(df: DataFrame, value: str, limit: int = EXACT_DISTINCT_LIMIT) -> bool:
+    """One HyperLogLog aggregate -> one number on the driver."""
+    return (df.agg(F.approx_count_distinct(value).alias("d")).first()["d"] or 0) <= limit
+
+
+def box_stats(df: DataFrame, by: str, value: str = "confidence", exact: bool | str = "auto",
               accuracy: int = 10000) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and outlier count of ``value`` per ``by``.
 
     Quartiles use linear interpolation (``percentile``; ``exact=False`` uses
-    ``percentile_approx`` for very large groups of distinct values).  The
+    ``percentile_approx``; ``"auto"`` picks exact while the value has at most
+    ``EXACT_DISTINCT_LIMIT`` distinct values, since exact buffers hold one
+    entry per distinct value).  The
     second pass joins the per-group bounds back; the bounds table has one row
     per group, broadcast when the key's domain is bounded (weekday, category).
     """
     v = F.col(value)
+    if exact == "auto":
+        exact = few_distinct(df, value)
     if exact:
         qs = F.percentile(v, [0.25, 0.5, 0.75])
     else:
@@ -208,7 +222,7 @@ def box_stats(df: DataFrame, by: str, value: str = "confidence", exact: bool = T
 
 
 def confidence_density(df: DataFrame, by: str = "behavioral_category", value: str = "confidence",
-                       points: int = 100, cut: float = 2.0) -> DataFrame:
+                       points: int = 100, cut: float = 2.0, max_distinct: int = EXACT_DISTINCT_LIMIT) -> DataFrame:
     """Gaussian KDE of ``value`` per group on ``points`` grid points from
     min - cut*bw to max + cut*bw, Scott bandwidth ``n^(-1/5) * std``.
 
@@ -217,6 +231,13 @@ def confidence_density(df: DataFrame, by: str = "behavioral_category", value: st
     the row count.  The per-group grid (groups x points rows) is broadcast.
     """
     base = df.filter(F.col(by).isNotNull() & F.col(value).isNotNull())
+    if not few_distinct(base, value, max_distinct):
+        # very many distinct values: snap them to ``max_distinct`` levels over
+        # the value range first (error at most half a level, far below the bandwidth)
+        lo = base.agg(F.min(value)).scalar()
+        hi = base.agg(F.max(value)).scalar()
+        step = (hi - lo) / max_distinct
+        base = base.withColumn(value, lo + F.round((F.col(value) - lo) / step) * step)
     vals = base.groupBy(by, value).agg(F.count(F.lit(1)).alias("m"))
     stats = (vals.groupBy(by).agg(
         F.sum("m").alias("n"),

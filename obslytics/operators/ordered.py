@@ -19,9 +19,13 @@ from obslytics.session import checkpoint_dir
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
+    """Range partitions: the configured shuffle partitions, or more when the
+    input has more splits (splits follow ``spark.sql.files.maxPartitionBytes``,
+    so the count grows with the data and each range stays split-sized)."""
     if n:
         return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(conf, df.rdd.getNumPartitions())
 
 
 def ordered_index(df: DataFrame, keys: list[str], order: str, tie: str | None = None,

@@ -64,11 +64,17 @@ def flatten_sequences(seq: DataFrame, key: str = "session_id", label: str | None
     return g.select(key, "seq_index", *([label] if label else []), array_to_vector(flat).alias("features"))
 
 
-def statistical_features(df: DataFrame, key: str, value: str = "confidence") -> DataFrame:
+def statistical_features(df: DataFrame, key: str, value: str = "confidence", exact: bool | str = "auto",
+                         accuracy: int = 10000) -> DataFrame:
     """Mean, std, min, max, median, p25, p75, var, peak-to-peak, length
-    per key (population std/var; linear-interpolated percentiles)."""
+    per key (population std/var; linear-interpolated percentiles, approximate
+    when the value has very many distinct values -- see ``charts.box_stats``)."""
+    from obslytics.operators.charts import few_distinct
     v = F.col(value)
-    q = F.percentile(v, [0.5, 0.25, 0.75])
+    if exact == "auto":
+        exact = few_distinct(df, value)
+    q = F.percentile(v, [0.5, 0.25, 0.75]) if exact else \
+        F.percentile_approx(v, [0.5, 0.25, 0.75], accuracy).cast("array<double>")
     return (df.groupBy(key).agg(
         F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
         q.alias("_q"), F.var_pop(v).alias("var"), (F.max(v) - F.min(v)).alias("ptp"),

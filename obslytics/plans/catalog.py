@@ -806,10 +806,7 @@ def q_sequences(spark, sf):
 
 
 def acts_with_k(spark, sf):
-    ev = A.table(spark, sf, "events")
-    a = A.activities_from_events(ev.withColumn("_k", F.get_json_object("props", "$.k").cast("int")))
-    return a.join(ev.select(F.col("event_id").cast("string").alias("id"),
-                            F.get_json_object("props", "$.k").cast("int").alias("k")), "id")
+    return A.activities_from_events(A.table(spark, sf, "events"), keep_k=True)
 
 
 @register("statistical_features", """
@@ -1242,3 +1239,25 @@ def q_stream_alert_windows(spark, sf):
     out, chk = _stream_dirs(spark, "alert_windows")
     s = ST.stream_alert_windows(ST.activities_stream(spark, f"{sf}/events.parquet"), "1 hour", "5 minutes")
     return ST.run_to_table(s, out, chk, "complete")
+
+
+@register("time_features", """
+SELECT id, hour, day_of_week, cast(date AS VARCHAR) AS date, week, month, is_weekend, time_period FROM enriched""")
+def q_time_features(spark, sf):
+    """P2-P8."""
+    df = enriched(spark, sf)
+    return df.select("id", "hour", "day_of_week", "date", "week", "month", "is_weekend", "time_period")
+
+
+@register("stream_daily_health", """
+SELECT strftime(time_bucket(INTERVAL 1 DAY, "timestamp"), '%Y-%m-%d %H:%M:%S.%f') AS window_start,
+       strftime(time_bucket(INTERVAL 1 DAY, "timestamp") + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S.%f') AS window_end,
+       host, count(*) AS samples, round(avg(cpu_percent), 6) AS cpu_avg, round(max(cpu_percent), 6) AS cpu_max,
+       round(avg(memory_percent), 6) AS memory_avg, count(*) FILTER (WHERE cpu_percent > 80) AS cpu_alerts
+FROM metrics GROUP BY 1, 2, 3""")
+def q_stream_daily_health(spark, sf):
+    """Midnight 24-hour summary per host (tumbling 1-day window)."""
+    from obslytics.streaming import streams as ST
+    out, chk = _stream_dirs(spark, "daily_health")
+    s = ST.stream_health(ST.metrics_stream(spark, f"{sf}/events.parquet"), "1 day")
+    return ST.run_to_table(s, out, chk, "complete")

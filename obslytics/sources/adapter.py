@@ -27,11 +27,13 @@ def _k() -> F.Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def activities_from_events(events: DataFrame, since: _dt.datetime | None = None) -> DataFrame:
+def activities_from_events(events: DataFrame, since: _dt.datetime | None = None,
+                           keep_k: bool = False) -> DataFrame:
     """events(event_id, ts, user_id, event_type, value, props) -> activities.
 
     A ``since`` bound is applied to the raw ``ts`` column so that it reaches
-    the parquet scan as a pushed filter.
+    the parquet scan as a pushed filter.  ``keep_k`` also returns the parsed
+    ``props.k`` (a sequence feature) without a second pass over the events.
     """
     if since is not None:
         events = events.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
@@ -57,6 +59,7 @@ def activities_from_events(events: DataFrame, since: _dt.datetime | None = None)
         F.lit(None).cast("string").alias("ai_analysis"),
         F.when(eid % 2 == 0, "live").otherwise("uploaded").alias("video_source"),
         F.concat(F.lit("session_"), F.col("user_id").cast("string")).alias("session_id"),
+        *([_k().alias("k")] if keep_k else []),
     )
 
 

@@ -136,3 +136,22 @@ def test_recommendations_order(spark):
     recs = [r["recommendation"] for r in P.recommendations(p).orderBy("position").collect()]
     assert recs[0].startswith("Immediate intervention") and recs[1].startswith("Implement safety")
     assert recs[-1].startswith("Good balance") and len(recs) == 5
+
+
+def test_box_stats_approx_close_to_exact(spark):
+    from obslytics.plans import catalog
+    df = catalog.enriched(spark, "/root/testdata/sf0.01")
+    ex = {r["day_of_week"]: r for r in C.box_stats(df, "day_of_week", exact=True).collect()}
+    ap = {r["day_of_week"]: r for r in C.box_stats(df, "day_of_week", exact=False).collect()}
+    for d in ex:
+        assert abs(ex[d]["median"] - ap[d]["median"]) < 0.01
+        assert ex[d]["n"] == ap[d]["n"]
+
+
+def test_density_snapping_close_to_exact(spark):
+    from obslytics.plans import catalog
+    df = catalog.enriched(spark, "/root/testdata/sf0.01")
+    ex = {(r[0], r[1]): r["density"] for r in C.confidence_density(df).collect()}
+    sn = {(r[0], r[1]): r["density"] for r in C.confidence_density(df, max_distinct=500).collect()}
+    assert ex.keys() == sn.keys()
+    assert max(abs(ex[k] - sn[k]) for k in ex) < 0.05 * max(ex.values())
