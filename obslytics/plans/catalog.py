@@ -1195,12 +1195,17 @@ def q_mlp_predictions(spark, sf):
     return model.transform(split.filter("split = 'test'")).select("session_id", "seq_index", "label", "prediction")
 
 
-@register("stream_history")
+@register("stream_history", f"""
+SELECT host, count(*) AS retained, {O.TS_TEXT.format(c='min("timestamp")')} AS oldest,
+       {O.TS_TEXT.format(c='max("timestamp")')} AS newest, round(avg(cpu_percent), 6) AS cpu_avg
+FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY "timestamp" DESC) AS rn FROM metrics)
+WHERE rn <= 1000 GROUP BY host""")
 def q_stream_history(spark, sf):
     """Per-host bounded history (1000 samples) kept in streaming state."""
     from obslytics.streaming import streams as ST
     out, chk = _stream_dirs(spark, "history")
-    return ST.run_to_table(ST.stream_history(ST.metrics_stream(spark, f"{sf}/events.parquet"), 1000), out, chk, "update")
+    return ST.run_to_table(ST.stream_history(ST.metrics_stream(spark, f"{sf}/events.parquet"), 1000), out, chk,
+                           "update", key=["host"])
 
 
 # --- variants that exercise optional parameters --------------------------------------------

@@ -152,23 +152,36 @@ def alerts_sink(stream: DataFrame, path: str, checkpoint: str, trigger_once: boo
     return w.start()
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
+                 key: list[str] | None = None):
     """Run a stream over all available input (availableNow) into ``path``.
 
-    ``append`` writes parquet files; ``complete``/``update`` overwrite the
-    table with each batch's result (the last one is the final state).
+    ``append`` writes parquet files.  ``complete`` overwrites the table with
+    each batch's full result.  ``update`` writes each batch's changed rows to
+    ``batch=<id>``; reading back keeps the newest row per ``key``.  Every
+    batch write is an overwrite of its own folder, so retries are idempotent.
     """
     if mode == "append":
         q = (stream.writeStream.format("parquet").option("path", path)
                    .option("checkpointLocation", checkpoint).outputMode("append")
                    .trigger(availableNow=True).start())
-    else:
+    elif mode == "complete":
         def write(batch: DataFrame, batch_id: int) -> None:
             batch.write.mode("overwrite").parquet(path)
         q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
                    .outputMode(mode).trigger(availableNow=True).start())
+    else:
+        def write(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+                   .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
-    return stream.sparkSession.read.parquet(path)
+    out = stream.sparkSession.read.parquet(path)
+    if mode == "update" and key:
+        from pyspark.sql import Window
+        w = Window.partitionBy(*key).orderBy(F.col("batch").desc())
+        out = out.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "batch")
+    return out
 
 
 _ = S

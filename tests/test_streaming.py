@@ -12,8 +12,8 @@ from obslytics.streaming import streams as ST
 from conftest import SF_SMALL
 
 
-def _run(stream, tmp, mode="append"):
-    return ST.run_to_table(stream, f"{tmp}/out", f"{tmp}/chk", mode)
+def _run(stream, tmp, mode="append", key=None):
+    return ST.run_to_table(stream, f"{tmp}/out", f"{tmp}/chk", mode, key)
 
 
 def test_metric_alerts_stream_equals_batch(spark, tmp_dir):
@@ -61,9 +61,28 @@ def test_watermark_drops_late_rows(spark, tmp_dir):
 
 
 def test_history_bounded(spark, tmp_dir):
-    s = _run(ST.stream_history(ST.metrics_stream(spark, f"{SF_SMALL}/events.parquet"), 50), tmp_dir, "update")
+    s = _run(ST.stream_history(ST.metrics_stream(spark, f"{SF_SMALL}/events.parquet"), 50), tmp_dir, "update",
+             ["host"])
     rows = s.collect()
-    assert rows and all(r["retained"] <= 50 for r in rows)
+    assert len(rows) == 5 and all(r["retained"] == 50 for r in rows)
+
+
+def test_history_across_batches(spark, tmp_dir):
+    """Two input files -> two micro-batches; the state carries over and the
+    newest row per host wins."""
+    src = f"{tmp_dir}/src"
+    os.makedirs(src)
+    t = dt.datetime(2024, 1, 1)
+    mk = lambda rows: spark.createDataFrame(rows, "timestamp timestamp, host string, cpu_percent double")
+    mk([(t + dt.timedelta(minutes=i), "a", float(i)) for i in range(5)] + [(t, "b", 1.0)]) \
+        .coalesce(1).write.parquet(f"{src}/f1")
+    mk([(t + dt.timedelta(minutes=10 + i), "a", float(10 + i)) for i in range(3)]).coalesce(1).write.parquet(f"{src}/f2")
+    schema = spark.read.parquet(f"{src}/f1").schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    got = {r["host"]: r for r in _run(ST.stream_history(stream, 4), tmp_dir, "update", ["host"]).collect()}
+    assert got["a"]["retained"] == 4 and got["a"]["cpu_avg"] == (4 + 10 + 11 + 12) / 4
+    assert got["b"]["retained"] == 1
 
 
 def test_alerts_sink_idempotent(spark, tmp_dir):
