@@ -234,9 +234,9 @@ def confidence_density(df: DataFrame, by: str = "behavioral_category", value: st
     if not few_distinct(base, value, max_distinct):
         # very many distinct values: snap them to ``max_distinct`` levels over
         # the value range first (error at most half a level, far below the bandwidth)
-        lo = base.agg(F.min(value)).scalar()
-        hi = base.agg(F.max(value)).scalar()
-        step = (hi - lo) / max_distinct
+        r = base.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+        lo = F.lit(float(r["lo"]))
+        step = F.lit(float(r["hi"] - r["lo"]) / max_distinct)
         base = base.withColumn(value, lo + F.round((F.col(value) - lo) / step) * step)
     vals = base.groupBy(by, value).agg(F.count(F.lit(1)).alias("m"))
     stats = (vals.groupBy(by).agg(
@@ -292,11 +292,15 @@ def gap_histogram(gaps: DataFrame, bins: int = 30, limit: float = 120.0) -> Data
     """``bins`` equal-width bins over [min, max] of the gaps below
     ``limit``; the maximum falls in the last bin; all bins present."""
     g = _short(gaps, limit)
-    # min and max enter as scalar subqueries (one tiny aggregate each)
-    lo0 = g.agg(F.min("gap_minutes")).scalar()
-    hi0 = g.agg(F.max("gap_minutes")).scalar()
-    lo = F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0)
-    hi = F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0)
+    # the range is two numbers: one aggregate pass, fetched to the driver and
+    # used as literals (scalar subqueries would be re-run per reference)
+    r = g.agg(F.min("gap_minutes").alias("lo"), F.max("gap_minutes").alias("hi")).first()
+    lo_v, hi_v = r["lo"], r["hi"]
+    if lo_v is None:
+        lo_v, hi_v = 0.0, 1.0
+    elif lo_v == hi_v:
+        lo_v, hi_v = lo_v - 0.5, hi_v + 0.5
+    lo, hi = F.lit(float(lo_v)), F.lit(float(hi_v))
     width = (hi - lo) / bins
     idx = F.least(F.floor((F.col("gap_minutes") - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
     counted = g.select(idx.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))

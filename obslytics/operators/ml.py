@@ -31,15 +31,17 @@ from obslytics.operators.ordered import ordered_index
 def standardize(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> DataFrame:
     """M1: (x - mean) / population std; a constant column is divided by 1.
 
-    Means and stds enter as scalar subqueries (one small global aggregate),
-    so no row data leaves its partition.
+    All means and stds come from one global aggregate (one pass, partial
+    aggregation); only those 2 x len(cols) numbers reach the driver and
+    return as literals.
     """
-    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
+    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
+                   *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
     out = df
     for c in cols:
-        m = stats.select(f"m_{c}").scalar()
-        s = stats.select(f"s_{c}").scalar()
-        out = out.withColumn(c + suffix, (F.col(c) - m) / F.when((s == 0) | s.isNull(), F.lit(1.0)).otherwise(s))
+        m = float(stats[f"m_{c}"] or 0.0)
+        s = float(stats[f"s_{c}"] or 0.0)
+        out = out.withColumn(c + suffix, (F.col(c) - F.lit(m)) / F.lit(s if s != 0 else 1.0))
     return out
 
 
@@ -119,9 +121,9 @@ def pca(df: DataFrame, cols: list[str], k: int = 2, center: bool = True):
     """
     src = df
     if center:
+        means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()  # one pass, len(cols) numbers
         for c in cols:
-            m = df.agg(F.avg(c)).scalar()
-            src = src.withColumn(c + "_c", F.col(c) - m)
+            src = src.withColumn(c + "_c", F.col(c) - F.lit(float(means[c])))
         inputs = [c + "_c" for c in cols]
     else:
         inputs = cols

@@ -282,7 +282,7 @@ def q_pattern_progress(spark, sf):
 
 
 @register("insights", """
-SELECT behavioral_category AS category, sum(frequency) AS total_occurrences,
+SELECT behavioral_category AS category, cast(sum(frequency) AS BIGINT) AS total_occurrences,
        round(avg(avg_confidence), 3) AS average_confidence, count(*) AS activity_count,
        array_to_string(list_slice(list(activity_type ORDER BY frequency DESC, activity_type), 1, 2), ', ')
          AS dominant_activities,
@@ -463,7 +463,7 @@ _DAYS_VALUES = ", ".join(f"({i}, '{d}')" for i, d in enumerate(S.DAY_ORDER))
 
 @register("weekday_by_hour", f"""
 , days(day_index, day_of_week) AS (VALUES {_DAYS_VALUES})
-SELECT d.day_index, d.day_of_week,
+SELECT cast(d.day_index AS BIGINT) AS day_index, d.day_of_week,
        {', '.join(f'count(e.hour) FILTER (WHERE e.hour = {h}) AS h{h}' for h in range(24))}
 FROM days d LEFT JOIN enriched e ON e.day_of_week = d.day_of_week GROUP BY 1, 2""")
 def q_weekday_by_hour(spark, sf):
@@ -692,12 +692,13 @@ def q_metric_alerts(spark, sf):
 
 @register("metrics_summary", """
 , m AS (SELECT * FROM metrics WHERE "timestamp" >= TIMESTAMP '2024-01-30 00:00:00')
-SELECT 24 AS period_hours, count(*) AS sample_count,
+SELECT cast(24 AS BIGINT) AS period_hours, count(*) AS sample_count,
        round(avg(cpu_percent), 6) AS cpu_avg, round(max(cpu_percent), 6) AS cpu_max, round(min(cpu_percent), 6) AS cpu_min,
        round(avg(memory_percent), 6) AS memory_avg, round(max(memory_percent), 6) AS memory_max,
        round(min(memory_percent), 6) AS memory_min,
        round(arg_max(disk_usage_percent, "timestamp"), 6) AS disk_current,
-       round(avg(process_count), 6) AS process_avg, arg_max(process_count, "timestamp") AS process_current
+       round(avg(process_count), 6) AS process_avg,
+       cast(arg_max(process_count, "timestamp") AS BIGINT) AS process_current
 FROM m""")
 def q_metrics_summary(spark, sf):
     """A24/W7."""
@@ -879,7 +880,7 @@ SELECT model_name, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(preci
        round(avg(recall), 6) AS recall_macro, round(avg(f1), 6) AS f1_macro,
        round(sum(precision * support) / sum(support), 6) AS precision_weighted,
        round(sum(recall * support) / sum(support), 6) AS recall_weighted,
-       round(sum(f1 * support) / sum(support), 6) AS f1_weighted, sum(support) AS support
+       round(sum(f1 * support) / sum(support), 6) AS f1_weighted, cast(sum(support) AS BIGINT) AS support
 FROM per3 GROUP BY model_name""")
 def q_classification_report(spark, sf):
     """M12."""
@@ -899,7 +900,7 @@ def q_compare_models(spark, sf):
 
 
 @register("confusion_matrix", f"""
-SELECT label, {', '.join(f'count(*) FILTER (WHERE vec_id % 10 = {c}) AS p_{c}' for c in range(10))}
+SELECT cast(label AS BIGINT) AS label, {', '.join(f'count(*) FILTER (WHERE vec_id % 10 = {c}) AS p_{c}' for c in range(10))}
 FROM embeddings GROUP BY label""")
 def q_confusion_matrix(spark, sf):
     """M13."""
@@ -909,7 +910,7 @@ def q_confusion_matrix(spark, sf):
 
 
 @register("stratified_split", """
-SELECT vec_id, label,
+SELECT vec_id, cast(label AS BIGINT) AS label,
        CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42' || cast(vec_id AS VARCHAR)), vec_id)
                  <= round(count(*) OVER (PARTITION BY label) * 0.2) THEN 'test' ELSE 'train' END AS split
 FROM embeddings""")
