@@ -311,8 +311,16 @@ def gap_histogram(gaps: DataFrame, bins: int = 30, limit: float = 120.0) -> Data
                          F.coalesce(F.col("n"), F.lit(0)).alias("n")))
 
 
-def gap_stats(gaps: DataFrame, limit: float = 120.0) -> DataFrame:
-    """Mean and median of gaps below ``limit``."""
+def gap_stats(gaps: DataFrame, limit: float = 120.0, exact: bool | str = "auto", accuracy: int = 100000) -> DataFrame:
+    """Mean and median of gaps below ``limit``.
+
+    Gaps are continuous, so an exact median's buffer grows with the row count
+    and is merged in one task; ``"auto"`` keeps it exact only while there are at
+    most ``EXACT_DISTINCT_LIMIT`` distinct gaps, else ``percentile_approx``.
+    """
     g = _short(gaps, limit)
+    if exact == "auto":
+        exact = few_distinct(g, "gap_minutes")
+    med = F.median("gap_minutes") if exact else F.percentile_approx("gap_minutes", 0.5, accuracy)
     return g.agg(F.count(F.lit(1)).alias("n"), F.avg("gap_minutes").alias("mean_gap"),
-                 F.median("gap_minutes").alias("median_gap"))
+                 med.cast("double").alias("median_gap"))

@@ -121,15 +121,16 @@ def stream_history(metrics: DataFrame, n: int = 1000) -> DataFrame:
     """Bounded per-host history of the newest ``n`` samples kept in state
     (at most n entries per host), emitting the history summary per batch."""
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        parts = []
         if state.exists:
             ts, cpu = state.get
-            hist = pd.DataFrame({"timestamp": list(ts), "cpu_percent": list(cpu)})
-        else:
-            hist = pd.DataFrame({"timestamp": pd.Series(dtype="datetime64[us]"),
-                                 "cpu_percent": pd.Series(dtype="float64")})
+            parts.append(pd.DataFrame({"timestamp": pd.to_datetime(list(ts)), "cpu_percent": list(cpu)}))
         for b in batches:
-            hist = pd.concat([hist, b[["timestamp", "cpu_percent"]]], ignore_index=True)
-            hist = hist.sort_values("timestamp").tail(n)
+            parts.append(b[["timestamp", "cpu_percent"]])
+            # trim as we go: never more than n + one batch in memory
+            hist = pd.concat([p for p in parts if len(p)], ignore_index=True)
+            parts = [hist.sort_values("timestamp").tail(n)]
+        hist = parts[0] if len(parts) == 1 else pd.concat([p for p in parts if len(p)], ignore_index=True)
         state.update((list(hist["timestamp"]), [float(x) for x in hist["cpu_percent"]]))
         yield pd.DataFrame({"host": [key[0]], "retained": [len(hist)], "oldest": [hist["timestamp"].min()],
                             "newest": [hist["timestamp"].max()], "cpu_avg": [float(hist["cpu_percent"].mean())]})
