@@ -30,6 +30,19 @@ def metric_alerts(metrics: DataFrame) -> DataFrame:
                    .select("timestamp", "host", "a.type", "a.severity", "a.message", "a.value"))
 
 
+def details_text(m) -> F.Column:
+    """One ``key: value`` line per map entry (the alert details list)."""
+    m = F.col(m) if isinstance(m, str) else m
+    return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+
+
+def alert_details(alerts: DataFrame) -> DataFrame:
+    """Alerts with their details text (type, severity, message, value)."""
+    m = F.create_map(F.lit("type"), F.col("type"), F.lit("severity"), F.col("severity"),
+                     F.lit("message"), F.col("message"), F.lit("value"), F.col("value").cast("string"))
+    return alerts.withColumn("details", details_text(m))
+
+
 def metrics_summary(metrics: DataFrame, as_of: _dt.datetime, hours: int = 24, by_host: bool = False) -> DataFrame:
     """avg/max/min CPU and memory, latest disk and process count,
     average process count, over the last ``hours``.  ``max_by`` gives the

@@ -690,6 +690,18 @@ def q_metric_alerts(spark, sf):
     return MT.metric_alerts(metrics(spark, sf))
 
 
+@register("alert_details", """
+, a AS (""" + _metric_alert_sql() + """)
+SELECT "timestamp", host, type,
+       'type: ' || type || chr(10) || 'severity: ' || severity || chr(10) || 'message: ' || message || chr(10) ||
+       'value: ' || cast(value AS VARCHAR) AS details
+FROM a""")
+def q_alert_details(spark, sf):
+    """Alert details text from key/value pairs."""
+    from obslytics.operators import metrics as MT
+    return MT.alert_details(MT.metric_alerts(metrics(spark, sf))).select("timestamp", "host", "type", "details")
+
+
 @register("metrics_summary", """
 , m AS (SELECT * FROM metrics WHERE "timestamp" >= TIMESTAMP '2024-01-30 00:00:00')
 SELECT cast(24 AS BIGINT) AS period_hours, count(*) AS sample_count,
