@@ -29,10 +29,6 @@ def _small(df: DataFrame, key: str) -> DataFrame:
     return F.broadcast(df) if key in BOUNDED_KEYS else df
 
 
-def _hour_cols(prefix: str = "h") -> list[str]:
-    return [f"{prefix}{h}" for h in HOURS]
-
-
 # --- timeline panel --------------------------------------------------------
 
 def by_date(df: DataFrame) -> DataFrame:

@@ -88,13 +88,20 @@ def short_gaps(df: DataFrame, col: str = "gap_minutes", limit: float = 120.0) ->
 
 
 def older_than(df: DataFrame, cutoff: _dt.datetime, ts: str = "timestamp") -> DataFrame:
-    """rows a retention job removes."""
-    return df.filter(F.col(ts) < F.lit(cutoff))
+    """rows a retention job removes (with a ``date`` bound on tables
+    partitioned by day, so newer days are never read)."""
+    out = df.filter(F.col(ts) < F.lit(cutoff))
+    if "date" in df.columns:
+        out = out.filter(F.col("date") <= F.lit(cutoff.date()))
+    return out
 
 
 def newer_than(df: DataFrame, cutoff: _dt.datetime, ts: str = "timestamp") -> DataFrame:
-    """F11 complement: rows a retention job keeps."""
-    return df.filter(F.col(ts) >= F.lit(cutoff))
+    """F11 complement: rows a retention job keeps (older days pruned)."""
+    out = df.filter(F.col(ts) >= F.lit(cutoff))
+    if "date" in df.columns:
+        out = out.filter(F.col("date") >= F.lit(cutoff.date()))
+    return out
 
 
 def analytics_filter(df: DataFrame, start: _dt.datetime | None = None, end: _dt.datetime | None = None,

@@ -13,11 +13,11 @@ from obslytics.functions import features as X
 from obslytics.operators import filters as FL
 
 
-def alert_array(prefix: str = "") -> F.Column:
+def alert_array() -> F.Column:
     """One struct per rule that fires (NULL otherwise), strict ``>``."""
     items = []
     for kind, severity, metric, threshold, fmt in S.METRIC_ALERT_RULES:
-        v = F.col(prefix + metric)
+        v = F.col(metric)
         text = F.format_string(fmt.replace("%.1f", "%s"), X.fixed(v, 1))
         items.append(F.when(v > threshold, F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"),
                                                     text.alias("message"), v.alias("value"))))

@@ -13,7 +13,6 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from obslytics import schemas as S
 from obslytics.functions import features as X
 from obslytics.operators import filters as FL
 
@@ -221,5 +220,3 @@ def display_fields(df: DataFrame) -> DataFrame:
                      X.percent_text("confidence").alias("confidence_text"),
                      X.is_alertable("activity_type").alias("alertable"))
 
-
-_ = S  # schemas re-exported for callers that import from here

@@ -1279,3 +1279,36 @@ def q_stream_daily_health(spark, sf):
     out, chk = _stream_dirs(spark, "daily_health")
     s = ST.stream_health(ST.metrics_stream(spark, f"{sf}/events.parquet"), "1 day")
     return ST.run_to_table(s, out, chk, "complete")
+
+
+# --- jobs that write (under the checkpoint folder) and report what they wrote ------------
+
+@register("backup_manifest", """
+SELECT 'activities' AS "table", (SELECT count(*) FROM activities) AS rows, '20240131_000000' AS "timestamp"
+UNION ALL
+SELECT 'labeling_data', (SELECT count(*) FROM labeling), '20240131_000000'""")
+def q_backup_manifest(spark, sf):
+    """Snapshot both tables, read the snapshot back, report counts."""
+    import uuid
+    from obslytics.operators import jobs as J
+    from obslytics.session import checkpoint_dir
+    root = f"{checkpoint_dir(spark)}/backups/{uuid.uuid4().hex}"
+    m = J.backup({"activities": acts(spark, sf), "labeling_data": A.load_labeling(spark, sf)}, root, A.AS_OF)
+    return m.select("table", "rows", "timestamp")
+
+
+@register("retention_kept", """
+SELECT count(*) AS kept_rows, count(DISTINCT cast("timestamp" AS DATE)) AS kept_days,
+       min(cast("timestamp" AS DATE))::VARCHAR AS first_day
+FROM activities WHERE "timestamp" >= TIMESTAMP '2024-01-17 00:00:00'""")
+def q_retention_kept(spark, sf):
+    """Write the rows newer than the cutoff (14 days before as_of) as a
+    new date-partitioned snapshot and summarise what it holds."""
+    import uuid
+    from obslytics.operators import jobs as J
+    from obslytics.session import checkpoint_dir
+    base = f"{checkpoint_dir(spark)}/retention/{uuid.uuid4().hex}"
+    stored = acts(spark, sf).withColumn("date", X.to_date("timestamp"))
+    kept = J.apply_retention(stored, base, A.AS_OF, 14)
+    return kept.agg(F.count(F.lit(1)).alias("kept_rows"), F.count_distinct("date").alias("kept_days"),
+                    F.min("date").cast("string").alias("first_day"))

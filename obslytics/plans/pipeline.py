@@ -10,7 +10,6 @@ from __future__ import annotations
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from obslytics import schemas as S
 from obslytics.functions import features as X
@@ -76,5 +75,3 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
         spark.sql(sql)
     return list(stmts)
 
-
-_ = F

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from obslytics import schemas as S
 from obslytics.functions import features as X
 from obslytics.operators import filters as FL
 from obslytics.operators import metrics as MT
@@ -184,5 +183,3 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
         out = out.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "batch")
     return out
 
-
-_ = S
