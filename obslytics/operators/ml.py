@@ -242,10 +242,12 @@ def train_svm(df: DataFrame, label: str = "label", features: str = "features", d
     z = random_fourier_features(df.select(label, features), features, dim, "_rff", n_features, seed=seed)
     idx = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(z)
     # the solver makes many passes: keep the projected features instead of
-    # re-running the Python projection on every pass
-    z = idx.transform(z).select("_label", "_rff").persist()
+    # re-running the Python projection on every pass, in partitions sized to
+    # the data (~50k rows each) so small inputs do not pay per-task overhead
+    n = df.count()
+    parts = max(1, min(z.rdd.getNumPartitions(), math.ceil(n / 50_000)))
+    z = idx.transform(z).select("_label", "_rff").coalesce(parts).persist()
     try:
-        n = z.count()
         ovr = OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=max_iter),
                         labelCol="_label", featuresCol="_rff", predictionCol="_pred", parallelism=4)
         model = ovr.fit(z)
@@ -284,14 +286,22 @@ def train_mlp(seq: DataFrame, label: str = "label", features: str = "features",
     """Multilayer perceptron on flattened sequences (replaces the
     recurrent network, which MLlib does not provide)."""
     n_in = len(seq.select(features).first()[0])
-    idx = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(seq)
-    n_out = len(idx.labels)
-    pipe = Pipeline(stages=[
-        idx,
-        MultilayerPerceptronClassifier(labelCol="_label", featuresCol=features, predictionCol="_pred",
-                                       layers=[n_in, *hidden, n_out], maxIter=max_iter, seed=seed),
-        IndexToString(inputCol="_pred", outputCol="prediction", labels=idx.labels)])
-    return pipe.fit(seq)
+    # L-BFGS makes one pass per iteration: keep the training rows, in
+    # partitions sized to the data (~50k rows each)
+    n = seq.count()
+    parts = max(1, min(seq.rdd.getNumPartitions(), math.ceil(n / 50_000)))
+    data = seq.select(label, features).coalesce(parts).persist()
+    try:
+        idx = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(data)
+        n_out = len(idx.labels)
+        pipe = Pipeline(stages=[
+            idx,
+            MultilayerPerceptronClassifier(labelCol="_label", featuresCol=features, predictionCol="_pred",
+                                           layers=[n_in, *hidden, n_out], maxIter=max_iter, seed=seed),
+            IndexToString(inputCol="_pred", outputCol="prediction", labels=idx.labels)])
+        return pipe.fit(data)
+    finally:
+        data.unpersist()
 
 
 # --- M12-M14 evaluation --------------------------------------------------------------------------
