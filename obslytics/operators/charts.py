@@ -138,15 +138,23 @@ def activity_correlation(df: DataFrame) -> DataFrame:
     After the first aggregate every table is at most types x 24 rows.  A
     zero-variance side gives NULL (``try_divide``) instead of an error.
     """
-    counts = df.groupBy("activity_type", "hour").agg(F.count(F.lit(1)).alias("n"))
-    wide = counts.groupBy("activity_type").pivot("hour", HOURS).sum("n")
-    observed = counts.groupBy("hour").agg(F.lit(1).alias("_seen"))
+    # one pass over the rows: type x 24 hour counts, zero filled by the pivot
+    wide = df.groupBy("activity_type").pivot("hour", HOURS).count()
     stack = ", ".join(f"{h}, coalesce(`{h}`, 0L)" for h in HOURS)
-    dense = (wide.select("activity_type", F.expr(f"stack(24, {stack}) as (hour, n)"))
-                 .join(F.broadcast(observed), "hour", "left_semi"))
-    a = dense.select(F.col("activity_type").alias("activity_a"), "hour", F.col("n").alias("x"))
-    b = dense.select(F.col("activity_type").alias("activity_b"), "hour", F.col("n").alias("y"))
-    pairs = a.join(b, "hour").filter(F.col("activity_a") > F.col("activity_b"))
+    dense = wide.select("activity_type", F.expr(f"stack(24, {stack}) as (hour, n)"))
+    # keep observed hours only (some type has an event); the table is tiny
+    dense = (dense.withColumn("_hour_total", F.sum("n").over(Window.partitionBy("hour")))
+                  .filter(F.col("_hour_total") > 0).drop("_hour_total"))
+    # materialise the tiny dense table (types x 24 rows) once, so both sides of
+    # the self join read it instead of re-aggregating the rows
+    from obslytics.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    dense = dense.checkpoint(eager=True)
+    a, b = dense.alias("a"), dense.alias("b")
+    pairs = (a.join(b, F.col("a.hour") == F.col("b.hour"))
+              .filter(F.col("a.activity_type") > F.col("b.activity_type"))
+              .select(F.col("a.activity_type").alias("activity_a"), F.col("b.activity_type").alias("activity_b"),
+                      F.col("a.n").alias("x"), F.col("b.n").alias("y")))
     return pairs.groupBy("activity_a", "activity_b").agg(
         F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("correlation"))
 

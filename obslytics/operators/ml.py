@@ -168,9 +168,7 @@ def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.2,
     still spread over many tasks."""
     h = F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")))
     with_h = df.withColumn("_h", h)
-    o = ordered_index(with_h, [label], "_h", key, rn_col="_rn", prev_col=None)
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    out = o.join(sizes, label)
+    out = ordered_index(with_h, [label], "_h", key, rn_col="_rn", prev_col=None, size_col="_n")
     return out.withColumn("split", F.when(F.col("_rn") <= F.round(F.col("_n") * fraction), "test")
                           .otherwise("train")).drop("_h", "_rn", "_n")
 
@@ -310,12 +308,15 @@ def _class_counts(pred: DataFrame, label: str, prediction: str, by: list[str]) -
     """Per (group, class): tp, support, predicted.  Built from the small
     (label, prediction) count table with a union, no join."""
     c = pred.groupBy(*by, F.col(label).alias("_y"), F.col(prediction).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    y = c.select(*by, F.col("_y").alias("cls"), F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(0).alias("tp"),
-                 F.col("_n").alias("support"), F.lit(0).cast("long").alias("predicted"))
-    p = c.select(*by, F.col("_p").alias("cls"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("support"),
-                 F.col("_n").alias("predicted"))
-    per = y.unionByName(p).groupBy(*by, "cls").agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"),
-                                                    F.sum("predicted").alias("predicted"))
+    # each (label, prediction) count feeds its true class and its predicted
+    # class: two struct rows per count row, one pass, no join
+    zero = F.lit(0).cast("long")
+    as_true = F.struct(F.col("_y").alias("cls"), F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(zero)
+                       .alias("tp"), F.col("_n").alias("support"), zero.alias("predicted"))
+    as_pred = F.struct(F.col("_p").alias("cls"), zero.alias("tp"), zero.alias("support"), F.col("_n").alias("predicted"))
+    e = c.select(*by, F.explode(F.array(as_true, as_pred)).alias("r")).select(*by, "r.*")
+    per = e.groupBy(*by, "cls").agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"),
+                                    F.sum("predicted").alias("predicted"))
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("predicted")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp"), F.col("support")), F.lit(0.0))
     per = per.withColumn("precision", prec).withColumn("recall", rec)

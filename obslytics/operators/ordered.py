@@ -30,9 +30,10 @@ def _partitions(df: DataFrame, n: int | None) -> int:
 
 def ordered_index(df: DataFrame, keys: list[str], order: str, tie: str | None = None,
                   n_partitions: int | None = None, rn_col: str = "rn",
-                  prev_col: str | None = "prev") -> DataFrame:
-    """Add ``rn_col`` (1-based position within ``keys`` ordered by ``order``, ``tie``)
-    and ``prev_col`` (the ``order`` value of the preceding row, NULL for the first).
+                  prev_col: str | None = "prev", size_col: str | None = None) -> DataFrame:
+    """Add ``rn_col`` (1-based position within ``keys`` ordered by ``order``, ``tie``),
+    ``prev_col`` (the ``order`` value of the preceding row, NULL for the first)
+    and optionally ``size_col`` (rows in the row's key group).
     """
     order_cols = [order] + ([tie] if tie else [])
     n = _partitions(df, n_partitions)
@@ -53,7 +54,10 @@ def ordered_index(df: DataFrame, keys: list[str], order: str, tie: str | None =
     bounds = bounds.withColumn("_offset", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     if prev_col:
         bounds = bounds.withColumn("_carry", F.max("_lmax").over(before))
-    keep = ["_pid", *keys, "_offset"] + (["_carry"] if prev_col else [])
+    if size_col:
+        whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
+        bounds = bounds.withColumn(size_col, F.sum("_cnt").over(whole))
+    keep = ["_pid", *keys, "_offset"] + (["_carry"] if prev_col else []) + ([size_col] if size_col else [])
     out = ranged.join(bounds.select(*keep), ["_pid", *keys], "inner")
     out = out.withColumn(rn_col, F.col("_lrn") + F.col("_offset"))
     drop = ["_pid", "_lrn", "_offset"]
