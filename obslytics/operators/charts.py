@@ -32,7 +32,7 @@ def _small(df: DataFrame, key: str) -> DataFrame:
 # --- timeline panel --------------------------------------------------------
 
 def by_date(df: DataFrame) -> DataFrame:
-    """A9 (pipeline aggregate): per date count, mean confidence, modal category
+    """A9 (fluent-chain aggregate): per date count, mean confidence, modal category
     (ties to the lowest name)."""
     return df.groupBy(F.col("date")).agg(
         F.count(F.lit(1)).alias("activity_type"),

@@ -177,7 +177,7 @@ def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.2,
 
 def train_forest(df: DataFrame, label: str, features: list[str], trees: int = 100, depth: int = 10,
                  seed: int = 42) -> PipelineModel:
-    """M7: label-indexed random forest pipeline with label decoding."""
+    """M7: label-indexed random forest (MLlib Pipeline) with label decoding."""
     idx = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
     fitted_idx = idx.fit(df)
     pipe = Pipeline(stages=[

@@ -1 +1 @@
-"""Composed plans: the query catalog, its SQL oracle and the fluent pipeline."""
+"""Composed plans: the query catalog, its SQL oracle and the fluent chain."""

@@ -969,12 +969,12 @@ def q_label_codes(spark, sf):
     return out
 
 
-# --- pipeline and SQL functions ------------------------------------------------------
+# --- fluent chain and SQL functions ------------------------------------------------------
 
 _PIPE_TYPES = ["sitting", "standing", "walking", "running", "jumping", "focused_activity"]
 
 
-@register("pipeline", f"""
+@register("fluent_by_date", f"""
 , f AS (SELECT * FROM enriched WHERE confidence >= 0.7 AND activity_type IN ({', '.join(repr(t) for t in _PIPE_TYPES)}))
 SELECT cast(date AS VARCHAR) AS date, count(*) AS activity_type, round(avg(confidence), 6) AS confidence,
        (SELECT behavioral_category FROM f f2 WHERE f2.date = f.date AND behavioral_category IS NOT NULL
@@ -982,8 +982,8 @@ SELECT cast(date AS VARCHAR) AS date, count(*) AS activity_type, round(avg(confi
 FROM f GROUP BY date""")
 def q_pipeline(spark, sf):
     """Fluent filter -> filter -> features -> aggregate."""
-    from obslytics.plans import pipeline as PL
-    return PL.pipeline(enriched(spark, sf), 0.7, _PIPE_TYPES)
+    from obslytics.plans import fluent as PL
+    return PL.fluent_by_date(enriched(spark, sf), 0.7, _PIPE_TYPES)
 
 
 @register("sql_functions", """
@@ -998,7 +998,7 @@ FROM enriched e LEFT JOIN p ON p.category = e.behavioral_category
 GROUP BY 1, 2, 3""")
 def q_sql_functions(spark, sf):
     """The rules called from Spark SQL."""
-    from obslytics.plans import pipeline as PL
+    from obslytics.plans import fluent as PL
     PL.register_sql_functions(spark)
     acts(spark, sf).createOrReplaceTempView("obs_activities")
     return spark.sql("""

@@ -1,6 +1,6 @@
-"""Fluent pipeline (U1/U2) and SQL-callable rules.
+"""Fluent chain (U1/U2) and SQL-callable rules.
 
-The reference's method-chained pipeline becomes plain ``DataFrame -> DataFrame``
+The reference's method-chained analysis becomes plain ``DataFrame -> DataFrame``
 functions composed with ``DataFrame.transform``; every step returns a new
 immutable plan, and the whole chain is optimised by Catalyst as one query.
 """
@@ -36,7 +36,7 @@ def aggregate_by_date(df: DataFrame) -> DataFrame:
     return C.by_date(df)
 
 
-def pipeline(df: DataFrame, min_confidence: float = 0.7, types=None) -> DataFrame:
+def fluent_by_date(df: DataFrame, min_confidence: float = 0.7, types=None) -> DataFrame:
     """filter_by_confidence -> filter_by_activity_type -> add_time_features
     -> aggregate_by_date."""
     out = df.transform(filter_by_confidence(min_confidence))
