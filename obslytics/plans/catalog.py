@@ -1015,25 +1015,18 @@ def q_sql_functions(spark, sf):
 
 
 @register("rejected_rows", """
-SELECT cast(event_id AS VARCHAR) AS id,
-       CASE WHEN value > 100 THEN 'range:confidence' ELSE 'type:timestamp' END AS reason
-FROM events WHERE value > 100 OR event_type = 'error' AND cast(json_extract(props, '$.k') AS INTEGER) % 10 = 0""")
+SELECT cast(event_id AS VARCHAR) AS id, 'range:confidence' AS reason FROM events WHERE value / 100.0 > 1.0""")
 def q_rejected_rows(spark, sf):
-    """Validation of raw detection records.  Raw records are events whose
-    confidence is ``value / 100`` unclamped (above 1 is out of range) and whose
-    timestamp arrives as text; error events with k % 10 = 0 carry an
-    unparseable timestamp."""
+    """Validation of raw detection records built from every event with the
+    confidence unclamped (``value / 100``) and the time as text; records whose
+    confidence falls outside [0, 1] are rejected with their reason."""
     from obslytics.sources import readers as RD
     ev = A.table(spark, sf, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
-    raw = ev.select(
-        F.col("event_id").cast("string").alias("id"),
-        F.when((F.col("event_type") == "error") & (k % 10 == 0), F.lit("not a time"))
-         .otherwise(F.col("ts").cast("string")).alias("timestamp"),
-        F.lit("sitting").alias("activity_type"),
-        (F.col("value") / 100.0).alias("confidence"),
-        F.lit("x").alias("description"), F.lit("live").alias("video_source"), F.lit("s").alias("session_id"))
-    valid, rejected = RD.split_valid(raw, S.ACTIVITIES, ranges={"confidence": (0.0, 1.0)})
+    raw = ev.select(F.col("event_id").cast("string").alias("id"), F.col("ts").cast("string").alias("timestamp"),
+                    F.col("event_type").alias("activity_type"), (F.col("value") / 100.0).alias("confidence"),
+                    F.lit("raw").alias("description"), F.lit("live").alias("video_source"),
+                    F.concat(F.lit("session_"), F.col("user_id").cast("string")).alias("session_id"))
+    _, rejected = RD.split_valid(raw, S.ACTIVITIES, ranges={"confidence": (0.0, 1.0)})
     return rejected.select("id", F.element_at("reasons", 1).alias("reason"))
 
 
