@@ -91,3 +91,50 @@ def test_alerts_sink_idempotent(spark, tmp_dir):
     q.awaitTermination()
     n = spark.read.parquet(f"{tmp_dir}/alerts").count()
     assert n == MT.metric_alerts(A.load_metrics(spark, SF_SMALL)).count()
+
+
+def _two_batches(spark, tmp_dir, schema_ddl, first, second, build):
+    """Run ``build(stream)`` in append mode over two files written one after
+    the other; returns the rows written to the sink."""
+    src = f"{tmp_dir}/src"
+    os.makedirs(src)
+    spark.createDataFrame(first, schema_ddl).coalesce(1).write.parquet(f"{src}/b1")
+    schema = spark.read.parquet(f"{src}/b1").schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    q_df = build(stream)
+    out, chk = f"{tmp_dir}/out", f"{tmp_dir}/chk"
+
+    def run():
+        q = q_df.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk) \
+            .outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    run()
+    spark.createDataFrame(second, schema_ddl).coalesce(1).write.parquet(f"{src}/b2")
+    run()
+    return spark.read.parquet(out).collect()
+
+
+def test_health_watermark_drops_late_sample(spark, tmp_dir):
+    t = dt.datetime(2024, 1, 1, 10, 0)
+    ddl = "timestamp timestamp, host string, cpu_percent double, memory_percent double"
+    first = [(t, "h", 50.0, 10.0), (t + dt.timedelta(hours=3), "h", 50.0, 10.0)]
+    second = [(t + dt.timedelta(minutes=30), "h", 99.0, 10.0),   # late: its window is already final
+              (t + dt.timedelta(hours=6), "h", 50.0, 10.0)]       # advances the watermark
+    rows = _two_batches(spark, tmp_dir, ddl, first, second, lambda s: ST.stream_health(s, "1 hour"))
+    got = {r["window_start"].hour: r for r in rows}
+    assert got[10]["samples"] == 1 and got[10]["cpu_max"] == 50.0 and got[13]["samples"] == 1
+
+
+def test_concerning_watermark_drops_late_rows(spark, tmp_dir):
+    t = dt.datetime(2024, 1, 1, 0, 0)
+    ddl = "id string, timestamp timestamp, activity_type string, confidence double, session_id string"
+    first = [("1", t, "wandering", 0.9, "s"), ("2", t + dt.timedelta(minutes=1), "self_harm", 0.9, "s"),
+             ("3", t + dt.timedelta(days=2), "wandering", 0.9, "s")]
+    # late row for the first day; and a row that moves the watermark far ahead
+    second = [("4", t + dt.timedelta(minutes=2), "head_banging", 0.9, "s"),
+              ("5", t + dt.timedelta(days=5), "wandering", 0.9, "s")]
+    rows = _two_batches(spark, tmp_dir, ddl, first, second,
+                        lambda s: ST.stream_concerning(s, "1 day", "1 day", 1))
+    day0 = [r for r in rows if r["window_start"] == t]
+    assert len(day0) == 1 and day0[0]["concerning_types"] == 2  # head_banging arrived too late
