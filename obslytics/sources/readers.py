@@ -39,7 +39,8 @@ def read_activities(spark: SparkSession, source, as_of: _dt.datetime, days_back:
     """
     lo = since_bound(as_of, days=days_back)
     if isinstance(source, str):
-        df = spark.read.schema(S.ACTIVITIES.add("date", T.DateType())).parquet(source)
+        stored = T.StructType(S.ACTIVITIES.fields + [T.StructField("date", T.DateType())])  # no in-place add
+        df = spark.read.schema(stored).parquet(source)
     else:
         df = source
     return enrich(_time_bound(df, lo), include_midnight)

@@ -87,3 +87,11 @@ def test_ingest_detections_one_session_per_upload(spark):
     d = SQ.ingest_detections(A.load_frames(spark, SF_SMALL), "uploaded")
     per = d.groupBy("upload_id").agg(F.count_distinct("session_id").alias("s")).agg(F.max("s")).first()[0]
     assert per == 1
+
+
+def test_reading_stored_table_leaves_schema_alone(spark, tmp_dir):
+    before = list(S.ACTIVITIES.fieldNames())
+    R.append_activities(A.load_activities(spark, SF_SMALL), f"{tmp_dir}/acts")
+    R.read_activities(spark, f"{tmp_dir}/acts", A.AS_OF, 30).count()
+    R.read_activities(spark, f"{tmp_dir}/acts", A.AS_OF, 30).count()
+    assert list(S.ACTIVITIES.fieldNames()) == before
