@@ -59,6 +59,8 @@ METRIC_ALERT_RULES = [
 ]
 
 DESCRIPTION_FORMAT = "Detected %s with %s confidence"
+# Analysis text stored for alertable detections when no model answer exists.
+AI_UNAVAILABLE = "AI analysis unavailable"
 ANALYSIS_PROMPT_LINES = [
     "Analyze this activity detection:",
     "Activity: %s",

@@ -65,12 +65,15 @@ def _with_identity(df: DataFrame) -> DataFrame:
 
 
 def prepare_activities(df: DataFrame) -> DataFrame:
-    """S5 shaping: id/time filled in, description and analysis request text."""
+    """S5 shaping: id/time filled in, description, and analysis text for
+    alertable types.  The language-model call is not part of the engine (its
+    prompts are ``summary.analysis_requests``); alertable rows get the fallback
+    text the reference stores when no answer is available."""
     df = _with_identity(df)
     if "description" not in df.columns:
         df = df.withColumn("description", X.description())
     if "ai_analysis" not in df.columns:
-        df = df.withColumn("ai_analysis", F.lit(None).cast("string"))
+        df = df.withColumn("ai_analysis", F.when(X.is_alertable(), F.lit(S.AI_UNAVAILABLE)))
     if "bounding_box" not in df.columns:
         df = df.withColumn("bounding_box", F.lit(None).cast(S.BOX))
     cols = [f.name for f in S.ACTIVITIES.fields]

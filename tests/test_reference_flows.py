@@ -86,3 +86,14 @@ def test_data_analysis_flow(spark, store):
     assert top[0]["activity"] == "sitting" and top[0]["confidence"] == 0.85 and top[0]["category"] == "Calm"
     assert set(S.ACTIVITIES.fieldNames()) <= set(spark.read.parquet(store).columns)
     assert p.first()["duration_minutes"] == 5.0  # a single event has the default duration
+
+
+def test_alertable_activity_gets_analysis_text(spark, tmp_dir):
+    row = spark.createDataFrame([("self_harm", 0.9, "test", "s", NOW - dt.timedelta(minutes=5))],
+                                "activity_type string, confidence double, video_source string, session_id string, "
+                                "timestamp timestamp")
+    R.append_activities(row, f"{tmp_dir}/a")
+    got = spark.read.parquet(f"{tmp_dir}/a").first()
+    assert got["ai_analysis"] == S.AI_UNAVAILABLE
+    assert got["description"] == "Detected self_harm with 0.90 confidence"
+    assert SM.alerts(spark.read.parquet(f"{tmp_dir}/a"), NOW).count() == 1
