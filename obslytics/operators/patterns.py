@@ -62,12 +62,15 @@ def top_patterns(p: DataFrame, n: int = 5) -> DataFrame:
         F.col("behavioral_category").alias("category"))
 
 
-def pattern_progress(p: DataFrame) -> DataFrame:
-    """Position and percent complete of each pattern in report order.
+def pattern_progress(p: DataFrame, n: int | None = None) -> DataFrame:
+    """Position and percent complete of each pattern in report order,
+    optionally over the first ``n`` patterns only (the demo streams three).
 
     ``p`` has one row per activity type (a small, bounded table), so one
     ordered window over it is cheap.
     """
+    if n is not None:
+        p = ranked_patterns(p).limit(n)
     w = Window.orderBy(F.col("frequency").desc(), F.col("activity_type").asc())
     total = F.count(F.lit(1)).over(Window.partitionBy())
     return p.select((F.row_number().over(w) - 1).alias("index"), "activity_type",

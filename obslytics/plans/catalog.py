@@ -281,6 +281,16 @@ def q_pattern_progress(spark, sf):
     return P.pattern_progress(P.patterns(enriched(spark, sf)))
 
 
+@register("pattern_progress_top3", """
+, t AS (SELECT * FROM patterns ORDER BY frequency DESC, activity_type LIMIT 3)
+SELECT row_number() OVER w - 1 AS index, activity_type,
+       round(row_number() OVER w / count(*) OVER () * 100, 2) AS percentage_complete
+FROM t WINDOW w AS (ORDER BY frequency DESC, activity_type)""")
+def q_pattern_progress_top3(spark, sf):
+    """Progress over the first three patterns."""
+    return P.pattern_progress(P.patterns(enriched(spark, sf)), 3)
+
+
 @register("insights", """
 SELECT behavioral_category AS category, cast(sum(frequency) AS BIGINT) AS total_occurrences,
        round(avg(avg_confidence), 3) AS average_confidence, count(*) AS activity_count,
