@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from obslytics.operators import filters as FL
 from obslytics.operators.ordered import ordered_index
+from obslytics.session import num_partitions
 
 
 # --- M1 scaling ------------------------------------------------------------------
@@ -243,7 +244,7 @@ def train_svm(df: DataFrame, label: str = "label", features: str = "features", d
     # re-running the Python projection on every pass, in partitions sized to
     # the data (~50k rows each) so small inputs do not pay per-task overhead
     n = df.count()
-    parts = max(1, min(z.rdd.getNumPartitions(), math.ceil(n / 50_000)))
+    parts = max(1, min(num_partitions(z), math.ceil(n / 50_000)))
     z = idx.transform(z).select("_label", "_rff").coalesce(parts).persist()
     try:
         ovr = OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=max_iter),
@@ -287,7 +288,7 @@ def train_mlp(seq: DataFrame, label: str = "label", features: str = "features",
     # L-BFGS makes one pass per iteration: keep the training rows, in
     # partitions sized to the data (~50k rows each)
     n = seq.count()
-    parts = max(1, min(seq.rdd.getNumPartitions(), math.ceil(n / 50_000)))
+    parts = max(1, min(num_partitions(seq), math.ceil(n / 50_000)))
     data = seq.select(label, features).coalesce(parts).persist()
     try:
         idx = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(data)

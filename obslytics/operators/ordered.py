@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from obslytics.session import checkpoint_dir
+from obslytics.session import checkpoint_dir, num_partitions
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
@@ -25,7 +25,7 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
         return n
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(conf, df.rdd.getNumPartitions())
+    return max(conf, num_partitions(df))
 
 
 def ordered_index(df: DataFrame, keys: list[str], order: str, tie: str | None = None,

@@ -42,6 +42,15 @@ def apply_sql_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def num_partitions(df) -> int:
+    """Partitions of ``df``'s plan (input splits for a scan); the configured
+    shuffle partitions where the RDD view is not available (Spark Connect)."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
