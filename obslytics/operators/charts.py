@@ -35,7 +35,7 @@ def by_date(df: DataFrame) -> DataFrame:
     """A9 (fluent-chain aggregate): per date count, mean confidence, modal category
     (ties to the lowest name)."""
     return df.groupBy(F.col("date")).agg(
-        F.count(F.lit(1)).alias("activity_type"),
+        F.count("activity_type").alias("activity_type"),  # non-null values, as a column count
         F.avg("confidence").alias("confidence"),
         F.mode("behavioral_category", True).alias("behavioral_category"))
 
@@ -92,8 +92,10 @@ def hour_by_weekday(df: DataFrame) -> DataFrame:
 
 
 def activity_by_hour(df: DataFrame) -> DataFrame:
-    """Activity x hour counts (hours 0..23 as columns h0..h23)."""
-    out = df.groupBy("activity_type").pivot("hour", HOURS).count().na.fill(0)
+    """Activity x hour counts (hours 0..23 as columns h0..h23); rows
+    without a type are dropped like NaN group keys."""
+    out = (df.filter(F.col("activity_type").isNotNull())
+             .groupBy("activity_type").pivot("hour", HOURS).count().na.fill(0))
     return out.select("activity_type", *[F.col(str(h)).alias(f"h{h}") for h in HOURS])
 
 
@@ -106,7 +108,7 @@ def category_by_period(df: DataFrame) -> DataFrame:
 
 def confidence_matrix(df: DataFrame) -> DataFrame:
     """Mean confidence per (activity, category), observed pairs only."""
-    return (df.filter(F.col("behavioral_category").isNotNull())
+    return (df.filter(F.col("behavioral_category").isNotNull() & F.col("activity_type").isNotNull())
               .groupBy("activity_type", "behavioral_category")
               .agg(F.avg("confidence").alias("avg_confidence")))
 
@@ -139,7 +141,7 @@ def activity_correlation(df: DataFrame) -> DataFrame:
     zero-variance side gives NULL (``try_divide``) instead of an error.
     """
     # one pass over the rows: type x 24 hour counts, zero filled by the pivot
-    wide = df.groupBy("activity_type").pivot("hour", HOURS).count()
+    wide = df.filter(F.col("activity_type").isNotNull()).groupBy("activity_type").pivot("hour", HOURS).count()
     stack = ", ".join(f"{h}, coalesce(`{h}`, 0L)" for h in HOURS)
     dense = wide.select("activity_type", F.expr(f"stack(24, {stack}) as (hour, n)"))
     # keep observed hours only (some type has an event); the table is tiny
@@ -162,8 +164,8 @@ def activity_correlation(df: DataFrame) -> DataFrame:
 # --- distributions -------------------------------------------------------------
 
 def activity_frequency(df: DataFrame) -> DataFrame:
-    """Counts per type, most frequent first."""
-    return (df.groupBy("activity_type").agg(F.count(F.lit(1)).alias("n"))
+    """Counts per type, most frequent first (missing types dropped)."""
+    return (df.filter(F.col("activity_type").isNotNull()).groupBy("activity_type").agg(F.count(F.lit(1)).alias("n"))
               .withColumn("color", X.activity_color("activity_type"))
               .orderBy(F.col("n").desc(), F.col("activity_type")))
 

@@ -357,7 +357,7 @@ def q_concerning_alert(spark, sf):
 # --- timeline panel ------------------------------------------------------------------
 
 @register("by_date", """
-SELECT cast(date AS VARCHAR) AS date, count(*) AS activity_type, round(avg(confidence), 6) AS confidence,
+SELECT cast(date AS VARCHAR) AS date, count(activity_type) AS activity_type, round(avg(confidence), 6) AS confidence,
        (SELECT behavioral_category FROM enriched e2 WHERE e2.date = e.date AND behavioral_category IS NOT NULL
         GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS behavioral_category
 FROM enriched e GROUP BY date""")
@@ -439,7 +439,7 @@ def q_hour_by_weekday(spark, sf):
 
 @register("activity_by_hour", f"""
 SELECT activity_type, {_count_cols('hour', range(24), lambda h: f'h{h}', quote=False)}
-FROM enriched GROUP BY activity_type""")
+FROM enriched WHERE activity_type IS NOT NULL GROUP BY activity_type""")
 def q_activity_by_hour(spark, sf):
     """A14."""
     return C.activity_by_hour(enriched(spark, sf))
@@ -455,7 +455,7 @@ def q_category_by_period(spark, sf):
 
 @register("confidence_matrix", """
 SELECT activity_type, behavioral_category, round(avg(confidence), 6) AS avg_confidence
-FROM enriched WHERE behavioral_category IS NOT NULL GROUP BY 1, 2""")
+FROM enriched WHERE behavioral_category IS NOT NULL AND activity_type IS NOT NULL GROUP BY 1, 2""")
 def q_confidence_matrix(spark, sf):
     """A16."""
     return C.confidence_matrix(enriched(spark, sf))
@@ -482,7 +482,7 @@ def q_weekday_by_hour(spark, sf):
 
 
 @register("activity_correlation", """
-, c AS (SELECT activity_type, hour, count(*) AS n FROM enriched GROUP BY 1, 2),
+, c AS (SELECT activity_type, hour, count(*) AS n FROM enriched WHERE activity_type IS NOT NULL GROUP BY 1, 2),
 hrs AS (SELECT DISTINCT hour FROM c),
 tys AS (SELECT DISTINCT activity_type FROM c),
 dense AS (SELECT t.activity_type, h.hour, coalesce(c.n, 0) AS n
@@ -500,7 +500,7 @@ def q_activity_correlation(spark, sf):
 # --- distributions -------------------------------------------------------------
 
 @register("activity_frequency", f"""
-SELECT activity_type, count(*) AS n, {O.ACT_COLOR} AS color FROM enriched GROUP BY 1""")
+SELECT activity_type, count(*) AS n, {O.ACT_COLOR} AS color FROM enriched WHERE activity_type IS NOT NULL GROUP BY 1""")
 def q_activity_frequency(spark, sf):
     """A17/P11."""
     return C.activity_frequency(enriched(spark, sf))
@@ -986,7 +986,7 @@ _PIPE_TYPES = ["sitting", "standing", "walking", "running", "jumping", "focused_
 
 @register("fluent_by_date", f"""
 , f AS (SELECT * FROM enriched WHERE confidence >= 0.7 AND activity_type IN ({', '.join(repr(t) for t in _PIPE_TYPES)}))
-SELECT cast(date AS VARCHAR) AS date, count(*) AS activity_type, round(avg(confidence), 6) AS confidence,
+SELECT cast(date AS VARCHAR) AS date, count(activity_type) AS activity_type, round(avg(confidence), 6) AS confidence,
        (SELECT behavioral_category FROM f f2 WHERE f2.date = f.date AND behavioral_category IS NOT NULL
         GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS behavioral_category
 FROM f GROUP BY date""")
