@@ -28,6 +28,17 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return max(conf, num_partitions(df))
 
 
+def range_partitioned(df: DataFrame, sort_cols: list[str], n_partitions: int | None = None) -> DataFrame:
+    """Rows range-partitioned on ``sort_cols`` with their partition id in
+    ``_pid``, checkpointed so the id is fixed data.  Spark samples the sort
+    keys to pick the boundaries, so a hot key is split over many partitions."""
+    n = _partitions(df, n_partitions)
+    checkpoint_dir(df.sparkSession)
+    return (df.repartitionByRange(n, *[F.col(c) for c in sort_cols])
+              .withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+
+
 def ordered_index(df: DataFrame, keys: list[str], order: str, tie: str | None = None,
                   n_partitions: int | None = None, rn_col: str = "rn",
                   prev_col: str | None = "prev", size_col: str | None = None) -> DataFrame:
@@ -36,11 +47,7 @@ def ordered_index(df: DataFrame, keys: list[str], order: str, tie: str | None =
     and optionally ``size_col`` (rows in the row's key group).
     """
     order_cols = [order] + ([tie] if tie else [])
-    n = _partitions(df, n_partitions)
-    checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(n, *[F.col(k) for k in keys + order_cols])
-                .withColumn("_pid", F.spark_partition_id())
-                .checkpoint(eager=True))
+    ranged = range_partitioned(df, keys + order_cols, n_partitions)
     local = Window.partitionBy("_pid", *keys).orderBy(*order_cols)
     ranged = ranged.withColumn("_lrn", F.row_number().over(local))
     if prev_col:

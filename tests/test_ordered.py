@@ -28,3 +28,18 @@ def test_global_order(spark):
     assert all(r["rn"] == r["ts"] + 1 for r in rows)
     assert all((r["prev"] is None) == (r["ts"] == 0) for r in rows)
     assert all(r["prev"] is None or r["prev"] == r["ts"] - 1 for r in rows)
+
+
+def test_hot_key_is_spread_over_partitions(spark):
+    """A key holding 3/4 of the rows lands in many range partitions of
+    similar size, not in one task."""
+    from obslytics.operators.ordered import range_partitioned
+    base = dt.datetime(2024, 1, 1)
+    n = 40000
+    rows = [("hot" if i % 4 else f"k{i % 50}", base + dt.timedelta(seconds=i), i) for i in range(n)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, tie long")
+    r = range_partitioned(df, ["key", "ts", "tie"], 16)
+    sizes = [row["c"] for row in r.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect()]
+    hot_parts = r.filter("key = 'hot'").select("_pid").distinct().count()
+    assert hot_parts >= 10                      # the hot key spans most partitions
+    assert max(sizes) < 2.5 * n / 16            # and no partition is far above the mean
