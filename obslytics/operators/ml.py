@@ -60,13 +60,14 @@ def cluster_features(df: DataFrame) -> DataFrame:
 CLUSTER_COLS = ["confidence_mean", "confidence_std", "hour_mean", "hour_std", "timestamp_count"]
 
 
-def cluster_activities(df: DataFrame, k: int = 3, seed: int = 42):
+def cluster_activities(df: DataFrame | None, k: int = 3, seed: int = 42, features: DataFrame | None = None):
     """M2: k-means of the per-type features after M1 scaling.
 
     Returns (assignments DataFrame [activity_type, cluster], centres, inertia).
-    Fewer than two types is an error, as in the reference.
+    ``features`` may be given precomputed (A4 columns); fewer than two types
+    is an error, as in the reference.
     """
-    feats = cluster_features(df)
+    feats = features if features is not None else cluster_features(df)
     FL.require_rows(feats, 2, "activity types")
     scaled = standardize(feats, CLUSTER_COLS)
     vec = VectorAssembler(inputCols=[c + "_scaled" for c in CLUSTER_COLS], outputCol="features").transform(scaled)

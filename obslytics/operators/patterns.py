@@ -22,9 +22,15 @@ def type_profile(df: DataFrame) -> DataFrame:
         F.coalesce(F.mode(X.hour("timestamp"), True), F.lit(12)).alias("time_of_day"),
         F.min("behavioral_category").alias("behavioral_category"),
         F.min("timestamp").alias("t_min"), F.max("timestamp").alias("t_max"),
+        # A4 clustering features ride along in the same aggregate
+        F.stddev_samp("confidence").alias("confidence_std"),
+        F.avg(X.hour("timestamp")).alias("hour_mean"), F.stddev_samp(X.hour("timestamp")).alias("hour_std"),
     ))
 
 
+_PROFILE_ONLY = ["t_min", "t_max", "confidence_std", "hour_mean", "hour_std"]
+
+
 def _summary_exprs() -> list[F.Column]:
     return [F.coalesce(F.sum("frequency"), F.lit(0)).cast("long").alias("total_activities"),
             F.coalesce(F.concat_ws(" to ", py_ts_text(F.min("t_min")), py_ts_text(F.max("t_max"))),
@@ -46,7 +52,7 @@ def patterns(df: DataFrame) -> DataFrame:
     there are fewer than two events.  ``time_of_day`` is the modal hour,
     lowest on ties, 12 when there is none.
     """
-    return type_profile(df).drop("t_min", "t_max")
+    return type_profile(df).drop(*_PROFILE_ONLY)
 
 
 def ranked_patterns(p: DataFrame) -> DataFrame:
@@ -164,7 +170,7 @@ def analysis_report(df: DataFrame) -> DataFrame:
     from obslytics.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
     prof = type_profile(df).checkpoint(eager=True)
-    p = prof.drop("t_min", "t_max")
+    p = prof.drop(*_PROFILE_ONLY)
     data = profile_summary(prof)
     pats = p.agg(F.array_sort(F.collect_list(F.struct(
         (-F.col("frequency")).alias("_k"), "activity_type", "frequency",
@@ -174,14 +180,21 @@ def analysis_report(df: DataFrame) -> DataFrame:
     ins = insights(p).agg(F.collect_list(F.struct("*")).alias("insights"))
     rec = recommendations(p).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "recommendation"))),
                                              lambda x: x["recommendation"]).alias("recommendations"))
+    clus = _clustering_section(prof)
+    meta = df.sparkSession.range(1).select(F.struct(
+        F.lit(df.sparkSession.version).alias("spark_version"),
+        F.array(*[F.lit(n) for n in ("read_activities", "patterns", "cluster_activities", "insights")])
+        .alias("analysis_functions_used")).alias("m")).select(F.to_json("m").alias("v"))
     # Each part is a single-row aggregate; stack them by position instead of joining.
     parts = [data.select(F.to_json(F.struct("*")).alias("v")),
              pats.select(F.to_json(F.struct(F.transform("activity_patterns", lambda x: x.dropFields("_k"))
                                             .alias("activity_patterns"))).alias("v")),
              summ.select(F.to_json(F.struct("*")).alias("v")),
              ins.select(F.to_json(F.struct("*")).alias("v")),
-             rec.select(F.to_json(F.struct("*")).alias("v"))]
-    names = ["data_summary", "activity_patterns", "summary", "behavioral_insights", "recommendations"]
+             rec.select(F.to_json(F.struct("*")).alias("v")),
+             clus, meta]
+    names = ["data_summary", "activity_patterns", "summary", "behavioral_insights", "recommendations",
+             "clustering_analysis", "analysis_metadata"]
     stacked = None
     for name, part in zip(names, parts):
         part = part.select(F.lit(name).alias("section"), "v")
@@ -189,6 +202,28 @@ def analysis_report(df: DataFrame) -> DataFrame:
     return stacked.agg(F.map_from_entries(F.collect_list(F.struct("section", "v"))).alias("report"))
 
 
+def _clustering_section(prof: DataFrame) -> DataFrame:
+    """M2 inside the report: k-means on the per-type features taken from the
+    profile (no extra scan).  Fewer than two types gives an ``error`` entry,
+    as in the reference."""
+    from obslytics.operators import filters as FL
+    from obslytics.operators import ml as ML
+    feats = prof.select("activity_type", F.col("avg_confidence").alias("confidence_mean"), "confidence_std",
+                        "hour_mean", "hour_std", F.col("frequency").cast("double").alias("timestamp_count")
+                        ).na.fill(0.0)
+    spark = prof.sparkSession
+    try:
+        assign, centers, inertia = ML.cluster_activities(None, 3, 42, features=feats)
+    except FL.InsufficientData:
+        return spark.range(1).select(F.to_json(F.struct(F.lit("Insufficient data for clustering").alias("error")))
+                                     .alias("v"))
+    clusters = assign.agg(F.map_from_entries(F.collect_list(F.struct("activity_type", "cluster")))
+                          .alias("activity_clusters"))
+    return clusters.select(F.to_json(F.struct(
+        F.lit(F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])).alias("cluster_centers"),
+        "activity_clusters", F.lit(float(inertia)).alias("inertia"))).alias("v"))
+
+
 def report_flat(df: DataFrame) -> DataFrame:
     """S7 in flat form: the scalar fields of the analysis report (one row)."""
     # one aggregate over the per-type profile: a single scan of the rows
