@@ -95,3 +95,12 @@ def test_reading_stored_table_leaves_schema_alone(spark, tmp_dir):
     R.read_activities(spark, f"{tmp_dir}/acts", A.AS_OF, 30).count()
     R.read_activities(spark, f"{tmp_dir}/acts", A.AS_OF, 30).count()
     assert list(S.ACTIVITIES.fieldNames()) == before
+
+
+def test_chart_report_writes_all_panels(spark, tmp_dir):
+    from obslytics.plans import reports
+    df = catalog.enriched(spark, SF_SMALL)
+    s = reports.chart_report(df, f"{tmp_dir}/charts").first()
+    assert s["visualizations_generated"] == 5 and s["total_activities"] == df.count()
+    for name in reports.chart_panels(df):
+        assert spark.read.parquet(f"{tmp_dir}/charts/{name}").count() > 0
