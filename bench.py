@@ -28,7 +28,7 @@ HEADLINE = [
     "daily_category", "weekday_by_hour", "activity_correlation", "box_by_weekday", "confidence_density",
     "gap_minutes", "gaps_by_activity", "gap_histogram", "metric_alerts", "metrics_summary", "latest_metrics",
     "timeline", "recent", "sequences", "temporal_features", "statistical_features", "classification_report",
-    "stratified_split", "upload_detections", "fluent_by_date", "stream_summary",
+    "stratified_split", "box_activity", "upload_detections", "fluent_by_date", "stream_summary",
 ]
 
 
