@@ -141,9 +141,26 @@ def total_confidence(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.sum("confidence"), F.lit(0.0)).alias("total_confidence"))
 
 
+def newest_days_bound(df: DataFrame, n: int):
+    """The latest ``date`` such that the days from it onwards hold at least
+    ``n`` rows (None if the table has fewer).  Counts per day read only the
+    partition column; the per-day table has one row per day."""
+    per_day = df.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
+    cum = per_day.withColumn("_cum", F.sum("_n").over(
+        Window.orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, 0)))
+    return cum.filter(F.col("_cum") >= n).agg(F.max("date").alias("d")).first()["d"]
+
+
 def recent(df: DataFrame, n: int = 100, session_id: str | None = None) -> DataFrame:
-    """L1: newest detections first (a top-k: each task keeps only n rows)."""
-    return FL.by_session(df, session_id).orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(n)
+    """L1: newest detections first.  A top-k keeps n rows per task and merges
+    them in one task; on a table partitioned by ``date`` the scan is first
+    pruned to the newest days that hold n rows, so that merge stays small."""
+    f = FL.by_session(df, session_id)
+    if "date" in f.columns:
+        bound = newest_days_bound(f, n)
+        if bound is not None:
+            f = f.filter(F.col("date") >= F.lit(bound))
+    return f.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(n)
 
 
 def timeline(df: DataFrame, as_of: _dt.datetime, session_id: str | None = None, hours: int = 24,
@@ -172,11 +189,27 @@ def first_per_group(df: DataFrame, group: str, order: str, n: int = 10) -> DataF
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def bounded_sample(df: DataFrame, n: int = 1000, seed: int = 42, key: str = "id") -> DataFrame:
+def bounded_sample(df: DataFrame, n: int = 1000, seed: int = 42, key: str = "id",
+                   oversample: float = 4.0) -> DataFrame:
     """Repeatable sample of at most ``n`` rows: the n smallest
-    ``md5(seed || key)``.  A top-k, so each task keeps n rows at most."""
+    ``md5(seed || key)``.
+
+    The hash is uniform, so rows whose hash lies below the fraction
+    ``oversample * n / N`` are about ``oversample * n`` candidates and contain
+    the n smallest whenever at least n pass (checked; otherwise all rows are
+    ranked).  The final top-k then merges a few thousand rows instead of n
+    rows from every task.  Same result as ranking every row.
+    """
     h = F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")))
-    return df.withColumn("_h", h).orderBy("_h").limit(n).drop("_h")
+    ranked = df.withColumn("_h", h)
+    total = df.count()
+    if total > oversample * n:
+        # first 13 hex digits = 52 bits: exact in a double, monotone in the hash
+        u = F.conv(F.substring("_h", 1, 13), 16, 10).cast("double") / float(16 ** 13)
+        cand = ranked.filter(u < F.lit(oversample * n / total))
+        if cand.count() >= n:
+            ranked = cand
+    return ranked.orderBy("_h").limit(n).drop("_h")
 
 
 def first_labels(labels: DataFrame, n: int = 8) -> DataFrame:

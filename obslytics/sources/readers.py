@@ -47,7 +47,13 @@ def read_activities(spark: SparkSession, source, as_of: _dt.datetime, days_back:
 
 
 def read_labels(labels: DataFrame, limit: int = 50) -> DataFrame:
-    """S3/L4: newest label records first."""
+    """S3/L4: newest label records first (a stored, date-partitioned table is
+    first pruned to the newest days holding ``limit`` records)."""
+    if "date" in labels.columns:
+        from obslytics.operators.summary import newest_days_bound
+        bound = newest_days_bound(labels, limit)
+        if bound is not None:
+            labels = labels.filter(F.col("date") >= F.lit(bound))
     return labels.orderBy(F.col("timestamp").desc(), F.col("id")).limit(limit)
 
 

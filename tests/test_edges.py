@@ -155,3 +155,22 @@ def test_density_snapping_close_to_exact(spark):
     sn = {(r[0], r[1]): r["density"] for r in C.confidence_density(df, max_distinct=500).collect()}
     assert ex.keys() == sn.keys()
     assert max(abs(ex[k] - sn[k]) for k in ex) < 0.05 * max(ex.values())
+
+
+def test_bounded_sample_equals_full_ranking(spark):
+    from obslytics.plans import catalog
+    a = catalog.acts(spark, "/root/testdata/sf0.01")
+    got = [r["id"] for r in SM.bounded_sample(a, 50, 42).collect()]
+    h = F.md5(F.concat(F.lit("42"), F.col("id")))
+    want = [r["id"] for r in a.withColumn("_h", h).orderBy("_h").limit(50).collect()]
+    assert got == want
+
+
+def test_recent_prunes_to_newest_days(spark, tmp_dir):
+    from obslytics.sources import adapter as A
+    R.append_activities(A.load_activities(spark, "/root/testdata/sf0.01"), f"{tmp_dir}/acts")
+    stored = spark.read.parquet(f"{tmp_dir}/acts")
+    got = [r["id"] for r in SM.recent(stored, 100).collect()]
+    want = [r["id"] for r in stored.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(100).collect()]
+    assert got == want
+    assert SM.newest_days_bound(stored, 100) == dt.date(2024, 1, 30)
