@@ -174,3 +174,22 @@ def test_recent_prunes_to_newest_days(spark, tmp_dir):
     want = [r["id"] for r in stored.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(100).collect()]
     assert got == want
     assert SM.newest_days_bound(stored, 100) == dt.date(2024, 1, 30)
+
+
+def test_iso_time_drops_zero_fraction(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 2, 3, 4, 5),), (dt.datetime(2024, 1, 2, 3, 4, 5, 120),)],
+                               "timestamp timestamp")
+    got = [r[0] for r in df.select(X.iso_time()).collect()]
+    assert got == ["2024-01-02T03:04:05", "2024-01-02T03:04:05.000120"]
+
+
+def test_percent_text(spark):
+    df = spark.createDataFrame([(0.8534,), (1.0,), (0.0005,)], "confidence double")
+    assert [r[0] for r in df.select(X.percent_text()).collect()] == ["85.3%", "100.0%", "0.1%"]
+
+
+def test_sample_frames_rule(spark):
+    from obslytics.operators import filters as FL
+    frames = spark.range(500).select(F.col("id").alias("frame_index"))
+    got = [r[0] for r in FL.sample_frames(frames).orderBy("frame_index").collect()]
+    assert got == [1, 21, 41, 61, 81, 101, 121, 141, 161, 181]
