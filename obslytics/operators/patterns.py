@@ -217,8 +217,8 @@ def _clustering_section(prof: DataFrame) -> DataFrame:
     except FL.InsufficientData:
         return spark.range(1).select(F.to_json(F.struct(F.lit("Insufficient data for clustering").alias("error")))
                                      .alias("v"))
-    clusters = assign.agg(F.map_from_entries(F.collect_list(F.struct("activity_type", "cluster")))
-                          .alias("activity_clusters"))
+    clusters = assign.agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("activity_type").isNotNull(), F.struct("activity_type", "cluster")))).alias("activity_clusters"))
     return clusters.select(F.to_json(F.struct(
         F.lit(F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])).alias("cluster_centers"),
         "activity_clusters", F.lit(float(inertia)).alias("inertia"))).alias("v"))

@@ -44,9 +44,11 @@ def summary(df: DataFrame, as_of: _dt.datetime, session_id: str | None = None, d
     """
     f = FL.since(FL.by_session(df, session_id), as_of, days=days)
     cube = type_hour_counts(f)
+    # map keys cannot be NULL: rows without a time count in the totals only
     per_type = (cube.groupBy("activity_type")
                     .agg(F.sum("n").alias("n"), F.sum("conf_sum").alias("conf_sum"),
-                         F.map_from_entries(F.collect_list(F.struct("hour", "n"))).alias("hours")))
+                         F.map_from_entries(F.collect_list(F.when(F.col("hour").isNotNull(), F.struct("hour", "n"))))
+                         .alias("hours")))
     hours24 = F.transform(F.sequence(F.lit(0), F.lit(23)),
                           lambda h: F.coalesce(F.try_element_at("hours", h), F.lit(0).cast("long")))
     per_type = per_type.withColumn("hours", hours24)
@@ -56,7 +58,8 @@ def summary(df: DataFrame, as_of: _dt.datetime, session_id: str | None = None, d
         total.alias("total_activities"),
         F.coalesce(F.try_divide(F.sum("conf_sum"), F.sum("n")), F.lit(0.0)).alias("average_confidence"),
         _most_common().alias("most_common_activity"),
-        F.map_from_entries(F.collect_list(F.struct("activity_type", "n"))).alias("activity_distribution"),
+        F.map_from_entries(F.collect_list(F.when(F.col("activity_type").isNotNull(),
+                                                 F.struct("activity_type", "n")))).alias("activity_distribution"),
         F.aggregate(F.collect_list("hours"), zeros,
                     lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("hourly_distribution"),
     )

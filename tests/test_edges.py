@@ -193,3 +193,14 @@ def test_sample_frames_rule(spark):
     frames = spark.range(500).select(F.col("id").alias("frame_index"))
     got = [r[0] for r in FL.sample_frames(frames).orderBy("frame_index").collect()]
     assert got == [1, 21, 41, 61, 81, 101, 121, 141, 161, 181]
+
+
+def test_summary_tolerates_missing_type_and_time(spark):
+    rows = [("1", AS_OF - dt.timedelta(hours=1), None, 0.5), ("2", AS_OF - dt.timedelta(hours=2), "sitting", 0.7),
+            ("3", None, "sitting", 0.9)]
+    df = acts(spark, rows)
+    s = SM.summary(df.filter(F.col("timestamp").isNull() | (F.col("timestamp") > AS_OF - dt.timedelta(days=7))),
+                   AS_OF, days=3650).first()
+    assert s["total_activities"] == 2  # the row without a time fails the time bound
+    assert s["activity_distribution"] == {"sitting": 1}
+    assert sum(s["hourly_distribution"]) == 2
