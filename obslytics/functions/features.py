@@ -134,8 +134,9 @@ def is_alertable(activity="activity_type") -> Column:
 # --- text (P14-P18, P21, P22) ------------------------------------------------
 
 def fixed(c, places: int) -> Column:
-    """Fixed-decimal text of a double, rounded half-up on its decimal form."""
-    return F.round(_c(c).cast("decimal(24,10)"), places).cast("string")
+    """Fixed-decimal text of a double, rounded half-up on its decimal form
+    (NULL for NaN, infinities or magnitudes beyond 1e14 instead of an error)."""
+    return F.round(_c(c).try_cast("decimal(24,10)"), places).cast("string")
 
 
 def fixed2(c) -> Column:
