@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from obslytics.functions import features as X
@@ -113,30 +114,70 @@ HISTORY_SCHEMA = T.StructType([
     T.StructField("newest", T.TimestampType()),
     T.StructField("cpu_avg", T.DoubleType()),
 ])
-_STATE_SCHEMA = "ts array<timestamp>, cpu array<double>"
+_HIST_ROW = "timestamp timestamp, cpu_percent double"
+
+
+def _trim(parts: list[pd.DataFrame], n: int) -> pd.DataFrame:
+    """Newest ``n`` samples of the given pieces (never more than n + one batch)."""
+    keep = [p for p in parts if len(p)]
+    if not keep:
+        return pd.DataFrame({"timestamp": pd.Series(dtype="datetime64[us]"), "cpu_percent": pd.Series(dtype="float64")})
+    return pd.concat(keep, ignore_index=True).sort_values("timestamp").tail(n)
+
+
+def _summary_row(host: str, hist: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"host": [host], "retained": [len(hist)], "oldest": [hist["timestamp"].min()],
+                         "newest": [hist["timestamp"].max()], "cpu_avg": [float(hist["cpu_percent"].mean())]})
+
+
+class _KeepNewest(StatefulProcessor):
+    """List state per host holding its newest ``n`` samples."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.hist = handle.getListState("history", _HIST_ROW)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        old = list(self.hist.get())
+        parts = [pd.DataFrame(old, columns=["timestamp", "cpu_percent"])] if old else []
+        hist = None
+        for batch in rows:
+            hist = _trim(parts + [batch[["timestamp", "cpu_percent"]]], self.n)
+            parts = [hist]
+        hist = hist if hist is not None else _trim(parts, self.n)
+        self.hist.clear()
+        self.hist.put(list(hist.itertuples(index=False, name=None)))
+        yield _summary_row(key[0], hist)
+
+    def close(self) -> None:
+        pass
 
 
 def stream_history(metrics: DataFrame, n: int = 1000) -> DataFrame:
-    """Bounded per-host history of the newest ``n`` samples kept in state
-    (at most n entries per host), emitting the history summary per batch."""
+    """Bounded per-host history of the newest ``n`` samples kept in list
+    state (``transformWithStateInPandas``, RocksDB store), emitting the
+    history summary of every host that received samples in a batch."""
+    grouped = metrics.select("host", "timestamp", "cpu_percent").groupBy("host")
+    if hasattr(grouped, "transformWithStateInPandas"):
+        return grouped.transformWithStateInPandas(statefulProcessor=_KeepNewest(n), outputStructType=HISTORY_SCHEMA,
+                                                  outputMode="Update", timeMode="None")
+
+    # older Spark: one value state holding the two columns as arrays
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         parts = []
         if state.exists:
             ts, cpu = state.get
             parts.append(pd.DataFrame({"timestamp": pd.to_datetime(list(ts)), "cpu_percent": list(cpu)}))
         for b in batches:
-            parts.append(b[["timestamp", "cpu_percent"]])
-            # trim as we go: never more than n + one batch in memory
-            hist = pd.concat([p for p in parts if len(p)], ignore_index=True)
-            parts = [hist.sort_values("timestamp").tail(n)]
-        hist = parts[0] if len(parts) == 1 else pd.concat([p for p in parts if len(p)], ignore_index=True)
+            parts = [_trim(parts + [b[["timestamp", "cpu_percent"]]], n)]
+        hist = _trim(parts, n)
         state.update((list(hist["timestamp"]), [float(x) for x in hist["cpu_percent"]]))
-        yield pd.DataFrame({"host": [key[0]], "retained": [len(hist)], "oldest": [hist["timestamp"].min()],
-                            "newest": [hist["timestamp"].max()], "cpu_avg": [float(hist["cpu_percent"].mean())]})
+        yield _summary_row(key[0], hist)
 
-    return (metrics.select("host", "timestamp", "cpu_percent").groupBy("host")
-                   .applyInPandasWithState(keep, HISTORY_SCHEMA, _STATE_SCHEMA, "update",
-                                           GroupStateTimeout.NoTimeout))
+    return grouped.applyInPandasWithState(keep, HISTORY_SCHEMA, "ts array<timestamp>, cpu array<double>", "update",
+                                          GroupStateTimeout.NoTimeout)
 
 
 def alerts_sink(stream: DataFrame, path: str, checkpoint: str, trigger_once: bool = True):
