@@ -204,3 +204,32 @@ def test_summary_tolerates_missing_type_and_time(spark):
     assert s["total_activities"] == 2  # the row without a time fails the time bound
     assert s["activity_distribution"] == {"sitting": 1}
     assert sum(s["hourly_distribution"]) == 2
+
+
+def test_activity_type_membership_forms(spark):
+    from obslytics.operators import filters as FL
+    rows = [("1", T0, "sitting", 0.9), ("2", T0, "walking", 0.9), ("3", T0, "rocking", 0.9)]
+    df = acts(spark, rows)
+    by_list = sorted(r["id"] for r in FL.activity_types(df, ["sitting", "rocking"]).collect())
+    types_df = spark.createDataFrame([("sitting",), ("rocking",), ("sitting",)], "t string")
+    by_df = sorted(r["id"] for r in FL.activity_types(df, types_df).collect())
+    long_list = ["sitting", "rocking"] + [f"x{i}" for i in range(2000)]
+    by_long = sorted(r["id"] for r in FL.activity_types(df, long_list).collect())
+    assert by_list == by_df == by_long == ["1", "3"]
+
+
+def test_split_valid_missing_required_column(spark):
+    raw = spark.createDataFrame([("1", "sitting")], "id string, activity_type string")
+    from obslytics import schemas as S
+    valid, rejected = R.split_valid(raw, S.ACTIVITIES)
+    assert valid.count() == 0
+    reasons = rejected.first()["reasons"]
+    assert "missing:timestamp" in reasons and "missing:confidence" in reasons
+
+
+def test_min_confidence_inclusive_and_strict(spark):
+    from obslytics.operators import filters as FL
+    df = acts(spark, [("1", T0, "a", 0.7), ("2", T0, "a", 0.8), ("3", T0, "a", 0.81)])
+    assert FL.min_confidence(df).count() == 3
+    assert FL.min_confidence(df, 0.8, strict=True).count() == 1
+    assert FL.significant_detections(acts(spark, [("1", T0, "a", 0.6), ("2", T0, "a", 0.61)])).count() == 1
