@@ -1315,3 +1315,26 @@ def q_retention_kept(spark, sf):
     kept = J.apply_retention(stored, base, A.AS_OF, 14)
     return kept.agg(F.count(F.lit(1)).alias("kept_rows"), F.count_distinct("date").alias("kept_days"),
                     F.min("date").cast("string").alias("first_day"))
+
+
+@register("model_comparison")
+def q_model_comparison(spark, sf):
+    """M7/M12/M14/M17/M21 end to end: 10-step sequences -> flattened vectors ->
+    stratified 80/20 split -> random forest and multilayer perceptron -> the
+    comparison table on the held-out sequences."""
+    from obslytics.operators import ml as ML
+    from obslytics.session import checkpoint_dir
+    from pyspark.ml.functions import vector_to_array
+    checkpoint_dir(spark)
+    seq = _seq_vectors(spark, sf).withColumn("seq_key", F.concat_ws(":", "session_id", "seq_index"))
+    split = ML.stratified_split(seq, "label", "seq_key", 0.2, 42).checkpoint(eager=True)
+    train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
+    n = len(train.select("features").first()[0])
+    cols = [f"f{i}" for i in range(n)]
+    as_cols = lambda d: d.withColumn("_a", vector_to_array("features")).select(
+        "seq_key", "label", *[F.col("_a")[i].alias(c) for i, c in enumerate(cols)])
+    forest = ML.train_forest(as_cols(train), "label", cols, trees=100, depth=10, seed=42)
+    mlp = ML.train_mlp(train, "label", "features", (64, 32), 50, 42)
+    preds = (forest.transform(as_cols(test)).select(F.lit("RandomForest").alias("model_name"), "label", "prediction")
+             .unionByName(mlp.transform(test).select(F.lit("MLP").alias("model_name"), "label", "prediction")))
+    return ML.compare_models(preds)

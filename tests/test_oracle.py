@@ -12,7 +12,7 @@ from conftest import SF_ORACLE
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 SLOW = {"svm_predictions", "mlp_predictions", "pca_projection", "cluster_rows", "confidence_regression",
-        "cluster_activities", "forest_importances", "loading_weights", "stream_history"}
+        "cluster_activities", "forest_importances", "loading_weights", "stream_history", "model_comparison"}
 
 
 def _canon(v):
