@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obslytics import schemas as S
@@ -62,12 +62,13 @@ def metrics_summary(metrics: DataFrame, as_of: _dt.datetime, hours: int = 24, by
     )
 
 
-def keep_latest(metrics: DataFrame, n: int = 1000, key: str = "host") -> DataFrame:
-    """The newest ``n`` samples per host.  ``row_number() <= n`` becomes a
-    window group limit, so each map task forwards at most n rows per host
-    before the shuffle, whatever the host's share of the data."""
-    w = Window.partitionBy(key).orderBy(F.col("timestamp").desc())
-    return metrics.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+def keep_latest(metrics: DataFrame, n: int = 1000, key: str = "host", fan_in: int | None = None) -> DataFrame:
+    """The newest ``n`` samples per host: a window group limit, with a
+    middle level when the input has many partitions, so a host present in
+    every task never makes one task merge n rows from all of them (see
+    ``summary.top_n_per_group``)."""
+    from obslytics.operators.summary import top_n_per_group
+    return top_n_per_group(metrics, key, [F.col("timestamp").desc()], n, fan_in)
 
 
 def health_windows(metrics: DataFrame, duration: str = "1 hour") -> DataFrame:

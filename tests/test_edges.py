@@ -233,3 +233,12 @@ def test_min_confidence_inclusive_and_strict(spark):
     assert FL.min_confidence(df).count() == 3
     assert FL.min_confidence(df, 0.8, strict=True).count() == 1
     assert FL.significant_detections(acts(spark, [("1", T0, "a", 0.6), ("2", T0, "a", 0.61)])).count() == 1
+
+
+def test_two_level_top_n_equals_one_level(spark):
+    from obslytics.operators import metrics as MT
+    from obslytics.sources import adapter as A
+    m = A.load_metrics(spark, "/root/testdata/sf0.01").repartition(40)
+    one = sorted((r["host"], r["timestamp"]) for r in MT.keep_latest(m, 300, fan_in=1).collect())
+    two = sorted((r["host"], r["timestamp"]) for r in MT.keep_latest(m, 300, fan_in=7).collect())
+    assert one == two and len(one) == 5 * 300
