@@ -54,7 +54,8 @@ def read_labels(labels: DataFrame, limit: int = 50) -> DataFrame:
         bound = newest_days_bound(labels, limit)
         if bound is not None:
             labels = labels.filter(F.col("date") >= F.lit(bound))
-    return labels.orderBy(F.col("timestamp").desc(), F.col("id")).limit(limit)
+    from obslytics.operators.summary import top_n
+    return top_n(labels, [F.col("timestamp").desc(), F.col("id")], limit)
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:

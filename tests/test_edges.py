@@ -242,3 +242,12 @@ def test_two_level_top_n_equals_one_level(spark):
     one = sorted((r["host"], r["timestamp"]) for r in MT.keep_latest(m, 300, fan_in=1).collect())
     two = sorted((r["host"], r["timestamp"]) for r in MT.keep_latest(m, 300, fan_in=7).collect())
     assert one == two and len(one) == 5 * 300
+
+
+def test_two_level_top_n_global(spark):
+    from obslytics.plans import catalog
+    a = catalog.acts(spark, "/root/testdata/sf0.01").repartition(30)
+    order = [F.col("timestamp").desc(), F.col("id").desc()]
+    one = [r["id"] for r in SM.top_n(a, order, 200, fan_in=1).collect()]
+    two = [r["id"] for r in SM.top_n(a, order, 200, fan_in=6).collect()]
+    assert one == two and len(one) == 200
