@@ -114,18 +114,19 @@ def frames_from_events(events: DataFrame) -> DataFrame:
     The numbering uses the skew-safe ordered index, so a user with most of
     the events is still spread over many tasks.
     """
-    eid = F.col("event_id")
-    base = events.select(
-        F.col("user_id").cast("string").alias("upload_id"), "ts", eid,
-        F.array(F.create_map(
-            F.lit("x"), (eid % 640).cast("double"),
-            F.lit("y"), (eid % 480).cast("double"),
-            F.lit("width"), (F.lit(20) + eid % 120).cast("double"),
-            F.lit("height"), (F.lit(20) + eid % 90).cast("double"),
-            F.lit("confidence"), F.lit(0.8))).alias("detections"))
+    # only the ordering columns go through the range shuffle and checkpoint;
+    # the detection boxes are rebuilt from the event id afterwards
+    base = events.select(F.col("user_id").cast("string").alias("upload_id"), "ts", "event_id")
     indexed = ordered_index(base, ["upload_id"], "ts", "event_id", prev_col=None)
+    eid = F.col("event_id")
+    detections = F.array(F.create_map(
+        F.lit("x"), (eid % 640).cast("double"),
+        F.lit("y"), (eid % 480).cast("double"),
+        F.lit("width"), (F.lit(20) + eid % 120).cast("double"),
+        F.lit("height"), (F.lit(20) + eid % 90).cast("double"),
+        F.lit("confidence"), F.lit(0.8)))
     return indexed.select("upload_id", (F.col("rn") - 1).cast("long").alias("frame_index"),
-                          F.lit(None).cast("binary").alias("payload"), "detections")
+                          F.lit(None).cast("binary").alias("payload"), detections.alias("detections"))
 
 
 def load_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
