@@ -187,7 +187,7 @@ def alerts(df: DataFrame, as_of: _dt.datetime, session_id: str | None = None, ho
 
 def top_n_per_group(df: DataFrame, group: str, order: list, n: int, fan_in: int | None = None) -> DataFrame:
     """The first ``n`` rows per ``group`` in ``order`` (a list of columns or
-    sort expressions that ends in a unique key, so the result is exact).
+    sort expressions; remaining ties are broken by a hash of the row).
 
     ``row_number() <= n`` is planned as a window group limit: every map task
     forwards at most n rows per group, and the last task of a group merges n
@@ -198,6 +198,10 @@ def top_n_per_group(df: DataFrame, group: str, order: list, n: int, fan_in: int
     from obslytics.session import num_partitions
     parts = num_partitions(df)
     buckets = fan_in if fan_in is not None else (int(parts ** 0.5) + 1 if parts > 64 else 1)
+    # a hash of the whole row breaks remaining ties, so both levels (and any
+    # recomputation) keep the same rows
+    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = list(order) + ([F.xxhash64(*hashable)] if hashable else [])
     out = df
     if buckets > 1:
         out = out.withColumn("_b", F.spark_partition_id() % buckets)
