@@ -56,7 +56,11 @@ def main() -> None:
             if i > 0:
                 runs.append(time.perf_counter() - t0)
         times[name] = round(statistics.median(runs), 4)
-    sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    sf_name = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        sf: float | str = float(sf_name)
+    except ValueError:
+        sf = sf_name
     print(json.dumps({"metric": "headline_query_time_sum", "value": round(sum(times.values()), 4), "unit": "sec",
                       "queries": times, "sf": sf, "cpus": cpus, "repeat": repeat}))
     spark.stop()
