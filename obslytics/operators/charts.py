@@ -269,6 +269,11 @@ def confidence_density(df: DataFrame, by: str = "behavioral_category", value: st
                        .alias("density"))
 
 
+def density(df: DataFrame, by: str = "behavioral_category", points: int = 100) -> DataFrame:
+    """KDE of confidence per group (see ``confidence_density``)."""
+    return confidence_density(df, by, "confidence", points)
+
+
 # --- gaps --------------------------------------------------------------------
 
 def gaps_by_activity(df: DataFrame, n_partitions: int | None = None) -> DataFrame:

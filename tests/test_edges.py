@@ -251,3 +251,9 @@ def test_two_level_top_n_global(spark):
     one = [r["id"] for r in SM.top_n(a, order, 200, fan_in=1).collect()]
     two = [r["id"] for r in SM.top_n(a, order, 200, fan_in=6).collect()]
     assert one == two and len(one) == 200
+
+
+def test_add_color_defaults(spark):
+    df = spark.createDataFrame([("sitting", "Calm"), ("dancing", None)], "activity_type string, behavioral_category string")
+    got = {r["activity_type"]: (r["activity_color"], r["category_color"]) for r in X.add_color(df).collect()}
+    assert got == {"sitting": ("#90EE90", "#2E8B57"), "dancing": ("#808080", "#808080")}
