@@ -257,3 +257,12 @@ def test_add_color_defaults(spark):
     df = spark.createDataFrame([("sitting", "Calm"), ("dancing", None)], "activity_type string, behavioral_category string")
     got = {r["activity_type"]: (r["activity_color"], r["category_color"]) for r in X.add_color(df).collect()}
     assert got == {"sitting": ("#90EE90", "#2E8B57"), "dancing": ("#808080", "#808080")}
+
+
+def test_bounded_sample_candidate_path(spark):
+    from obslytics.plans import catalog
+    a = catalog.acts(spark, "/root/testdata/sf0.01").repartition(100)   # many tasks: candidate cutoff used
+    got = [r["id"] for r in SM.bounded_sample(a, 50, 42).collect()]
+    h = F.md5(F.concat(F.lit("42"), F.col("id")))
+    want = [r["id"] for r in a.withColumn("_h", h).orderBy("_h").limit(50).collect()]
+    assert got == want
