@@ -104,3 +104,11 @@ def test_chart_report_writes_all_panels(spark, tmp_dir):
     assert s["visualizations_generated"] == 5 and s["total_activities"] == df.count()
     for name in reports.chart_panels(df):
         assert spark.read.parquet(f"{tmp_dir}/charts/{name}").count() > 0
+
+
+def test_checkpoint_dir_uses_configured_folder(spark):
+    from obslytics.session import checkpoint_dir
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert configured and checkpoint_dir(spark) == configured
+    assert spark.sparkContext.getCheckpointDir().endswith(configured.split("/")[-1]) or \
+        configured in spark.sparkContext.getCheckpointDir()
