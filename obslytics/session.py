@@ -45,6 +45,29 @@ def apply_sql_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def configure_for_scale(spark: SparkSession, input_bytes: int, split_bytes: int = 256 << 20,
+                        shuffle_target_bytes: int = 128 << 20, max_partitions: int = 200_000) -> dict:
+    """Size splits and shuffles for an input of ``input_bytes``.
+
+    Input splits of 256 MB keep the task count of a 100 TB scan near 400k.
+    The initial shuffle partition count is the input size over 128 MB,
+    bounded, so every shuffle block stays far below executor memory; AQE then
+    coalesces small shuffles toward the advisory size and splits skewed ones.
+    Returns the settings applied.
+    """
+    shuffle = max(8, min(max_partitions, -(-input_bytes // shuffle_target_bytes)))
+    conf = {
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(shuffle_target_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * shuffle_target_bytes),
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf
+
+
 def num_partitions(df) -> int:
     """Partitions of ``df``'s plan (input splits for a scan); the configured
     shuffle partitions where the RDD view is not available (Spark Connect)."""

@@ -112,3 +112,15 @@ def test_checkpoint_dir_uses_configured_folder(spark):
     assert configured and checkpoint_dir(spark) == configured
     assert spark.sparkContext.getCheckpointDir().endswith(configured.split("/")[-1]) or \
         configured in spark.sparkContext.getCheckpointDir()
+
+
+def test_configure_for_scale(spark):
+    from obslytics.session import configure_for_scale
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")}
+    try:
+        conf = configure_for_scale(spark, 100 * 10 ** 12)
+        assert int(conf["spark.sql.shuffle.partitions"]) == 200_000  # 100 TB / 128 MB, capped
+        assert configure_for_scale(spark, 10 ** 9)["spark.sql.shuffle.partitions"] == "8"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
