@@ -194,14 +194,37 @@ def alerts_sink(stream: DataFrame, path: str, checkpoint: str, trigger_once: boo
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
-                 key: list[str] | None = None):
+                 key: list[str] | None = None, state_partitions: int | None = None):
     """Run a stream over all available input (availableNow) into ``path``.
 
     ``append`` writes parquet files.  ``complete`` overwrites the table with
     each batch's full result.  ``update`` writes each batch's changed rows to
     ``batch=<id>``; reading back keeps the newest row per ``key``.  Every
     batch write is an overwrite of its own folder, so retries are idempotent.
+
+    Stateful queries keep one state store per shuffle partition, fixed in
+    the checkpoint when the query first starts; ``state_partitions`` (default:
+    the cluster's default parallelism) sets that number for this query only.
     """
+    spark = stream.sparkSession
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions",
+                   str(state_partitions or spark.sparkContext.defaultParallelism))
+    try:
+        q = _start(stream, path, checkpoint, mode)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
+    q.awaitTermination()
+    out = spark.read.parquet(path)
+    if mode == "update" and key:
+        from pyspark.sql import Window
+        w = Window.partitionBy(*key).orderBy(F.col("batch").desc())
+        out = out.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "batch")
+    return out
+
+
+def _start(stream: DataFrame, path: str, checkpoint: str, mode: str):
+    """Start an availableNow query writing to ``path`` (see ``run_to_table``)."""
     if mode == "append":
         q = (stream.writeStream.format("parquet").option("path", path)
                    .option("checkpointLocation", checkpoint).outputMode("append")
@@ -216,11 +239,5 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
             batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
                    .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
-    out = stream.sparkSession.read.parquet(path)
-    if mode == "update" and key:
-        from pyspark.sql import Window
-        w = Window.partitionBy(*key).orderBy(F.col("batch").desc())
-        out = out.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "batch")
-    return out
+    return q
 
