@@ -19,13 +19,12 @@ from obslytics.session import checkpoint_dir, num_partitions
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
-    """Range partitions: the configured shuffle partitions, or more when the
-    input has more splits (splits follow ``spark.sql.files.maxPartitionBytes``,
-    so the count grows with the data and each range stays split-sized)."""
+    """Range partitions: one per input split (splits follow
+    ``spark.sql.files.maxPartitionBytes``, so the count grows with the data
+    and each range stays split-sized), at least the cluster's parallelism."""
     if n:
         return n
-    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(conf, num_partitions(df))
+    return max(df.sparkSession.sparkContext.defaultParallelism, num_partitions(df))
 
 
 def range_partitioned(df: DataFrame, sort_cols: list[str], n_partitions: int | None = None) -> DataFrame:
