@@ -8,6 +8,13 @@ range partitions.  Each range partition computes its local row numbers and
 lags; a small per-(partition, key) aggregate (at most one row per key per
 partition) supplies the offset and the value carried over the boundary from
 the previous partitions of the same key.
+
+The range-partitioned rows are checkpointed (reliably, into the shared
+``spark.checkpoint.dir``) right after the partition id is attached.  The id is
+then fixed data, so the row pass and the boundary aggregate agree even when
+Spark plans them as separate exchanges, which it does once column pruning makes
+them differ, or when it recomputes a lost executor's work.  Callers pass a
+narrow projection (keys, order columns, a few payload columns).
 """
 
 from __future__ import annotations
