@@ -124,6 +124,8 @@ def pca(df: DataFrame, cols: list[str], k: int = 2, center: bool = True):
     src = df
     if center:
         means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()  # one pass, len(cols) numbers
+        if any(means[c] is None for c in cols):
+            raise FL.InsufficientData("PCA needs at least one row")
         for c in cols:
             src = src.withColumn(c + "_c", F.col(c) - F.lit(float(means[c])))
         inputs = [c + "_c" for c in cols]

@@ -266,3 +266,19 @@ def test_bounded_sample_candidate_path(spark):
     h = F.md5(F.concat(F.lit("42"), F.col("id")))
     want = [r["id"] for r in a.withColumn("_h", h).orderBy("_h").limit(50).collect()]
     assert got == want
+
+
+def test_operators_accept_empty_input(spark):
+    from obslytics.operators import patterns as PP
+    from obslytics.plans import reports
+    df = R.enrich(acts(spark, []))
+    for name, table in reports.chart_panels(df).items():
+        if name.startswith("advanced/"):
+            continue  # model fitting needs rows (guarded separately)
+        table.count()
+    p = PP.patterns(df)
+    for out in (PP.insights(p), PP.insight_summary(p), PP.recommendations(p), PP.top_patterns(p),
+                PP.pattern_progress(p), SM.chart_summary(df), SM.data_summary(df), SM.frequent_types(df),
+                SM.confidence_by_hour(df), SM.recent(df), SM.bounded_sample(df)):
+        out.count()
+    assert SM.confidence_by_hour(df).count() == 24
