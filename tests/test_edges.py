@@ -282,3 +282,15 @@ def test_operators_accept_empty_input(spark):
                 SM.confidence_by_hour(df), SM.recent(df), SM.bounded_sample(df)):
         out.count()
     assert SM.confidence_by_hour(df).count() == 24
+
+
+def test_panels_accept_unmapped_and_missing_types(spark):
+    from obslytics.plans import reports
+    rows = [("1", T0, "dancing", 0.5), ("2", T0 + dt.timedelta(hours=2), None, 0.6),
+            ("3", T0 + dt.timedelta(hours=3), "sitting", 0.7), ("4", T0 + dt.timedelta(days=1), "sitting", 0.9)]
+    df = R.enrich(acts(spark, rows))
+    for name, table in reports.chart_panels(df).items():
+        table.count()
+    freq = {r["activity_type"]: r["n"] for r in C.activity_frequency(df).collect()}
+    assert freq == {"dancing": 1, "sitting": 2}
+    assert {r["behavioral_category"] for r in C.category_counts(df).collect()} == {"Calm"}
