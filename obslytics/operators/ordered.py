@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from obslytics.session import checkpoint_dir, num_partitions
+from obslytics.session import checkpoint_dir, default_parallelism, num_partitions
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
@@ -31,7 +31,7 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     and each range stays split-sized), at least the cluster's parallelism."""
     if n:
         return n
-    return max(df.sparkSession.sparkContext.defaultParallelism, num_partitions(df))
+    return max(default_parallelism(df.sparkSession), num_partitions(df))
 
 
 def range_partitioned(df: DataFrame, sort_cols: list[str], n_partitions: int | None = None) -> DataFrame:

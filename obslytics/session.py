@@ -77,6 +77,22 @@ def num_partitions(df) -> int:
         return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _conf(spark: SparkSession, key: str) -> str | None:
+    try:
+        return spark.conf.get(key)
+    except Exception:  # noqa: BLE001 - unset key
+        return None
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    """Task slots of the cluster; from the session config where the
+    SparkContext is not exposed (Spark Connect)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001
+        return int(_conf(spark, "spark.default.parallelism") or _conf(spark, "spark.sql.shuffle.partitions") or 8)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
@@ -84,12 +100,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     wins.  Only a local-mode session without it (tests, laptops) gets a fresh
     folder under the system temp dir.
     """
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
     try:
-        configured = configured or spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # noqa: BLE001 - unset key
-        pass
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint folder
+        configured = _conf(spark, "spark.checkpoint.dir")
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        return configured
+    configured = sc.getConf().get("spark.checkpoint.dir", None) or _conf(spark, "spark.checkpoint.dir")
     if configured:
         sc.setCheckpointDir(configured)
         return configured

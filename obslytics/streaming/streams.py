@@ -24,6 +24,7 @@ from obslytics.functions import features as X
 from obslytics.operators import filters as FL
 from obslytics.operators import metrics as MT
 from obslytics.operators import sequences as SQ
+from obslytics.session import default_parallelism
 from obslytics.sources import adapter as A
 
 WATERMARK = "10 minutes"
@@ -209,7 +210,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     spark = stream.sparkSession
     previous = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions",
-                   str(state_partitions or spark.sparkContext.defaultParallelism))
+                   str(state_partitions or default_parallelism(spark)))
     try:
         q = _start(stream, path, checkpoint, mode)
     finally:
