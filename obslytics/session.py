@@ -29,6 +29,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.master(master)
     conf = dict(SQL_DEFAULTS)
     conf["spark.ui.enabled"] = "false"
+    # remove checkpoint files once their DataFrame is garbage collected
+    conf["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
