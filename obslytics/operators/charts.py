@@ -203,6 +203,8 @@ def box_stats(df: DataFrame, by: str, value: str = "confidence", exact: bool | s
     second pass joins the per-group bounds back; the bounds table has one row
     per group, broadcast when the key's domain is bounded (weekday, category).
     """
+    # rows without a group are left out (as the reference's plots leave out NaN groups)
+    df = df.filter(F.col(by).isNotNull())
     v = F.col(value)
     if exact == "auto":
         exact = few_distinct(df, value)

@@ -71,7 +71,14 @@ def ordered_index(df: DataFrame, keys: list[str], order: str, tie: str | None =
         whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
         bounds = bounds.withColumn(size_col, F.sum("_cnt").over(whole))
     keep = ["_pid", *keys, "_offset"] + (["_carry"] if prev_col else []) + ([size_col] if size_col else [])
-    out = ranged.join(bounds.select(*keep), ["_pid", *keys], "inner")
+    # null-safe on the keys: rows whose key is NULL form their own group and
+    # must not be dropped by the join back
+    b = bounds.select(*[F.col(c).alias(f"_b_{c}") for c in keep])
+    cond = F.col("_pid") == F.col("_b__pid")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+    out = ranged.join(b, cond, "inner")
+    out = out.select(*ranged.columns, *[F.col(f"_b_{c}").alias(c) for c in keep if c not in ["_pid", *keys]])
     out = out.withColumn(rn_col, F.col("_lrn") + F.col("_offset"))
     drop = ["_pid", "_lrn", "_offset"]
     if prev_col:

@@ -43,3 +43,27 @@ def test_hot_key_is_spread_over_partitions(spark):
     hot_parts = r.filter("key = 'hot'").select("_pid").distinct().count()
     assert hot_parts >= 10                      # the hot key spans most partitions
     assert max(sizes) < 2.5 * n / 16            # and no partition is far above the mean
+
+
+def test_ordered_index_property(spark):
+    """Random keys (with a dominant one), repeated timestamps and partition
+    counts: the ordered index always equals a plain window."""
+    from hypothesis import given, settings, strategies as st, HealthCheck
+
+    row = st.tuples(st.sampled_from(["hot", "hot", "hot", "a", "b", None]), st.integers(0, 50))
+
+    @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(rows=st.lists(row, min_size=1, max_size=80), parts=st.integers(1, 8))
+    def check(rows, parts):
+        base = dt.datetime(2024, 1, 1)
+        data = [(k, base + dt.timedelta(seconds=s), i) for i, (k, s) in enumerate(rows)]
+        df = spark.createDataFrame(data, "key string, ts timestamp, tie long")
+        got = ordered_index(df, ["key"], "ts", "tie", n_partitions=parts)
+        w = Window.partitionBy("key").orderBy("ts", "tie")
+        want = df.withColumn("rn", F.row_number().over(w)).withColumn("prev", F.lag("ts").over(w))
+        cols = ["key", "tie", "rn", "prev"]
+        norm = lambda rs: sorted(rs, key=lambda r: (r[0] is None, r[0] or "", r[1]))
+        assert norm([tuple(r) for r in got.select(*cols).collect()]) == \
+            norm([tuple(r) for r in want.select(*cols).collect()])
+
+    check()
