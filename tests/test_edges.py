@@ -294,3 +294,42 @@ def test_panels_accept_unmapped_and_missing_types(spark):
     freq = {r["activity_type"]: r["n"] for r in C.activity_frequency(df).collect()}
     assert freq == {"dancing": 1, "sitting": 2}
     assert {r["behavioral_category"] for r in C.category_counts(df).collect()} == {"Calm"}
+
+
+def test_histogram_matches_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    for vals in (rng.exponential(20, 500), rng.uniform(0, 119, 300), np.array([3.0, 3.0, 7.5])):
+        g = spark.createDataFrame([(str(i), float(v)) for i, v in enumerate(vals)], "id string, gap_minutes double")
+        got = [r["n"] for r in C.gap_histogram(g).orderBy("bin").collect()]
+        want, _ = np.histogram(vals[vals < 120], bins=30)
+        assert got == list(want)
+
+
+def test_top_n_property(spark):
+    from hypothesis import given, settings, strategies as st, HealthCheck
+
+    @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(vals=st.lists(st.integers(0, 30), min_size=1, max_size=200), n=st.integers(1, 20),
+           fan=st.integers(1, 6))
+    def check(vals, n, fan):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, v long").repartition(7)
+        order = [F.col("v").desc(), F.col("id")]
+        got = [tuple(r) for r in SM.top_n(df, order, n, fan_in=fan).collect()]
+        want = sorted(((i, v) for i, v in enumerate(vals)), key=lambda t: (-t[1], t[0]))[:n]
+        assert got == want
+
+    check()
+
+
+def test_kde_matches_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    vals = np.round(rng.beta(5, 2, 400), 4)
+    df = spark.createDataFrame([("Calm", float(v)) for v in vals], "behavioral_category string, confidence double")
+    got = [r["density"] for r in C.confidence_density(df).orderBy("point").collect()]
+    n = len(vals)
+    bw = n ** -0.2 * vals.std(ddof=1)
+    grid = np.linspace(vals.min() - 2 * bw, vals.max() + 2 * bw, 100)
+    want = np.exp(-0.5 * ((grid[:, None] - vals[None, :]) / bw) ** 2).sum(axis=1) / (n * bw * np.sqrt(2 * np.pi))
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
