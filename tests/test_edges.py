@@ -333,3 +333,45 @@ def test_kde_matches_numpy(spark):
     grid = np.linspace(vals.min() - 2 * bw, vals.max() + 2 * bw, 100)
     want = np.exp(-0.5 * ((grid[:, None] - vals[None, :]) / bw) ** 2).sum(axis=1) / (n * bw * np.sqrt(2 * np.pi))
     assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
+
+
+def test_patterns_match_pandas_brute_force(spark):
+    """A2/A3 against a direct pandas computation on the small fixture: the
+    mean of successive gaps per type (sorted, diff, mean), the modal hour
+    (lowest on ties) and the mean confidence."""
+    from obslytics.operators import patterns as PP
+    from obslytics.plans import catalog
+    df = catalog.enriched(spark, "/root/testdata/sf0.001")
+    pdf = df.select("activity_type", "timestamp", "confidence", "hour").toPandas()
+    want = {}
+    for t, g in pdf.groupby("activity_type"):
+        g = g.sort_values("timestamp")
+        dur = 5.0 if len(g) < 2 else (g["timestamp"].diff().dt.total_seconds() / 60).mean()
+        want[t] = (len(g), g["confidence"].mean(), dur, int(g["hour"].mode().iloc[0]))
+    got = {r["activity_type"]: (r["frequency"], r["avg_confidence"], r["duration_minutes"], r["time_of_day"])
+           for r in PP.patterns(df).collect()}
+    assert got.keys() == want.keys()
+    for t in want:
+        assert got[t][0] == want[t][0] and got[t][3] == want[t][3]
+        assert abs(got[t][1] - want[t][1]) < 1e-12 and abs(got[t][2] - want[t][2]) < 1e-9
+
+
+def test_global_gaps_and_stats_match_brute_force(spark):
+    import numpy as np
+    from obslytics.operators import sequences as SQ
+    from obslytics.plans import catalog
+    df = catalog.enriched(spark, "/root/testdata/sf0.001")
+    pdf = df.select("id", "timestamp", "confidence", "session_id").toPandas().sort_values(["timestamp", "id"])
+    pdf["gap"] = pdf["timestamp"].diff().dt.total_seconds() / 60
+    got = {r["id"]: r["gap_minutes"] for r in C.gap_minutes(df).collect()}
+    for i, gap in zip(pdf["id"], pdf["gap"]):
+        assert (got[i] is None) if np.isnan(gap) else abs(got[i] - gap) < 1e-9
+    stats = {r["session_id"]: r for r in SQ.statistical_features(df, "session_id").collect()}
+    for s, g in pdf.groupby("session_id"):
+        v = g["confidence"].to_numpy()
+        r = stats[s]
+        for name, want in [("mean", v.mean()), ("std", v.std()), ("median", np.median(v)),
+                           ("p25", np.percentile(v, 25)), ("p75", np.percentile(v, 75)), ("var", v.var()),
+                           ("ptp", np.ptp(v))]:
+            assert abs(r[name] - want) < 1e-9, (s, name)
+        assert r["length"] == len(v)
