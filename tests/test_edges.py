@@ -375,3 +375,19 @@ def test_global_gaps_and_stats_match_brute_force(spark):
                            ("ptp", np.ptp(v))]:
             assert abs(r[name] - want) < 1e-9, (s, name)
         assert r["length"] == len(v)
+
+
+def test_sliding_sequences_match_brute_force(spark):
+    from obslytics.operators import sequences as SQ
+    from obslytics.plans import catalog
+    a = catalog.acts_with_k(spark, "/root/testdata/sf0.001")
+    got = {(r["session_id"], r["seq_index"], r["step_index"]): r["confidence"]
+           for r in SQ.sequences(a, 10, step=4).collect()}
+    pdf = a.select("session_id", "id", "timestamp", "confidence").toPandas().sort_values(["session_id", "timestamp", "id"])
+    want = {}
+    for s, g in pdf.groupby("session_id"):
+        c = g["confidence"].tolist()
+        for start in range(0, len(c) - 10 + 1, 4):
+            for j in range(10):
+                want[(s, start // 4, j)] = c[start + j]
+    assert got == want
