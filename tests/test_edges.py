@@ -391,3 +391,20 @@ def test_sliding_sequences_match_brute_force(spark):
             for j in range(10):
                 want[(s, start // 4, j)] = c[start + j]
     assert got == want
+
+
+def test_box_stats_match_numpy(spark):
+    import numpy as np
+    from obslytics.plans import catalog
+    df = catalog.enriched(spark, "/root/testdata/sf0.001")
+    pdf = df.select("day_of_week", "confidence").toPandas()
+    got = {r["day_of_week"]: r for r in C.box_stats(df, "day_of_week").collect()}
+    for d, g in pdf.groupby("day_of_week"):
+        v = g["confidence"].to_numpy()
+        q1, med, q3 = np.percentile(v, [25, 50, 75])
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        inside = v[(v >= lo) & (v <= hi)]
+        r = got[d]
+        assert abs(r["q1"] - q1) < 1e-12 and abs(r["median"] - med) < 1e-12 and abs(r["q3"] - q3) < 1e-12
+        assert r["whisker_low"] == inside.min() and r["whisker_high"] == inside.max()
+        assert r["outliers"] == len(v) - len(inside) and r["n"] == len(v)
