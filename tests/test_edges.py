@@ -408,3 +408,18 @@ def test_box_stats_match_numpy(spark):
         assert abs(r["q1"] - q1) < 1e-12 and abs(r["median"] - med) < 1e-12 and abs(r["q3"] - q3) < 1e-12
         assert r["whisker_low"] == inside.min() and r["whisker_high"] == inside.max()
         assert r["outliers"] == len(v) - len(inside) and r["n"] == len(v)
+
+
+def test_correlation_matches_pandas(spark):
+    import numpy as np
+    from obslytics.plans import catalog
+    df = catalog.enriched(spark, "/root/testdata/sf0.001")
+    pdf = df.select("activity_type", "hour").toPandas()
+    corr = pdf.groupby(["activity_type", "hour"]).size().unstack(fill_value=0).T.corr()
+    got = {(r["activity_a"], r["activity_b"]): r["correlation"] for r in C.activity_correlation(df).collect()}
+    names = list(corr.columns)
+    for i, a in enumerate(names):
+        for b in names[:i]:  # strict lower triangle
+            want = corr.loc[a, b]
+            assert (got[(a, b)] is None) if np.isnan(want) else abs(got[(a, b)] - want) < 1e-9
+    assert len(got) == len(names) * (len(names) - 1) // 2
