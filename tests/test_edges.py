@@ -423,3 +423,30 @@ def test_correlation_matches_pandas(spark):
             want = corr.loc[a, b]
             assert (got[(a, b)] is None) if np.isnan(want) else abs(got[(a, b)] - want) < 1e-9
     assert len(got) == len(names) * (len(names) - 1) // 2
+
+
+def test_insights_match_python_brute_force(spark):
+    from obslytics.operators import patterns as PP
+    from obslytics.plans import catalog
+    p = PP.patterns(catalog.enriched(spark, "/root/testdata/sf0.01"))
+    pats = sorted(((r["frequency"], r["activity_type"], r["avg_confidence"], r["behavioral_category"])
+                   for r in p.collect()), key=lambda t: (-t[0], t[1]))
+    groups = {}
+    for f, t, c, cat in pats:
+        groups.setdefault(cat, []).append((f, t, c))
+
+    def risk(cat, n, c):
+        if cat == "Concerning":
+            return "High" if n > 5 and c > 0.8 else "Medium" if n > 2 and c > 0.7 else "Low"
+        if cat == "Stimming":
+            return "Medium" if n > 10 else "Low"
+        return "Low"
+
+    want = {}
+    for cat, ps in groups.items():
+        n = sum(f for f, _, _ in ps)
+        mean = sum(c for _, _, c in ps) / len(ps)
+        want[cat] = (n, round(mean, 3), len(ps), ", ".join(t for _, t, _ in ps[:2]), risk(cat, n, mean))
+    got = {r["category"]: (r["total_occurrences"], r["average_confidence"], r["activity_count"],
+                           r["dominant_activities"], r["risk_level"]) for r in PP.insights(p).collect()}
+    assert got == want
