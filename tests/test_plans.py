@@ -52,3 +52,16 @@ def test_summary_is_partial_aggregate(spark):
     s = SM.summary(A.load_activities(spark, SF_SMALL), A.AS_OF)
     p = plan(s)
     assert "partial_count" in p
+
+
+def test_two_level_top_n_limits_before_each_shuffle(spark):
+    """The middle level of ``top_n`` is itself a window group limit: each task
+    forwards at most n rows per bucket before the shuffle."""
+    from pyspark.sql import functions as F
+    from obslytics.operators import summary as SM
+    a = A.load_activities(spark, SF_SMALL).repartition(12)
+    t = SM.top_n(a, [F.col("timestamp").desc(), F.col("id").desc()], 10, fan_in=3)
+    t.write.format("noop").mode("overwrite").save()
+    lines = t._jdf.queryExecution().executedPlan().toString().splitlines()
+    ex = [i for i, ln in enumerate(lines) if "Exchange hashpartitioning(_b" in ln]
+    assert ex and all("WindowGroupLimit" in lines[i + 1] and "Partial" in lines[i + 1] for i in ex)
