@@ -28,7 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from math import comb
+from math import lgamma, log
 
 import numpy as np
 import pandas as pd
@@ -108,7 +108,11 @@ def allocate(sim: Similarity, number: int) -> Band:
     smallest = -(-low * sim.num // sim.den)
     need = sim.differs(smallest) + 1
     for segments in (int(0.36 * high) + 8, high, 4 * high):
-        if need <= segments and comb(segments, need - 1) * ((need - 1) / segments) ** smallest < 1e-15:
+        few = need - 1
+        if need > segments:
+            continue
+        ways = lgamma(segments + 1) - lgamma(few + 1) - lgamma(segments - few + 1)
+        if few == 0 or ways + smallest * log(few / segments) < log(1e-15):
             return Band(number, low, high, 0, segments)
     most = 2 * high * (sim.den - sim.num) // (sim.den + sim.num)
     return Band(number, low, high, 1, most // 2 + 1)

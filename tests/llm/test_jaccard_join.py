@@ -72,7 +72,7 @@ def test_against_brute_force(spark, seed, run_limit):
 def test_signatures_of_linked_sets_meet():
     rng = np.random.default_rng(4)
     sim = J.Similarity()
-    for size in [1, 2, 4, 5, 7, 8, 9, 10, 12, 14, 16, 17, 20, 31, 33, 50, 64, 100, 130, 400, 1000]:
+    for size in [1, 2, 4, 5, 7, 8, 9, 10, 12, 14, 16, 17, 20, 31, 33, 50, 64, 100, 130, 400, 1000, 9000]:
         for _ in range(40):
             a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
             gone = rng.integers(0, size // 5 + 1)
