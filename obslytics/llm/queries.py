@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obslytics.llm import decontamination, jaccard_join
+from obslytics.llm import decontamination, jaccard_join, suffix_dedup
 from obslytics.llm.common import read_table
 
 #: rows of an Arrow batch: whole texts are long, and a Python worker holds a batch at a time
@@ -16,6 +16,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def prepared(fn):
 
 
 QUERIES = {name: prepared(fn) for name, fn in {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
 }.items()}
