@@ -33,6 +33,7 @@ from math import lgamma, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,7 +195,7 @@ def packed_signatures(docs: DataFrame, text_col: str, sim: Similarity, parts: in
             owners, sizes = np.array(owners, np.int64), np.array(sizes, np.int32)
             by_owner = np.argsort(owners, kind="stable")
             owners, sizes, found = owners[by_owner], sizes[by_owner], [found[i] for i in by_owner]
-            owner_of = np.repeat(np.arange(len(owners), dtype=np.uint32), [len(x) for x in found])
+            owner_of = np.repeat(np.arange(len(owners)), [len(x) for x in found])
             found = np.concatenate(found)
             order = np.argsort(found, kind="stable")
             found, owner_of = found[order], owner_of[order]
@@ -214,7 +215,7 @@ def packed_signatures(docs: DataFrame, text_col: str, sim: Similarity, parts: in
                     star[:, 3] = sizes[owner_of[rest]]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in (
-                        _six_bytes(found[main]), index.astype(np.uint32).tobytes(), owners[used].tobytes(),
+                        _six_bytes(found[main]), index.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), owners[used].tobytes(),
                         sizes[used].tobytes(), star.tobytes()))], schema=PACKED)
 
     return docs.select(F.col(text_col)).mapInArrow(pack, PACKED_DDL)
@@ -233,10 +234,9 @@ def proposals(packed: DataFrame, sim: Similarity, run_limit: int) -> DataFrame:
 
     def propose(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["part"].iloc[0])
-        owner = np.concatenate([np.frombuffer(o, np.int64)[np.frombuffer(i, np.uint32)]
-                                for o, i in zip(pdf["owners"], pdf["owner_of"], strict=True)])
-        size = np.concatenate([np.frombuffer(s, np.int32)[np.frombuffer(i, np.uint32)]
-                               for s, i in zip(pdf["sizes"], pdf["owner_of"], strict=True)])
+        index = [np.frombuffer(i, "<u2" if len(o) <= 8 << 16 else "<u4") for i, o in zip(pdf["owner_of"], pdf["owners"], strict=True)]
+        owner = np.concatenate([np.frombuffer(o, np.int64)[i] for o, i in zip(pdf["owners"], index, strict=True)])
+        size = np.concatenate([np.frombuffer(s, np.int32)[i] for s, i in zip(pdf["sizes"], index, strict=True)])
         sig = np.concatenate([_from_six(x) for x in pdf["signatures"]])
         star = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in pdf["star"]])
         order = np.lexsort((owner, sig))
@@ -273,20 +273,37 @@ def proposals(packed: DataFrame, sim: Similarity, run_limit: int) -> DataFrame:
 
 # ---- verification -------------------------------------------------------------------------------------------
 
+def compressed(rows: DataFrame) -> DataFrame:
+    """``rows(id, text_key, text)`` with ``packed`` in place of the text, for shuffles."""
+
+    def pack(batches):
+        packer = zstandard.ZstdCompressor(1)
+        for batch in batches:
+            texts = [packer.compress((x or "").encode()) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], names=["id", "text_key", "packed"])
+
+    return rows.mapInArrow(pack, "id long, text_key long, packed binary")
+
+
+def _unpacked(column: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(x) for x in column.to_pylist()], pa.binary()).cast(pa.string())
+
+
 def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs (a, b) that link, by the sets of their whole texts; ``texts``: (set, text)."""
+    """The pairs (a, b) that link, by the sets of their whole texts; ``texts``: (set, packed)."""
 
     def check(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3)), strict=True):
+            for x, y in zip(shingle_sets(_unpacked(batch.column(2))), shingle_sets(_unpacked(batch.column(3))), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both * sim.den >= (len(x) + len(y) - both) * sim.num)
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
-    left = texts.select(F.col("set").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("set").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("set").alias("a"), F.col("packed").alias("text_a"))
+    right = texts.select(F.col("set").alias("b"), F.col("packed").alias("text_b"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(check, "a long, b long")
 
@@ -326,12 +343,13 @@ def links(docs: DataFrame, described: DataFrame, sim: Similarity, id_col: str, t
     # one row stands for each set that a pair or a frequent signature names
     member = frequent.mapInPandas(_members, "signature long, set long")
     named = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(member.select("set")).distinct()
+    no_id = F.coalesce("id", F.lit(-(1 << 63)))
     standing = (described.where("set is not null").groupBy("set")
                 .agg(F.min(F.struct("id", "text_key")).alias("row")).join(named, "set", "left_semi")
-                .select("set", F.col("row.id").alias("id"), F.col("row.text_key").alias("text_key")))
+                .select("set", "row.*").select("set", "text_key", no_id.alias("id")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    same = [F.col("d.text_key") == F.col("s.text_key"), F.col("d.id").eqNullSafe(F.col("s.id"))]
-    texts = (rows.alias("d").join(standing.alias("s"), same).select("s.set", "d.text").dropDuplicates(["set"]))
+    texts = (compressed(rows).withColumn("id", no_id).join(standing, ["text_key", "id"])
+             .dropDuplicates(["text_key", "id"]).select("set", "packed"))
     texts = stored(texts, "texts")
     linked = stored(verified(pairs, texts, sim), "verified")
 
