@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from obslytics.llm import decontamination, jaccard_join, packing, suffix_dedup
+from obslytics.llm import decontamination, jaccard_join, packing, suffix_dedup, warc
 from obslytics.llm.common import read_table
 
 #: rows of an Arrow batch: whole texts are long, and a Python worker holds a batch at a time
@@ -21,6 +21,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(read_table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,6 +42,7 @@ def prepared(fn):
 
 QUERIES = {name: prepared(fn) for name, fn in {
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
