@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from obslytics.llm import decontamination, jaccard_join, packing, suffix_dedup, warc
+from obslytics.llm import decontamination, jaccard_join, packing, sharding, suffix_dedup, warc
 from obslytics.llm.common import read_table
 
 #: rows of an Arrow batch: whole texts are long, and a Python worker holds a batch at a time
@@ -17,6 +18,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard_rows(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
@@ -41,6 +47,7 @@ def prepared(fn):
 
 
 QUERIES = {name: prepared(fn) for name, fn in {
+    "op2_sharding": op2_sharding,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
