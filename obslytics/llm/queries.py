@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obslytics.llm import decontamination, jaccard_join, packing, sharding, suffix_dedup, warc
+from obslytics.llm import decontamination, embedding_dedup, jaccard_join, packing, sharding, suffix_dedup, warc
 from obslytics.llm.common import read_table
 
 #: rows of an Arrow batch: whole texts are long, and a Python worker holds a batch at a time
@@ -27,6 +27,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(read_table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ def prepared(fn):
 QUERIES = {name: prepared(fn) for name, fn in {
     "op2_sharding": op2_sharding,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
