@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obslytics.llm import decontamination, embedding_dedup, jaccard_join, packing, sharding, suffix_dedup, warc
+from obslytics.llm import decontamination, embedding_dedup, jaccard_join, packing, quality, sharding, suffix_dedup, warc
 from obslytics.llm.common import read_table
 
 #: rows of an Arrow batch: whole texts are long, and a Python worker holds a batch at a time
@@ -18,6 +18,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.learnt(docs, read_table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model, keep=("doc_id",)).select(
+        "doc_id", F.coalesce(quality.remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard_rows(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -51,6 +59,7 @@ def prepared(fn):
 
 
 QUERIES = {name: prepared(fn) for name, fn in {
+    "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
