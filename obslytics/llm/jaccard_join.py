@@ -13,10 +13,10 @@ into segments, so that few segments of a linked pair can differ:
 ``allocate`` picks for each band the cheaper of the two that is safe.  Signatures are shuffled in packed form;
 equal ones propose candidates, which are verified exactly on the texts.
 
-A frequent signature (more than ``run_limit`` sets) proposes a star instead of all pairs.  That loses nothing as
-long as a set has no more frequent signatures than it has to spare.  For the other sets, pairs of different
-components below a frequent signature are enumerated and verified after the first round, so the classes are exact.
-Signatures and set fingerprints have 64 bits.
+A frequent signature (more than ``run_limit`` sets) proposes no pairs.  That loses nothing as long as a set has no
+more frequent signatures than it has to spare.  The other sets below a frequent signature are compared with one of
+them; families of such sets that this leaves in several components are then compared block by block, so the classes
+are exact.  A pair is verified only if it shares enough signatures.  Signatures and set fingerprints have 64 bits.
 
 Defined results: null and empty texts and texts without words have the empty set, which links with nothing; equal
 sets are one class, whose copies are never paired; repeated rows are copies; an empty table gives no rows; columns
@@ -34,11 +34,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obslytics.llm import words as W
-from obslytics.llm.common import components, stored
+from obslytics.llm.common import components, stored, union_find
 
 SHINGLE = 5
 RUN_LIMIT = 8
@@ -97,7 +97,7 @@ class Similarity:
 
     @staticmethod
     def spare(size: int) -> int:
-        return size // 32
+        return size // 16
 
 
 @lru_cache(maxsize=4096)
@@ -151,8 +151,8 @@ def signatures(shingles: np.ndarray, sim: Similarity) -> np.ndarray:
 # ---- candidates ---------------------------------------------------------------------------------------------
 
 PACKED = pa.schema([("part", pa.int32()), ("signatures", pa.binary()), ("owner_of", pa.binary()), ("owners", pa.binary()),
-                    ("sizes", pa.binary()), ("star", pa.binary())])
-PACKED_DDL = "part int, signatures binary, owner_of binary, owners binary, sizes binary, star binary"
+                    ("sizes", pa.binary()), ("beside", pa.binary())])
+PACKED_DDL = "part int, signatures binary, owner_of binary, owners binary, sizes binary, beside binary"
 _SIX = np.dtype([("low", "<u4"), ("high", "<u2")])
 
 
@@ -203,25 +203,20 @@ def packed_signatures(docs: DataFrame, text_col: str, sim: Similarity, parts: in
             nth = np.arange(len(found)) - np.repeat(starts, lengths)
             beside = nth > run_limit
             part = (found >> np.uint64(48)) % np.uint64(parts)
-            star_first = np.repeat(owner_of[starts], lengths)
             for p in np.unique(part).tolist():
                 here = part == p
                 main, rest = here & ~beside, here & beside
                 used, index = np.unique(owner_of[main], return_inverse=True)
-                star = np.zeros((int(rest.sum()), 4), np.int64)  # signature, first owner, owner, size
-                if len(star):
-                    star[:, 0] = (found[rest] & np.uint64((1 << 48) - 1)).astype(np.int64)
-                    star[:, 1], star[:, 2] = owners[star_first[rest]], owners[owner_of[rest]]
-                    star[:, 3] = sizes[owner_of[rest]]
+                more = np.stack([(found[rest] & np.uint64((1 << 48) - 1)).astype(np.int64), owners[owner_of[rest]]], 1)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in (
                         _six_bytes(found[main]), index.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), owners[used].tobytes(),
-                        sizes[used].tobytes(), star.tobytes()))], schema=PACKED)
+                        sizes[used].tobytes(), more.tobytes()))], schema=PACKED)
 
     return docs.select(F.col(text_col)).mapInArrow(pack, PACKED_DDL)
 
 
-FOUND_DDL = "a long, b long, signature long, members binary"
+FOUND_DDL = "a long, b long, shared long, least long, signature long, members binary"
 
 
 def _fits(a: np.ndarray, b: np.ndarray, sim: Similarity) -> np.ndarray:
@@ -230,7 +225,8 @@ def _fits(a: np.ndarray, b: np.ndarray, sim: Similarity) -> np.ndarray:
 
 
 def proposals(packed: DataFrame, sim: Similarity, run_limit: int) -> DataFrame:
-    """Candidate pairs (a, b) of set fingerprints, and rows (signature, members) for frequent signatures."""
+    """Rows (a, b, shared, least) of candidate pairs, how many signatures they share here and the smaller size, and
+    rows (signature, members) for frequent signatures."""
 
     def propose(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["part"].iloc[0])
@@ -238,35 +234,30 @@ def proposals(packed: DataFrame, sim: Similarity, run_limit: int) -> DataFrame:
         owner = np.concatenate([np.frombuffer(o, np.int64)[i] for o, i in zip(pdf["owners"], index, strict=True)])
         size = np.concatenate([np.frombuffer(s, np.int32)[i] for s, i in zip(pdf["sizes"], index, strict=True)])
         sig = np.concatenate([_from_six(x) for x in pdf["signatures"]])
-        star = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in pdf["star"]])
+        beside = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in pdf["beside"]])
         order = np.lexsort((owner, sig))
         sig, owner, size = sig[order], owner[order], size[order]
         fresh = np.append(True, (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1]))
         sig, owner, size = sig[fresh], owner[fresh], size[fresh]
         starts, lengths = _runs(sig)
-        pairs = []
+        pairs = [np.zeros((0, 3), np.int64)]
         for n in range(2, run_limit + 1):
             at = starts[lengths == n]
             for i in range(n):
                 for j in range(i + 1, n):
                     fits = _fits(size[at + i], size[at + j], sim)
-                    pairs.append(np.stack([owner[at + i][fits], owner[at + j][fits]], 1))
-        hot = lengths > run_limit
-        inside = np.repeat(hot, lengths)
-        first = np.repeat(starts, lengths)
-        fits = inside & _fits(size, size[first], sim) & (owner != owner[first])
-        pairs.append(np.stack([owner[first][fits], owner[fits]], 1))
-        pairs.append(star[:, 1:3])
-        pairs = np.concatenate(pairs)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        members = np.concatenate([np.stack([sig[inside].astype(np.int64), owner[inside]], 1), star[:, [0, 2]]])
+                    x, y = (at + i)[fits], (at + j)[fits]
+                    pairs.append(np.stack([owner[x], owner[y], np.minimum(size[x], size[y])], 1))
+        pairs, shared = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+        inside = np.repeat(lengths > run_limit, lengths)
+        members = np.concatenate([np.stack([sig[inside].astype(np.int64), owner[inside]], 1), beside])
         members = members[np.argsort(members[:, 0], kind="stable")]
         at, lengths = _runs(members[:, 0])
         rows = [(members[s, 0] | part << 48, members[i: min(i + MEMBERS_PER_ROW, s + n), 1].tobytes())
                 for s, n in zip(at.tolist(), lengths.tolist(), strict=True) for i in range(s, s + n, MEMBERS_PER_ROW)]
-        out = pd.DataFrame({"a": pd.Series(pairs[:, 0], dtype="Int64"), "b": pd.Series(pairs[:, 1], dtype="Int64")})
+        out = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "shared": shared, "least": pairs[:, 2]}, dtype="Int64")
         more = pd.DataFrame({"signature": pd.Series([r[0] for r in rows], dtype="Int64"), "members": [r[1] for r in rows]})
-        return pd.concat([out, more], ignore_index=True)[["a", "b", "signature", "members"]]
+        return pd.concat([out, more], ignore_index=True)[["a", "b", "shared", "least", "signature", "members"]]
 
     return packed.groupBy("part").applyInPandas(propose, FOUND_DDL)
 
@@ -337,12 +328,34 @@ def links(docs: DataFrame, described: DataFrame, sim: Similarity, id_col: str, t
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(64, total // 2 // SIGNATURES_PER_PART + 1)
     found = stored(proposals(packed_signatures(docs, text_col, sim, parts, run_limit), sim, run_limit), "proposals")
-    pairs = stored(found.where("a is not null").select("a", "b").distinct(), "pairs")
-    frequent = found.where("signature is not null").select("signature", "members")
-
-    # one row stands for each set that a pair or a frequent signature names
-    member = frequent.mapInPandas(_members, "signature long, set long")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(member.select("set")).distinct()
+    member = found.where("signature is not null").select("signature", "members").mapInPandas(_members, "signature long, set long")
+    frequent = stored(member.groupBy("set").agg(F.count("*").alias("frequent")), "frequent")
+    spare = lambda size: F.floor(size / 16)
+
+    # a linked pair shares more signatures than the smaller set has to spare; frequent ones were not counted
+    pairs = found.where("a is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("least").alias("least"))
+    for end in ("a", "b"):
+        pairs = pairs.join(frequent.select(F.col("set").alias(end), F.col("frequent").alias(f"frequent_{end}")), end, "left")
+    uncounted = F.least(F.coalesce("frequent_a", F.lit(0)), F.coalesce("frequent_b", F.lit(0)))
+    pairs = stored(pairs.where(F.col("shared") + uncounted > spare(F.col("least"))).select("a", "b"), "pairs")
+
+    # a pair that shares frequent signatures only: both sets have more of them than the smaller one has to spare
+    sizes = described.where("set is not null").select("set", "n_shingles").distinct()
+    short = stored(sizes.join(frequent, "set").where(F.col("frequent") > spare(F.floor(F.col("n_shingles") * sim.num / sim.den)))
+                   .select("set", "n_shingles", "frequent"), "short")
+    # ... and share so many that they meet below one of the rarer ones of each
+    times = member.groupBy("signature").agg(F.count("*").alias("times"))
+    rarest = Window.partitionBy("set").orderBy("times", "signature")
+    placed = (member.join(short, "set").join(times, "signature").withColumn("nth", F.row_number().over(rarest))
+              .where(F.col("nth") <= F.col("frequent") - spare(F.floor(F.col("n_shingles") * sim.num / sim.den)))
+              .select("signature", "set", "n_shingles"))
+    placed = stored(placed, "placed")
+    centre = placed.groupBy("signature").agg(F.min("set").alias("a"))
+    stars = stored(placed.join(centre, "signature").where("a != set").select("a", F.col("set").alias("b")).distinct(), "stars")
+    pairs = stored(pairs.union(stars).distinct(), "pairs")
+
+    # one row stands for each set that a pair names
+    named = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(short.select("set")).distinct()
     no_id = F.coalesce("id", F.lit(-(1 << 63)))
     standing = (described.where("set is not null").groupBy("set")
                 .agg(F.min(F.struct("id", "text_key")).alias("row")).join(named, "set", "left_semi")
@@ -353,28 +366,61 @@ def links(docs: DataFrame, described: DataFrame, sim: Similarity, id_col: str, t
     texts = stored(texts, "texts")
     linked = stored(verified(pairs, texts, sim), "verified")
 
-    # sets with more frequent signatures than they have to spare
-    hot = member.groupBy("set").agg(F.count("*").alias("n_frequent"))
-    sizes = described.where("set is not null").select("set", "n_shingles").distinct()
-    group = components(linked)
-    state = (sizes.join(hot, "set").join(group.withColumnRenamed("node", "set"), "set", "left")
-             .select("set", "n_shingles", F.coalesce("component", "set").alias("component"),
-                     (F.col("n_frequent") > F.floor(F.col("n_shingles") / 32)).alias("short")))
-    state = stored(state, "frequent")
-    placed = member.join(state, "set")
-    open_ = (placed.groupBy("signature").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("short").alias("short"))
-             .where("short and lo != hi").select("signature"))
-    open_ = stored(placed.join(open_, "signature"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = (x.join(y, F.col("x.signature") == F.col("y.signature"))
-             .where((F.col("x.set") < F.col("y.set")) & (F.col("x.component") != F.col("y.component"))
-                    & (F.col("x.short") | F.col("y.short"))
-                    & (F.least("x.n_shingles", "y.n_shingles") * sim.den >= F.greatest("x.n_shingles", "y.n_shingles") * sim.num))
-             .select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
-             .join(pairs, ["a", "b"], "left_anti"))
-    if open_.isEmpty():
+    # families that the stars left apart
+    family = components(stars)
+    state = (short.join(family.select(F.col("node").alias("set"), F.col("component").alias("family")), "set")
+             .join(components(linked).withColumnRenamed("node", "set"), "set", "left")
+             .select("set", "n_shingles", "family", F.coalesce("component", "set").alias("component")))
+    state = stored(state, "families")
+    apart = state.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("family")
+    apart = stored(state.join(apart, "family"), "apart")
+    if apart.isEmpty():
         return linked
-    return linked.union(stored(verified(cross, texts, sim), "crossed"))
+    return linked.union(stored(compared(apart, texts, sim), "compared"))
+
+
+def compared(members: DataFrame, texts: DataFrame, sim: Similarity, block: int = 512) -> DataFrame:
+    """Links within each family of members(set, n_shingles, family, component), found by comparing blocks of sets.
+
+    A set is compared in the size band of its own and the one above; blocks of one large component are not compared
+    with each other.  Each task holds two blocks and returns a forest of their links."""
+    ratio = sim.den / sim.num
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(np.log(ratio)).cast("double"))
+    dealt = members.withColumn("band", F.explode(F.array(band, band + 1)))
+    keys = ["family", "band"]
+    large = dealt.groupBy(*keys, "component").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    dealt = dealt.join(large, [*keys, "component"], "left")
+    mixed = dealt.where("n is null").groupBy(*keys).agg(F.count("*").alias("rest"))
+    dealt = dealt.join(mixed, keys, "left")
+    deal = lambda n: F.pmod(F.xxhash64("set"), F.expr(f"cast(({n} - 1) div {block} + 1 as bigint)"))
+    dealt = dealt.select(*keys, "set", F.when(F.col("n").isNotNull(), F.col("component")).alias("of"),
+                         F.when(F.col("n").isNotNull(), deal("n")).otherwise(deal("rest")).alias("block"))
+    dealt = stored(dealt, "dealt")
+    blocks = dealt.select(*keys, F.struct("of", "block").alias("at")).distinct()
+    couples = (blocks.withColumnRenamed("at", "x").join(blocks.withColumnRenamed("at", "y"), keys)
+               .where((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("x.of") == F.col("y.of"), F.lit(False)))
+               .withColumn("at", F.explode(F.array_distinct(F.array("x", "y")))))
+    rows = (dealt.select(*keys, "set", F.struct("of", "block").alias("at")).join(couples, [*keys, "at"]).join(texts, "set")
+            .select(*keys, "x", "y", "set", "packed"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = list(shingle_sets(_unpacked(pa.array(pdf["packed"], pa.binary()))))
+        names, size = pdf["set"].to_numpy(), np.array([len(x) for x in sets])
+        tokens, index = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for first in range(0, len(tokens), 4096):  # counts of shared shingles, some thousand shingles at a time
+            here = (index >= first) & (index < first + 4096)
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[owner[here], index[here] - first] = 1
+            both += part @ part.T
+        both = both.astype(np.int64)
+        i, j = np.nonzero(np.triu(both * sim.den >= (size[:, None] + size[None, :] - both) * sim.num, 1))
+        nodes, root = union_find(names[i], names[j])
+        moved = nodes != root
+        return pd.DataFrame({"a": nodes[moved], "b": root[moved]})
+
+    return rows.groupBy(*keys, "x", "y").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text",
