@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,8 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def gram_of(length: int) -> int:
-    return 16 if length >= 64 else 8
+    """Bytes of an anchor: long ones seldom repeat by chance, short ones leave more room in the window."""
+    return 48 if length >= 192 else 16 if length >= 64 else 8
 
 
 def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,10 +64,12 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     gram = gram_of(length)
     text = np.ascontiguousarray(text)
     eights = np.ndarray((len(text) - 7,), "<u8", text.data, strides=(1,))
-    hashes = W.mix(eights)
-    if gram == 16:
-        with np.errstate(over="ignore"):
-            hashes = W.mix(hashes[:-8] * np.uint64(0x9E3779B97F4A7C15) + eights[8:])
+    n = len(text) - gram + 1
+    hashes = eights[:n].copy()
+    with np.errstate(over="ignore"):
+        for k in range(8, gram, 8):
+            hashes = W.mix(hashes) + eights[k: k + n]
+    hashes = W.mix(hashes)
     width = length - gram + 1
     smallest = _sliding_min(hashes, width)
     edge = np.full(width - 1, np.iinfo(np.uint64).max, np.uint64)
@@ -191,27 +195,39 @@ def _groups(g: np.ndarray):
 
 # ---- the operator -------------------------------------------------------------------------------------------
 
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """(k1, k2, packed): each distinct text once, compressed for the shuffle."""
+
+    def pack(batches):
+        packer = zstandard.ZstdCompressor(1)
+        for batch in batches:
+            packed = [packer.compress(x.encode()) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["k1", "k2", "packed"])
+
+    return texts.mapInArrow(pack, "k1 long, k2 long, packed binary").groupBy("k1", "k2").agg(F.first("packed").alias("packed"))
+
+
 def _cut(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """Contexts (h, c, n, before, after, bytes) of ``wanted`` classes out of the distinct texts."""
     by_text = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "n", "at", "before", "after")).alias("classes"))
 
     def cut(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            data, offsets = W.text_bytes(batch.column(0))
             out = {k: [] for k in ("h", "c", "n", "before", "after", "bytes")}
-            for i, classes in enumerate(batch.column(1).to_pylist()):
-                raw = data[offsets[i]: offsets[i + 1]].tobytes()
-                for x in classes:
+            for i, (packed, classes) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
+                raw = unpack(packed.as_py())
+                for x in classes.as_py():
                     for k in ("h", "c", "n", "before", "after"):
                         out[k].append(x[k])
                     out["bytes"].append(raw[x["at"] - x["before"]: x["at"] + x["after"]])
-                if len(out["h"]) >= 4096 or i == batch.num_rows - 1:
+                if len(out["h"]) >= 2048 or i == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("h", "c", "n")),
                                                       *(pa.array(out[k], pa.int32()) for k in ("before", "after")),
                                                       pa.array(out["bytes"], pa.binary())], names=list(out))
                     out = {k: [] for k in out}
 
-    return (texts.join(by_text, ["k1", "k2"]).select("text", "classes")
+    return (distinct_texts(texts).join(by_text, ["k1", "k2"]).select("packed", "classes")
             .mapInArrow(cut, "h long, c long, n long, before int, after int, bytes binary"))
 
 
@@ -225,34 +241,29 @@ def repeated_ranges(texts: DataFrame, length: int = 400, cap: int = CAP) -> Data
     found = stored(all_anchors.join(often, "h"), "repeated-anchors")
     classes = stored(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("after").alias("after"),
                                                  F.min(F.struct("k1", "k2", "at")).alias("where")), "classes")
-    several = classes.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1").select("h")
-    wanted = classes.join(several, "h").select("h", "c", "n", "before", "after", "where.*")
-    distinct = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    several = classes.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    wanted = stored(classes.join(several, "h").select("h", "c", "n", "before", "after", "where.*", "contexts"), "wanted")
 
     whole = classes.where("n > 1").select("h", "c", F.array(F.struct((-F.col("before")).alias("lo"), F.col("after").alias("hi"))).alias("ranges"))
     results = [whole]
     # level 0: a collection is an anchor string; each level halves the offsets of collections beyond the cap
-    level = stored(_cut(distinct, wanted).select("h", "c", F.col("h").alias("g"), F.col("c").alias("d"), F.lit(0).alias("low"),
-                                                 F.lit(reach).alias("high"), "n", "before", "after", "bytes"), "contexts")
-    first = True
-    while True:
-        if first:
-            members = level
-        else:
-            members = (level.groupBy("g", "d").agg(F.sum("n").alias("n"), *(F.first(x).alias(x) for x in ("low", "high", "before", "after", "bytes"))))
-            members = stored(members, "members")
-            twice = members.where("n > 1").select("g", "d", F.array(F.struct((-F.col("before")).alias("lo"), F.col("after").alias("hi"))).alias("ranges"))
-            results.append(level.select("h", "c", "g", "d").join(twice, ["g", "d"]).select("h", "c", "ranges"))
+    anchored = [F.col("h").alias("g"), F.lit(0).alias("low"), F.lit(reach).alias("high")]
+    small = _cut(texts, wanted.where(F.col("contexts") <= cap)).select(*anchored, "c", "before", "after", "bytes")
+    results.append(stored(collections(small, length).withColumnRenamed("g", "h"), "ranges"))
+    large = wanted.where(F.col("contexts") > cap)
+    rows = None if large.isEmpty() else _cut(texts, large).select(*anchored, "h", "c", "n", "before", "after", "bytes")
+    while rows is not None:
+        level = stored(_halved(rows, length), "halves")
+        members = level.groupBy("g", "d").agg(F.sum("n").alias("n"), *(F.first(x).alias(x) for x in ("low", "high", "before", "after", "bytes")))
+        members = stored(members, "members")
+        names = level.select("h", "c", "g", "d")
+        twice = members.where("n > 1").select("g", "d", F.array(F.struct((-F.col("before")).alias("lo"), F.col("after").alias("hi"))).alias("ranges"))
         sizes = stored(members.groupBy("g").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         small = members.join(sizes.where(F.col("size") <= cap).select("g"), "g").select("g", F.col("d").alias("c"), "low", "high", "before", "after", "bytes")
         part = stored(collections(small, length).withColumnRenamed("c", "d"), "ranges")
-        results.append(part.select(F.col("g").alias("h"), F.col("d").alias("c"), "ranges") if first
-                       else level.select("h", "c", "g", "d").join(part, ["g", "d"]).select("h", "c", "ranges"))
+        results.append(names.join(twice.union(part.select("g", "d", "ranges")), ["g", "d"]).select("h", "c", "ranges"))
         large = sizes.where(F.col("size") > cap).select("g")
-        if large.isEmpty():
-            break
-        level = stored(_halved(level.join(large, "g"), length), "halves")
-        first = False
+        rows = None if large.isEmpty() else level.join(large, "g")
     ranges = results[0]
     for more in results[1:]:
         ranges = ranges.union(more)
@@ -284,15 +295,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("text"))
     texts = keyed.select("k1", "k2", "text")
     ranges = repeated_ranges(texts, length, cap)
-    distinct = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     names = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep]
 
     def removed(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            data, offsets = W.text_bytes(batch.column(2))
             rows = []
-            for i, found in enumerate(batch.column(3).to_pylist()):
-                raw, spans = data[offsets[i]: offsets[i + 1]], []
+            for packed, found in zip(batch.column(2), batch.column(3), strict=True):
+                raw, spans, found = unpack(packed.as_py()), [], found.as_py()
                 for lo, hi in sorted((x["lo"], x["hi"]) for x in found or ()):
                     if spans and lo <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], hi)
@@ -309,5 +319,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=False))], names=names)
 
     ddl = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep
-    result = distinct.join(ranges, ["k1", "k2"], "left").select("k1", "k2", "text", "ranges").mapInArrow(removed, ddl)
+    result = distinct_texts(texts).join(ranges, ["k1", "k2"], "left").select("k1", "k2", "packed", "ranges").mapInArrow(removed, ddl)
     return keyed.select("id", "k1", "k2").join(result, ["k1", "k2"]).select(F.col("id").alias(id_col), *names[2:])
