@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obslytics.llm import decontamination, embedding_dedup, jaccard_join, packing, quality, sharding, suffix_dedup, warc
+from obslytics.llm import decontamination, embedding_dedup, jaccard_join, packing, pii, quality, sharding, suffix_dedup, warc
 from obslytics.llm.common import read_table
 
 #: rows of an Arrow batch: whole texts are long, and a Python worker holds a batch at a time
@@ -51,6 +51,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
 def prepared(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
@@ -67,6 +71,7 @@ QUERIES = {name: prepared(fn) for name, fn in {
     "op7_packing": op7_packing,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
+    "op10_pii": op10_pii,
 }.items()}
 
 SQL: dict[str, str] = {}
