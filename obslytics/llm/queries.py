@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obslytics.llm import decontamination, embedding_dedup, jaccard_join, packing, pii, quality, sharding, suffix_dedup, warc
+from obslytics.llm import decontamination, embedding_dedup, jaccard_join, license_scan, packing, pii, quality, sharding, suffix_dedup, warc
 from obslytics.llm.common import read_table
 
 #: rows of an Arrow batch: whole texts are long, and a Python worker holds a batch at a time
@@ -31,6 +31,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"), license_scan.templates_frame(spark))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def prepared(fn):
 QUERIES = {name: prepared(fn) for name, fn in {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
+    "op3_license_scan": op3_license_scan,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_warc": op6_warc,
@@ -74,4 +79,4 @@ QUERIES = {name: prepared(fn) for name, fn in {
     "op10_pii": op10_pii,
 }.items()}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_license_scan": license_scan.sql()}
