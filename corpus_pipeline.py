@@ -31,13 +31,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates; of equal rows one, unless they have no words."""
     _ready(spark)
-    found = stored(jaccard_join.near_duplicates(docs), "near-duplicates")
+    found = stored(jaccard_join.near_duplicates(docs, keep_key=True), "near-duplicates")
     known = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    first = found.where("n_shingles > 0 and doc_id <=> component_id").select(known("doc_id").alias("id_key")).distinct()
-    keyed = docs.withColumn("id_key", known("doc_id"))
+    first = found.where("n_shingles > 0 and doc_id <=> component_id").select(known("doc_id").alias("id_key"), "text_key").distinct()
+    keyed = docs.withColumns({"id_key": known("doc_id"), "text_key": F.xxhash64("text")})
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = keyed.where(words).join(first, "id_key", "left_semi").dropDuplicates(["id_key", "text"])
-    return kept.union(keyed.where(~words)).select(*docs.columns)
+    kept = keyed.where(words).join(first, ["id_key", "text_key"], "left_semi").dropDuplicates(["id_key", "text_key"])
+    return kept.unionByName(keyed.where(~words)).select(*docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
