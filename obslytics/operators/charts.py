@@ -1,18 +1,21 @@
 """Aggregates behind the chart panels.
 
-Pivots use an explicit value list, which Spark plans as one hash aggregate
-with conditional counts (no second pass to discover the values).  Dense
+Pivots use an explicit value list, so no second pass discovers the values; Spark
+aggregates by key and pivot value first, then per key.  Dense
 outputs are made by a union with a tiny spine of keys, never by a cross join.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obslytics import schemas as S
 from obslytics.functions import features as X
 from obslytics.operators.ordered import minutes_between, ordered_index
+from obslytics.operators.summary import combine_rows
 
 CATEGORIES = [c for c, _ in S.CATEGORY_COLORS]
 HOURS = list(range(24))
@@ -182,39 +185,56 @@ def category_counts(df: DataFrame) -> DataFrame:
               .withColumn("color", X.category_color("behavioral_category")))
 
 
-# Above this many distinct values, exact quantiles (whose buffers hold one
-# entry per distinct value) give way to percentile_approx.
-EXACT_DISTINCT_LIMIT = 1_000_000
-
+QUANTILE_EDGES = 64
 
-def few_distinct(df: DataFrame, value: str, limit: int = EXACT_DISTINCT_LIMIT) -> bool:
-    """One HyperLogLog aggregate -> one number on the driver."""
-    return (df.agg(F.approx_count_distinct(value).alias("d")).first()["d"] or 0) <= limit
 
+def exact_quantiles(df: DataFrame, by: str, value: str, probabilities: list[float]) -> DataFrame:
+    """Rows (by, n, q): linearly interpolated quantiles of ``value`` per ``by``, exact at any size.
 
-def box_stats(df: DataFrame, by: str, value: str = "confidence", exact: bool | str = "auto",
-              accuracy: int = 10000) -> DataFrame:
+    Values are counted by multiplicity and dealt to ranges between
+    approximate quantiles of their group; sums over the ranges tell which
+    range holds a wanted rank, and only those are ordered.  The approximate
+    edges decide how evenly the work is dealt, never the result.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("m"))
+    edges = counted.groupBy(by).agg(
+        F.sum("m").alias("n"),
+        F.percentile_approx("v", [i / QUANTILE_EDGES for i in range(1, QUANTILE_EDGES)], 1000).alias("edges"))
+    same = lambda a, b: F.col(f"{a}.{by}").eqNullSafe(F.col(f"{b}.{by}"))
+    dealt = (counted.alias("c").join(_small(edges, by).alias("e"), same("c", "e"))
+             .select("c.*", "n", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("part")))
+    parts = dealt.groupBy(by, "part").agg(F.sum("m").alias("m"), F.first("n").alias("n"))
+    ahead = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("ahead", F.coalesce(F.sum("m").over(ahead), F.lit(0)))
+    at = [(F.col("n") - 1) * p for p in probabilities]
+    ranks = [r for x in at for r in (F.floor(x), F.ceil(x))]
+    holds = [(r >= F.col("ahead")) & (r < F.col("ahead") + F.col("m")) for r in ranks]
+    wanted = parts.filter(reduce(lambda a, b: a | b, holds)).select(by, "part", "ahead")
+    inside = (dealt.alias("c").join(wanted.alias("e"), same("c", "e") & (F.col("c.part") == F.col("e.part")))
+              .select("c.*", "ahead"))
+    order = Window.partitionBy(by, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("first", F.col("ahead") + F.coalesce(F.sum("m").over(order), F.lit(0)))
+    found = inside.groupBy(by).agg(F.first("n").alias("n"), *[
+        F.max(F.when((r >= F.col("first")) & (r < F.col("first") + F.col("m")), F.col("v"))).alias(f"r{i}") for i, r in enumerate(ranks)])
+    values = []
+    for i, x in enumerate(at):
+        low, high = F.col(f"r{2 * i}"), F.col(f"r{2 * i + 1}")
+        values.append(F.when(F.floor(x) == F.ceil(x), low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high))
+    return found.select(by, "n", F.array(*values).alias("q"))
+
+
+def box_stats(df: DataFrame, by: str, value: str = "confidence") -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and outlier count of ``value`` per ``by``.
 
-    Quartiles use linear interpolation (``percentile``; ``exact=False`` uses
-    ``percentile_approx``; ``"auto"`` picks exact while the value has at most
-    ``EXACT_DISTINCT_LIMIT`` distinct values, since exact buffers hold one
-    entry per distinct value).  The
-    second pass joins the per-group bounds back; the bounds table has one row
-    per group, broadcast when the key's domain is bounded (weekday, category).
+    Quartiles are exact (``exact_quantiles``).  The second pass joins the
+    per-group bounds back; the bounds table has one row per group, broadcast
+    when the key's domain is bounded (weekday, category).
     """
     # rows without a group are left out (as the reference's plots leave out NaN groups)
     df = df.filter(F.col(by).isNotNull())
     v = F.col(value)
-    if exact == "auto":
-        exact = few_distinct(df, value)
-    if exact:
-        qs = F.percentile(v, [0.25, 0.5, 0.75])
-    else:
-        qs = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).cast("array<double>")
-    q = (df.groupBy(by).agg(qs.alias("_q"), F.count(v).alias("n"))
-           .select(by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                   F.col("_q")[2].alias("q3")))
+    q = (exact_quantiles(df, by, value, [0.25, 0.5, 0.75])
+         .select(by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")))
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     # one more pass over the rows: the per-group quartiles ride along with the
@@ -230,42 +250,26 @@ def box_stats(df: DataFrame, by: str, value: str = "confidence", exact: bool | s
 
 
 def confidence_density(df: DataFrame, by: str = "behavioral_category", value: str = "confidence",
-                       points: int = 100, cut: float = 2.0, max_distinct: int = EXACT_DISTINCT_LIMIT) -> DataFrame:
+                       points: int = 100, cut: float = 2.0) -> DataFrame:
     """Gaussian KDE of ``value`` per group on ``points`` grid points from
     min - cut*bw to max + cut*bw, Scott bandwidth ``n^(-1/5) * std``.
 
-    Rows are first reduced to (group, distinct value, multiplicity), so the
-    grid x value product is bounded by the number of distinct values, not by
-    the row count.  The per-group grid (groups x points rows) is broadcast.
+    Pass 1 takes the moments per group; pass 2 adds each row's kernel at its
+    group's grid points, summed map-side.  The grid has groups x points rows.
     """
-    base = df.filter(F.col(by).isNotNull() & F.col(value).isNotNull())
-    if not few_distinct(base, value, max_distinct):
-        # very many distinct values: snap them to ``max_distinct`` levels over
-        # the value range first (error at most half a level, far below the bandwidth)
-        r = base.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-        lo = F.lit(float(r["lo"]))
-        step = F.lit(float(r["hi"] - r["lo"]) / max_distinct)
-        base = base.withColumn(value, lo + F.round((F.col(value) - lo) / step) * step)
-    vals = base.groupBy(by, value).agg(F.count(F.lit(1)).alias("m"))
-    stats = (vals.groupBy(by).agg(
-        F.sum("m").alias("n"),
-        F.min(value).alias("vmin"), F.max(value).alias("vmax"),
-        F.sum(F.col("m") * F.col(value)).alias("s1"),
-        F.sum(F.col("m") * F.col(value) * F.col(value)).alias("s2")))
-    # sample std from moments of the distinct-value table
-    var = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / (F.col("n") - 1)
-    stats = stats.withColumn("bw", F.pow(F.col("n"), -0.2) * F.sqrt(F.greatest(var, F.lit(0.0))))
-    stats = stats.filter(F.col("bw") > 0)
+    base = df.filter(F.col(by).isNotNull() & F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
+    stats = base.groupBy(by).agg(F.count("v").alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"), F.stddev_samp("v").alias("sd"))
+    stats = stats.withColumn("bw", F.pow(F.col("n"), -0.2) * F.col("sd")).filter(F.col("bw") > 0)
     lo = F.col("vmin") - cut * F.col("bw")
     hi = F.col("vmax") + cut * F.col("bw")
-    grid = stats.select(by, "n", "bw", F.posexplode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point", "_i"),
+    grid = stats.select(by, "n", "bw", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"),
                         lo.alias("_lo"), hi.alias("_hi"))
     grid = grid.select(by, "n", "bw", "point",
                        (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / (points - 1)).alias("x"))
-    z = (F.col("x") - F.col(value)) / F.col("bw")
-    k = F.col("m") * F.exp(-0.5 * z * z)
-    dens = (vals.join(_small(grid, by), by)
-                .groupBy(by, "point", "x", "n", "bw").agg(F.sum(k).alias("_s")))
+    z = (F.col("x") - F.col("v")) / F.col("bw")
+    dens = (base.join(_small(grid, by), by)
+                .groupBy(by, "point").agg(F.first("x").alias("x"), F.first("n").alias("n"), F.first("bw").alias("bw"),
+                                          F.sum(F.exp(-0.5 * z * z)).alias("_s")))
     return dens.select(by, "point", "x",
                        (F.col("_s") / (F.col("n") * F.col("bw") * F.lit((2 * 3.141592653589793) ** 0.5)))
                        .alias("density"))
@@ -278,22 +282,21 @@ def density(df: DataFrame, by: str = "behavioral_category", points: int = 100) -
 
 # --- gaps --------------------------------------------------------------------
 
-def gaps_by_activity(df: DataFrame, n_partitions: int | None = None) -> DataFrame:
+def gaps_by_activity(df: DataFrame) -> DataFrame:
     """Minutes since the previous event of the same type (NULL for the first)."""
     o = ordered_index(df.select("id", "activity_type", "timestamp"), ["activity_type"], "timestamp", "id",
-                      n_partitions=n_partitions, rn_col="_rn", prev_col="_prev")
+                      rn_col="_rn", prev_col="_prev")
     return o.select("id", "activity_type", minutes_between(F.col("timestamp"), F.col("_prev")).alias("gap_minutes"))
 
 
-def gap_minutes(df: DataFrame, n_partitions: int | None = None) -> DataFrame:
+def gap_minutes(df: DataFrame) -> DataFrame:
     """Minutes since the previous event in global time order.
 
     A global ``lag`` would pull every row into one task; the ordered index
-    range-partitions on time instead and carries each partition's last time
-    into the next.
+    works minute by minute and carries each minute's last time into the next.
     """
     o = ordered_index(df.select("id", "timestamp"), [], "timestamp", "id",
-                      n_partitions=n_partitions, rn_col="_rn", prev_col="_prev")
+                      rn_col="_rn", prev_col="_prev")
     return o.select("id", minutes_between(F.col("timestamp"), F.col("_prev")).alias("gap_minutes"))
 
 
@@ -324,16 +327,9 @@ def gap_histogram(gaps: DataFrame, bins: int = 30, limit: float = 120.0) -> Data
                          F.coalesce(F.col("n"), F.lit(0)).alias("n")))
 
 
-def gap_stats(gaps: DataFrame, limit: float = 120.0, exact: bool | str = "auto", accuracy: int = 100000) -> DataFrame:
-    """Mean and median of gaps below ``limit``.
-
-    Gaps are continuous, so an exact median's buffer grows with the row count
-    and is merged in one task; ``"auto"`` keeps it exact only while there are at
-    most ``EXACT_DISTINCT_LIMIT`` distinct gaps, else ``percentile_approx``.
-    """
-    g = _short(gaps, limit)
-    if exact == "auto":
-        exact = few_distinct(g, "gap_minutes")
-    med = F.median("gap_minutes") if exact else F.percentile_approx("gap_minutes", 0.5, accuracy)
-    return g.agg(F.count(F.lit(1)).alias("n"), F.avg("gap_minutes").alias("mean_gap"),
-                 med.cast("double").alias("median_gap"))
+def gap_stats(gaps: DataFrame, limit: float = 120.0) -> DataFrame:
+    """Mean and exact median of gaps below ``limit`` (one row, also without gaps)."""
+    g = _short(gaps, limit).withColumn("_all", F.lit(0))
+    med = exact_quantiles(g, "_all", "gap_minutes", [0.5]).select(F.col("q")[0].alias("median_gap"))
+    stats = g.agg(F.count(F.lit(1)).alias("n"), F.avg("gap_minutes").alias("mean_gap"))
+    return combine_rows(stats, med.agg(F.max("median_gap").alias("median_gap")))

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from obslytics import schemas as S
 
-# Above this many values a membership list is applied as a broadcast semi join
-# instead of an IN list (the list itself already lives on the driver, so its
-# size is known).
-_ISIN_LIMIT = 1000
+
+def instant(moment: _dt.datetime) -> F.Column:
+    """A point of time as a literal; a naive one is UTC, whatever the zone of
+    the Python process."""
+    moment = moment.replace(tzinfo=_dt.timezone.utc) if moment.tzinfo is None else moment
+    return F.timestamp_micros(F.lit((moment - _dt.datetime(1970, 1, 1, tzinfo=_dt.timezone.utc)) // _dt.timedelta(microseconds=1)))
 
 
 def by_session(df: DataFrame, session_id: str | None = None) -> DataFrame:
@@ -26,7 +28,7 @@ def since(df: DataFrame, as_of: _dt.datetime, days: float = 0, hours: float = 0,
     """trailing time bound ``ts >= as_of - interval`` (plus a date bound
     when the table is partitioned by ``date``)."""
     lo = as_of - _dt.timedelta(days=days, hours=hours)
-    out = df.filter(F.col(ts) >= F.lit(lo))
+    out = df.filter(F.col(ts) >= instant(lo))
     if "date" in df.columns:
         out = out.filter(F.col("date") >= F.lit(lo.date()))
     return out
@@ -48,11 +50,7 @@ def activity_types(df: DataFrame, types, col: str = "activity_type") -> DataFram
     if isinstance(types, DataFrame):
         keys = types.select(F.col(types.columns[0]).alias(col)).distinct()
         return df.join(keys, col, "left_semi")
-    types = list(types)
-    if len(types) <= _ISIN_LIMIT:
-        return df.filter(F.col(col).isin(*types))
-    keys = df.sparkSession.createDataFrame([(t,) for t in types], f"{col} string")
-    return df.join(F.broadcast(keys), col, "left_semi")
+    return df.filter(F.col(col).isin(*types))
 
 
 def significant_detections(df: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -82,25 +80,21 @@ def sample_frames(frames: DataFrame, stride: int = 10, cap: int = 100, double_re
     return frames.filter(keep)
 
 
-def short_gaps(df: DataFrame, col: str = "gap_minutes", limit: float = 120.0) -> DataFrame:
-    """drop missing gaps and gaps of ``limit`` minutes or more."""
-    return df.filter(F.col(col).isNotNull() & (F.col(col) < limit))
-
-
 def older_than(df: DataFrame, cutoff: _dt.datetime, ts: str = "timestamp") -> DataFrame:
     """rows a retention job removes (with a ``date`` bound on tables
     partitioned by day, so newer days are never read)."""
-    out = df.filter(F.col(ts) < F.lit(cutoff))
+    out = df.filter(F.col(ts) < instant(cutoff))
     if "date" in df.columns:
         out = out.filter(F.col("date") <= F.lit(cutoff.date()))
     return out
 
 
 def newer_than(df: DataFrame, cutoff: _dt.datetime, ts: str = "timestamp") -> DataFrame:
-    """F11 complement: rows a retention job keeps (older days pruned)."""
-    out = df.filter(F.col(ts) >= F.lit(cutoff))
+    """F11 complement: rows a retention job keeps, those without a time included
+    (older days pruned)."""
+    out = df.filter(~F.coalesce(F.col(ts) < instant(cutoff), F.lit(False)))
     if "date" in df.columns:
-        out = out.filter(F.col("date") >= F.lit(cutoff.date()))
+        out = out.filter((F.col("date") >= F.lit(cutoff.date())) | F.col("date").isNull())
     return out
 
 
@@ -110,9 +104,9 @@ def analytics_filter(df: DataFrame, start: _dt.datetime | None = None, end: _dt.
     """composable query over time range, types, session and confidence."""
     out = df
     if start is not None:
-        out = out.filter(F.col("timestamp") >= F.lit(start))
+        out = out.filter(F.col("timestamp") >= instant(start))
     if end is not None:
-        out = out.filter(F.col("timestamp") <= F.lit(end))
+        out = out.filter(F.col("timestamp") <= instant(end))
     if types is not None:
         out = activity_types(out, types)
     out = by_session(out, session_id)

@@ -46,7 +46,8 @@ def alert_details(alerts: DataFrame) -> DataFrame:
 def metrics_summary(metrics: DataFrame, as_of: _dt.datetime, hours: int = 24, by_host: bool = False) -> DataFrame:
     """avg/max/min CPU and memory, latest disk and process count,
     average process count, over the last ``hours``.  ``max_by`` gives the
-    latest value without a sort."""
+    latest value without a sort; of samples at the same time that of the
+    last host, then the highest value."""
     m = FL.since(metrics, as_of, hours=hours)
     keys = ["host"] if by_host else []
     return m.groupBy(*keys).agg(
@@ -56,17 +57,16 @@ def metrics_summary(metrics: DataFrame, as_of: _dt.datetime, hours: int = 24, by
         F.min("cpu_percent").alias("cpu_min"),
         F.avg("memory_percent").alias("memory_avg"), F.max("memory_percent").alias("memory_max"),
         F.min("memory_percent").alias("memory_min"),
-        F.max_by("disk_usage_percent", "timestamp").alias("disk_current"),
+        F.max_by("disk_usage_percent", F.struct("timestamp", "host", "disk_usage_percent")).alias("disk_current"),
         F.avg("process_count").alias("process_avg"),
-        F.max_by("process_count", "timestamp").alias("process_current"),
+        F.max_by("process_count", F.struct("timestamp", "host", "process_count")).alias("process_current"),
     )
 
 
-def keep_latest(metrics: DataFrame, n: int = 1000, key: str = "host", fan_in: int | None = None) -> DataFrame:
-    """The newest ``n`` samples per host: a window group limit, with a
-    middle level when the input has many partitions, so a host present in
-    every task never makes one task merge n rows from all of them (see
-    ``summary.top_n_per_group``)."""
+def keep_latest(metrics: DataFrame, n: int = 1000, key: str = "host", fan_in: int = 64) -> DataFrame:
+    """The newest ``n`` samples per host: a window group limit with a
+    middle level, so a host present in every task never makes one task merge n
+    rows from all of them (see ``summary.top_n_per_group``)."""
     from obslytics.operators.summary import top_n_per_group
     return top_n_per_group(metrics, key, [F.col("timestamp").desc()], n, fan_in)
 

@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from obslytics.operators import filters as FL
-from obslytics.operators.ordered import ordered_index
-from obslytics.session import num_partitions
+from obslytics.operators.ordered import hash_bucket, ordered_index
 
 
 # --- M1 scaling ------------------------------------------------------------------
@@ -172,7 +171,7 @@ def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.2,
     still spread over many tasks."""
     h = F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")))
     with_h = df.withColumn("_h", h)
-    out = ordered_index(with_h, [label], "_h", key, rn_col="_rn", prev_col=None, size_col="_n")
+    out = ordered_index(with_h, [label], "_h", key, rn_col="_rn", prev_col=None, size_col="_n", bucket=hash_bucket)
     return out.withColumn("split", F.when(F.col("_rn") <= F.round(F.col("_n") * fraction), "test")
                           .otherwise("train")).drop("_h", "_rn", "_n")
 
@@ -244,11 +243,9 @@ def train_svm(df: DataFrame, label: str = "label", features: str = "features", d
     z = random_fourier_features(df.select(label, features), features, dim, "_rff", n_features, seed=seed)
     idx = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(z)
     # the solver makes many passes: keep the projected features instead of
-    # re-running the Python projection on every pass, in partitions sized to
-    # the data (~50k rows each) so small inputs do not pay per-task overhead
+    # re-running the Python projection on every pass
     n = df.count()
-    parts = max(1, min(num_partitions(z), math.ceil(n / 50_000)))
-    z = idx.transform(z).select("_label", "_rff").coalesce(parts).persist()
+    z = idx.transform(z).select("_label", "_rff").persist()
     try:
         ovr = OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=max_iter),
                         labelCol="_label", featuresCol="_rff", predictionCol="_pred", parallelism=4)
@@ -288,11 +285,8 @@ def train_mlp(seq: DataFrame, label: str = "label", features: str = "features",
     """Multilayer perceptron on flattened sequences (replaces the
     recurrent network, which MLlib does not provide)."""
     n_in = len(seq.select(features).first()[0])
-    # L-BFGS makes one pass per iteration: keep the training rows, in
-    # partitions sized to the data (~50k rows each)
-    n = seq.count()
-    parts = max(1, min(num_partitions(seq), math.ceil(n / 50_000)))
-    data = seq.select(label, features).coalesce(parts).persist()
+    # L-BFGS makes one pass per iteration: keep the training rows
+    data = seq.select(label, features).persist()
     try:
         idx = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(data)
         n_out = len(idx.labels)

@@ -64,23 +64,19 @@ def flatten_sequences(seq: DataFrame, key: str = "session_id", label: str | None
     return g.select(key, "seq_index", *([label] if label else []), array_to_vector(flat).alias("features"))
 
 
-def statistical_features(df: DataFrame, key: str, value: str = "confidence", exact: bool | str = "auto",
-                         accuracy: int = 10000) -> DataFrame:
+def statistical_features(df: DataFrame, key: str, value: str = "confidence") -> DataFrame:
     """Mean, std, min, max, median, p25, p75, var, peak-to-peak, length
-    per key (population std/var; linear-interpolated percentiles, approximate
-    when the value has very many distinct values -- see ``charts.box_stats``)."""
-    from obslytics.operators.charts import few_distinct
+    per key (population std/var; exact interpolated percentiles, see
+    ``charts.exact_quantiles``)."""
+    from obslytics.operators.charts import exact_quantiles
     v = F.col(value)
-    if exact == "auto":
-        exact = few_distinct(df, value)
-    q = F.percentile(v, [0.5, 0.25, 0.75]) if exact else \
-        F.percentile_approx(v, [0.5, 0.25, 0.75], accuracy).cast("array<double>")
-    return (df.groupBy(key).agg(
+    q = exact_quantiles(df, key, value, [0.5, 0.25, 0.75]).select(F.col(key).alias("_key"), "q")
+    stats = df.groupBy(key).agg(
         F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        q.alias("_q"), F.var_pop(v).alias("var"), (F.max(v) - F.min(v)).alias("ptp"),
-        F.count(v).alias("length"))
-        .select(key, "mean", "std", "min", "max", F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p25"),
-                F.col("_q")[2].alias("p75"), "var", "ptp", "length"))
+        F.var_pop(v).alias("var"), (F.max(v) - F.min(v)).alias("ptp"), F.count(v).alias("length"))
+    return (stats.join(q, F.col(key).eqNullSafe(F.col("_key")), "left")
+            .select(key, "mean", "std", "min", "max", F.col("q")[0].alias("median"), F.col("q")[1].alias("p25"),
+                    F.col("q")[2].alias("p75"), "var", "ptp", "length"))
 
 
 def temporal_features(df: DataFrame, key: str = "session_id") -> DataFrame:

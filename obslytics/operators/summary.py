@@ -185,47 +185,40 @@ def alerts(df: DataFrame, as_of: _dt.datetime, session_id: str | None = None, ho
                       "session_id", F.count(F.lit(1)).over(Window.partitionBy()).alias("count"))
 
 
-def top_n_per_group(df: DataFrame, group: str, order: list, n: int, fan_in: int | None = None) -> DataFrame:
+#: buckets of the middle level of a top-n
+FAN_IN = 64
+
+
+def top_n_per_group(df: DataFrame, group: str, order: list, n: int, fan_in: int = FAN_IN) -> DataFrame:
     """The first ``n`` rows per ``group`` in ``order`` (a list of columns or
     sort expressions; remaining ties are broken by a hash of the row).
 
     ``row_number() <= n`` is planned as a window group limit: every map task
-    forwards at most n rows per group, and the last task of a group merges n
-    rows from each map task.  With many input partitions a middle level first
-    keeps n rows per (group, bucket of input partitions), so no task merges
-    more than about n x sqrt(tasks) rows even for a group present everywhere.
+    forwards at most n rows per group.  A middle level keeps n rows per
+    (group, one of ``fan_in`` buckets of input partitions), so the last task of
+    a group merges n x ``fan_in`` rows even for a group present everywhere.
     """
-    from obslytics.session import num_partitions
-    parts = num_partitions(df)
-    buckets = fan_in if fan_in is not None else (int(parts ** 0.5) + 1 if parts > 64 else 1)
     # a hash of the whole row breaks remaining ties, so both levels (and any
     # recomputation) keep the same rows
     hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     order = list(order) + ([F.xxhash64(*hashable)] if hashable else [])
-    out = df
-    if buckets > 1:
-        out = out.withColumn("_b", F.spark_partition_id() % buckets)
-        w1 = Window.partitionBy(group, "_b").orderBy(*order)
-        out = out.withColumn("_rn", F.row_number().over(w1)).filter(F.col("_rn") <= n).drop("_rn", "_b")
+    out = df.withColumn("_b", F.spark_partition_id() % fan_in)
+    w1 = Window.partitionBy(group, "_b").orderBy(*order)
+    out = out.withColumn("_rn", F.row_number().over(w1)).filter(F.col("_rn") <= n).drop("_rn", "_b")
     w = Window.partitionBy(group).orderBy(*order)
     return out.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def top_n(df: DataFrame, order: list, n: int, fan_in: int | None = None) -> DataFrame:
+def top_n(df: DataFrame, order: list, n: int, fan_in: int = FAN_IN) -> DataFrame:
     """The first ``n`` rows in ``order`` (ending in a unique key), sorted.
 
-    ``orderBy().limit()`` plans as a top-k whose final merge takes n rows from
-    every task in one task; with many input partitions a middle level first
-    keeps n rows per bucket of tasks, so that merge sees about
-    n x sqrt(tasks) rows instead of n x tasks.
+    ``orderBy().limit()`` alone would merge n rows from every task in one
+    task; a middle level first keeps n rows per bucket of input partitions, so
+    that merge sees at most n x ``fan_in`` rows.
     """
-    from obslytics.session import num_partitions
-    parts = num_partitions(df)
-    buckets = fan_in if fan_in is not None else (int(parts ** 0.5) + 1 if parts > 64 else 1)
-    if buckets > 1:
-        df = df.withColumn("_b", F.spark_partition_id() % buckets)
-        w = Window.partitionBy("_b").orderBy(*order)
-        df = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn", "_b")
+    df = df.withColumn("_b", F.spark_partition_id() % fan_in)
+    w = Window.partitionBy("_b").orderBy(*order)
+    df = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn", "_b")
     return df.orderBy(*order).limit(n)
 
 
@@ -234,35 +227,18 @@ def first_per_group(df: DataFrame, group: str, order: str, n: int = 10) -> DataF
     return top_n_per_group(df, group, [F.col(order)], n)
 
 
-def bounded_sample(df: DataFrame, n: int = 1000, seed: int = 42, key: str = "id",
-                   oversample: float = 4.0) -> DataFrame:
+def bounded_sample(df: DataFrame, n: int = 1000, seed: int = 42, key: str = "id") -> DataFrame:
     """Repeatable sample of at most ``n`` rows: the n smallest
-    ``md5(seed || key)``.
-
-    The hash is uniform, so rows whose hash lies below the fraction
-    ``oversample * n / N`` are about ``oversample * n`` candidates and contain
-    the n smallest whenever at least n pass (checked; otherwise all rows are
-    ranked).  The final top-k then merges a few thousand rows instead of n
-    rows from every task.  Same result as ranking every row.
+    ``md5(seed || key)``, by the two-level top-n.
     """
-    from obslytics.session import num_partitions
     h = F.md5(F.concat(F.lit(str(seed)), F.col(key).cast("string")))
-    ranked = df.withColumn("_h", h)
-    if num_partitions(df) <= 64:  # few tasks: the plain top-k merge is already small
-        return top_n(ranked, [F.col("_h")], n).drop("_h")
-    total = df.count()
-    if total > oversample * n:
-        # first 13 hex digits = 52 bits: exact in a double, monotone in the hash
-        u = F.conv(F.substring("_h", 1, 13), 16, 10).cast("double") / float(16 ** 13)
-        cand = ranked.filter(u < F.lit(oversample * n / total))
-        if cand.count() >= n:
-            ranked = cand
-    return top_n(ranked, [F.col("_h")], n).drop("_h")
-
-
-def first_labels(labels: DataFrame, n: int = 8) -> DataFrame:
-    """First ``n`` label items of each record."""
-    return labels.withColumn("labels", F.slice("labels", 1, n))
+    return top_n(df.withColumn("_h", h), [F.col("_h"), F.col(key)], n).drop("_h")
+
+
+def first_label_records(labels: DataFrame, n: int = 8) -> DataFrame:
+    """The newest ``n`` label records, with the full number of their labels."""
+    newest = top_n(labels, [F.col("timestamp").desc(), F.col("id")], n)
+    return newest.withColumn("n_labels", X.label_count("labels"))
 
 
 def label_stats(labels: DataFrame, name: str | None = None) -> DataFrame:

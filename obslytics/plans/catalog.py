@@ -154,9 +154,9 @@ FROM activities""")
 def q_confidence_filters(spark, sf):
     """F4/F6/F7/F14 (counts of each filter's output)."""
     df = acts(spark, sf).select("confidence")
-    c = F.col("confidence")
-    return df.agg(F.count_if(c >= 0.7).alias("at_least_70"), F.count_if(c > 0.6).alias("stored_over_60"),
-                  F.count_if(c > 0.7).alias("notify_over_70"), F.count_if(c > 0.8).alias("over_80"))
+    n = F.count(F.lit(1))
+    return SM.combine_rows(FL.min_confidence(df, 0.7).agg(n.alias("at_least_70")), FL.significant_detections(df).agg(n.alias("stored_over_60")),
+                           FL.notify(df).agg(n.alias("notify_over_70")), FL.min_confidence(df, 0.8, strict=True).agg(n.alias("over_80")))
 
 
 # --- summary (A1) ------------------------------------------------------------------
@@ -669,13 +669,22 @@ SELECT id, len(labels) AS n_labels, len(labels) > 0 AS has_label,
        list_contains(labels, 'toxic') AS has_toxic, coalesce(labels[1], '') AS first_label
 FROM labeling""")
 def q_label_stats(spark, sf):
-    """P19/L9."""
-    lab = SM.first_labels(A.load_labeling(spark, sf), 8)
+    """P19."""
+    lab = A.load_labeling(spark, sf)
     return lab.select("id", X.label_count("labels").alias("n_labels"), X.has_label("labels").alias("has_label"),
                       X.has_label("labels", "toxic").alias("has_toxic"),
                       F.coalesce(F.try_element_at("labels", F.lit(1))["activity"], F.lit("")).alias("first_label"))
 
 
+@register("first_label_records", f"""
+SELECT id, {O.TS_TEXT.format(c='"timestamp"')} AS ts, len(labels) AS n_labels
+FROM labeling ORDER BY "timestamp" DESC, id LIMIT 8""")
+def q_first_label_records(spark, sf):
+    """The newest eight label records with all their labels counted."""
+    df = SM.first_label_records(A.load_labeling(spark, sf), 8)
+    return df.select("id", X.ts_text("timestamp").alias("ts"), "n_labels")
+
+
 # --- metrics ------------------------------------------------------------------------
 
 def metrics(spark, sf):
@@ -1017,19 +1026,18 @@ def q_sql_functions(spark, sf):
                  FROM obs_activities WHERE timestamp >= TIMESTAMP '2024-01-01 00:00:00'),
            p AS (SELECT behavioral_category AS category, sum(frequency) AS n, avg(avg_confidence) AS c
                  FROM (SELECT activity_type, first(behavioral_category) AS behavioral_category, count(*) AS frequency,
-                              avg(confidence) AS avg_confidence FROM e GROUP BY activity_type) GROUP BY 1)
-      SELECT e.time_period, e.confidence_band, e.behavioral_category, count(*) AS n,
-             min(risk_level(p.category, p.n, p.c)) AS risk_level
-      FROM e LEFT JOIN p ON p.category = e.behavioral_category
-      GROUP BY 1, 2, 3""")
+                              avg(confidence) AS avg_confidence FROM e GROUP BY activity_type) GROUP BY 1),
+           g AS (SELECT time_period, confidence_band, behavioral_category, count(*) AS n FROM e GROUP BY 1, 2, 3)
+      SELECT g.time_period, g.confidence_band, g.behavioral_category, g.n, risk_level(p.category, p.n, p.c) AS risk_level
+      FROM g LEFT JOIN p ON p.category = g.behavioral_category""")
 
 
 @register("rejected_rows", """
-SELECT cast(event_id AS VARCHAR) AS id, 'range:confidence' AS reason FROM events WHERE value / 100.0 > 1.0""")
+SELECT cast(event_id AS VARCHAR) AS id, 'range:confidence' AS reasons FROM events WHERE value / 100.0 > 1.0""")
 def q_rejected_rows(spark, sf):
     """Validation of raw detection records built from every event with the
     confidence unclamped (``value / 100``) and the time as text; records whose
-    confidence falls outside [0, 1] are rejected with their reason."""
+    confidence falls outside [0, 1] are rejected with all their reasons."""
     from obslytics.sources import readers as RD
     ev = A.table(spark, sf, "events")
     raw = ev.select(F.col("event_id").cast("string").alias("id"), F.col("ts").cast("string").alias("timestamp"),
@@ -1037,7 +1045,7 @@ def q_rejected_rows(spark, sf):
                     F.lit("raw").alias("description"), F.lit("live").alias("video_source"),
                     F.concat(F.lit("session_"), F.col("user_id").cast("string")).alias("session_id"))
     _, rejected = RD.split_valid(raw, S.ACTIVITIES, ranges={"confidence": (0.0, 1.0)})
-    return rejected.select("id", F.element_at("reasons", 1).alias("reason"))
+    return rejected.select("id", F.array_join("reasons", ",").alias("reasons"))
 
 
 # --- streaming (batch-equal results) ------------------------------------------------------

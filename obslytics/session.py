@@ -48,16 +48,15 @@ def apply_sql_defaults(spark: SparkSession) -> SparkSession:
 
 
 def configure_for_scale(spark: SparkSession, input_bytes: int, split_bytes: int = 256 << 20,
-                        shuffle_target_bytes: int = 128 << 20, max_partitions: int = 200_000) -> dict:
+                        shuffle_target_bytes: int = 128 << 20) -> dict:
     """Size splits and shuffles for an input of ``input_bytes``.
 
     Input splits of 256 MB keep the task count of a 100 TB scan near 400k.
-    The initial shuffle partition count is the input size over 128 MB,
-    bounded, so every shuffle block stays far below executor memory; AQE then
+    The initial shuffle partition count is the input size over 128 MB, so every shuffle block stays far below executor memory; AQE then
     coalesces small shuffles toward the advisory size and splits skewed ones.
     Returns the settings applied.
     """
-    shuffle = max(8, min(max_partitions, -(-input_bytes // shuffle_target_bytes)))
+    shuffle = max(8, -(-input_bytes // shuffle_target_bytes))
     conf = {
         "spark.sql.files.maxPartitionBytes": str(split_bytes),
         "spark.sql.shuffle.partitions": str(shuffle),
@@ -70,15 +69,6 @@ def configure_for_scale(spark: SparkSession, input_bytes: int, split_bytes: int
     return conf
 
 
-def num_partitions(df) -> int:
-    """Partitions of ``df``'s plan (input splits for a scan); the configured
-    shuffle partitions where the RDD view is not available (Spark Connect)."""
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001
-        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _conf(spark: SparkSession, key: str) -> str | None:
     try:
         return spark.conf.get(key)

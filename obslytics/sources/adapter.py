@@ -36,7 +36,7 @@ def activities_from_events(events: DataFrame, since: _dt.datetime | None = None,
     ``props.k`` (a sequence feature) without a second pass over the events.
     """
     if since is not None:
-        events = events.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
+        events = events.filter(F.col("ts") >= F.lit(since.isoformat(" ")).cast("timestamp_ntz"))
     # block of three classes per event type (NULL for an unknown type)
     block = F.try_element_at(F.create_map(*[F.lit(x) for i, t in enumerate(S.EVENT_TYPE_ORDER)
                                             for x in (t, i * 3 + 1)]), F.col("event_type"))

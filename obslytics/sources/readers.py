@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from obslytics import schemas as S
 from obslytics.functions import features as X
+from obslytics.operators import filters as FL
 
 
 def since_bound(as_of: _dt.datetime, days: float | None = None, hours: float | None = None) -> _dt.datetime:
@@ -17,7 +18,7 @@ def since_bound(as_of: _dt.datetime, days: float | None = None, hours: float | N
 
 
 def _time_bound(df: DataFrame, lo: _dt.datetime, ts: str = "timestamp") -> DataFrame:
-    out = df.filter(F.col(ts) >= F.lit(lo))
+    out = df.filter(F.col(ts) >= FL.instant(lo))
     if "date" in df.columns:  # partition column of stored tables: prune whole days
         out = out.filter(F.col("date") >= F.lit(lo.date()))
     return out

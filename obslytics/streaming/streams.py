@@ -30,18 +30,22 @@ from obslytics.sources import adapter as A
 WATERMARK = "10 minutes"
 
 
-def events_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+def events_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Driver ``events`` files as a stream (schema given, never inferred).
 
     ``path`` is a folder of parquet files, or one file, in which case its
-    folder is watched for files with that name.
+    folder is watched for files with that name.  Spark's own listing tells
+    which, so the path may be in any store.  ``max_files`` limits the files of
+    a micro-batch; without it a batch takes all new files.
     """
-    import os
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if path.endswith(".parquet") and not os.path.isdir(path):
-        reader = reader.option("pathGlobFilter", os.path.basename(path))
-        path = os.path.dirname(path)
+    known = spark.read.parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    reader = spark.readStream.schema(known.schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    files = known.inputFiles()
+    if len(files) == 1 and files[0].endswith(f"/{name}") and not files[0].endswith(f"/{name}/{name}"):
+        return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 

@@ -138,23 +138,24 @@ def test_recommendations_order(spark):
     assert recs[-1].startswith("Good balance") and len(recs) == 5
 
 
-def test_box_stats_approx_close_to_exact(spark):
-    from obslytics.plans import catalog
-    df = catalog.enriched(spark, "/root/testdata/sf0.01")
-    ex = {r["day_of_week"]: r for r in C.box_stats(df, "day_of_week", exact=True).collect()}
-    ap = {r["day_of_week"]: r for r in C.box_stats(df, "day_of_week", exact=False).collect()}
-    for d in ex:
-        assert abs(ex[d]["median"] - ap[d]["median"]) < 0.01
-        assert ex[d]["n"] == ap[d]["n"]
-
-
-def test_density_snapping_close_to_exact(spark):
-    from obslytics.plans import catalog
-    df = catalog.enriched(spark, "/root/testdata/sf0.01")
-    ex = {(r[0], r[1]): r["density"] for r in C.confidence_density(df).collect()}
-    sn = {(r[0], r[1]): r["density"] for r in C.confidence_density(df, max_distinct=500).collect()}
-    assert ex.keys() == sn.keys()
-    assert max(abs(ex[k] - sn[k]) for k in ex) < 0.05 * max(ex.values())
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(11)
+    values = np.concatenate([rng.lognormal(0, 4, 30000), np.repeat(0.5, 15000)])  # more distinct values than edges, and a heavy one
+    groups = rng.choice(["hot", "hot", "hot", "a", "b"], len(values))
+    df = spark.createDataFrame([*zip(groups.tolist(), values.tolist()), ("one", 3.0), (None, 1.0), (None, 2.0), ("none", None)], "g string, v double")
+    got = {r["g"]: (r["n"], list(r["q"])) for r in C.exact_quantiles(df, "g", "v", [0.0, 0.25, 0.5, 0.75, 1.0]).collect()}
+    for g in ("hot", "a", "b"):
+        want = np.quantile(values[groups == g], [0, 0.25, 0.5, 0.75, 1])
+        assert got[g][0] == (groups == g).sum() and np.allclose(got[g][1], want, rtol=1e-12)
+    assert got["one"] == (1, [3.0] * 5) and got[None] == (2, [1.0, 1.25, 1.5, 1.75, 2.0]) and "none" not in got
+
+
+def test_median_of_more_than_a_million_distinct_values(spark):
+    n = 1_200_001
+    gaps = spark.range(n).select(((F.col("id") * 7919) % n / n * 100.0).alias("gap_minutes"))
+    row = C.gap_stats(gaps).first()
+    assert row["n"] == n and abs(row["median_gap"] - (n // 2) / n * 100.0) < 1e-9
 
 
 def test_bounded_sample_equals_full_ranking(spark):

@@ -119,7 +119,7 @@ def test_configure_for_scale(spark):
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")}
     try:
         conf = configure_for_scale(spark, 100 * 10 ** 12)
-        assert int(conf["spark.sql.shuffle.partitions"]) == 200_000  # 100 TB / 128 MB, capped
+        assert int(conf["spark.sql.shuffle.partitions"]) == -(-100 * 10 ** 12 // (128 << 20))
         assert configure_for_scale(spark, 10 ** 9)["spark.sql.shuffle.partitions"] == "8"
     finally:
         for k, v in before.items():

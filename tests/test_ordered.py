@@ -2,6 +2,7 @@
 holding most of the rows."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ def test_hot_key_matches_window(spark):
     base = dt.datetime(2024, 1, 1)
     rows = [("hot" if i % 4 else f"k{i % 7}", base + dt.timedelta(seconds=(i * 7919) % 5000), i) for i in range(3000)]
     df = spark.createDataFrame(rows, "key string, ts timestamp, tie long")
-    got = ordered_index(df, ["key"], "ts", "tie", n_partitions=16)
+    got = ordered_index(df, ["key"], "ts", "tie")
     w = Window.partitionBy("key").orderBy("ts", "tie")
     want = df.withColumn("rn", F.row_number().over(w)).withColumn("prev", F.lag("ts").over(w))
     a = sorted(got.select("key", "tie", "rn", "prev").collect())
@@ -23,42 +24,41 @@ def test_hot_key_matches_window(spark):
 
 def test_global_order(spark):
     df = spark.range(2000).select(((F.col("id") * 37) % 2000).alias("ts"), F.col("id").alias("tie"))
-    got = ordered_index(df, [], "ts", "tie", n_partitions=8)
+    got = ordered_index(df, [], "ts", "tie", bucket=lambda c: F.floor(F.col(c) / 100))
     rows = got.select("ts", "rn", "prev").collect()
     assert all(r["rn"] == r["ts"] + 1 for r in rows)
     assert all((r["prev"] is None) == (r["ts"] == 0) for r in rows)
     assert all(r["prev"] is None or r["prev"] == r["ts"] - 1 for r in rows)
 
 
-def test_hot_key_is_spread_over_partitions(spark):
-    """A key holding 3/4 of the rows lands in many range partitions of
-    similar size, not in one task."""
-    from obslytics.operators.ordered import range_partitioned
+def test_rows_are_shuffled_once_by_bucket(spark):
+    """A key holding 3/4 of the rows is dealt by minute: one exchange of rows, no checkpoint, no sort of a whole key."""
     base = dt.datetime(2024, 1, 1)
-    n = 40000
-    rows = [("hot" if i % 4 else f"k{i % 50}", base + dt.timedelta(seconds=i), i) for i in range(n)]
+    rows = [("hot" if i % 4 else f"k{i % 50}", base + dt.timedelta(seconds=i), i) for i in range(40000)]
     df = spark.createDataFrame(rows, "key string, ts timestamp, tie long")
-    r = range_partitioned(df, ["key", "ts", "tie"], 16)
-    sizes = [row["c"] for row in r.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect()]
-    hot_parts = r.filter("key = 'hot'").select("_pid").distinct().count()
-    assert hot_parts >= 10                      # the hot key spans most partitions
-    assert max(sizes) < 2.5 * n / 16            # and no partition is far above the mean
+    out = ordered_index(df, ["key"], "ts", "tie")
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    # the rows; the partial aggregate over the same buckets; that aggregate by key
+    assert plan.count("Exchange hashpartitioning(_g#") == 3 and len(re.findall(r"hashpartitioning\(_g#\d+\.key", plan)) == 1
+    assert "rangepartitioning" not in plan and "Scan ExistingRDD Checkpoint" not in plan
+    assert out.groupBy("key", F.date_trunc("minute", "ts")).count().agg(F.max("count")).first()[0] <= 60
 
 
 def test_ordered_index_property(spark):
-    """Random keys (with a dominant one), repeated timestamps and partition
-    counts: the ordered index always equals a plain window."""
+    """Random keys (with a dominant one), repeated timestamps and bucket
+    widths: the ordered index always equals a plain window."""
     from hypothesis import given, settings, strategies as st, HealthCheck
 
     row = st.tuples(st.sampled_from(["hot", "hot", "hot", "a", "b", None]), st.integers(0, 50))
 
     @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
-    @given(rows=st.lists(row, min_size=1, max_size=80), parts=st.integers(1, 8))
-    def check(rows, parts):
+    @given(rows=st.lists(row, min_size=1, max_size=80), width=st.integers(1, 30))
+    def check(rows, width):
         base = dt.datetime(2024, 1, 1)
         data = [(k, base + dt.timedelta(seconds=s), i) for i, (k, s) in enumerate(rows)]
         df = spark.createDataFrame(data, "key string, ts timestamp, tie long")
-        got = ordered_index(df, ["key"], "ts", "tie", n_partitions=parts)
+        got = ordered_index(df, ["key"], "ts", "tie", bucket=lambda c: F.floor(F.unix_seconds(F.col(c)) / width))
         w = Window.partitionBy("key").orderBy("ts", "tie")
         want = df.withColumn("rn", F.row_number().over(w)).withColumn("prev", F.lag("ts").over(w))
         cols = ["key", "tie", "rn", "prev"]
