@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from obslytics.llm.common import components, stored, union_find
 
 SAMPLE = 20_000     # vectors that the trees are fitted on
-TREES = 8
-LEAF = 300          # vectors aimed at in a leaf
+TREES = 6
+LEAF = 250          # vectors aimed at in a leaf
 BLOCK = 1024        # vectors of one side of a comparison
-MARGIN = 0.6        # of the spread that a pair at the threshold has along a random direction
+MARGIN = 0.35       # of the spread that a pair at the threshold has along a random direction
 
 
 class Tree:
