@@ -1091,13 +1091,14 @@ SELECT strftime(time_bucket(INTERVAL 1 HOUR, "timestamp"), '%Y-%m-%d %H:%M:%S.%f
        strftime(time_bucket(INTERVAL 1 HOUR, "timestamp") + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS window_end,
        host, count(*) AS samples, round(avg(cpu_percent), 6) AS cpu_avg, round(max(cpu_percent), 6) AS cpu_max,
        round(avg(memory_percent), 6) AS memory_avg, count(*) FILTER (WHERE cpu_percent > 80) AS cpu_alerts
-FROM metrics GROUP BY 1, 2, 3""")
+FROM metrics GROUP BY time_bucket(INTERVAL 1 HOUR, "timestamp"), host
+HAVING time_bucket(INTERVAL 1 HOUR, "timestamp") + INTERVAL 1 HOUR <= (SELECT max("timestamp") FROM metrics) - INTERVAL 10 MINUTE""")
 def q_stream_health(spark, sf):
-    """Hourly tumbling health windows per host (complete mode)."""
+    """Hourly tumbling health windows per host that the watermark closed (append mode)."""
     from obslytics.streaming import streams as ST
     out, chk = _stream_dirs(spark, "health")
     s = ST.stream_health(ST.metrics_stream(spark, f"{sf}/events.parquet"), "1 hour")
-    return ST.run_to_table(s, out, chk, "complete")
+    return ST.run_to_table(s, out, chk, "append")
 
 
 @register("stream_concerning", f"""
@@ -1108,13 +1109,13 @@ SELECT strftime(ws, '%Y-%m-%d %H:%M:%S.%f') AS window_start,
        strftime(ws + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S.%f') AS window_end,
        count(DISTINCT activity_type) AS concerning_types, count(*) AS events,
        'Detected ' || cast(count(DISTINCT activity_type) AS VARCHAR) || ' concerning behavioral patterns' AS message
-FROM w GROUP BY ws HAVING count(DISTINCT activity_type) > 1""")
+FROM w GROUP BY ws HAVING count(DISTINCT activity_type) > 1 AND ws + INTERVAL 1 DAY <= (SELECT max("timestamp") FROM c) - INTERVAL 10 MINUTE""")
 def q_stream_concerning(spark, sf):
-    """T4: sliding-day Concerning-type alerts (complete mode)."""
+    """T4: sliding-day Concerning-type alerts of the windows that the watermark closed (append mode)."""
     from obslytics.streaming import streams as ST
     out, chk = _stream_dirs(spark, "concerning")
     s = ST.stream_concerning(ST.activities_stream(spark, f"{sf}/events.parquet"), "1 day", "30 minutes", 1)
-    return ST.run_to_table(s, out, chk, "complete")
+    return ST.run_to_table(s, out, chk, "append")
 
 
 @register("stream_detections", f"""
@@ -1261,13 +1262,13 @@ w AS (SELECT time_bucket(INTERVAL 5 MINUTE, "timestamp") - i * INTERVAL 5 MINUTE
       FROM a, range(12) r(i))
 SELECT strftime(ws, '%Y-%m-%d %H:%M:%S.%f') AS window_start,
        strftime(ws + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS window_end, session_id, count(*) AS alerts
-FROM w GROUP BY 1, 2, 3""")
+FROM w GROUP BY ws, session_id HAVING ws + INTERVAL 1 HOUR <= (SELECT max("timestamp") FROM a) - INTERVAL 10 MINUTE""")
 def q_stream_alert_windows(spark, sf):
-    """T2 windows: alerts per session over a 1-hour window sliding by 5 minutes."""
+    """T2 windows: alerts per session over a 1-hour window sliding by 5 minutes, once the watermark closed it (append mode)."""
     from obslytics.streaming import streams as ST
     out, chk = _stream_dirs(spark, "alert_windows")
     s = ST.stream_alert_windows(ST.activities_stream(spark, f"{sf}/events.parquet"), "1 hour", "5 minutes")
-    return ST.run_to_table(s, out, chk, "complete")
+    return ST.run_to_table(s, out, chk, "append")
 
 
 @register("time_features", """
@@ -1283,13 +1284,14 @@ SELECT strftime(time_bucket(INTERVAL 1 DAY, "timestamp"), '%Y-%m-%d %H:%M:%S.%f'
        strftime(time_bucket(INTERVAL 1 DAY, "timestamp") + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S.%f') AS window_end,
        host, count(*) AS samples, round(avg(cpu_percent), 6) AS cpu_avg, round(max(cpu_percent), 6) AS cpu_max,
        round(avg(memory_percent), 6) AS memory_avg, count(*) FILTER (WHERE cpu_percent > 80) AS cpu_alerts
-FROM metrics GROUP BY 1, 2, 3""")
+FROM metrics GROUP BY time_bucket(INTERVAL 1 DAY, "timestamp"), host
+HAVING time_bucket(INTERVAL 1 DAY, "timestamp") + INTERVAL 1 DAY <= (SELECT max("timestamp") FROM metrics) - INTERVAL 10 MINUTE""")
 def q_stream_daily_health(spark, sf):
-    """Midnight 24-hour summary per host (tumbling 1-day window)."""
+    """Midnight 24-hour summary per host (tumbling 1-day window) of the days that the watermark closed (append mode)."""
     from obslytics.streaming import streams as ST
     out, chk = _stream_dirs(spark, "daily_health")
     s = ST.stream_health(ST.metrics_stream(spark, f"{sf}/events.parquet"), "1 day")
-    return ST.run_to_table(s, out, chk, "complete")
+    return ST.run_to_table(s, out, chk, "append")
 
 
 # --- jobs that write (under the checkpoint folder) and report what they wrote ------------
@@ -1325,6 +1327,68 @@ def q_retention_kept(spark, sf):
                     F.min("date").cast("string").alias("first_day"))
 
 
+def _scratch(spark, name):
+    import uuid
+    from obslytics.session import checkpoint_dir
+    return f"{checkpoint_dir(spark)}/{name}/{uuid.uuid4().hex}"
+
+
+@register("appended_activities", f"""
+SELECT id, {O.TS_TEXT.format(c='"timestamp"')} AS ts, activity_type, confidence,
+       CASE WHEN activity_type IN ({O.ALERTABLE}) THEN '{S.AI_UNAVAILABLE}' ELSE NULL END AS ai_analysis
+FROM activities""")
+def q_appended_activities(spark, sf):
+    """Detections appended in two batches to a stored table, read back."""
+    path = _scratch(spark, "appended-activities")
+    raw = acts(spark, sf).drop("ai_analysis")
+    for half in (F.col("video_source") == "live", F.col("video_source") != "live"):
+        R.append_activities(raw.filter(half), path)
+    return spark.read.parquet(path).select("id", X.ts_text("timestamp").alias("ts"), "activity_type", "confidence", "ai_analysis")
+
+
+@register("appended_labels", f"""
+SELECT id, {O.TS_TEXT.format(c='"timestamp"')} AS ts, len(labels) AS n_labels FROM labeling""")
+def q_appended_labels(spark, sf):
+    """Label records appended to a stored table, read back."""
+    path = _scratch(spark, "appended-labels")
+    R.append_labels(A.load_labeling(spark, sf), path)
+    return spark.read.parquet(path).select("id", X.ts_text("timestamp").alias("ts"), X.label_count("labels").alias("n_labels"))
+
+
+@register("stored_detections", f"""
+, d AS (SELECT upload_id, frame_index, {_BOX_RULE} FROM frames)
+SELECT 'upload_' || upload_id AS session_id, activity_type, count(*) AS n, round(sum(confidence), 6) AS conf_sum
+FROM d WHERE confidence > 0.6 GROUP BY 1, 2""")
+def q_stored_detections(spark, sf):
+    """Detections above 0.6 shaped as activity rows, stored and read back; ids are distinct."""
+    from obslytics.operators import sequences as SQ
+    path = _scratch(spark, "stored-detections")
+    R.append_activities(SQ.ingest_detections(A.load_frames(spark, sf), "uploaded"), path)
+    return (spark.read.parquet(path).groupBy("session_id", "activity_type")
+            .agg(F.count_distinct("id").alias("n"), F.sum("confidence").alias("conf_sum")))
+
+
+@register("payload_round_trip", """
+SELECT doc_id, strlen(text) AS n_bytes, md5(text) AS digest FROM documents""")
+def q_payload_round_trip(spark, sf):
+    """Payloads as base64 text, every other one as a data URL, decoded to the same bytes."""
+    docs = A.table(spark, sf, "documents")
+    coded = F.base64(F.encode("text", "UTF-8"))
+    sent = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("data:text/plain;base64,"), coded)).otherwise(coded).alias("video_frame"))
+    raw = X.decode_payload("video_frame")
+    return sent.select("doc_id", F.octet_length(raw).alias("n_bytes"), F.md5(raw).alias("digest"))
+
+
+@register("delivered_alerts", f"""
+SELECT id, activity_type, session_id, count(*) AS n FROM activities WHERE activity_type IN ({O.ALERTABLE}) GROUP BY 1, 2, 3""")
+def q_delivered_alerts(spark, sf):
+    """Alerts delivered to a table by batch, each once."""
+    from obslytics.streaming import streams as ST
+    out, chk = _stream_dirs(spark, "delivered")
+    ST.alerts_sink(ST.stream_alerts(ST.activities_stream(spark, f"{sf}/events.parquet")), out, chk).awaitTermination()
+    return spark.read.parquet(out).groupBy("id", "activity_type", "session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("model_comparison")
 def q_model_comparison(spark, sf):
     """M7/M12/M14/M17/M21 end to end: 10-step sequences -> flattened vectors ->
