@@ -126,15 +126,6 @@ def category_color(category="behavioral_category") -> Column:
     return F.coalesce(_lookup(S.CATEGORY_COLORS, _c(category)), F.lit(S.DEFAULT_COLOR))
 
 
-def add_color(df: DataFrame, activity: str = "activity_type",
-              category: str = "behavioral_category") -> DataFrame:
-    """Display colours of the activity and (when present) its category."""
-    out = df.withColumn("activity_color", activity_color(activity))
-    if category in df.columns:
-        out = out.withColumn("category_color", category_color(category))
-    return out
-
-
 def is_alertable(activity="activity_type") -> Column:
     """P20."""
     return _c(activity).isin(*S.ALERTABLE)

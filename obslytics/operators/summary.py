@@ -95,17 +95,6 @@ def chart_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def data_summary(df: DataFrame) -> DataFrame:
-    """Count, 'min to max' time range, distinct activity types."""
-    t = type_stats(df)
-    return t.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_activities"),
-        F.coalesce(F.concat_ws(" to ", py_ts_text(F.min("t_min")), py_ts_text(F.max("t_max"))),
-                   F.lit("No data")).alias("date_range"),
-        F.count("activity_type").alias("unique_activity_types"),
-    )
-
-
 def distinct_types(df: DataFrame, approx: bool = False) -> DataFrame:
     """Number of distinct activity types."""
     agg = F.approx_count_distinct if approx else F.count_distinct

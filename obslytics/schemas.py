@@ -138,7 +138,3 @@ TAXONOMY_SCHEMA = T.StructType([
 def taxonomy(spark: SparkSession) -> DataFrame:
     """The 15-row activity dimension; small by construction, safe to broadcast."""
     return spark.createDataFrame(TAXONOMY, TAXONOMY_SCHEMA)
-
-
-def category_colors(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CATEGORY_COLORS, "behavioral_category string, category_color string")

@@ -254,12 +254,6 @@ def test_two_level_top_n_global(spark):
     assert one == two and len(one) == 200
 
 
-def test_add_color_defaults(spark):
-    df = spark.createDataFrame([("sitting", "Calm"), ("dancing", None)], "activity_type string, behavioral_category string")
-    got = {r["activity_type"]: (r["activity_color"], r["category_color"]) for r in X.add_color(df).collect()}
-    assert got == {"sitting": ("#90EE90", "#2E8B57"), "dancing": ("#808080", "#808080")}
-
-
 def test_bounded_sample_candidate_path(spark):
     from obslytics.plans import catalog
     a = catalog.acts(spark, "/root/testdata/sf0.01").repartition(100)   # many tasks: candidate cutoff used
@@ -279,7 +273,7 @@ def test_operators_accept_empty_input(spark):
         table.count()
     p = PP.patterns(df)
     for out in (PP.insights(p), PP.insight_summary(p), PP.recommendations(p), PP.top_patterns(p),
-                PP.pattern_progress(p), SM.chart_summary(df), SM.data_summary(df), SM.frequent_types(df),
+                PP.pattern_progress(p), SM.chart_summary(df), SM.frequent_types(df),
                 SM.confidence_by_hour(df), SM.recent(df), SM.bounded_sample(df)):
         out.count()
     assert SM.confidence_by_hour(df).count() == 24

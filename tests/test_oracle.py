@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_ORACLE
+from obslytics.plans import catalog
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -49,7 +50,7 @@ def test_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_oracle_or_is_model_or_state():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(catalog.QUERIES) - set(catalog.SQL)
     assert missing <= SLOW
 
 
