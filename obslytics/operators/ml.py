@@ -15,7 +15,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IndexToString, PCA, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -235,12 +235,18 @@ def random_fourier_features(df: DataFrame, col: str, dim: int, out: str = "rff",
     return df.withColumn(out, array_to_vector(project(vector_to_array(col))))
 
 
+def _scaler(features: str) -> StandardScaler:
+    return StandardScaler(inputCol=features, outputCol="_scaled", withMean=True, withStd=True)
+
+
 def train_svm(df: DataFrame, label: str = "label", features: str = "features", dim: int | None = None,
               n_features: int = 256, C: float = 1.0, max_iter: int = 50, seed: int = 42):
     """M9: one-vs-rest linear SVMs on random Fourier features (an RBF-kernel
-    approximation; MLlib has no exact kernel SVM).  ``regParam = 1 / (C n)``."""
+    approximation; MLlib has no exact kernel SVM).  ``regParam = 1 / (C n)``.
+    Features are standardised first; the model is the fitted scaler and the SVMs."""
     dim = dim or len(df.select(features).first()[0])
-    z = random_fourier_features(df.select(label, features), features, dim, "_rff", n_features, seed=seed)
+    scaler = _scaler(features).fit(df)
+    z = random_fourier_features(scaler.transform(df.select(label, features)), "_scaled", dim, "_rff", n_features, seed=seed)
     idx = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(z)
     # the solver makes many passes: keep the projected features instead of
     # re-running the Python projection on every pass
@@ -252,15 +258,16 @@ def train_svm(df: DataFrame, label: str = "label", features: str = "features", d
         model = ovr.fit(z)
     finally:
         z.unpersist()
-    return model, idx.labels
+    return (scaler, model), idx.labels
 
 
 def svm_predictions(model, labels: list[str], df: DataFrame, features: str = "features", dim: int | None = None,
                     n_features: int = 256, seed: int = 42) -> DataFrame:
     dim = dim or len(df.select(features).first()[0])
-    z = random_fourier_features(df, features, dim, "_rff", n_features, seed=seed)
-    pred = model.transform(z)
-    return IndexToString(inputCol="_pred", outputCol="prediction", labels=labels).transform(pred).drop("_rff", "_pred")
+    scaler, svms = model
+    z = random_fourier_features(scaler.transform(df), "_scaled", dim, "_rff", n_features, seed=seed)
+    pred = svms.transform(z)
+    return IndexToString(inputCol="_pred", outputCol="prediction", labels=labels).transform(pred).drop("_scaled", "_rff", "_pred")
 
 
 def confidence_regression(df: DataFrame, trees: int = 50, seed: int = 42, test_fraction: float = 0.3) -> DataFrame:
@@ -292,7 +299,8 @@ def train_mlp(seq: DataFrame, label: str = "label", features: str = "features",
         n_out = len(idx.labels)
         pipe = Pipeline(stages=[
             idx,
-            MultilayerPerceptronClassifier(labelCol="_label", featuresCol=features, predictionCol="_pred",
+            _scaler(features),
+            MultilayerPerceptronClassifier(labelCol="_label", featuresCol="_scaled", predictionCol="_pred",
                                            layers=[n_in, *hidden, n_out], maxIter=max_iter, seed=seed),
             IndexToString(inputCol="_pred", outputCol="prediction", labels=idx.labels)])
         return pipe.fit(data)

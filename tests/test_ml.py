@@ -95,3 +95,22 @@ def test_mlp_runs(spark):
     flat = SQ.flatten_sequences(SQ.sequences(catalog.acts_with_k(spark, SF_SMALL), 10))
     model = ML.train_mlp(flat, "label", "features", (16,), 10, 42)
     assert model.transform(flat).select("prediction").count() == flat.count()
+
+
+def test_svm_and_mlp_learn_separable_classes_of_unequal_scale(spark):
+    """Rings no plane separates, in a feature a thousand times smaller than a noisy one: both beat the majority."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+    rng = np.random.default_rng(5)
+    radius = np.repeat([1.0, 3.0], [200, 160])
+    angle = rng.uniform(0, 2 * np.pi, 360)
+    x = np.stack([radius * np.cos(angle), 0.001 * radius * np.sin(angle)], 1) + rng.normal(0, 1e-4, (360, 2))
+    rows = [(i, "inner" if r < 2 else "outer", [float(a) for a in p]) for i, (r, p) in enumerate(zip(radius, x))]
+    df = spark.createDataFrame(rows, "id long, label string, f array<double>").select("id", "label", array_to_vector("f").alias("features"))
+    train, test = df.filter("id % 4 != 0").cache(), df.filter("id % 4 = 0")
+    model, labels = ML.train_svm(train, n_features=64, max_iter=20)
+    svm = ML.svm_predictions(model, labels, test, n_features=64)
+    mlp = ML.train_mlp(train, hidden=(8,), max_iter=100).transform(test)
+    for got in (svm, mlp):
+        right = [r["label"] == r["prediction"] for r in got.select("label", "prediction").collect()]
+        assert len(right) == 90 and np.mean(right) > 0.9
