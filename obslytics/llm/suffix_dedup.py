@@ -55,8 +55,9 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def gram_of(length: int) -> int:
-    """Bytes of an anchor: long ones seldom repeat by chance, short ones leave more room in the window."""
-    return 48 if length >= 192 else 16 if length >= 64 else 8
+    """Bytes of an anchor: long ones repeat only in long repeats (not in lines that many texts share), short ones
+    leave more room in the window, so that there are fewer anchors."""
+    return 128 if length >= 320 else 16 if length >= 64 else 8
 
 
 def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +69,7 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     hashes = eights[:n].copy()
     with np.errstate(over="ignore"):
         for k in range(8, gram, 8):
-            hashes = W.mix(hashes) + eights[k: k + n]
+            hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + eights[k: k + n]
     hashes = W.mix(hashes)
     width = length - gram + 1
     smallest = _sliding_min(hashes, width)
