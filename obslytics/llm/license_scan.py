@@ -92,9 +92,9 @@ def _shingles(words: Column, size: int) -> Column:
 
 
 def _bands(hashes: Column, bands: int) -> Column:
-    """For each order the smallest hash, numbered.  An order is the distance by exclusive or from a random point."""
-    points = F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda i: F.xxhash64(F.lit(17), i))
-    return F.transform(points, lambda p: F.xxhash64(p, F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(p)))))
+    """For each order the smallest hash, numbered.  An order hashes anew with its number, so each shingle is smallest alike often."""
+    orders = F.sequence(F.lit(1), F.lit(bands))
+    return F.transform(orders, lambda i: F.xxhash64(i, F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, i)))))
 
 
 def _window(length: int):

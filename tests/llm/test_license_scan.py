@@ -2,6 +2,8 @@ import random
 import re
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from obslytics.llm import license_scan as L
 
@@ -60,6 +62,18 @@ def test_required_words_lose_nothing():
     assert rng
 
 
+@pytest.mark.parametrize("length,rows", [(3, 300_000), (5, 200_000), (8, 100_000)])
+def test_bands_miss_as_seldom_as_claimed(spark, length, rows):
+    size = min(L.SHINGLE, length)
+    want = length - size + 1
+    both = -(-want * 80 // 100)
+    bands = L.bands_for(length, want, 80, 100)
+    shingles = lambda first, n: F.transform(F.sequence(F.lit(first), F.lit(first + n - 1)), lambda k: F.xxhash64("id", k))
+    template, window = shingles(0, want), shingles(want - both, 2 * length - size + 1)  # they have ``both`` shingles in common
+    missed = spark.range(rows).where(~F.arrays_overlap(L._bands(template, bands), L._bands(window, bands))).count()
+    assert missed <= 3  # of 100,000 to 300,000 at a chance of 1e-6
+
+
 def test_native_plan_and_edges(spark):
     df = spark.createDataFrame([(1, "all rights reserved")], "doc_id long, text string")
     out = L.scan(df, L.templates_frame(spark))
