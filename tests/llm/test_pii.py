@@ -59,6 +59,22 @@ def test_adds_national_phones_and_redacts(spark):
     assert dict(found.collect()) == {1000: "tel: <PHONE> so é <EMAIL>.", 1001: "nothing 12 here"}
 
 
+def test_short_numbers_are_counted_beside_valid_cards(spark):
+    rng = random.Random(2)
+
+    def card():
+        start = "".join(rng.choice("0123456789") for _ in range(15))
+        return next(start + d for d in "0123456789" if luhn(start + d))
+
+    docs = [(i, f"so {card()} and 34 or 2020-21 from x 999.{rng.randrange(300, 999)}.7.7 to 1.2.3.4 so") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = P.candidates(P.matches(df, "text", ()), ())
+    assert P.learnt(found).thresholds[2] < float("inf")
+    texts = dict(docs)
+    for r in P.report(df).collect():
+        assert r.spans == line(brute(texts[r.doc_id]))
+
+
 def test_no_python_in_the_plan_and_empty(spark):
     df = spark.createDataFrame([(1, "a@b.cd")], "doc_id long, text string")
     out = P.report(df)
