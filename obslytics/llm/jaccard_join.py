@@ -100,20 +100,25 @@ class Similarity:
         return size // 16
 
 
+def _log_chance_of_fewer(need: int, size: int, segments: int) -> float:
+    """Logarithm of a bound of the chance that ``size`` shingles lie in fewer than ``need`` of the segments."""
+    few = need - 1
+    if few == 0:
+        return float("-inf")
+    if few >= segments:
+        return 0.0
+    return lgamma(segments + 1) - lgamma(few + 1) - lgamma(segments - few + 1) + size * log(few / segments)
+
+
 @lru_cache(maxsize=4096)
 def allocate(sim: Similarity, number: int) -> Band:
-    """Bands double in size.  Threshold 0 costs one row a segment, but needs enough non-empty segments, except for
-    a chance below 1e-15, and threshold 1 costs a row for each shingle as well."""
+    """Bands double in size.  Threshold 0 costs one row a segment, but needs enough non-empty segments for every size
+    of the band, except for a chance below 1e-15, and threshold 1 costs a row for each shingle as well."""
     high = 8 << number
     low = 1 if number == 0 else high // 2 + 1
     smallest = -(-low * sim.num // sim.den)
-    need = sim.differs(smallest) + 1
-    for segments in (int(0.36 * high) + 8, high, 4 * high):
-        few = need - 1
-        if need > segments:
-            continue
-        ways = lgamma(segments + 1) - lgamma(few + 1) - lgamma(segments - few + 1)
-        if few == 0 or ways + smallest * log(few / segments) < log(1e-15):
+    for segments in (int(0.36 * high) + 8, high // 2 + 8, high, 2 * high, 4 * high, 8 * high):
+        if all(_log_chance_of_fewer(sim.indexed(size), size, segments) < log(1e-15) for size in range(smallest, high + 1)):
             return Band(number, low, high, 0, segments)
     most = 2 * high * (sim.den - sim.num) // (sim.den + sim.num)
     return Band(number, low, high, 1, most // 2 + 1)
@@ -144,7 +149,8 @@ def signatures(shingles: np.ndarray, sim: Similarity) -> np.ndarray:
             full[segment[starts]] = sums
             names = W.mix(np.arange(band.segments, dtype=np.uint64) + salt)
             out.append(W.mix(full + names))
-            out.append(W.mix(full[segment] - token + names[segment]))  # each set less one of its shingles
+            if sim.differs(size):  # others link with equal sets only
+                out.append(W.mix(full[segment] - token + names[segment]))  # each set less one of its shingles
     return np.unique(np.concatenate(out))
 
 

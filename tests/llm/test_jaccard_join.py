@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import re
 
@@ -84,6 +86,28 @@ def test_signatures_of_linked_sets_meet():
                 assert len(np.intersect1d(J.signatures(a, sim), J.signatures(b, sim)))
 
 
+def test_small_linked_sets_meet_wherever_their_shingles_lie():
+    sim = J.Similarity()
+    for size in range(1, 11):
+        segments = J.allocate(sim, J.band_of(size)).segments
+        for placement in itertools.combinations_with_replacement(range(segments), size):
+            larger = np.array([(k * segments + s) << 7 for k, s in enumerate(placement)], np.uint64)
+            mine = J.signatures(np.sort(larger), sim)
+            for gone in range(size - -(-size * sim.num // sim.den) + 1):
+                for left in itertools.combinations(larger, size - gone):
+                    assert len(left) > 8 or len(np.intersect1d(mine, J.signatures(np.sort(np.array(left)), sim))), (placement, left)
+
+
+def test_enough_segments_for_every_size_of_a_band():
+    sim = J.Similarity()
+    for number in range(9):
+        band = J.allocate(sim, number)
+        for size in range(-(-band.low * sim.num // sim.den), band.high + 1):
+            few = sim.indexed(size) - 1
+            if band.threshold == 0 and few:
+                assert math.log(math.comb(band.segments, few)) + size * math.log(few / band.segments) < math.log(1e-15), (band, size)
+
+
 def test_ties_nulls_empty(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, "A  b"), (3, "b a"), (None, None)], "doc_id long, text string")
     got = sorted((tuple(r) for r in J.near_duplicates(df).collect()), key=str)
