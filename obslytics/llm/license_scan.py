@@ -7,9 +7,9 @@ one shingle).
 
 A band is the smallest of a window's shingle hashes under one of many orders; window and template are compared if
 they agree in any band.  The number of bands follows from the smallest similarity that a verified match can have
-(a window holds words beside the template), so that a match is missed with a chance below ``MISSED``.  Before, texts
-and windows without any of a template's *required* words are left out, which loses nothing: the shingles with none of
-these words are too few for a match.
+(a window holds words beside the template), so that a match is missed with a chance below ``MISSED``.  Before, windows
+without any of a template's *required* words are left out, which loses nothing: the shingles with none of these words
+are too few for a match; so are texts with too few of its words that share no shingle.
 
 The scan consists of Spark expressions and joins; templates are few (at most ``MOST_TEMPLATES``) and are held whole.
 
@@ -32,6 +32,25 @@ SHINGLE = 5
 MISSED = 1e-6
 MOST_TEMPLATES = 2_000
 
+_BSD_START = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions
+    and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+    and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+    INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+    IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+    CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS;
+    OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+    NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _gnu(thing: str, name: str, version: str) -> str:
+    return f"""This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by
+        the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This {thing} is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+        FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."""
+
+
 # Public licence notices.
 TEMPLATES = {
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
@@ -44,6 +63,43 @@ TEMPLATES = {
     "GPL-3.0 line": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
     "all rights reserved": "All rights reserved.",
+    "Apache-2.0 notice, whole": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+        applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+        WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions
+        and limitations under the License.""",
+    "MIT notice, whole": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+        to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+        Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be
+        included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+        EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN
+        AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN
+        THE SOFTWARE.""",
+    "BSD-2-Clause": f"{_BSD_START} {_BSD_END}",
+    "BSD-3-Clause": f"""{_BSD_START} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission. {_BSD_END}""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+        AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+        EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING
+        FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+        CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "GPL-2.0 notice": _gnu("program", "General Public License", "2"),
+    "GPL-3.0 notice": _gnu("program", "General Public License", "3"),
+    "LGPL-2.1 notice": _gnu("library", "Lesser General Public License", "2.1"),
+    "LGPL-3.0 notice": _gnu("library", "Lesser General Public License", "3"),
+    "AGPL-3.0 notice": _gnu("program", "Affero General Public License", "3"),
+    **{f"CC-{k}-4.0 line": f"Licensed under CC {k} 4.0." for k in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+    **{f"CC-{k}-4.0": f"This work is licensed under a Creative Commons Attribution{v} 4.0 International License."
+       for k, v in {"BY": "", "BY-SA": "-ShareAlike", "BY-ND": "-NoDerivatives", "BY-NC": "-NonCommercial", "BY-NC-SA": "-NonCommercial-ShareAlike",
+                    "BY-NC-ND": "-NonCommercial-NoDerivatives"}.items()},
+    **{f"SPDX {k}": f"SPDX-License-Identifier: {k}" for k in (
+        "MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later",
+        "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-4.0")},
 }
 
 
@@ -72,6 +128,20 @@ def required_words(shingles: set[str], num: int, den: int) -> set[str]:
     return chosen
 
 
+def least_words(shingles: set[str], num: int, den: int) -> tuple[list[str], int]:
+    """Long words that share no shingle, and how many of them any text that holds enough shingles must have."""
+    lacks, chosen, costs = len(shingles) - -(-len(shingles) * num // den), [], []
+    left = set(shingles)
+    for word in sorted({w for s in shingles for w in s.split()}, key=lambda w: (-len(w), w)):
+        mine = {s for s in shingles if word in s.split()}
+        if mine <= left:
+            left -= mine
+            chosen.append(word)
+            costs.append(len(mine))
+    absent = sum(1 for i in range(len(costs)) if sum(sorted(costs)[:i + 1]) <= lacks)
+    return chosen, len(chosen) - absent
+
+
 def bands_for(length: int, shingles: int, num: int, den: int) -> int:
     """Bands that miss a match with a chance below ``MISSED``, at the smallest similarity of window and template."""
     size = min(SHINGLE, length)
@@ -106,6 +176,13 @@ def _holds(required: list[str]):
     return lambda w: F.arrays_overlap(w["window"], wanted)
 
 
+def _may_hold(text: Column, wanted: list[tuple[list[str], int]]) -> Column:
+    """Whether a text has enough of the words of any of the templates."""
+    def enough(t):
+        return reduce(lambda a, b: a | b, [sum((F.contains(t, F.lit(w)).cast("int") for w in words), F.lit(0)) >= least for words, least in wanted])
+    return F.exists(F.array(F.lower(text)), enough)
+
+
 def scan(docs: DataFrame, templates: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, license_id, n_windows, first_word, containment) of the templates found in each text.
 
@@ -122,18 +199,14 @@ def scan(docs: DataFrame, templates: DataFrame, num: int = 80, den: int = 100, i
             by_length[len(words)].append((number, name, " ".join(words), shingles_of(words)))
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("scanned"))
     found = None
-    every = sorted({w for group in by_length.values() for t in group for w in required_words(t[3], num, den)})
-    if every:
-        small = F.lower("scanned")
-        there = reduce(lambda a, b: a | b, [F.contains(small, F.lit(w)) for w in every])
-        rows = rows.where(there).select("doc", _words(F.col("scanned")).alias("words"))
     for length, group in sorted(by_length.items()):
         size = min(SHINGLE, length)
         bands = max(bands_for(length, len(t[3]), num, den) for t in group)
         required = sorted({w for t in group for w in required_words(t[3], num, den)})
         cut = F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(length)), _window(length))
         cut = F.filter(cut, _holds(required))
-        windows = (rows.where(F.size("words") > 0).select("doc", F.explode(cut).alias("w"))
+        held = rows.where(_may_hold(F.col("scanned"), [least_words(t[3], num, den) for t in group])).select("doc", _words(F.col("scanned")).alias("words"))
+        windows = (held.where(F.size("words") > 0).select("doc", F.explode(cut).alias("w"))
                    .select("doc", "w.first_word", _shingles(F.col("w.window"), size).alias("shingles")).where(F.size("shingles") > 0))
         hashed = F.transform("shingles", lambda s: F.xxhash64(s))
         windows = windows.withColumn("band", F.explode(F.array_distinct(_bands(hashed, bands))))

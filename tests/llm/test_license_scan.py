@@ -62,6 +62,28 @@ def test_required_words_lose_nothing():
     assert rng
 
 
+def test_common_notices_are_registered(spark):
+    names = ["BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0 notice", "LGPL-3.0 notice", "AGPL-3.0 notice", "CC-BY-SA-4.0", "SPDX GPL-3.0-or-later"]
+    docs = [(n, f"so it is {L.TEMPLATES[n]} and more") for n in names]
+    mine = {n: L.TEMPLATES[n] for n in names}
+    got = L.scan(spark.createDataFrame(docs, "doc_id string, text string"), L.templates_frame(spark, mine)).collect()
+    assert sorted(tuple(r) for r in got) == brute(docs, sorted(mine.items()))
+    assert set(names) <= {r.license_id for r in got if r.doc_id == r.license_id}
+
+
+def test_least_words_lose_nothing():
+    rng = random.Random(7)
+    for text in L.TEMPLATES.values():
+        words = L.words_of(text)
+        want = L.shingles_of(words)
+        chosen, least = L.least_words(want, 80, 100)
+        for _ in range(100):
+            gone = set(rng.sample(sorted(set(words)), min(len(set(words)), rng.randrange(6))))
+            left = {s for s in want if not gone & set(s.split())}
+            if 100 * len(left) >= 80 * len(want):
+                assert len(set(chosen) - gone) >= least
+
+
 @pytest.mark.parametrize("length,rows", [(3, 300_000), (5, 200_000), (8, 100_000)])
 def test_bands_miss_as_seldom_as_claimed(spark, length, rows):
     size = min(L.SHINGLE, length)
