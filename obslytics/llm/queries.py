@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obslytics.llm import decontamination, embedding_dedup, jaccard_join, license_scan, packing, pii, quality, sharding, suffix_dedup, warc
+from obslytics.llm import decontamination, embedding_dedup, jaccard_join, license_scan, packing, pii, quality, sharding, suffix_dedup, token_store, warc
 from obslytics.llm.common import read_table
 
 #: rows of an Arrow batch: whole texts are long, and a Python worker holds a batch at a time
@@ -59,6 +59,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read_table(spark, sf_dir, "documents"))
 
 
+def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.written_and_read(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def prepared(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
@@ -77,6 +81,7 @@ QUERIES = {name: prepared(fn) for name, fn in {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
+    "op12_token_store": op12_token_store,
 }.items()}
 
 SQL: dict[str, str] = {"op3_license_scan": license_scan.sql()}
