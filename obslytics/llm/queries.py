@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obslytics.llm import decontamination, embedding_dedup, jaccard_join, license_scan, packing, pii, quality, sharding, suffix_dedup, token_store, warc
+from obslytics.llm import decontamination, embedding_dedup, jaccard_join, license_scan, packing, periodic_runs, pii, quality, sharding
+from obslytics.llm import suffix_dedup, token_store, warc
 from obslytics.llm.common import read_table
 
 #: rows of an Arrow batch: whole texts are long, and a Python worker holds a batch at a time
@@ -59,6 +62,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read_table(spark, sf_dir, "documents"))
 
 
+def with_planted_repeats(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words that the periodic runs are sought in: a tenth of the documents, chosen by id, end in repeats."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g = h // 10
+    first = g % len(words)
+    rest = len(words) - first
+    period = 1 + rest // (3 + g % 8)
+    return words[:first] + (words[first: first + period] * -(-rest // period))[:rest]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(read_table(spark, sf_dir, "documents"), changed=with_planted_repeats)
+
+
 def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.written_and_read(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -81,6 +100,7 @@ QUERIES = {name: prepared(fn) for name, fn in {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_token_store": op12_token_store,
 }.items()}
 
