@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obslytics.llm import decontamination, embedding_dedup, jaccard_join, license_scan, packing, periodic_runs, pii, quality, sharding
-from obslytics.llm import suffix_dedup, token_store, warc
+from obslytics.llm import decontamination, embedding_dedup, hard_negatives, jaccard_join, license_scan, packing, periodic_runs
+from obslytics.llm import pii, quality, sharding, suffix_dedup, token_store, warc
 from obslytics.llm.common import read_table
 
 #: rows of an Arrow batch: whole texts are long, and a Python worker holds a batch at a time
@@ -82,6 +82,12 @@ def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.written_and_read(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(vectors.withColumn("label", label), F.col("id") % 50 == 0)
+
+
 def prepared(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
@@ -102,6 +108,7 @@ QUERIES = {name: prepared(fn) for name, fn in {
     "op10_pii": op10_pii,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_token_store": op12_token_store,
+    "op13_hard_negatives": op13_hard_negatives,
 }.items()}
 
-SQL: dict[str, str] = {"op3_license_scan": license_scan.sql()}
+SQL: dict[str, str] = {"op3_license_scan": license_scan.sql(), "op13_hard_negatives": hard_negatives.sql()}
