@@ -191,7 +191,8 @@ def best_positives(anchors: Side, rows: Side, count: int) -> tuple[np.ndarray, n
             least[some] = _at_least(i, s, len(some), count, least[some])
             i, j = np.nonzero(allowed & (estimate + width >= least[some, None]))
             s = scores(anchors, a[some][i], part, j + cut.start)
-            i, j, s = _ordered(part, some[i], j + cut.start, s)
+            reached = s >= least[some[i]]
+            i, j, s = _ordered(part, some[i[reached]], j[reached] + cut.start, s[reached])
             keep = _first(i, count)
             out.append((a[i[keep]], b[j[keep]], s[keep]))
     return _best_of(rows, out, count)
@@ -226,7 +227,8 @@ def best_negatives(anchors: Side, rows: Side, low: np.ndarray, high: np.ndarray,
         top = np.where(real, top, -np.inf).max(axis=1)
         i, j = np.nonzero(allowed & (estimate + width >= bottom[:, None]) & (estimate - width <= top[:, None]))
         s = scores(anchors, some[i], rows, j + cut.start)
-        i, j, s = _ordered(rows, some[i], j + cut.start, s)
+        reached = (s >= bottom[i]) & (s <= top[i])
+        i, j, s = _ordered(rows, some[i[reached]], j[reached] + cut.start, s[reached])
         for k in range(ranges):
             fits = (s >= low[i, k]) & (s <= high[i, k])
             x, y, z = i[fits], j[fits], s[fits]

@@ -36,8 +36,8 @@ END = 0                    # id that ends every document
 TASK_BYTES = 256 << 20     # of text that one task sorts and writes
 FILE_TOKENS = 1 << 28      # a file is closed once it holds so many
 READ_TOKENS = 1 << 20      # of ids read at a time
-#: distinct words whose ids a worker keeps (about 200 bytes each)
-WORDS_HELD = 400_000
+#: distinct words of a generation whose ids a worker keeps (about 200 bytes each)
+WORDS_HELD = 300_000
 
 
 # ---- tokens -------------------------------------------------------------------------------------------------
@@ -46,35 +46,57 @@ class ByteTokenizer:
     """Ids of the byte-level vocabulary ``path``, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     A pre-token never reaches beyond a single space or line feed between two characters that are not white space, so
-    texts are looked up by words; unknown words, and texts with other white space at a word's edge, go to the library.
+    texts are looked up by words; unknown words of a text go to the library together, one a line, and texts with other
+    white space at a word's edge go there whole.  Words are held in two generations: the older one is dropped when the
+    newer one is full, and words that are used move to the newer one.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.size = self.tokenizer.get_vocab_size()
-        self.line = self._library(["\n"])[0]
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.kind = np.dtype(f"<u{self.width}")
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.words: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.older: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> np.ndarray:
+        """Ids by the library alone."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _learn(self, words: list[str]) -> bool:
+        """Adds words to the newer generation; False where one cannot be looked up by itself."""
+        if len(self.words) >= WORDS_HELD:
+            self.words, self.older = {}, self.words
+        new = []
+        for word in dict.fromkeys(words):
+            ids = self.older.get(word)
+            if ids is not None:
+                self.words[word] = ids
+                continue
+            body = word.removeprefix("\n")
+            if not body or body[0].isspace() or body[-1].isspace():
+                return False
+            new.append(word)
+        if new:
+            found = self.ids("".join(w if w[0] == "\n" else "\n " + w for w in new))
+            cuts = [*np.flatnonzero(found == self.line).tolist(), len(found)]
+            raw = found.tobytes()
+            for word, a, b in zip(new, cuts, cuts[1:], strict=False):
+                self.words[word] = raw[self.width * (a + (word[0] != "\n")): self.width * b]
+        return True
 
     def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids."""
+        """Little-endian ids of ``width`` bytes."""
         words = ("\n" + text).replace("\n", " \n").split(" ")  # a word after a line feed keeps it, the others had a space
         del words[0]
-        try:
-            return b"".join(map(self.words.__getitem__, words))[len(self.line):]
-        except KeyError:
-            new = list(set(words).difference(self.words))
-        for word in new:
-            body = word.removeprefix("\n")
-            if not body or body[0].isspace() or body[-1].isspace():
-                return self._library([text])[0]
-        if len(self.words) + len(new) > WORDS_HELD:
-            self.words = {w: self.words[w] for w in set(words).intersection(self.words)}
-        self.words.update(zip(new, self._library([w if w[0] == "\n" else " " + w for w in new]), strict=True))
-        return b"".join(map(self.words.__getitem__, words))[len(self.line):]
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            if not self._learn([w for w, i in zip(words, ids, strict=True) if i is None]):
+                return self.ids(text).tobytes()
+            get = self.words.get
+            ids = [get(w) if i is None else i for w, i in zip(words, ids, strict=True)]
+        return b"".join(ids)[self.width:]
 
 
 _loaded: dict[str, ByteTokenizer] = {}
@@ -159,14 +181,13 @@ class Writer:
     """Appends documents to one file; only their lengths and document ids are held until it is closed."""
 
     def __init__(self, out, width: int):
-        self.out, self.kind = out, {2: "<u2", 4: "<u4"}[width]
-        self.width, self.lengths, self.names, self.tokens = width, [], [], 0
+        self.out, self.width, self.lengths, self.names, self.tokens = out, width, [], [], 0
 
     def add(self, name: int | None, ids: bytes) -> None:
-        self.out.write(ids if self.width == 4 else np.frombuffer(ids, "<u4").astype(self.kind).tobytes())
-        self.lengths.append(len(ids) // 4)
+        self.out.write(ids)
+        self.lengths.append(len(ids) // self.width)
         self.names.append(name)
-        self.tokens += len(ids) // 4
+        self.tokens += len(ids) // self.width
 
     def close(self) -> None:
         known = [x for x in self.names if x is not None]
@@ -274,7 +295,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "d
         store, path = open_folder(folder)
         store.create_dir(path, recursive=True)
         tokenizer = byte_tokenizer(vocabulary)
-        end = np.array([END], "<u4").tobytes()
+        end = np.array([END], tokenizer.kind).tobytes()
         writer, about = None, None
 
         def closed() -> pa.RecordBatch:
@@ -285,7 +306,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "d
             for name, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if writer is None:
                     about = f"tokens-{uuid.uuid4().hex}", name, row
-                    writer = Writer(store.open_output_stream(f"{path}/{about[0]}", compression=None), 2 if tokenizer.size <= 1 << 16 else 4)
+                    writer = Writer(store.open_output_stream(f"{path}/{about[0]}", compression=None), tokenizer.width)
                 writer.add(name, tokenizer.encode(text or "") + end)
                 if writer.tokens >= file_tokens:
                     yield closed()
