@@ -17,6 +17,7 @@ the input; an empty table gives no files and no rows; other columns are ignored,
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -24,11 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obslytics.llm.common import new_folder, stored
+from obslytics.llm.packing import _byte_letters
 from obslytics.llm.warc import open_folder
 from obslytics.session import default_parallelism
 
@@ -36,66 +39,92 @@ END = 0                    # id that ends every document
 TASK_BYTES = 256 << 20     # of text that one task sorts and writes
 FILE_TOKENS = 1 << 28      # a file is closed once it holds so many
 READ_TOKENS = 1 << 20      # of ids read at a time
-#: distinct words of a generation whose ids a worker keeps (about 200 bytes each)
-WORDS_HELD = 300_000
+#: distinct words of a generation, and pre-tokens, whose ids a worker keeps (about 200 bytes each)
+WORDS_HELD = 200_000
+PARTS_HELD = 400_000
 
 
 # ---- tokens -------------------------------------------------------------------------------------------------
 
+class _Held(dict):
+    """Ids of words; a lookup of another word notes it and gives None."""
+
+    def __init__(self, *items):
+        super().__init__(*items)
+        self.missed: list[str] = []
+
+    def __missing__(self, word: str) -> None:
+        self.missed.append(word)
+
+
 class ByteTokenizer:
     """Ids of the byte-level vocabulary ``path``, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     A pre-token never reaches beyond a single space or line feed between two characters that are not white space, so
-    texts are looked up by words; unknown words of a text go to the library together, one a line, and texts with other
-    white space at a word's edge go there whole.  Words are held in two generations: the older one is dropped when the
-    newer one is full, and words that are used move to the newer one.
+    texts are looked up by words.  Unknown words are cut into pre-tokens and encoded by the library's model; words with
+    characters beyond Latin and texts with other white space at a word's edge go through the library's whole pipeline.
+    Words are held in two generations: the older one is dropped when the newer one is full, and words that are used
+    move to the newer one.
     """
 
+    _plain = re.compile("\n?[\x21-\x7e\xa1-\u024f]+")
+    _pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")  # fixed: the vocabulary's own pattern
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.line = self.ids("\n")
+        self.words, self.older = _Held(), _Held()
+        self.parts: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> np.ndarray:
+    def ids(self, text: str) -> bytes:
         """Ids by the library alone."""
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            spelled = part.encode().decode("latin-1").translate(self.letters)
+            ids = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(spelled)])
+            if len(self.parts) >= PARTS_HELD:
+                self.parts.clear()
+            self.parts[part] = ids
+        return ids
 
     def _learn(self, words: list[str]) -> bool:
         """Adds words to the newer generation; False where one cannot be looked up by itself."""
-        if len(self.words) >= WORDS_HELD:
-            self.words, self.older = {}, self.words
-        new = []
+        older = self.older
         for word in dict.fromkeys(words):
-            ids = self.older.get(word)
-            if ids is not None:
-                self.words[word] = ids
+            if word in older:
+                self.words[word] = older[word]
                 continue
-            body = word.removeprefix("\n")
-            if not body or body[0].isspace() or body[-1].isspace():
+            text = word[1:] if word[:1] == "\n" else " " + word
+            if self._plain.fullmatch(word) and "<|" not in word:
+                ids = b"".join(map(self._part, self._pieces.findall(text)))
+            elif not (body := word.removeprefix("\n")) or body[0].isspace() or body[-1].isspace():
                 return False
-            new.append(word)
-        if new:
-            found = self.ids("".join(w if w[0] == "\n" else "\n " + w for w in new))
-            cuts = [*np.flatnonzero(found == self.line).tolist(), len(found)]
-            raw = found.tobytes()
-            for word, a, b in zip(new, cuts, cuts[1:], strict=False):
-                self.words[word] = raw[self.width * (a + (word[0] != "\n")): self.width * b]
+            else:
+                ids = self.ids(text)
+            self.words[word] = self.line + ids if word[0] == "\n" else ids
         return True
 
     def encode(self, text: str) -> bytes:
         """Little-endian ids of ``width`` bytes."""
+        if len(self.words) >= WORDS_HELD:
+            self.words, self.older = _Held(), self.words
+        held = self.words
         words = ("\n" + text).replace("\n", " \n").split(" ")  # a word after a line feed keeps it, the others had a space
         del words[0]
-        ids = list(map(self.words.get, words))
-        if None in ids:
-            if not self._learn([w for w, i in zip(words, ids, strict=True) if i is None]):
-                return self.ids(text).tobytes()
-            get = self.words.get
-            ids = [get(w) if i is None else i for w, i in zip(words, ids, strict=True)]
+        ids = list(map(held.__getitem__, words))
+        if held.missed:
+            missed, held.missed = held.missed, []
+            if not self._learn(missed):
+                return self.ids(text)
+            for at, word in zip([k for k, x in enumerate(ids) if x is None], missed, strict=True):
+                ids[at] = held[word]
         return b"".join(ids)[self.width:]
 
 
