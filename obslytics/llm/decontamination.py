@@ -51,6 +51,7 @@ class Phrases:
 
 def phrases(benchmark: DataFrame, window: int = 13, id_col: str = "item_id", text_col: str = "text") -> Phrases:
     """Windows of ``window`` consecutive words of every item; a shorter item is one phrase, one without words none.
+    A null item id is named by the empty text.
 
     The test set is the query set and is held whole; more than ``MAX_QUERY_WORDS`` words are refused.
     """
@@ -61,14 +62,14 @@ def phrases(benchmark: DataFrame, window: int = 13, id_col: str = "item_id", tex
         total += len(hashes)
         if total > MAX_QUERY_WORDS:
             raise ValueError(f"more than {MAX_QUERY_WORDS} words in the test set: search it in parts")
-        rows.append((row[0], hashes))
+        rows.append(("" if row[0] is None else str(row[0]), hashes))
     found: dict[int, dict[bytes, set]] = defaultdict(lambda: defaultdict(set))
     for item, hashes in rows:
         size = min(window, len(hashes))
         for at in range(len(hashes) - size + 1 if size else 0):
             found[size][hashes[at: at + size].tobytes()].add(item)
     return Phrases({n: np.frombuffer(b"".join(m), np.uint64).reshape(-1, n) for n, m in found.items()},
-                   {n: [sorted(x, key=str) for x in m.values()] for n, m in found.items()})
+                   {n: [sorted(x) for x in m.values()] for n, m in found.items()})
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -179,7 +180,7 @@ def search(index: DataFrame, tests: Phrases) -> DataFrame:
                             np.add.at(change, at, 1)
                             np.add.at(change, at + length, -1)
                             for doc in set(seg.doc_of(at).tolist()):
-                                items[doc].update(map(str, tests.items[length][number]))
+                                items[doc].update(tests.items[length][number])
                 covered = np.append(0, np.cumsum(np.cumsum(change[:total]) > 0))
                 n_hit = np.diff(covered[seg.first_word])
                 yield pa.RecordBatch.from_arrays(
@@ -203,7 +204,7 @@ def proximity(index: DataFrame, tests: Phrases, slop: int) -> DataFrame:
                         at = seg.close(phrase, length + slop)
                         for doc, start in zip(seg.doc_of(at).tolist(), at.tolist(), strict=True):
                             for item in tests.items[length][number]:
-                                out[(seg.ids[doc], str(item))].add(start)
+                                out[(seg.ids[doc], item)].add(start)
             keys = list(out)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()),
                                               pa.array([k[1] for k in keys], pa.string()),

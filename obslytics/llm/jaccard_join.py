@@ -433,12 +433,13 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
                     run_limit: int = RUN_LIMIT, keep_key: bool = False) -> DataFrame:
     """Rows (id, n_shingles, component_id) for every row of ``docs``: the smallest id reachable by links.
 
-    ``keep_key`` adds ``text_key``, the hash of the row's text, which tells rows of one id apart."""
+    ``keep_key`` adds ``text_key``, the hash of the row's text, which tells rows of one id apart, and ``class``, the same
+    for all rows that links connect and null for rows without words."""
     described = stored(describe(docs, id_col, text_col), "sets")
     group = components(links(docs, described, sim, id_col, text_col, run_limit))
     keyed = (described.where("set is not null").join(group.withColumnRenamed("node", "set"), "set", "left")
              .select("id", "text_key", "n_shingles", F.coalesce("component", "set").alias("class")))
-    more = ["text_key"] * keep_key
+    more = ["text_key", "class"] * keep_key
     smallest = keyed.groupBy("class").agg(F.min("id").alias("component_id"))
     return (keyed.join(smallest, "class").select(F.col("id").alias(id_col), "n_shingles", "component_id", *more)
-            .union(described.where("set is null").select("id", "n_shingles", "id", *more)))
+            .union(described.where("set is null").withColumn("class", F.lit(None).cast("long")).select("id", "n_shingles", "id", *more)))

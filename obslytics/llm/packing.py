@@ -46,7 +46,8 @@ class WordTokenizer:
     """Ids of the word-level vocabulary ``path``, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     Its pre-tokens never cross white space, so ids are looked up word by word; unknown words are split and encoded
-    by the library's model, and words with characters beyond Latin by the library's whole pipeline.
+    by the library's model, and words with characters beyond Latin, and texts that hold the string of a special token,
+    by the library's whole pipeline.
     """
 
     _plain = re.compile("[\x21-\x7e\xa1-ɏ]+")
@@ -54,7 +55,7 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {"": b""}
@@ -77,6 +78,8 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
+        if any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.replace("\n", " ").split(" ")
         try:
             return b"".join(map(self.words.__getitem__, words))
@@ -151,19 +154,6 @@ def sum_of_squares(lengths: np.ndarray, sequence: int) -> tuple[np.ndarray, np.n
     return number, offset
 
 
-def _packed(rows: DataFrame, length: str, group: int, sequence: int) -> DataFrame:
-    """``rows`` with (bin, place): packed in groups of about ``group`` rows, whatever their keys."""
-    groups = max(1, -(-rows.count() // group))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        number, offset = sum_of_squares(pdf[length].to_numpy(), sequence)
-        return pdf.assign(bin=number + (int(pdf["grp"].iloc[0]) << 32), place=offset).drop(columns="grp")
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", bin long, place long"
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("grp").applyInPandas(pack, kinds)
-
-
 def pack(cut: DataFrame, sequence: int = SEQUENCE, group: int = GROUP) -> DataFrame:
     """``cut`` (stored pieces) with (sequence_id, offset); offsets are gapless from 0 in every sequence."""
     groups = max(1, -(-cut.count() // group))

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from obslytics.llm import words as W
 
@@ -197,14 +198,14 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
 
 def scored(docs: DataFrame, model: Additive, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns ``keep`` of every row, and ``score``."""
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kinds = StructType([*(docs.schema[c] for c in keep), StructField("quality_score", DoubleType())])
 
     def add(batches):
         for batch in batches:
             score = model.score(features(batch.column(len(keep))))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(score)], names=[*keep, "quality_score"])
 
-    return docs.select(*keep, F.col(text_col).alias("text_to_score")).mapInArrow(add, f"{kinds}, quality_score double")
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text_col).alias("text_to_score")).mapInArrow(add, kinds)
 
 
 def learnt(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:

@@ -48,6 +48,35 @@ def test_stages_against_brute_force(spark, tmp_dir):
         assert sum(r.length for r in five if r.doc_id == d) == n
 
 
+def test_extra_columns_with_the_names_of_operators(spark):
+    """Every stage but the last returns every column as it came, whatever its name."""
+    names = ["quality_score", "text_to_score", "pii_text", "candidates", "valid", "base", "all", "id_key", "text_key", "class", "component_id", "row",
+             "doc id.x", "h", "id", "n_shingles", "contaminated", "set"]
+    texts = ["one two three four five six seven", "one two three four five six seven", "write to me@x.yy or 1.2.3.4 about some other thing", None, "", "lone"]
+    rows = [(i, t, *(f"{n}{i}" for n in names)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in [("doc_id", "long"), ("text", "string"), *((n, "string") for n in names)]))
+    sf = "/root/testdata/sf0.001"
+    all_ = {r[0]: tuple(r) for r in rows}
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns, name
+        got = {r[0]: tuple(r) for r in out.collect()}
+        for i, row in got.items():
+            assert row[2:] == all_[i][2:] and (name == "pii" or row[1] == all_[i][1]), name
+        if name == "near_duplicates":
+            assert set(got) == {0, 2, 3, 4, 5}
+        if name == "pii":
+            assert len(got) == 6 and got[2][1] == "write to <EMAIL> or <IP> about some other thing"
+    assert C.packed(spark, df, sf).count() == 6
+
+
+def test_near_duplicates_of_one_id(spark):
+    same = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    df = spark.createDataFrame([(7, same), (7, same + " and"), (7, "other words here"), (None, "no id at all here"), (None, "no id at all here")], "doc_id long, text string")
+    left = docs_of(C.one_of_each(spark, df, "/root/testdata/sf0.001"))
+    assert len(left) == 3 and (None, "no id at all here") in left and (7, "other words here") in left
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c d e f", "en", "s", 11, 0)] * 3 + [(None, "a b c d e f", None, None, None, 0), (None, None, None, None, None, 0), (2, "", "en", "s", 0, 0),
             (2, "", "en", "s", 0, 0), (3, "g h i j k l me@x.yy", "en", "s", 99, 0), (None, "own words of this text", "en", "s", 5, 0)]
