@@ -21,48 +21,79 @@ def _ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+def _parcel(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and all other columns as one struct ``row``, whose names meet no column of an operator."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("-"), *others).alias("row"))
+
+
+def _unpacked(parcels: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` in their order."""
+    return parcels.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score at least ``KEEP_SCORE``."""
+    """Documents that score at least ``KEEP_SCORE``.
+
+    Every row is judged by its text alone: null and empty texts get the score of the features of an empty text, equal
+    rows the same score; long texts are read whole.  An empty table gives no rows.  Extra columns pass through."""
     _ready(spark)
-    model = quality.learnt(docs, read_table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, keep=tuple(docs.columns)).where(F.col("quality_score") >= KEEP_SCORE).drop("quality_score")
+    model = quality.learnt(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    scored = quality.scored(_parcel(docs), model, keep=("doc_id", "text", "row"))
+    return _unpacked(scored.where(F.col("quality_score") >= KEEP_SCORE), docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; of equal rows one, unless they have no words."""
+    """Of each group of near-duplicates the row with the smallest id; of rows with that id the one whose text has the
+    smallest hash, and of equal rows one.
+
+    Null ids come after all others.  Null and empty texts and texts without words belong to no group and all stay.
+    An empty table gives no rows.  Extra columns pass through; of rows with equal id and text any one's are kept."""
     _ready(spark)
-    found = stored(jaccard_join.near_duplicates(docs, keep_key=True), "near-duplicates")
-    known = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    first = found.where("n_shingles > 0 and doc_id <=> component_id").select(known("doc_id").alias("id_key"), "text_key").distinct()
-    keyed = docs.withColumns({"id_key": known("doc_id"), "text_key": F.xxhash64("text")})
+    found = jaccard_join.near_duplicates(docs.select("doc_id", "text"), keep_key=True)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id_key"), "text_key")
+    first = found.where("class is not null").groupBy("class").agg(F.min(key).alias("first")).select("first.*")
+    keyed = _parcel(docs).withColumn("text_key", F.xxhash64("text")).select("*", key.alias("key"))
+    keyed = keyed.select("doc_id", "text", "row", "key.*")
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = keyed.where(words).join(first, ["id_key", "text_key"], "left_semi").dropDuplicates(["id_key", "text_key"])
-    return kept.unionByName(keyed.where(~words)).select(*docs.columns)
+    same = ["no_id", "id_key", "text_key"]
+    kept = keyed.where(words).join(first, same, "left_semi").dropDuplicates(same)
+    return _unpacked(kept.unionByName(keyed.where(~words)), docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold too little of the benchmark to count as contaminated; judged by text, so ids may repeat."""
+    """Documents that hold too little of the benchmark to count as contaminated.
+
+    Judged by text, so ids may repeat or be null; null and empty texts stay, long texts are searched whole, equal rows
+    are judged alike.  An empty table gives no rows.  Extra columns pass through."""
     _ready(spark)
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    found = decontamination.contamination(keyed, read_table(spark, sf_dir, "benchmark"), id_col="text_key")
-    return keyed.join(found.where("contaminated").select("text_key").distinct(), "text_key", "left_anti").select(*docs.columns)
+    keyed = _parcel(docs).withColumn("text_key", F.xxhash64("text"))
+    found = decontamination.contamination(keyed.select("text_key", "text"), read_table(spark, sf_dir, "benchmark"), id_col="text_key")
+    return _unpacked(keyed.join(found.where("contaminated").select("text_key").distinct(), "text_key", "left_anti"), docs)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by the name of its kind."""
+    """All documents, with personal data replaced by the name of its kind; ``n_chars``, where present, follows the text.
+
+    Null texts stay null, texts without personal data stay as they are, long texts are searched whole, equal rows are
+    redacted alike.  An empty table gives no rows.  Extra columns pass through."""
     _ready(spark)
-    found = pii.detected(docs, keep=tuple(docs.columns))
+    found = pii.detected(_parcel(docs), keep=("doc_id", "text", "row"))
     text = F.when(F.col("text").isNotNull(), pii.redacted(F.col("pii_text"), F.col("all")))
-    found = found.withColumn("text", text)
+    row = F.col("row")
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("all") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+        length = F.length(text).cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", F.when(F.size("all") > 0, length).otherwise(F.col("row.n_chars")))
+    return _unpacked(found.select("doc_id", text.alias("text"), row.alias("row")), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in the training sequences."""
+    """Token pieces with their place in the training sequences.
+
+    Null and empty texts give the end id alone; long texts are cut into pieces; equal rows, and rows with equal or null
+    ids, are packed each for itself.  An empty table gives no rows.  Extra columns are not carried."""
     _ready(spark)
-    return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed_documents(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("quality", good_quality), ("near_duplicates", one_of_each), ("decontamination", uncontaminated), ("pii", redacted),
