@@ -25,11 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from obslytics.llm import words as W
 from obslytics.llm.common import new_folder, stored
 from obslytics.llm.packing import _byte_letters
 from obslytics.llm.warc import open_folder
@@ -42,29 +44,19 @@ READ_TOKENS = 1 << 20      # of ids read at a time
 #: distinct words of a generation, and pre-tokens, whose ids a worker keeps (about 200 bytes each)
 WORDS_HELD = 200_000
 PARTS_HELD = 400_000
+CHUNK_BYTES = 8 << 20     # of text whose words are looked up together (a longer text by itself)
 
 
 # ---- tokens -------------------------------------------------------------------------------------------------
 
-class _Held(dict):
-    """Ids of words; a lookup of another word notes it and gives None."""
-
-    def __init__(self, *items):
-        super().__init__(*items)
-        self.missed: list[str] = []
-
-    def __missing__(self, word: str) -> None:
-        self.missed.append(word)
-
-
 class ByteTokenizer:
     """Ids of the byte-level vocabulary ``path``, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     A pre-token never reaches beyond a single space or line feed between two characters that are not white space, so
-    texts are looked up by words.  Unknown words are cut into pre-tokens and encoded by the library's model; words with
-    characters beyond Latin and texts with other white space at a word's edge go through the library's whole pipeline.
-    Words are held in two generations: the older one is dropped when the newer one is full, and words that are used
-    move to the newer one.
+    texts are split into words, and each distinct word of a batch is looked up once.  Unknown words are cut into
+    pre-tokens and encoded by the library's model; words with characters beyond Latin and texts with other white space
+    at a word's edge go through the library's whole pipeline.  Words are held in two generations: the older one is
+    dropped when the newer one is full, and words that are used move to the newer one.
     """
 
     _plain = re.compile("\n?[\x21-\x7e\xa1-\u024f]+")
@@ -77,7 +69,8 @@ class ByteTokenizer:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.line = self.ids("\n")
-        self.words, self.older = _Held(), _Held()
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
@@ -94,38 +87,55 @@ class ByteTokenizer:
             self.parts[part] = ids
         return ids
 
-    def _learn(self, words: list[str]) -> bool:
-        """Adds words to the newer generation; False where one cannot be looked up by itself."""
-        older = self.older
-        for word in dict.fromkeys(words):
-            if word in older:
-                self.words[word] = older[word]
-                continue
+    def _learnt(self, word: str) -> bytes | None:
+        """Ids of a word that followed a space, or that begins with the line feed that it followed."""
+        ids = self.older.get(word)
+        if ids is None:
             text = word[1:] if word[:1] == "\n" else " " + word
             if self._plain.fullmatch(word) and "<|" not in word:
                 ids = b"".join(map(self._part, self._pieces.findall(text)))
             elif not (body := word.removeprefix("\n")) or body[0].isspace() or body[-1].isspace():
-                return False
+                return None  # cannot be looked up by itself
             else:
                 ids = self.ids(text)
-            self.words[word] = self.line + ids if word[0] == "\n" else ids
-        return True
+            if word[0] == "\n":
+                ids = self.line + ids
+        self.words[word] = ids
+        return ids
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian ids of ``width`` bytes."""
+    def _chunk(self, texts: pa.Array) -> list[bytes]:
         if len(self.words) >= WORDS_HELD:
-            self.words, self.older = _Held(), self.words
-        held = self.words
-        words = ("\n" + text).replace("\n", " \n").split(" ")  # a word after a line feed keeps it, the others had a space
-        del words[0]
-        ids = list(map(held.__getitem__, words))
-        if held.missed:
-            missed, held.missed = held.missed, []
-            if not self._learn(missed):
-                return self.ids(text)
-            for at, word in zip([k for k, x in enumerate(ids) if x is None], missed, strict=True):
-                ids[at] = held[word]
-        return b"".join(ids)[self.width:]
+            self.words, self.older = {}, self.words
+        some = lambda x: pa.scalar(x, pa.large_string())
+        marked = pc.replace_substring(pc.binary_join_element_wise(some("\n"), texts, some("")), "\n", " \n")
+        lists = pc.split_pattern(marked, " ")  # a word after a line feed keeps it, the others had a space; the first is empty
+        offsets = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        codes, get = coded.indices.to_numpy(), self.words.get
+        ids = [get(w) or self._learnt(w) for w in coded.dictionary.to_pylist()]
+        alone = np.array([x is not None for x in ids], bool)
+        size = np.array([len(x) // self.width if x else 0 for x in ids], np.int64)
+        start = np.cumsum(size) - size
+        each = size[codes]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(each)])
+        flat = np.frombuffer(b"".join([x for x in ids if x]), self.kind)
+        tokens = flat[np.repeat(start[codes] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        wrong = ~alone[codes]
+        wrong[offsets[:-1]] = False
+        wrong = set((np.searchsorted(offsets, np.flatnonzero(wrong), "right") - 1).tolist())
+        cut = (ends[offsets] * self.width).tolist()
+        return [self.ids(texts[i].as_py()) if i in wrong else tokens[a + self.width: b]
+                for i, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian ids of ``width`` bytes of each text."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        _, offsets = W.text_bytes(texts)
+        for first, last in W.chunks(offsets, CHUNK_BYTES):
+            yield from self._chunk(texts.slice(first, last - first))
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all(pa.array([text])))
 
 
 _loaded: dict[str, ByteTokenizer] = {}
@@ -332,11 +342,11 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "d
             return _table([(*about, len(writer.names), writer.tokens)], FILE)
 
         for batch in batches:
-            for name, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, row, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tokenizer.encode_all(batch.column(2)), strict=True):
                 if writer is None:
                     about = f"tokens-{uuid.uuid4().hex}", name, row
                     writer = Writer(store.open_output_stream(f"{path}/{about[0]}", compression=None), tokenizer.width)
-                writer.add(name, tokenizer.encode(text or "") + end)
+                writer.add(name, ids + end)
                 if writer.tokens >= file_tokens:
                     yield closed()
                     writer = None
