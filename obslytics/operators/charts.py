@@ -7,14 +7,13 @@ outputs are made by a union with a tiny spine of keys, never by a cross join.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obslytics import schemas as S
 from obslytics.functions import features as X
 from obslytics.operators.ordered import minutes_between, ordered_index
+from obslytics.operators.quantiles import exact_quantiles
 from obslytics.operators.summary import combine_rows
 
 CATEGORIES = [c for c, _ in S.CATEGORY_COLORS]
@@ -185,44 +184,6 @@ def category_counts(df: DataFrame) -> DataFrame:
               .withColumn("color", X.category_color("behavioral_category")))
 
 
-QUANTILE_EDGES = 64
-
-
-def exact_quantiles(df: DataFrame, by: str, value: str, probabilities: list[float]) -> DataFrame:
-    """Rows (by, n, q): linearly interpolated quantiles of ``value`` per ``by``, exact at any size.
-
-    Values are counted by multiplicity and dealt to ranges between
-    approximate quantiles of their group; sums over the ranges tell which
-    range holds a wanted rank, and only those are ordered.  The approximate
-    edges decide how evenly the work is dealt, never the result.
-    """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("m"))
-    edges = counted.groupBy(by).agg(
-        F.sum("m").alias("n"),
-        F.percentile_approx("v", [i / QUANTILE_EDGES for i in range(1, QUANTILE_EDGES)], 1000).alias("edges"))
-    same = lambda a, b: F.col(f"{a}.{by}").eqNullSafe(F.col(f"{b}.{by}"))
-    dealt = (counted.alias("c").join(_small(edges, by).alias("e"), same("c", "e"))
-             .select("c.*", "n", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("part")))
-    parts = dealt.groupBy(by, "part").agg(F.sum("m").alias("m"), F.first("n").alias("n"))
-    ahead = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("ahead", F.coalesce(F.sum("m").over(ahead), F.lit(0)))
-    at = [(F.col("n") - 1) * p for p in probabilities]
-    ranks = [r for x in at for r in (F.floor(x), F.ceil(x))]
-    holds = [(r >= F.col("ahead")) & (r < F.col("ahead") + F.col("m")) for r in ranks]
-    wanted = parts.filter(reduce(lambda a, b: a | b, holds)).select(by, "part", "ahead")
-    inside = (dealt.alias("c").join(wanted.alias("e"), same("c", "e") & (F.col("c.part") == F.col("e.part")))
-              .select("c.*", "ahead"))
-    order = Window.partitionBy(by, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("first", F.col("ahead") + F.coalesce(F.sum("m").over(order), F.lit(0)))
-    found = inside.groupBy(by).agg(F.first("n").alias("n"), *[
-        F.max(F.when((r >= F.col("first")) & (r < F.col("first") + F.col("m")), F.col("v"))).alias(f"r{i}") for i, r in enumerate(ranks)])
-    values = []
-    for i, x in enumerate(at):
-        low, high = F.col(f"r{2 * i}"), F.col(f"r{2 * i + 1}")
-        values.append(F.when(F.floor(x) == F.ceil(x), low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high))
-    return found.select(by, "n", F.array(*values).alias("q"))
-
-
 def box_stats(df: DataFrame, by: str, value: str = "confidence") -> DataFrame:
     """Quartiles, 1.5 IQR whiskers and outlier count of ``value`` per ``by``.
 

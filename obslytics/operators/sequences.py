@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from obslytics.functions import features as X
 from obslytics.operators import filters as FL
 from obslytics.operators.ordered import minutes_between, ordered_index
+from obslytics.operators.quantiles import exact_quantiles
 from obslytics.operators.summary import first_per_group
 
 FEATURES = ["confidence", "hour", "k", "weekday", "gap_minutes"]
@@ -67,8 +68,7 @@ def flatten_sequences(seq: DataFrame, key: str = "session_id", label: str | None
 def statistical_features(df: DataFrame, key: str, value: str = "confidence") -> DataFrame:
     """Mean, std, min, max, median, p25, p75, var, peak-to-peak, length
     per key (population std/var; exact interpolated percentiles, see
-    ``charts.exact_quantiles``)."""
-    from obslytics.operators.charts import exact_quantiles
+    ``quantiles.exact_quantiles``)."""
     v = F.col(value)
     q = exact_quantiles(df, key, value, [0.5, 0.25, 0.75]).select(F.col(key).alias("_key"), "q")
     stats = df.groupBy(key).agg(
