@@ -139,28 +139,20 @@ def activity_correlation(df: DataFrame) -> DataFrame:
     """Pearson correlation of hourly counts between activity types
     over the observed hours, strict lower triangle (a > b by name).
 
-    After the first aggregate every table is at most types x 24 rows.  A
-    zero-variance side gives NULL (``try_divide``) instead of an error.
+    One aggregate over the rows gives 24 counts per type; the types' arrays meet in one row
+    (at most one array per activity type), where the pairs are formed.  A zero-variance side gives NULL.
     """
-    # one pass over the rows: type x 24 hour counts, zero filled by the pivot
     wide = df.filter(F.col("activity_type").isNotNull()).groupBy("activity_type").pivot("hour", HOURS).count()
-    stack = ", ".join(f"{h}, coalesce(`{h}`, 0L)" for h in HOURS)
-    dense = wide.select("activity_type", F.expr(f"stack(24, {stack}) as (hour, n)"))
-    # keep observed hours only (some type has an event); the table is tiny
-    dense = (dense.withColumn("_hour_total", F.sum("n").over(Window.partitionBy("hour")))
-                  .filter(F.col("_hour_total") > 0).drop("_hour_total"))
-    # materialise the tiny dense table (types x 24 rows) once, so both sides of
-    # the self join read it instead of re-aggregating the rows
-    from obslytics.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    dense = dense.checkpoint(eager=True)
-    a, b = dense.alias("a"), dense.alias("b")
-    pairs = (a.join(b, F.col("a.hour") == F.col("b.hour"))
-              .filter(F.col("a.activity_type") > F.col("b.activity_type"))
-              .select(F.col("a.activity_type").alias("activity_a"), F.col("b.activity_type").alias("activity_b"),
-                      F.col("a.n").alias("x"), F.col("b.n").alias("y")))
-    return pairs.groupBy("activity_a", "activity_b").agg(
-        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("correlation"))
+    counts = ", ".join(f"coalesce(`{h}`, 0l)" for h in HOURS)
+    one = wide.selectExpr("activity_type as type", f"array({counts}) as n").groupBy().agg(F.collect_list(F.struct("type", "n")).alias("types"))
+    # hours at which some type has an event
+    one = one.selectExpr("types", "filter(sequence(0, 23), h -> exists(types, t -> t.n[h] > 0)) as hours")
+    pairs = (one.selectExpr("types", "hours", "explode(types) as a")
+                .selectExpr("hours", "a", "explode(filter(types, t -> t.type < a.type)) as b"))
+    total = lambda e: f"aggregate(hours, 0d, (s, h) -> s + {e})"
+    pairs = pairs.selectExpr("a.type as activity_a", "b.type as activity_b", "double(size(hours)) as k", f"{total('a.n[h]')} as x", f"{total('b.n[h]')} as y",
+                             f"{total('double(a.n[h]) * a.n[h]')} as xx", f"{total('double(b.n[h]) * b.n[h]')} as yy", f"{total('double(a.n[h]) * b.n[h]')} as xy")
+    return pairs.selectExpr("activity_a", "activity_b", "try_divide(k * xy - x * y, sqrt(k * xx - x * x) * sqrt(k * yy - y * y)) as correlation")
 
 
 # --- distributions -------------------------------------------------------------
@@ -215,25 +207,19 @@ def confidence_density(df: DataFrame, by: str = "behavioral_category", value: st
     """Gaussian KDE of ``value`` per group on ``points`` grid points from
     min - cut*bw to max + cut*bw, Scott bandwidth ``n^(-1/5) * std``.
 
-    Pass 1 takes the moments per group; pass 2 adds each row's kernel at its
-    group's grid points, summed map-side.  The grid has groups x points rows.
+    Pass 1 takes the moments per group; pass 2 sums every row's kernel at its group's grid points, one column for
+    each point, so rows never multiply; a group's points become rows at the end.
     """
-    base = df.filter(F.col(by).isNotNull() & F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
-    stats = base.groupBy(by).agg(F.count("v").alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"), F.stddev_samp("v").alias("sd"))
-    stats = stats.withColumn("bw", F.pow(F.col("n"), -0.2) * F.col("sd")).filter(F.col("bw") > 0)
-    lo = F.col("vmin") - cut * F.col("bw")
-    hi = F.col("vmax") + cut * F.col("bw")
-    grid = stats.select(by, "n", "bw", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"),
-                        lo.alias("_lo"), hi.alias("_hi"))
-    grid = grid.select(by, "n", "bw", "point",
-                       (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("point") / (points - 1)).alias("x"))
-    z = (F.col("x") - F.col("v")) / F.col("bw")
-    dens = (base.join(_small(grid, by), by)
-                .groupBy(by, "point").agg(F.first("x").alias("x"), F.first("n").alias("n"), F.first("bw").alias("bw"),
-                                          F.sum(F.exp(-0.5 * z * z)).alias("_s")))
-    return dens.select(by, "point", "x",
-                       (F.col("_s") / (F.col("n") * F.col("bw") * F.lit((2 * 3.141592653589793) ** 0.5)))
-                       .alias("density"))
+    base = df.filter(F.col(by).isNotNull() & F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).cast("double").alias("v"))
+    stats = base.groupBy("_by").agg(F.expr("count(v) as n"), F.expr("min(v) as vmin"), F.expr("max(v) as vmax"), F.expr("stddev_samp(v) as sd"))
+    grid = (stats.selectExpr("_by as _group", "n", "pow(n, -0.2d) * sd as bw", "vmin", "vmax").where("bw > 0")
+                 .selectExpr("_group", "n", "bw", f"vmin - {float(cut)}d * bw as lo", f"(vmax - vmin + {2 * float(cut)}d * bw) / {points - 1} as step"))
+    near = base.join(_small(grid, by), F.expr("_by = _group"))
+    near = near.selectExpr("_by", "n", "bw", "lo", "step", "(v - lo) / bw as z", "step / bw as w")
+    sums = near.groupBy("_by").agg(F.expr("first(n) as n"), F.expr("first(bw) as bw"), F.expr("first(lo) as lo"), F.expr("first(step) as step"),
+                                   *(F.expr(f"sum(exp(-0.5d * (z - {i} * w) * (z - {i} * w))) as s{i}") for i in range(points)))
+    rows = sums.selectExpr("_by", "n", "bw", "lo", "step", f"posexplode(array({', '.join(f's{i}' for i in range(points))})) as (point, s)")
+    return rows.selectExpr(f"_by as `{by}`", "point", "lo + step * point as x", f"s / (n * bw * {(2 * 3.141592653589793) ** 0.5!r}d) as density")
 
 
 def density(df: DataFrame, by: str = "behavioral_category", points: int = 100) -> DataFrame:
