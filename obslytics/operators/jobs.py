@@ -32,15 +32,15 @@ def retention_stats(tables: dict[str, DataFrame], as_of: _dt.datetime, days_to_k
 
 def apply_retention(df: DataFrame, path: str, as_of: _dt.datetime, days_to_keep: int = 30) -> DataFrame:
     """Write the rows newer than the cutoff as a new snapshot at ``path``
-    and return its reader.  When the table is partitioned by ``date`` and the
-    cutoff falls on a day boundary the filter prunes whole partitions."""
+    and return its reader.  When the table is partitioned by ``date`` the filter prunes
+    whole partitions.  ``retention.retain`` drops expired days without rewriting the others."""
     cutoff = as_of - _dt.timedelta(days=days_to_keep)
     kept = FL.newer_than(df, cutoff)
     writer = kept.write.mode("overwrite")
     if "date" in kept.columns:
         writer = writer.partitionBy("date")
     writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(kept.schema).parquet(path)
 
 
 def backup(tables: dict[str, DataFrame], root: str, as_of: _dt.datetime) -> DataFrame:

@@ -7,6 +7,7 @@ to 6 places, dates and times as text.
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1327,6 +1328,27 @@ def q_retention_kept(spark, sf):
                     F.min("date").cast("string").alias("first_day"))
 
 
+_RETENTION_SQL = """SELECT '{name}' AS "table", count(*) FILTER (cast("timestamp" AS DATE) = DATE '2024-01-17') AS rows_read,
+       count(*) FILTER ("timestamp" < TIMESTAMP '2024-01-17 12:30:00') AS rows_deleted,
+       count(*) FILTER ("timestamp" >= TIMESTAMP '2024-01-17 12:30:00') AS rows_kept,
+       count(DISTINCT cast("timestamp" AS DATE)) FILTER (cast("timestamp" AS DATE) < DATE '2024-01-17') AS days_dropped,
+       '2024-01-17T12:30:00' AS cutoff, count(*) FILTER ("timestamp" >= TIMESTAMP '2024-01-17 12:30:00') AS rows_left
+FROM {source}"""
+
+
+@register("retention_run", " UNION ALL ".join(_RETENTION_SQL.format(name=n, source=s) for n, s in
+                                              (("activities", "activities"), ("labeling_data", "labeling"))))
+def q_retention_run(spark, sf):
+    """Both tables stored by day, then one retention run at a cutoff within a day; rows read are those of
+    that day alone, ``rows_left`` is counted from the tables as the new snapshot names them."""
+    from obslytics.operators import retention as RT
+    root = _scratch(spark, "store")
+    RT.store_tables({"activities": acts(spark, sf), "labeling_data": A.load_labeling(spark, sf)}, root)
+    stats = RT.retain(spark, root, A.AS_OF + _dt.timedelta(hours=12, minutes=30), 14)
+    left = [RT.read_stored(spark, root, t).agg(F.count(F.lit(1)).alias("rows_left")).withColumn("table", F.lit(t)) for t in ("activities", "labeling_data")]
+    return stats.join(F.broadcast(left[0].unionByName(left[1])), "table").select(*stats.columns, "rows_left")
+
+
 def _scratch(spark, name):
     import uuid
     from obslytics.session import checkpoint_dir
