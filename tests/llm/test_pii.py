@@ -75,6 +75,60 @@ def test_short_numbers_are_counted_beside_valid_cards(spark):
         assert r.spans == line(brute(texts[r.doc_id]))
 
 
+def test_plain_sentences_stay(spark):
+    """Sentences with "(at)" or "@" are no addresses, beside documents that teach all kinds."""
+    rng = random.Random(3)
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    teach = [(i, f"write to ann{i}.lee@mail{i % 7}.org or @ann or bob@home, call +1 {num(3)} {num(3)} {num(4)} or +{num(2)} {num(1)}") for i in range(400)]
+    plain = ["We met (at) noon. Then we left.", "it was (at) 5.30 sharp", "see you (at) the gate", "decorated with user@override here", "a @ b", "mail bob@home now"]
+    hidden = "write to ann (at) mail (dot) org now"
+    df = spark.createDataFrame([*teach, *((1000 + i, t) for i, t in enumerate([*plain, hidden]))], "doc_id long, text string")
+    found = P.detected(df).where("doc_id >= 1000").select("doc_id", P.redacted(P.F.col("pii_text"), P.F.col("all")).alias("t"))
+    after = dict(found.collect())
+    assert [after[1000 + i] for i in range(len(plain))] == plain
+    assert after[1000 + len(plain)] == "write to <EMAIL> now"
+
+
+def test_precision_on_planted_spans(spark):
+    """Of the spans that are added beside the base ones at least nine in ten are planted numbers."""
+    rng = random.Random(8)
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    docs, planted = [], set()
+    for i in range(600):
+        text = f"call +1 ({num(3)}) {num(3)}-{num(4)} or +{num(2)} {num(2)} x, "
+        if i % 3 == 0:
+            at = len(text) + len("tel: ")
+            text += f"tel: ({num(3)}) {num(3)}-{num(4)} "
+            planted.add((i, at))
+        docs.append((i, text + f"room {num(2)}-{num(2)} and {num(1)}.{num(2)}"))
+    added = set()
+    for r in P.report(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        base = line(brute(dict(docs)[r.doc_id])).split(",")
+        added |= {(r.doc_id, int(x.split(":")[1])) for x in r.spans.split(",") if x and x not in base}
+    assert len(added & planted) >= 0.9 * max(1, len(added)) and len(added & planted) >= 0.9 * len(planted)
+
+
+def test_many_matches_in_one_text(spark):
+    """One text of more than a megabyte full of matches, against brute force, within seconds."""
+    import time
+    text = "".join(f"call +1 212 555 {i % 10000:04d} or a{i}@b{i % 7}.org; é𝒳 10.0.{i % 256}.1, " for i in range(20_000))
+    assert len(text.encode()) > 1_000_000
+    df = spark.createDataFrame([(1, text), (2, "none")], "doc_id long, text string").coalesce(1)
+    started = time.time()
+    row = next(r for r in P.report(df).collect() if r.doc_id == 1)
+    assert time.time() - started < 40
+    assert row.base_sha256 == hashlib.sha256(line(brute(text)).encode()).hexdigest()
+    started = time.time()
+    found = P.detected(df).where("doc_id = 1").select("base", "all", P.redacted(P.F.col("pii_text"), P.F.col("all")).alias("t")).first()
+    assert time.time() - started < 40
+    at, out = 0, []
+    for s in found["all"]:
+        if s.start >= at:
+            out.append(text[at: s.start] + f"<{P.KINDS[s.kind].upper()}>")
+        at = max(at, s.end)
+    assert found.t == "".join(out) + text[at:]
+
+
 def test_no_python_in_the_plan_and_empty(spark):
     df = spark.createDataFrame([(1, "a@b.cd")], "doc_id long, text string")
     out = P.report(df)
