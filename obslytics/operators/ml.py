@@ -14,14 +14,14 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IndexToString, PCA, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from obslytics.operators import clustering as CL
 from obslytics.operators import filters as FL
 from obslytics.operators.ordered import hash_bucket, ordered_index
 
@@ -59,20 +59,27 @@ def cluster_features(df: DataFrame) -> DataFrame:
 CLUSTER_COLS = ["confidence_mean", "confidence_std", "hour_mean", "hour_std", "timestamp_count"]
 
 
-def cluster_activities(df: DataFrame | None, k: int = 3, seed: int = 42, features: DataFrame | None = None):
-    """M2: k-means of the per-type features after M1 scaling.
+def cluster_activities(df: DataFrame | None, k: int = 3, features: DataFrame | None = None):
+    """M2: deterministic k-means of the per-type features after M1 scaling.
 
-    Returns (assignments DataFrame [activity_type, cluster], centres, inertia).
+    Returns (assignments DataFrame [activity_type, cluster, distance], centres, inertia).
     ``features`` may be given precomputed (A4 columns); fewer than two types
     is an error, as in the reference.
     """
+    found = activity_clusters(df, k, features)
+    return found.rows.select("activity_type", "cluster", "distance"), found.centres, found.inertia
+
+
+def activity_clusters(df: DataFrame | None, k: int = 3, features: DataFrame | None = None) -> CL.Clusters:
     feats = features if features is not None else cluster_features(df)
     FL.require_rows(feats, 2, "activity types")
-    scaled = standardize(feats, CLUSTER_COLS)
-    vec = VectorAssembler(inputCols=[c + "_scaled" for c in CLUSTER_COLS], outputCol="features").transform(scaled)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vec)
-    out = model.transform(vec).select("activity_type", "cluster")
-    return out, [c.tolist() for c in model.clusterCenters()], model.summary.trainingCost
+    return CL.kmeans(standardize(feats, CLUSTER_COLS), "activity_type", [c + "_scaled" for c in CLUSTER_COLS], k)
+
+
+def centre_rows(found: CL.Clusters, cols: list[str], spark) -> DataFrame:
+    """M2/M3: a row for each cluster: rows, centre, inertia of all clusters."""
+    rows = [(i, n, *centre, found.inertia) for i, (n, centre) in enumerate(zip(found.sizes, found.centres, strict=True))]
+    return spark.createDataFrame(rows, ", ".join(["cluster int", "n long", *(f"{c} double" for c in cols), "inertia double"]))
 
 
 def encode_labels(df: DataFrame, col: str, out: str | None = None):
@@ -90,6 +97,7 @@ def decode_labels(df: DataFrame, col: str, labels: list[str], out: str | None =
 
 
 ROW_FEATURES = ["confidence", "hour", "activity_encoded", "behavior_encoded"]
+SCALED_FEATURES = [c + "_scaled" for c in ROW_FEATURES]
 
 
 def row_features(df: DataFrame) -> DataFrame:
@@ -100,46 +108,35 @@ def row_features(df: DataFrame) -> DataFrame:
     return base
 
 
-def cluster_rows(df: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
-    """M3: row-level k-means on the scaled row features, k = min(5, categories)."""
+def row_clusters(df: DataFrame, k: int | None = None) -> CL.Clusters:
+    """M3: deterministic k-means of the scaled row features, k = min(5, categories)."""
     base = row_features(df)
     if k is None:
         k = min(5, base.agg(F.count_distinct("behavioral_category")).first()[0])
-    scaled = standardize(base, ROW_FEATURES)
-    vec = VectorAssembler(inputCols=[c + "_scaled" for c in ROW_FEATURES], outputCol="features").transform(scaled)
-    model = KMeans(k=k, seed=seed, predictionCol="cluster").fit(vec)
-    return model.transform(vec).select("id", "cluster")
+    scaled = standardize(base, ROW_FEATURES).select("id", *SCALED_FEATURES)
+    return CL.kmeans(scaled, "id", SCALED_FEATURES, k)
+
+
+def cluster_rows(df: DataFrame, k: int | None = None) -> DataFrame:
+    """M3: (id, cluster)."""
+    return row_clusters(df, k).rows.select("id", "cluster")
 
 
 # --- M4-M6 projection ---------------------------------------------------------------------
 
-def pca(df: DataFrame, cols: list[str], k: int = 2, center: bool = True):
-    """M4: principal components with centring (MLlib's PCA does not centre on
-    transform) and a fixed sign (largest absolute loading positive).
+def pca(df: DataFrame, cols: list[str], k: int = 2):
+    """M4: (rows with ``pc1..pck``, explained-variance ratios, loadings by component); centred, with a fixed sign
+    (largest absolute loading positive)."""
+    found = CL.components(df, cols, k)
+    return found.project(df), found.ratios, found.loadings
 
-    Returns (DataFrame with ``pc1..pck``, explained-variance ratios, loadings
-    as a list of per-component lists).
-    """
-    src = df
-    if center:
-        means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()  # one pass, len(cols) numbers
-        if any(means[c] is None for c in cols):
-            raise FL.InsufficientData("PCA needs at least one row")
-        for c in cols:
-            src = src.withColumn(c + "_c", F.col(c) - F.lit(float(means[c])))
-        inputs = [c + "_c" for c in cols]
-    else:
-        inputs = cols
-    vec = VectorAssembler(inputCols=inputs, outputCol="_v").transform(src)
-    model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(vec)
-    pc = model.pc.toArray()  # features x k, tiny
-    signs = [1.0 if pc[np.argmax(np.abs(pc[:, j])), j] >= 0 else -1.0 for j in range(k)]
-    out = model.transform(vec).withColumn("_a", vector_to_array("_pc"))
-    for j in range(k):
-        out = out.withColumn(f"pc{j + 1}", F.col("_a")[j] * F.lit(signs[j]))
-    loadings = [[float(pc[i, j] * signs[j]) for i in range(len(cols))] for j in range(k)]
-    return out.drop("_v", "_pc", "_a", *[c + "_c" for c in cols if center]), \
-        [float(x) for x in model.explainedVariance.toArray()], loadings
+
+def component_rows(found: CL.Components, spark) -> DataFrame:
+    """M4/M5: a row for each component and feature: loading, the component's share of variance, and the feature's
+    weight (mean absolute loading over the components)."""
+    weight = [sum(abs(load[i]) for load in found.loadings) / len(found.loadings) for i in range(len(found.cols))]
+    rows = [(j + 1, c, load[i], found.ratios[j], weight[i]) for j, load in enumerate(found.loadings) for i, c in enumerate(found.cols)]
+    return spark.createDataFrame(rows, "component int, feature string, loading double, explained_variance_ratio double, weight double")
 
 
 def loading_weights(loadings: list[list[float]], cols: list[str], spark) -> DataFrame:
@@ -148,18 +145,19 @@ def loading_weights(loadings: list[list[float]], cols: list[str], spark) -> Data
     return spark.createDataFrame([(c, float(v)) for c, v in zip(cols, w)], "feature string, weight double")
 
 
-def cluster_projection(df: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
+def cluster_projection(df: DataFrame, k: int | None = None) -> DataFrame:
     """M6: row clusters shown in PCA space, PCA fitted on the same scaled
     features the clusters were found in (one consistent space)."""
-    base = row_features(df)
-    scaled = standardize(base, ROW_FEATURES)
-    sc = [c + "_scaled" for c in ROW_FEATURES]
-    if k is None:
-        k = min(5, base.agg(F.count_distinct("behavioral_category")).first()[0])
-    vec = VectorAssembler(inputCols=sc, outputCol="features").transform(scaled)
-    clustered = KMeans(k=k, seed=seed, predictionCol="cluster").fit(vec).transform(vec).drop("features")
-    proj, _, _ = pca(clustered, sc, 2, center=True)
-    return proj.select("id", "cluster", "pc1", "pc2")
+    return projected_clusters(df, k)[0]
+
+
+def projected_clusters(df: DataFrame, k: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """M6: rows (id, cluster, pc1, pc2) and centres (cluster, n, pc1, pc2) in one space."""
+    found = row_clusters(df, k)
+    space = CL.components(found.rows, SCALED_FEATURES)
+    centres = [(i, n, *space.place(c)) for i, (n, c) in enumerate(zip(found.sizes, found.centres, strict=True))]
+    return (space.project(found.rows).select("id", "cluster", "pc1", "pc2"),
+            df.sparkSession.createDataFrame(centres, "cluster int, n long, pc1 double, pc2 double"))
 
 
 # --- M11 split ------------------------------------------------------------------------------

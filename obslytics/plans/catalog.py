@@ -20,6 +20,7 @@ from obslytics.operators import charts as C
 from obslytics.operators import filters as FL
 from obslytics.operators import patterns as P
 from obslytics.operators import summary as SM
+from obslytics.plans import ml_sql as MQ
 from obslytics.plans import oracle as O
 from obslytics.sources import adapter as A
 from obslytics.sources import readers as R
@@ -1138,29 +1139,94 @@ def q_stream_detections(spark, sf):
 
 # --- models (rows-only checks: results depend on the fitted model) -------------------------
 
-@register("cluster_activities")
+_TYPE_COLS = ["confidence_mean", "confidence_std", "hour_mean", "hour_std", "timestamp_count"]
+_scaled_sql = lambda c: f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1) AS {c}_scaled"
+_TYPE_POINTS = f""", type_features AS (
+  SELECT activity_type, avg(confidence) AS confidence_mean, coalesce(stddev_samp(confidence), 0) AS confidence_std, avg(hour) AS hour_mean,
+         coalesce(stddev_samp(hour), 0) AS hour_std, count(*)::DOUBLE AS timestamp_count FROM enriched GROUP BY 1),
+type_points AS MATERIALIZED (SELECT activity_type, {', '.join(map(_scaled_sql, _TYPE_COLS))} FROM type_features),
+""" + MQ.kmeans("type_points", "activity_type", [c + "_scaled" for c in _TYPE_COLS], 3, 10)
+_ROW_COLS = ["confidence", "hour", "activity_encoded", "behavior_encoded"]
+_ROW_POINTS = f""", row_features AS MATERIALIZED (
+  SELECT id, confidence, hour::DOUBLE AS hour, (dense_rank() OVER (ORDER BY activity_type) - 1)::DOUBLE AS activity_encoded,
+         (dense_rank() OVER (ORDER BY behavioral_category) - 1)::DOUBLE AS behavior_encoded FROM enriched WHERE behavioral_category IS NOT NULL),
+row_points AS MATERIALIZED (SELECT id, {', '.join(map(_scaled_sql, _ROW_COLS))} FROM row_features),
+"""
+_ROW_CLUSTERS = _ROW_POINTS + MQ.kmeans("row_points", "id", [c + "_scaled" for c in _ROW_COLS], 5, 10)
+_centres_sql = lambda cols: f"""
+SELECT z.cluster, (SELECT count(*) FROM km_rows r WHERE r.cluster = z.cluster) AS n, {', '.join(f'round(z.{c}_scaled, 6) AS {c}' for c in cols)},
+       round((SELECT sum(distance) FROM km_rows), 6) AS inertia FROM km_centres z"""
+
+
+@register("cluster_activities", _TYPE_POINTS + """
+SELECT activity_type, cluster, round(distance, 6) AS distance FROM km_rows""")
 def q_cluster_activities(spark, sf):
-    """M2: k-means (k=3, seed 42) of per-type features."""
+    """M2: type-to-cluster map of the per-type features (k=3)."""
     from obslytics.operators import ml as ML
-    out, _, _ = ML.cluster_activities(enriched(spark, sf), 3, 42)
+    out, _, _ = ML.cluster_activities(enriched(spark, sf), 3)
     return out
 
 
-@register("cluster_rows")
+@register("cluster_centres", _TYPE_POINTS + _centres_sql(_TYPE_COLS))
+def q_cluster_centres(spark, sf):
+    """M2: centres (scaled), sizes and inertia."""
+    from obslytics.operators import ml as ML
+    return ML.centre_rows(ML.activity_clusters(enriched(spark, sf), 3), ML.CLUSTER_COLS, spark)
+
+
+@register("cluster_rows", _ROW_CLUSTERS + """
+SELECT id, cluster FROM km_rows""")
 def q_cluster_rows(spark, sf):
     """M3: row-level k-means."""
     from obslytics.operators import ml as ML
     return ML.cluster_rows(enriched(spark, sf))
 
 
-@register("pca_projection")
+@register("row_cluster_centres", _ROW_CLUSTERS + _centres_sql(_ROW_COLS))
+def q_row_cluster_centres(spark, sf):
+    """M3: centres (scaled), sizes and inertia."""
+    from obslytics.operators import ml as ML
+    return ML.centre_rows(ML.row_clusters(enriched(spark, sf)), ML.ROW_FEATURES, spark)
+
+
+_SPACE = _ROW_CLUSTERS + ",\n" + MQ.components("row_points", [c + "_scaled" for c in _ROW_COLS], 8) + f""",
+axes AS (SELECT feature, mean, max(loading) FILTER (component = 1) AS l1, max(loading) FILTER (component = 2) AS l2 FROM pc_components GROUP BY 1, 2),
+axis AS MATERIALIZED (SELECT {', '.join(f"max({v}) FILTER (feature = '{c}_scaled') AS {v}_{c}" for c in _ROW_COLS for v in ('mean', 'l1', 'l2'))} FROM axes)"""
+_place_sql = lambda j: "round(" + " + ".join(f"(p.{c}_scaled - mean_{c}) * l{j}_{c}" for c in _ROW_COLS) + f", 6) AS pc{j}"
+
+
+@register("pca_projection", _SPACE + f"""
+SELECT p.id, p.cluster, {_place_sql(1)}, {_place_sql(2)} FROM km_rows p, axis""")
 def q_pca_projection(spark, sf):
     """M4/M6: clusters in PCA space (consistently scaled)."""
     from obslytics.operators import ml as ML
     return ML.cluster_projection(enriched(spark, sf))
 
 
-@register("loading_weights")
+@register("pca_centres", _SPACE + f"""
+SELECT p.cluster, (SELECT count(*) FROM km_rows r WHERE r.cluster = p.cluster) AS n, {_place_sql(1)}, {_place_sql(2)} FROM km_centres p, axis""")
+def q_pca_centres(spark, sf):
+    """M6: the clusters' centres in PCA space."""
+    from obslytics.operators import ml as ML
+    return ML.projected_clusters(enriched(spark, sf))[1]
+
+
+_RAW_COMPONENTS = _ROW_POINTS + MQ.components("row_features", _ROW_COLS, 8)
+
+
+@register("pca_components", _RAW_COMPONENTS + """
+SELECT component, feature, round(loading, 6) AS loading, round(ratio, 6) AS explained_variance_ratio,
+       round(avg(abs(loading)) OVER (PARTITION BY feature), 6) AS weight
+FROM pc_components WHERE component <= 2""")
+def q_pca_components(spark, sf):
+    """M4/M5: loadings and explained-variance ratios of the row features."""
+    from obslytics.operators import clustering as CL
+    from obslytics.operators import ml as ML
+    return ML.component_rows(CL.components(ML.row_features(enriched(spark, sf)), ML.ROW_FEATURES), spark)
+
+
+@register("loading_weights", _RAW_COMPONENTS + """
+SELECT feature, round(avg(abs(loading)), 6) AS weight FROM pc_components WHERE component <= 2 GROUP BY 1""")
 def q_loading_weights(spark, sf):
     """M5: mean absolute PCA loading per feature."""
     from obslytics.operators import ml as ML

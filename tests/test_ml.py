@@ -23,7 +23,7 @@ def test_standardize_mean0_std1(spark, enriched):
 
 
 def test_cluster_activities(spark, enriched):
-    out, centers, inertia = ML.cluster_activities(enriched, 3, 42)
+    out, centers, inertia = ML.cluster_activities(enriched, 3)
     assert out.count() == enriched.select("activity_type").distinct().count()
     assert len(centers) <= 3 and inertia >= 0
 
