@@ -7,9 +7,9 @@ one shingle).
 
 A band is the smallest of a window's shingle hashes under one of many orders; window and template are compared if
 they agree in any band.  The number of bands follows from the smallest similarity that a verified match can have
-(a window holds words beside the template), so that a match is missed with a chance below ``MISSED``.  Before, windows
-without any of a template's *required* words are left out, which loses nothing: the shingles with none of these words
-are too few for a match; so are texts with too few of its words that share no shingle.
+(a window holds words beside the template), so that a match is missed with a chance below ``MISSED``.  Before, texts
+with too few of a template's words that share no shingle are left out, which loses nothing: they hold too few of its
+shingles; so are windows without any of its *required* words.
 
 The scan consists of Spark expressions and joins; templates are few (at most ``MOST_TEMPLATES``) and are held whole.
 
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from functools import reduce
 from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,6 +85,29 @@ TEMPLATES = {
         EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING
         FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
         CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+        any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+        commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this
+        software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product,
+        an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly
+        marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any
+        source distribution.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+        documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and
+        to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the
+        following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the
+        following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software,
+        unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language
+        processor.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+        sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial,
+        and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+        interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of
+        our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights
+        to this software under copyright law.""",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE
+        SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
         distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
     "GPL-2.0 notice": _gnu("program", "General Public License", "2"),
@@ -151,43 +173,35 @@ def bands_for(length: int, shingles: int, num: int, den: int) -> int:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
-def _shingles(words: Column, size: int) -> Column:
+def _shingles(words: Column, size: Column) -> Column:
     """Distinct shingles of an array of words; fewer words than a shingle have none."""
     at = F.sequence(F.lit(1), F.size(words) - size + 1)
     found = F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, size), " ")))
     return F.when(F.size(words) >= size, found).otherwise(F.array().cast("array<string>"))
 
 
-def _bands(hashes: Column, bands: int) -> Column:
+def _bands(hashes: Column, bands: int | Column) -> Column:
     """For each order the smallest hash, numbered.  An order hashes anew with its number, so each shingle is smallest alike often."""
-    orders = F.sequence(F.lit(1), F.lit(bands))
+    orders = F.sequence(F.lit(1), bands if isinstance(bands, Column) else F.lit(bands))
     return F.transform(orders, lambda i: F.xxhash64(i, F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, i)))))
 
 
-def _window(length: int):
-    return lambda at: F.struct(at.alias("first_word"), F.slice("words", at + 1, 2 * length).alias("window"))
+def _hashes(shingles: Column) -> Column:
+    return F.transform(shingles, lambda s: F.xxhash64(s))
 
 
-def _holds(required: list[str]):
-    wanted = F.array(*(F.lit(w) for w in required))
-    return lambda w: F.arrays_overlap(w["window"], wanted)
-
-
-def _may_hold(text: Column, wanted: list[tuple[list[str], int]]) -> Column:
-    """Whether a text has enough of the words of any of the templates."""
-    def enough(t):
-        return reduce(lambda a, b: a | b, [sum((F.contains(t, F.lit(w)).cast("int") for w in words), F.lit(0)) >= least for words, least in wanted])
-    return F.exists(F.array(F.lower(text)), enough)
+def _strings(words) -> Column:
+    return F.array(*(F.lit(w) for w in words)).cast("array<string>")
 
 
 def scan(docs: DataFrame, templates: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, license_id, n_windows, first_word, containment) of the templates found in each text.
 
     ``first_word`` is the place of the first window that holds the template, ``containment`` the largest share of the
-    template's shingles in a window."""
+    template's shingles in a window.  Texts are read and split once, whatever the templates' lengths."""
     spark = docs.sparkSession
     known = [(r[0], r[1]) for r in templates.select("license_id", "text").limit(MOST_TEMPLATES + 1).toLocalIterator()]
     if len(known) > MOST_TEMPLATES:
@@ -196,32 +210,44 @@ def scan(docs: DataFrame, templates: DataFrame, num: int = 80, den: int = 100, i
     for number, (name, text) in enumerate(known):
         words = words_of(text)
         if words:
-            by_length[len(words)].append((number, name, " ".join(words), shingles_of(words)))
+            by_length[len(words)].append((number, name, shingles_of(words)))
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("scanned"))
-    found = None
-    for length, group in sorted(by_length.items()):
-        size = min(SHINGLE, length)
-        bands = max(bands_for(length, len(t[3]), num, den) for t in group)
-        required = sorted({w for t in group for w in required_words(t[3], num, den)})
-        cut = F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(length)), _window(length))
-        cut = F.filter(cut, _holds(required))
-        held = rows.where(_may_hold(F.col("scanned"), [least_words(t[3], num, den) for t in group])).select("doc", _words(F.col("scanned")).alias("words"))
-        windows = (held.where(F.size("words") > 0).select("doc", F.explode(cut).alias("w"))
-                   .select("doc", "w.first_word", _shingles(F.col("w.window"), size).alias("shingles")).where(F.size("shingles") > 0))
-        hashed = F.transform("shingles", lambda s: F.xxhash64(s))
-        windows = windows.withColumn("band", F.explode(F.array_distinct(_bands(hashed, bands))))
-        mine = spark.createDataFrame([(n, name, sorted(s)) for n, name, _, s in group], "template int, license_id string, wanted array<string>")
-        wanted = F.transform("wanted", lambda s: F.xxhash64(s))
-        mine = mine.withColumn("band", F.explode(F.array_distinct(_bands(wanted, bands))))
-        retrieved = (windows.join(F.broadcast(mine), "band")  # at most MOST_TEMPLATES * bands rows
-                     .withColumn("both", F.size(F.array_intersect("shingles", "wanted")))
-                     .where(F.col("both") * den >= F.size("wanted") * num)
-                     .select("doc", "license_id", "first_word", (F.col("both") / F.size("wanted")).alias("containment")))
-        found = retrieved if found is None else found.union(retrieved)
-    if found is None:
-        found = rows.limit(0).select("doc", F.lit("").alias("license_id"), F.lit(0).alias("first_word"), F.lit(0.0).alias("containment"))
+    if not by_length:
+        none = rows.limit(0).select("doc", F.lit("").alias("license_id"), F.lit(0).cast("long").alias("n_windows"),
+                                    F.lit(0).cast("long").alias("first_word"), F.lit(0.0).alias("containment"))
+        return none.withColumnRenamed("doc", id_col)
+    # one class of windows for each length of a template; tests of a template: its words that share no shingle, how many a text needs
+    classes, tests, table = [], [], []
+    for number, (length, group) in enumerate(sorted(by_length.items())):
+        bands = max(bands_for(length, len(t[2]), num, den) for t in group)
+        required = sorted({w for t in group for w in required_words(t[2], num, den)})
+        classes.append(F.struct(F.lit(length).alias("length"), F.lit(min(SHINGLE, length)).alias("size"), F.lit(bands).alias("bands"),
+                                _strings(required).alias("required")))
+        tests += [(number, *least_words(t[2], num, den)) for t in group]
+        table += [(number, bands, n, name, sorted(t)) for n, name, t in group]
+    needed = _strings(sorted({w for _, words, _ in tests for w in words}))
+    several = F.array(*(F.struct(F.lit(k).alias("kind"), _strings(words).alias("words"), F.lit(least).alias("least")) for k, words, least in tests))
+    may_hold = F.filter(several, lambda t: F.size(F.array_intersect("have", t["words"])) >= t["least"])
+    held = rows.select("doc", _words(F.col("scanned")).alias("words")).withColumn("have", F.array_intersect("words", needed)).where(F.size("have") > 0)
+    held = held.select("doc", "words", F.explode(F.array_distinct(F.transform(may_hold, lambda t: t["kind"]))).alias("kind"))
+    held = held.withColumn("of", F.element_at(F.array(*classes), F.col("kind") + 1))
+    length, size = F.col("of.length"), F.col("of.size")
+    cut = F.transform(F.sequence(F.lit(0), F.size("words") - 1, length),
+                      lambda at: F.struct(at.alias("first_word"), F.slice("words", at + 1, 2 * length).alias("window")))
+    cut = F.filter(cut, lambda w: F.arrays_overlap(w["window"], F.col("of.required")))
+    windows = (held.select("doc", "kind", "of", F.explode(cut).alias("w"))
+               .select("doc", "kind", F.col("of.bands").alias("bands"), "w.first_word", _shingles(F.col("w.window"), size).alias("shingles"))
+               .where(F.size("shingles") > 0))
+    windows = windows.select("doc", "kind", "first_word", "shingles", F.explode(F.array_distinct(_bands(_hashes(F.col("shingles")), F.col("bands")))).alias("band"))
+    mine = spark.createDataFrame(table, "kind int, bands int, template int, license_id string, wanted array<string>")
+    keys = mine.select("kind", "template", F.explode(F.array_distinct(_bands(_hashes(F.col("wanted")), F.col("bands")))).alias("band"))
+    # both tables are bounded: at most MOST_TEMPLATES * bands rows of three numbers, and each template's shingles once
+    retrieved = (windows.join(F.broadcast(keys), ["kind", "band"]).join(F.broadcast(mine.select("template", "license_id", "wanted")), "template")
+                 .withColumn("both", F.size(F.array_intersect("shingles", "wanted")))
+                 .where(F.col("both") * den >= F.size("wanted") * num)
+                 .select("doc", "license_id", "first_word", (F.col("both") / F.size("wanted")).alias("containment")))
     # a window is retrieved by several bands; rows of one id and place are one window
-    return (found.groupBy("doc", "license_id", "first_word").agg(F.max("containment").alias("containment"))
+    return (retrieved.groupBy("doc", "license_id", "first_word").agg(F.max("containment").alias("containment"))
             .groupBy("doc", "license_id").agg(F.count("*").alias("n_windows"), F.min("first_word").cast("long").alias("first_word"),
                                               F.max("containment").alias("containment")).withColumnRenamed("doc", id_col))
 

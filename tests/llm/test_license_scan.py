@@ -106,3 +106,10 @@ def test_native_plan_and_edges(spark):
     assert L.scan(df, L.templates_frame(spark).limit(0)).count() == 0
     double = L.scan(df, L.templates_frame(spark, {"a": "all rights", "b": "All rights"}))
     assert sorted(r.license_id for r in double.collect()) == ["a", "b"]
+
+
+def test_documents_are_scanned_once(spark, tmp_dir):
+    spark.createDataFrame([(1, "all rights reserved"), (2, "none")], "doc_id long, text string").write.parquet(f"{tmp_dir}/documents.parquet")
+    plan = L.scan(spark.read.parquet(f"{tmp_dir}/documents.parquet"), L.templates_frame(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    assert len({len(L.words_of(t)) for t in L.TEMPLATES.values()}) > 20  # of so many lengths
