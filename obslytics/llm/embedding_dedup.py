@@ -6,8 +6,9 @@ wrong, and a link is missed only if every tree separates the pair.  The margin a
 chance; ``tests/llm`` and the README hold measured recall.
 
 The trees are fitted on a sample of at most ``SAMPLE`` vectors; every vector is routed.  Equal vectors are one class
-with a count, so a group of copies costs one row.  A leaf with more than ``BLOCK`` vectors is compared in pairs of
-blocks by several tasks.  A pair that meets in many leaves counts in the first.
+with a count, so a group of copies costs one row.  A cluster so tight that every split would leave most of it on both
+sides is not split further: the spill of a tree has a budget, and what is left is one leaf.  A leaf with more than
+``BLOCK`` vectors is compared in pairs of blocks by several tasks.  A pair that meets in many leaves counts in the first.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of
 another length than most link with nothing but their equals in length; repeated rows link with each other; an empty
@@ -27,6 +28,9 @@ SAMPLE = 20_000     # vectors that the trees are fitted on
 TREES = 6
 LEAF = 250          # vectors aimed at in a leaf
 BLOCK = 1024        # vectors of one side of a comparison
+TRIES = 3           # random splits of which the one with the least spill is taken
+SPILL = 1.5         # how often a tree may hold a vector, times SPILL_LEVEL for each level
+SPILL_LEVEL = 1.1
 MARGIN = 0.35       # of the spread that a pair at the threshold has along a random direction
 
 
@@ -36,22 +40,34 @@ class Tree:
     def __init__(self, sample: np.ndarray, weight: float, margin: float, leaf: int, rng: np.random.Generator):
         self.directions, self.thresholds, self.children, self.leaves = [], [], [], 0
         self.margin = margin
-        self.root = self._grow(sample, weight, leaf, rng, 0)
+        self.root = self._grow(sample, weight, leaf, rng, 0, 1.0)
         self.directions = np.array(self.directions, np.float32).reshape(-1, sample.shape[1])
 
-    def _grow(self, part: np.ndarray, weight: float, leaf: int, rng: np.random.Generator, depth: int) -> int:
-        if len(part) * weight > leaf and len(part) >= 8 and depth < 40:
+    def _split(self, part: np.ndarray, rng: np.random.Generator) -> tuple[float, np.ndarray, float, np.ndarray, np.ndarray]:
+        """Of some random splits that with the least spill: (share of vectors on both sides added, direction, threshold, sides)."""
+        best = None
+        for _ in range(TRIES):
             direction = rng.standard_normal(part.shape[1])
             direction /= np.linalg.norm(direction)
             along = part @ direction
             threshold = float(np.quantile(along, rng.uniform(0.4, 0.6)))
             left, right = part[along <= threshold + self.margin], part[along > threshold - self.margin]
-            if max(len(left), len(right)) < 0.95 * len(part):  # else the vectors are too close to be split
+            share = (len(left) + len(right)) / len(part)
+            if best is None or share < best[0]:
+                best = (share, direction, threshold, left, right)
+        return best
+
+    def _grow(self, part: np.ndarray, weight: float, leaf: int, rng: np.random.Generator, depth: int, copies: float) -> int:
+        """``copies``: how often the spill of the splits above has multiplied a vector.  Where a part is too dense to be
+        split within that budget, it stays one leaf, which is compared in blocks."""
+        if len(part) * weight > leaf and len(part) >= 8 and depth < 60:
+            share, direction, threshold, left, right = self._split(part, rng)
+            if copies * share <= SPILL * SPILL_LEVEL ** (depth + 1) and max(len(left), len(right)) < 0.95 * len(part):
                 number = len(self.thresholds)
                 self.directions.append(direction)
                 self.thresholds.append(threshold)
                 self.children.append(None)
-                self.children[number] = (self._grow(left, weight, leaf, rng, depth + 1), self._grow(right, weight, leaf, rng, depth + 1))
+                self.children[number] = tuple(self._grow(side, weight, leaf, rng, depth + 1, copies * share) for side in (left, right))
                 return number
         self.leaves += 1
         return -self.leaves

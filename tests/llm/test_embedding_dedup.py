@@ -55,3 +55,43 @@ def test_ties_nulls_empty(spark):
     got = sorted((tuple(r) for r in E.near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (3, 0, 3, True), (2, 0, 2, True), (4, 0, 4, True)], key=str)
     assert E.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_tight_clusters_stay_within_the_budget():
+    """Thousands of near copies of one vector among others: no vector reaches more leaves than the budget allows."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((10_000, 64))
+    x[:3000] = x[0] + 0.1 * rng.standard_normal((3000, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    spread = np.sqrt(0.1 / 64)
+    for seed in range(3):
+        tree = E.Tree(unit, 1.0, E.MARGIN * spread, E.LEAF, np.random.default_rng(seed))
+        routed = tree.route(unit.astype(np.float32))
+        assert sum(len(rows) for _, rows in routed) < 6 * len(x)
+
+
+def test_near_copies_keep_all_links(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    rows = [(i, (centre + 0.1 * rng.standard_normal(64)).tolist()) for i in range(3000)] + [(5000 + i, rng.standard_normal(64).tolist()) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in E.near_duplicates(df).collect())
+    x = np.array([np.float32(v) for _, v in rows], np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert links.sum() > 8_000_000
+    found = sum(g[1] for g in got)
+    assert 0.999 * links.sum() <= found <= links.sum()
+    assert all(g[2] == (0 if g[0] < 3000 else g[0]) for g in got if links[g[0] if g[0] < 3000 else g[0] - 2000])
+
+
+def test_recall_of_the_query(spark):
+    """The registered query over all of sf0.1 against all pairs."""
+    from obslytics.llm import queries
+    sf = "/root/testdata/sf0.1"
+    rows = [(r.vec_id, list(r.embedding) if r.embedding is not None else None) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    want = brute(rows)
+    got = sorted(tuple(r) for r in queries.QUERIES["op5_embedding_dedup"](spark, sf).collect())
+    links = sum(w[1] for w in want)
+    assert len(got) == len(want) and sum(g[1] for g in got) >= 0.99 * links
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
