@@ -69,7 +69,9 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     _ready(spark)
     keyed = _parcel(docs).withColumn("text_key", F.xxhash64("text"))
     found = decontamination.contamination(keyed.select("text_key", "text"), read_table(spark, sf_dir, "benchmark"), id_col="text_key")
-    return _unpacked(keyed.join(found.where("contaminated").select("text_key").distinct(), "text_key", "left_anti"), docs)
+    # written first: Spark then knows its size, broadcasts it where it is small and else joins by shuffle
+    gone = stored(found.where("contaminated").select("text_key").distinct(), "contaminated")
+    return _unpacked(keyed.join(gone, "text_key", "left_anti"), docs)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
