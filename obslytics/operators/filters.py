@@ -121,7 +121,14 @@ class InsufficientData(ValueError):
 
 def require_rows(df: DataFrame, minimum: int, what: str = "rows") -> DataFrame:
     """F13 guard for model jobs: checks ``minimum`` rows without a full count."""
-    n = len(df.limit(minimum).take(minimum))
-    if n < minimum:
-        raise InsufficientData(f"need at least {minimum} {what}, found {n}")
+    error = guard(df, minimum, what).first()["error"]
+    if error:
+        raise InsufficientData(error)
     return df
+
+
+def guard(df: DataFrame, minimum: int, what: str = "rows") -> DataFrame:
+    """F13 as a row: how many of at most ``minimum`` rows are there, whether they suffice, and the error's text if not."""
+    n = len(df.limit(minimum).take(minimum))
+    error = None if n >= minimum else f"need at least {minimum} {what}, found {n}"
+    return df.sparkSession.createDataFrame([(what, minimum, n, error is None, error)], "what string, needed int, found int, enough boolean, error string")

@@ -8,6 +8,7 @@ which has at most classes x classes rows, so they are exact SQL aggregates.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -17,12 +18,13 @@ from pyspark.ml.classification import (LinearSVC, MultilayerPerceptronClassifier
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from obslytics.operators import clustering as CL
 from obslytics.operators import filters as FL
+from obslytics.operators.models import load_model, save_model  # noqa: F401  S10 by the names of the reference
 from obslytics.operators.ordered import hash_bucket, ordered_index
 
 
@@ -203,80 +205,144 @@ def importances(model: PipelineModel, spark, names: list[str] | None = None, n:
     return df.limit(n) if n else df
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """S10."""
-    model.write().overwrite().save(path)
+@dataclass
+class KernelSvm:
+    """M9: one-vs-rest SVMs on landmark features of an RBF kernel, with calibrated class probabilities, as plain arrays:
+    mean and deviation of the features, landmarks, for each class the weights of the landmarks' kernel values and a bias,
+    and the sigmoid that turns its decision into a chance."""
 
+    mean: np.ndarray
+    deviation: np.ndarray
+    landmarks: np.ndarray
+    weights: np.ndarray
+    bias: np.ndarray
+    gamma: float
+    sigmoids: np.ndarray
 
-def load_model(path: str) -> PipelineModel:
-    """S10."""
-    return PipelineModel.load(path)
+    def decisions(self, df: DataFrame, features: str, out: str) -> DataFrame:
+        """Adds an array of the classes' decision values; only these leave the Arrow batch."""
+        kernel = landmark_kernel(self.landmarks, self.gamma)
+        mean, deviation, weights, bias = self.mean, self.deviation, self.weights, self.bias
 
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def decide(x: pd.Series) -> pd.Series:
+            m = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, len(mean)))
+            return pd.Series(list(kernel((m - mean) / deviation) @ weights + bias))
 
-def random_fourier_features(df: DataFrame, col: str, dim: int, out: str = "rff", n_features: int = 256,
-                            gamma: float | None = None, seed: int = 42) -> DataFrame:
-    """Random Fourier features (Rahimi & Recht, 2007) approximating an RBF
-    kernel exp(-gamma |x - y|^2); gamma defaults to 1 / dim.  The projection
-    matrix is small (n_features x dim) and is applied per Arrow batch."""
-    gamma = gamma if gamma is not None else 1.0 / dim
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2 * gamma), size=(dim, n_features))
-    b = rng.uniform(0, 2 * math.pi, size=n_features)
-    scale = math.sqrt(2.0 / n_features)
+        return df.withColumn(out, decide(vector_to_array(features)))
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(x: pd.Series) -> pd.Series:
-        m = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, dim))
-        z = scale * np.cos(m @ w + b)
-        return pd.Series(list(z))
+    def save_to(self, folder: str) -> None:
+        kinds = [(f.name, "double" if np.ndim(v) == 0 else "array<" * np.ndim(v) + "double" + ">" * np.ndim(v)) for f in fields(self) for v in [getattr(self, f.name)]]
+        row = tuple(np.asarray(getattr(self, name)).tolist() for name, _ in kinds)
+        (SparkSession.active().createDataFrame([row], ", ".join(f"{n} {k}" for n, k in kinds)).coalesce(1).write.mode("overwrite").parquet(folder))
 
-    return df.withColumn(out, array_to_vector(project(vector_to_array(col))))
+    @classmethod
+    def load(cls, folder: str) -> KernelSvm:
+        row = SparkSession.active().read.parquet(folder).first()
+        return cls(*(row[f.name] if f.name == "gamma" else np.array(row[f.name]) for f in fields(cls)))
+
+
+def landmark_kernel(landmarks: np.ndarray, gamma: float):
+    """Kernel values exp(-gamma |x - y|^2) of rows with every landmark."""
+    norms = (landmarks * landmarks).sum(axis=1)
+    return lambda m: np.exp(-gamma * np.maximum(0, (m * m).sum(axis=1)[:, None] - 2 * m @ landmarks.T + norms))
 
 
 def _scaler(features: str) -> StandardScaler:
     return StandardScaler(inputCol=features, outputCol="_scaled", withMean=True, withStd=True)
 
 
+def sigmoid(decision: np.ndarray, positive: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Platt scaling: (a, b) of the chance 1 / (1 + exp(a * decision + b)), by Newton steps on smoothed targets."""
+    n, m = int(positive.sum()), int((~positive).sum())
+    target = np.where(positive, (n + 1) / (n + 2), 1 / (m + 2))
+    a, b = 0.0, math.log((m + 1) / (n + 1))
+
+    def loss(a, b):
+        z = a * decision + b
+        return float(np.sum(np.logaddexp(0, z) - (1 - target) * z))
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(np.clip(a * decision + b, -500, 500)))
+        g = np.array([np.sum(decision * (target - p)), np.sum(target - p)])
+        w = p * (1 - p)
+        h = np.array([[np.sum(w * decision * decision) + 1e-9, np.sum(w * decision)], [np.sum(w * decision), np.sum(w) + 1e-9]])
+        step, size, now = np.linalg.solve(h, g), 1.0, loss(a, b)
+        while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) > now:
+            size /= 2
+        a, b = a - size * step[0], b - size * step[1]
+        if np.abs(g).max() < 1e-6:
+            break
+    return float(a), float(b)
+
+
 def train_svm(df: DataFrame, label: str = "label", features: str = "features", dim: int | None = None,
-              n_features: int = 256, C: float = 1.0, max_iter: int = 50, seed: int = 42):
-    """M9: one-vs-rest linear SVMs on random Fourier features (an RBF-kernel
-    approximation; MLlib has no exact kernel SVM).  ``regParam = 1 / (C n)``.
-    Features are standardised first; the model is the fitted scaler and the SVMs."""
-    dim = dim or len(df.select(features).first()[0])
+              n_features: int = 256, C: float = 1.0, max_iter: int = 50, seed: int = 42, gamma: float | None = None, max_rows: int = 20_000):
+    """M9: RBF-kernel SVMs with class probabilities, one against the rest.
+
+    Fitted on at most ``max_rows`` labelled rows, chosen by hash: ``n_features`` of them are the kernel's landmarks, a
+    fifth (by hash) is held out from the fit and calibrates the probabilities.  ``regParam = 1 / (C n)``; features are
+    standardised first.  Returns (model, labels)."""
     scaler = _scaler(features).fit(df)
-    z = random_fourier_features(scaler.transform(df.select(label, features)), "_scaled", dim, "_rff", n_features, seed=seed)
-    idx = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(z)
-    # the solver makes many passes: keep the projected features instead of
-    # re-running the Python projection on every pass
-    n = df.count()
-    z = idx.transform(z).select("_label", "_rff").persist()
-    try:
-        ovr = OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=max_iter),
-                        labelCol="_label", featuresCol="_rff", predictionCol="_pred", parallelism=4)
-        model = ovr.fit(z)
+    idx = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(df)
+    hashed = F.xxhash64(F.lit(seed), vector_to_array(features), label)
+    chosen = idx.transform(df.select(label, features)).select("_label", features, hashed.alias("_hash")).orderBy("_hash").limit(max_rows)
+    mean, deviation = scaler.mean.toArray(), np.where(scaler.std.toArray() > 0, scaler.std.toArray(), 1.0)
+    some = chosen.limit(n_features).toPandas()[features]
+    landmarks = (np.array([v.toArray() for v in some]) - mean) / deviation
+    gamma = gamma if gamma is not None else 1.0 / (dim or landmarks.shape[1])
+    values, vectors = np.linalg.eigh(landmark_kernel(landmarks, gamma)(landmarks))
+    # Nystroem map: kernel values, whitened, so that inner products of mapped rows approximate the kernel
+    whiten = vectors / np.sqrt(np.maximum(values, 1e-8))
+    mapped = KernelSvm(mean, deviation, landmarks, whiten, np.zeros(whiten.shape[1]), gamma, np.zeros((0, 2)))
+    z = mapped.decisions(chosen, features, "_kernel").select("_label", features, array_to_vector("_kernel").alias("_kernel"),
+                                                            (F.pmod(F.xxhash64("_hash"), F.lit(5)) == 0).alias("_held")).persist()
+    try:  # the solver makes many passes over these bounded rows
+        n = z.count()
+        ovr = OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=max_iter), labelCol="_label", featuresCol="_kernel", parallelism=4)
+        parts = ovr.fit(z.where("not _held")).models
+        weights = whiten @ np.array([m.coefficients.toArray() for m in parts]).T
+        model = KernelSvm(mean, deviation, landmarks, weights, np.array([m.intercept for m in parts]), gamma, np.zeros((0, 2)))
+        held = model.decisions(z.where("_held"), features, "_decision").select("_label", "_decision").toPandas()
     finally:
         z.unpersist()
-    return (scaler, model), idx.labels
+    decision = np.array(held["_decision"].tolist()).reshape(len(held), len(parts))
+    truth = held["_label"].to_numpy()
+    model.sigmoids = np.array([sigmoid(decision[:, k], truth == k) for k in range(len(parts))])
+    return model, idx.labels
+
 
+def svm_predictions(model: KernelSvm, labels: list[str], df: DataFrame, features: str = "features", dim: int | None = None,
+                    n_features: int | None = None) -> DataFrame:
+    """``df`` with ``prediction`` and ``probability``, an array by the order of ``labels`` that sums to one."""
+    pred = model.decisions(df, features, "_decision")
+    pred = pred.withColumn("_chance", F.array(*(1 / (1 + F.exp(F.lit(float(a)) * F.col("_decision")[k] + F.lit(float(b)))) for k, (a, b) in enumerate(model.sigmoids))))
+    pred = pred.withColumn("_total", F.aggregate("_chance", F.lit(0.0), lambda s, x: s + x))
+    pred = pred.withColumn("probability", F.transform("_chance", lambda x: x / F.col("_total")))
+    best = F.array_position("_decision", F.array_max("_decision")).cast("int")
+    return pred.withColumn("prediction", F.element_at(F.array(*(F.lit(x) for x in labels)), best)).drop("_decision", "_chance", "_total")
 
-def svm_predictions(model, labels: list[str], df: DataFrame, features: str = "features", dim: int | None = None,
-                    n_features: int = 256, seed: int = 42) -> DataFrame:
-    dim = dim or len(df.select(features).first()[0])
-    scaler, svms = model
-    z = random_fourier_features(scaler.transform(df), "_scaled", dim, "_rff", n_features, seed=seed)
-    pred = svms.transform(z)
-    return IndexToString(inputCol="_pred", outputCol="prediction", labels=labels).transform(pred).drop("_scaled", "_rff", "_pred")
+
+REGRESSION_FEATURES = ["hour", "activity_encoded", "behavior_encoded"]
+
+
+def regression_rows(df: DataFrame, seed: int = 42, test_fraction: float = 0.3) -> DataFrame:
+    """Row features with ``_f`` and ``_test``, a 70/30 split by hash of the id."""
+    base = row_features(df)
+    base = base.withColumn("_test", (F.abs(F.xxhash64(F.lit(seed), F.col("id"))) % 1000) < test_fraction * 1000)
+    return VectorAssembler(inputCols=REGRESSION_FEATURES, outputCol="_f").transform(base)
+
+
+def train_regression(rows: DataFrame, trees: int = 50, seed: int = 42):
+    """Forest regression of confidence on the training rows."""
+    return RandomForestRegressor(featuresCol="_f", labelCol="confidence", numTrees=trees, seed=seed, predictionCol="_p").fit(rows.filter(~F.col("_test")))
 
 
 def confidence_regression(df: DataFrame, trees: int = 50, seed: int = 42, test_fraction: float = 0.3) -> DataFrame:
     """Forest regression of confidence on hour and encoded type and
     category, hash-split 70/30, MSE and R^2 as aggregates (one row)."""
-    base = row_features(df)
-    base = base.withColumn("_test", (F.abs(F.xxhash64(F.lit(seed), F.col("id"))) % 1000) < test_fraction * 1000)
-    vec = VectorAssembler(inputCols=["hour", "activity_encoded", "behavior_encoded"], outputCol="_f").transform(base)
-    model = RandomForestRegressor(featuresCol="_f", labelCol="confidence", numTrees=trees, seed=seed,
-                                  predictionCol="_p").fit(vec.filter(~F.col("_test")))
-    pred = model.transform(vec.filter(F.col("_test")))
+    vec = regression_rows(df, seed, test_fraction)
+    pred = train_regression(vec, trees, seed).transform(vec.filter(F.col("_test")))
     y = F.col("confidence")
     err = y - F.col("_p")
     # one pass: SST = sum(y^2) - (sum y)^2 / n

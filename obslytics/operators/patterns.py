@@ -202,6 +202,25 @@ def analysis_report(df: DataFrame) -> DataFrame:
     return stacked.agg(F.map_from_entries(F.collect_list(F.struct("section", "v"))).alias("report"))
 
 
+def report_rows(spark, path: str) -> DataFrame:
+    """S7 read back: a row (section, place, name, value) for each pattern, insight summary field, recommendation and
+    cluster assignment of a report that ``write_report`` stored as JSON."""
+    stored = spark.read.schema("report map<string,string>").json(path)
+    part = lambda name, kind: F.from_json(F.col("report")[name], kind)
+    pats = stored.select(F.posexplode(part("activity_patterns", "activity_patterns array<struct<activity_type:string,frequency:long>>")["activity_patterns"])
+                         .alias("place", "p")).select(F.lit("activity_patterns").alias("section"), "place", F.col("p.activity_type").alias("name"),
+                                                      F.col("p.frequency").cast("string").alias("value"))
+    fields = ("total_patterns", "most_frequent_activity", "behavioral_diversity", "concerning_behaviors")
+    summary = stored.select(part("summary", ", ".join(f"{f} string" for f in fields)).alias("s"))
+    summary = summary.select(F.posexplode(F.array(*(F.struct(F.lit(f).alias("name"), F.col("s")[f].alias("value")) for f in fields))).alias("place", "f")) \
+        .select(F.lit("summary").alias("section"), "place", "f.name", "f.value")
+    advice = stored.select(F.posexplode(part("recommendations", "recommendations array<string>")["recommendations"]).alias("place", "value")) \
+        .select(F.lit("recommendations").alias("section"), "place", F.lit(None).cast("string").alias("name"), "value")
+    clusters = stored.select(F.explode(part("clustering_analysis", "activity_clusters map<string,int>")["activity_clusters"]).alias("name", "value")) \
+        .select(F.lit("clustering_analysis").alias("section"), F.lit(0).alias("place"), "name", F.col("value").cast("string").alias("value"))
+    return pats.unionByName(summary).unionByName(advice).unionByName(clusters)
+
+
 def _clustering_section(prof: DataFrame) -> DataFrame:
     """M2 inside the report: k-means on the per-type features taken from the
     profile (no extra scan).  Fewer than two types gives an ``error`` entry,
@@ -213,7 +232,7 @@ def _clustering_section(prof: DataFrame) -> DataFrame:
                         ).na.fill(0.0)
     spark = prof.sparkSession
     try:
-        assign, centers, inertia = ML.cluster_activities(None, 3, 42, features=feats)
+        assign, centers, inertia = ML.cluster_activities(None, 3, features=feats)
     except FL.InsufficientData:
         return spark.range(1).select(F.to_json(F.struct(F.lit("Insufficient data for clustering").alias("error")))
                                      .alias("v"))

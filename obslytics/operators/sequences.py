@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 
 from obslytics.functions import features as X
 from obslytics.operators import filters as FL
@@ -65,6 +65,31 @@ def flatten_sequences(seq: DataFrame, key: str = "session_id", label: str | None
     return g.select(key, "seq_index", *([label] if label else []), array_to_vector(flat).alias("features"))
 
 
+def order_features(seq: DataFrame, key: str = "session_id", decays: tuple[float, ...] = (0.5, 0.9), label: str | None = "label") -> DataFrame:
+    """Per sequence the state of a decayed fold over its steps, ``state = decay * state + x``, for each feature and decay,
+    over the sum of the weights: what a recurrent cell without gates would remember.  Columns ``d<i>_<feature>``."""
+    extra = [F.max_by(label, "step_index").alias(label)] if label else []
+    g = seq.groupBy(key, "seq_index").agg(F.array_sort(F.collect_list(F.struct("step_index", *FEATURES))).alias("_steps"), *extra)
+    weights = lambda d: (1 - F.pow(F.lit(d), F.size("_steps"))) / (1 - d)
+    fold = lambda f, d: F.aggregate("_steps", F.lit(0.0), lambda s, x: F.lit(d) * s + x[f]) / weights(d)
+    return g.select(key, "seq_index", *([label] if label else []), *(fold(f, d).alias(f"d{i}_{f}") for i, d in enumerate(decays) for f in FEATURES))
+
+
+def flat_columns(seq: DataFrame, key: str = "session_id", length: int = 10) -> DataFrame:
+    """M17 as plain columns ``f0 .. f<5 length - 1>``, step by step."""
+    flat = flatten_sequences(seq, key).withColumn("_f", vector_to_array("features"))
+    return flat.select(key, "seq_index", "label", *(F.col("_f")[i].alias(f"f{i}") for i in range(length * len(FEATURES))))
+
+
+def sequence_vectors(seq: DataFrame, key: str = "session_id") -> DataFrame:
+    """The flat vector of each sequence followed by its order features."""
+    flat = flatten_sequences(seq, key)
+    order = order_features(seq, key, label=None)
+    names = [c for c in order.columns if c not in (key, "seq_index")]
+    both = flat.join(order, [key, "seq_index"])
+    return both.select(key, "seq_index", "label", array_to_vector(F.concat(vector_to_array("features"), F.array(*names))).alias("features"))
+
+
 def statistical_features(df: DataFrame, key: str, value: str = "confidence") -> DataFrame:
     """Mean, std, min, max, median, p25, p75, var, peak-to-peak, length
     per key (population std/var; exact interpolated percentiles, see

@@ -113,7 +113,7 @@ def confidence_by_hour(df: DataFrame) -> DataFrame:
 
     The groups are kept as aggregates (count, sum, min, max) rather than
     collected lists, so a busy hour never becomes one in-memory list.
-    ``confidence_lists`` gives the row form (hour, confidence) when needed.
+    ``confidence_lists`` gives the lists themselves, in chunks.
     """
     spine = df.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"),
                                              F.lit(None).cast("double").alias("confidence"))
@@ -123,9 +123,18 @@ def confidence_by_hour(df: DataFrame) -> DataFrame:
                      F.min("confidence").alias("conf_min"), F.max("confidence").alias("conf_max")))
 
 
-def confidence_lists(df: DataFrame) -> DataFrame:
-    """A33 row form: (hour, confidence) ready for a writer partitioned by hour."""
-    return df.select(X.hour("timestamp").alias("hour"), "confidence")
+def confidence_lists(df: DataFrame, length: int = 1000) -> DataFrame:
+    """The 24 lists of confidences by hour, in the order of time, as numbered chunks of at most ``length`` values.
+
+    Rows (hour, chunk, n, confidences); places come from the skew-safe ordered index, so a busy hour is many chunks and
+    never one list in memory.  Rows without a time are left out."""
+    from obslytics.operators.ordered import ordered_index
+    rows = df.filter(F.col("timestamp").isNotNull()).select("id", "timestamp", "confidence", X.hour("timestamp").alias("hour"))
+    placed = ordered_index(rows, ["hour"], "timestamp", "id", rn_col="_rn", prev_col=None)
+    chunk = F.floor((F.col("_rn") - 1) / length).cast("long")
+    # null confidences keep their place in the list
+    lists = placed.groupBy("hour", chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("_rn", "confidence"))).alias("v"))
+    return lists.select("hour", "chunk", F.size("v").cast("long").alias("n"), F.transform("v", lambda x: x["confidence"]).alias("confidences"))
 
 
 def total_confidence(df: DataFrame) -> DataFrame:

@@ -1257,7 +1257,7 @@ def q_forest_importances(spark, sf):
 
 @register("svm_predictions")
 def q_svm_predictions(spark, sf):
-    """M9: one-vs-rest linear SVM on random Fourier features of the embeddings."""
+    """M9: RBF-kernel SVM (landmark features) of the embeddings, with the calibrated probability of the predicted class."""
     from obslytics.operators import ml as ML
     from pyspark.ml.functions import array_to_vector
     e = embeddings(spark, sf).select("vec_id", F.col("label").cast("string").alias("label"),
@@ -1266,7 +1266,7 @@ def q_svm_predictions(spark, sf):
     model, labels = ML.train_svm(split.filter("split = 'train'"), "label", "features", dim=64, n_features=128,
                                  max_iter=20)
     pred = ML.svm_predictions(model, labels, split.filter("split = 'test'"), "features", 64, 128)
-    return pred.select("vec_id", "label", "prediction")
+    return pred.select("vec_id", "label", "prediction", F.array_max("probability").alias("probability"))
 
 
 @register("confidence_regression")
@@ -1278,9 +1278,10 @@ def q_confidence_regression(spark, sf):
 
 @register("mlp_predictions")
 def q_mlp_predictions(spark, sf):
-    """Multilayer perceptron on flattened 10x5 sequences."""
+    """Multilayer perceptron on flattened 10x5 sequences and their order features."""
     from obslytics.operators import ml as ML
-    seq = _seq_vectors(spark, sf)
+    from obslytics.operators import sequences as SQ
+    seq = SQ.sequence_vectors(SQ.sequences(acts_with_k(spark, sf), 10))
     split = ML.stratified_split(seq.withColumn("seq_key", F.concat_ws(":", "session_id", "seq_index")),
                                 "label", "seq_key", 0.2, 42)
     model = ML.train_mlp(split.filter("split = 'train'"), "label", "features", (64, 32), 50, 42)
@@ -1293,11 +1294,11 @@ SELECT host, count(*) AS retained, {O.TS_TEXT.format(c='min("timestamp")')} AS o
 FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY "timestamp" DESC) AS rn FROM metrics)
 WHERE rn <= 1000 GROUP BY host""")
 def q_stream_history(spark, sf):
-    """Per-host bounded history (1000 samples) kept in streaming state."""
+    """Per-host bounded history (1000 samples), trimmed by host and bucket in each micro-batch."""
     from obslytics.streaming import streams as ST
     out, chk = _stream_dirs(spark, "history")
-    return ST.run_to_table(ST.stream_history(ST.metrics_stream(spark, f"{sf}/events.parquet"), 1000), out, chk,
-                           "update", key=["host"])
+    ST.history_sink(ST.metrics_stream(spark, f"{sf}/events.parquet"), out, chk, 1000).awaitTermination()
+    return ST.history_summary(spark, out)
 
 
 # --- variants that exercise optional parameters --------------------------------------------
@@ -1498,3 +1499,200 @@ def q_model_comparison(spark, sf):
     preds = (forest.transform(as_cols(test)).select(F.lit("RandomForest").alias("model_name"), "label", "prediction")
              .unionByName(mlp.transform(test).select(F.lit("MLP").alias("model_name"), "label", "prediction")))
     return ML.compare_models(preds)
+
+
+# --- fitted models held against their tables, saved models, sequences as vectors ---------------------------------
+
+_STAT_COLS = ["mean", "std", "min", "max", "median", "p25", "p75", "var", "ptp", "length"]
+
+
+def _session_rows(spark, sf):
+    from obslytics.operators import sequences as SQ
+    from obslytics.session import stored
+    feats = SQ.statistical_features(acts(spark, sf), "session_id", "confidence")
+    label = acts(spark, sf).groupBy("session_id").agg(F.mode("activity_type", True).alias("label"))
+    data = feats.join(label, "session_id")
+    return stored(data.select("session_id", "label", *[F.col(c).cast("double").alias(c) for c in _STAT_COLS]), "sessions")
+
+
+@register("forest_table_check", """
+SELECT count(DISTINCT session_id) AS scored, count(DISTINCT session_id) AS equal, 20::BIGINT AS trees, 10::BIGINT AS features, 10::BIGINT AS equal_importances, 1.0::DOUBLE AS importance_sum
+FROM activities""")
+def q_forest_table_check(spark, sf):
+    """A forest's node table scores every session as MLlib does, and gives its importances (to 1e-12)."""
+    from obslytics.operators import ml as ML
+    from obslytics.operators import models as MO
+    data = _session_rows(spark, sf)
+    model = ML.train_forest(data, "label", _STAT_COLS, trees=20, depth=8, seed=42)
+    nodes = MO.node_table(model, spark)
+    both = MO.score_forest(model.transform(data), nodes, _STAT_COLS)
+    counts = both.agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.col("score") == F.col("_pred")).alias("equal"))
+    own = MO.forest_importances(nodes, _STAT_COLS).withColumnRenamed("importance", "own")
+    theirs = ML.importances(model, spark, _STAT_COLS, None)
+    pairs = own.join(F.broadcast(theirs), "feature_index").agg(
+        F.count(F.lit(1)).alias("features"), F.count_if(F.abs(F.col("own") - F.col("importance")) < 1e-12).alias("equal_importances"),
+        F.sum("own").alias("importance_sum"))
+    trees = nodes.agg(F.count_distinct("tree").alias("trees"))
+    return SM.combine_rows(counts, trees, pairs).select("scored", "equal", "trees", "features", "equal_importances", "importance_sum")
+
+
+@register("regression_table_check", """
+SELECT count(*) AS scored, count(*) AS equal, 10::BIGINT AS trees, true AS finite FROM enriched WHERE behavioral_category IS NOT NULL""")
+def q_regression_table_check(spark, sf):
+    """The node table of the confidence forest predicts every row as MLlib does (to 1e-12)."""
+    from obslytics.operators import ml as ML
+    from obslytics.operators import models as MO
+    from obslytics.session import stored
+    rows = ML.regression_rows(enriched(spark, sf))
+    model = ML.train_regression(rows, 10, 42)
+    nodes = MO.node_table(model, spark)
+    both = MO.score_forest(stored(model.transform(rows).select("_p", *ML.REGRESSION_FEATURES), "regression"), nodes, ML.REGRESSION_FEATURES, classifier=False)
+    counts = both.agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.abs(F.col("score") - F.col("_p")) < 1e-12).alias("equal"),
+                      F.bool_and(~F.isnan("score")).alias("finite"))
+    return SM.combine_rows(counts, nodes.agg(F.count_distinct("tree").alias("trees"))).select("scored", "equal", "trees", "finite")
+
+
+@register("saved_model_check", """
+SELECT count(DISTINCT session_id) AS scored, count(DISTINCT session_id) AS equal, 2::BIGINT AS versions, 42::BIGINT AS seed,
+       (SELECT count(DISTINCT label) FROM (SELECT session_id, first(activity_type ORDER BY n DESC, activity_type) AS label
+        FROM (SELECT session_id, activity_type, count(*) AS n FROM activities GROUP BY 1, 2) GROUP BY 1)) AS labels, 'refused' AS other_columns
+FROM activities""")
+def q_saved_model_check(spark, sf):
+    """A forest with its encoder saved as the second version of a model folder, loaded and scored again; columns of
+    another kind are refused."""
+    from obslytics.operators import ml as ML
+    from obslytics.operators import models as MO
+    data, path = _session_rows(spark, sf), _scratch(spark, "model")
+    model = ML.train_forest(data, "label", _STAT_COLS, trees=5, depth=5, seed=42)
+    schema = data.select(*_STAT_COLS).schema
+    labels = model.stages[-1].getLabels()
+    for _ in range(2):
+        MO.save_model(model, path, schema, labels, 42)
+    again = MO.load_model(path, schema)
+    both = model.transform(data).select("session_id", "prediction").join(again.transform(data).select("session_id", F.col("prediction").alias("p")), "session_id")
+    counts = both.agg(F.count(F.lit(1)).alias("scored"), F.count_if(F.col("prediction") == F.col("p")).alias("equal"))
+    try:
+        MO.load_model(path, data.select("label").schema)
+        other = "loaded"
+    except MO.ModelMismatch:
+        other = "refused"
+    about = MO.manifest(path).agg(F.count(F.lit(1)).alias("versions"), F.max("seed").alias("seed"), F.max(F.size("labels")).alias("labels"))
+    return SM.combine_rows(counts, about).select("scored", "equal", "versions", "seed", "labels", F.lit(other).alias("other_columns"))
+
+
+_SEQ_FULL = _SEQ_ROWS + """,
+steps AS MATERIALIZED (SELECT *, (rn - 1) // 10 AS seq_index, (rn - 1) % 10 AS step_index FROM seqrows
+  QUALIFY count(*) OVER (PARTITION BY session_id, (rn - 1) // 10) = 10)"""
+_SEQ_COLS = ["confidence", "hour", "k", "weekday", "gap_minutes"]
+
+
+@register("flat_sequences", _SEQ_FULL + f"""
+SELECT session_id, seq_index, max(label) FILTER (step_index = 9) AS label,
+       {', '.join((f"max({c}) FILTER (step_index = {i})" if j == 4 else f"round(max({c}) FILTER (step_index = {i}), 6)") + f" AS f{5 * i + j}"
+            for i in range(10) for j, c in enumerate(_SEQ_COLS))}
+FROM steps GROUP BY 1, 2""", exact=tuple(f"f{5 * i + 4}" for i in range(10)))
+def q_flat_sequences(spark, sf):
+    """Each 10-step sequence as one row of 50 columns."""
+    from obslytics.operators import sequences as SQ
+    return SQ.flat_columns(SQ.sequences(acts_with_k(spark, sf), 10))
+
+
+@register("order_features", _SEQ_FULL + f"""
+SELECT session_id, seq_index, max(label) FILTER (step_index = 9) AS label,
+       {', '.join(f"round(sum({c} * pow({d}, 9 - step_index)) / ((1 - pow({d}, 10)) / (1 - {d})), 6) AS d{i}_{c}" for i, d in enumerate((0.5, 0.9)) for c in _SEQ_COLS)}
+FROM steps GROUP BY 1, 2""")
+def q_order_features(spark, sf):
+    """Decayed states of each sequence's features."""
+    from obslytics.operators import sequences as SQ
+    return SQ.order_features(SQ.sequences(acts_with_k(spark, sf), 10))
+
+
+@register("confidence_lists", """
+, placed AS (SELECT hour("timestamp") AS hour, confidence, row_number() OVER (PARTITION BY hour("timestamp") ORDER BY "timestamp", id) AS rn FROM activities)
+SELECT hour, (rn - 1) // 100 AS chunk, count(*) AS n,
+       array_to_string(list(cast(round(cast(confidence AS DECIMAL(24,10)), 6) AS VARCHAR) ORDER BY rn), ',') AS confidences
+FROM placed GROUP BY 1, 2""")
+def q_confidence_lists(spark, sf):
+    """Confidences by hour as lists in the order of time, in chunks of 100."""
+    lists = SM.confidence_lists(acts(spark, sf), 100)
+    text = F.array_join(F.transform("confidences", lambda c: F.round(c.cast("decimal(24,10)"), 6).cast("string")), ",")
+    return lists.select("hour", "chunk", "n", text.alias("confidences"))
+
+
+@register("video_uploads", """
+, u AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1),
+named AS (SELECT 'upload_' || cast(user_id AS VARCHAR) || ['.mp4', '.MOV', '.txt', '.webm', '.mp4.part'][user_id % 5 + 1] AS name, user_id % 5 AS kind, n FROM u)
+SELECT name, CASE kind WHEN 0 THEN 'video/mp4' WHEN 1 THEN 'video/quicktime' ELSE 'video/webm' END AS content_type, n AS length
+FROM named WHERE kind IN (0, 1, 3)""")
+def q_video_uploads(spark, sf):
+    """Uploads stored as files (one byte a frame), then the video files among them by name and type, contents unread."""
+    frames = A.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    ext = F.element_at(F.array(*(F.lit(x) for x in (".mp4", ".MOV", ".txt", ".webm", ".mp4.part"))), (F.col("user_id") % 5 + 1).cast("int"))
+    files = frames.select(F.concat(F.lit("upload_"), F.col("user_id").cast("string"), ext).alias("name"), F.expr("cast(repeat('x', cast(n as int)) as binary)").alias("content"))
+    path = _scratch(spark, "uploads")
+    R.write_uploads(files, path).write.format("noop").mode("overwrite").save()
+    return R.read_videos(spark, path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content_type", "length")
+
+
+@register("row_guards", """
+, c AS (SELECT (SELECT count(*) FROM (SELECT * FROM enriched LIMIT 10)) AS rows, (SELECT least(count(DISTINCT activity_type), 2) FROM enriched WHERE activity_type = 'sitting') AS types)
+SELECT 'rows' AS what, 10::BIGINT AS needed, rows AS found, rows >= 10 AS enough,
+       CASE WHEN rows >= 10 THEN NULL ELSE 'need at least 10 rows, found ' || rows END AS error FROM c
+UNION ALL
+SELECT 'activity types', 2, types, types >= 2, CASE WHEN types >= 2 THEN NULL ELSE 'need at least 2 activity types, found ' || types END FROM c""")
+def q_row_guards(spark, sf):
+    """the guards of the chart sets (10 rows) and of clustering (two types), the latter on one type."""
+    df = enriched(spark, sf)
+    one = df.filter(F.col("activity_type") == "sitting").select("activity_type").distinct()
+    return FL.guard(df, 10).unionByName(FL.guard(one, 2, "activity types"))
+
+
+@register("report_rows", _TYPE_POINTS + f""",
+counts AS (SELECT count(*) FILTER (behavioral_category = 'Concerning') AS con, count(*) FILTER (behavioral_category = 'Stimming') AS sti,
+           count(*) FILTER (behavioral_category = 'Therapeutic') AS the, count(*) FILTER (behavioral_category = 'Active') AS act,
+           count(*) FILTER (behavioral_category = 'Calm') AS cal FROM patterns),
+texts AS (SELECT list_filter([{', '.join(f"CASE WHEN {c} THEN '{t}' END" for c, t in zip(('con > 2', 'con > 0', 'sti > 0', 'sti > 0', 'the > 0', 'act > 0 AND cal > 0'), (x.replace("'", "''") for x in S.RECOMMENDATIONS)))}],
+  lambda x: x IS NOT NULL) AS t FROM counts)
+SELECT 'activity_patterns' AS section, row_number() OVER (ORDER BY frequency DESC, activity_type) - 1 AS place, activity_type AS name, frequency::VARCHAR AS value FROM patterns
+UNION ALL SELECT 'clustering_analysis', 0, activity_type, cluster::VARCHAR FROM km_rows
+UNION ALL SELECT 'recommendations', unnest(range(len(t))), NULL, unnest(t) FROM texts
+UNION ALL SELECT 'summary', 0, 'total_patterns', count(*)::VARCHAR FROM patterns
+UNION ALL SELECT 'summary', 1, 'most_frequent_activity', (SELECT activity_type FROM patterns ORDER BY frequency DESC, activity_type LIMIT 1)
+UNION ALL SELECT 'summary', 2, 'behavioral_diversity', count(DISTINCT coalesce(behavioral_category, chr(0)))::VARCHAR FROM patterns
+UNION ALL SELECT 'summary', 3, 'concerning_behaviors', (SELECT con FROM counts)::VARCHAR""")
+def q_report_rows(spark, sf):
+    """The nested analysis report written as JSON and read back, a row for each of its entries."""
+    from obslytics.operators import jobs as J
+    path = _scratch(spark, "report")
+    J.write_report(P.analysis_report(enriched(spark, sf)), path)
+    return P.report_rows(spark, path)
+
+
+#: chart panels and the registered queries that give the same tables
+_PANELS = {"timeline/daily_counts": "daily_counts", "timeline/daily_category": "daily_category", "timeline/daily_confidence": "daily_confidence",
+           "heatmaps/hour_by_weekday": "hour_by_weekday", "heatmaps/activity_correlation": "activity_correlation", "heatmaps/category_by_period": "category_by_period",
+           "heatmaps/confidence_matrix": "confidence_matrix", "statistics/activity_frequency": "activity_frequency", "statistics/confidence_density": "confidence_density",
+           "statistics/gap_histogram": "gap_histogram", "dashboard/daily_activity": "daily_activity", "dashboard/category_counts": "category_counts",
+           "dashboard/hour_by_activity": "hour_by_activity", "dashboard/weekday_by_hour": "weekday_by_hour"}
+
+
+def _panel_rows_sql() -> str:
+    return " UNION ALL ".join(f"SELECT '{panel}' AS panel, (SELECT count(*) FROM ({SQL[name]})) AS rows, 4::BIGINT AS sets" for panel, name in _PANELS.items())
+
+
+def q_chart_report_rows(spark, sf):
+    """The chart report written as a whole (without the model panels); the panels' rows read back, and the number of
+    panel sets in its summary."""
+    from obslytics.plans import reports
+    path = _scratch(spark, "charts")
+    sets = reports.chart_report(enriched(spark, sf), path, advanced=False).first()["visualizations_generated"]
+    counts = [spark.read.parquet(f"{path}/{panel}").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(panel).alias("panel"), "rows", F.lit(sets).alias("sets"))
+              for panel in _PANELS]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+QUERIES["chart_report_rows"] = lambda spark, sf_dir: normalize(q_chart_report_rows(spark, sf_dir))
+SQL["chart_report_rows"] = _panel_rows_sql()

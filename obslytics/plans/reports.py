@@ -18,9 +18,9 @@ from obslytics.operators import summary as SM
 from obslytics.session import checkpoint_dir
 
 
-def chart_panels(df: DataFrame) -> dict[str, DataFrame]:
+def chart_panels(df: DataFrame, advanced: bool = True) -> dict[str, DataFrame]:
     """Name -> table for the five chart sets (A9-A22, A27-A30, M4-M6,
-    M10, M18-M19)."""
+    M10, M18-M19); the last set, which fits models, only if ``advanced``."""
     gaps = C.gap_minutes(df)
     return {
         "timeline/daily_counts": C.daily_counts(df),
@@ -44,7 +44,7 @@ def chart_panels(df: DataFrame) -> dict[str, DataFrame]:
                                                  "behavioral_category"),
         "dashboard/hour_by_activity": C.hour_by_activity(df),
         "dashboard/weekday_by_hour": C.weekday_by_hour(df),
-        **(advanced_panels(df) if _has_rows(df, 10) else {}),
+        **(advanced_panels(df) if advanced and _has_rows(df, 10) else {}),
     }
 
 
@@ -57,25 +57,22 @@ def advanced_panels(df: DataFrame) -> dict[str, DataFrame]:
     """The advanced-analytics set (M4-M6, M10): PCA loading weights, row
     clusters in PCA space and the confidence regression metrics."""
     from obslytics.operators import ml as ML
-    base = ML.row_features(df)
-    _, ratios, loadings = ML.pca(base, ML.ROW_FEATURES, 2)
-    weights = ML.loading_weights(loadings, ML.ROW_FEATURES, df.sparkSession)
-    ratio = df.sparkSession.createDataFrame([(i + 1, float(r)) for i, r in enumerate(ratios)],
-                                            "component int, explained_variance_ratio double")
+    from obslytics.operators import clustering as CL
+    rows, centres = ML.projected_clusters(df)
     return {
-        "advanced/loading_weights": weights,
-        "advanced/explained_variance": ratio,
-        "advanced/cluster_projection": ML.cluster_projection(df),
+        "advanced/components": ML.component_rows(CL.components(ML.row_features(df), ML.ROW_FEATURES), df.sparkSession),
+        "advanced/cluster_projection": rows,
+        "advanced/cluster_centres": centres,
         "advanced/confidence_regression": ML.confidence_regression(df),
     }
 
 
-def chart_report(df: DataFrame, out_dir: str) -> DataFrame:
+def chart_report(df: DataFrame, out_dir: str, advanced: bool = True) -> DataFrame:
     """Write every panel table under ``out_dir`` and the summary JSON
     (A23 plus the number of panel sets written); returns the summary."""
-    checkpoint_dir(df.sparkSession)  # ordered panels (gaps) checkpoint their narrow projection
+    checkpoint_dir(df.sparkSession)
     base = df
-    panels = chart_panels(base)
+    panels = chart_panels(base, advanced)
     for name, table in panels.items():
         table.write.mode("overwrite").parquet(f"{out_dir}/{name}")
     sets = len({n.split("/")[0] for n in panels})  # 4 when too few rows for the advanced set

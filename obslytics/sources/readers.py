@@ -135,11 +135,32 @@ def split_valid(df: DataFrame, schema: T.StructType,
     return valid, rejected
 
 
-def read_videos(spark: SparkSession, path: str, mime_prefix: str = "video/") -> DataFrame:
-    """Uploaded files, keeping only video files (by extension-derived MIME)."""
-    files = spark.read.format("binaryFile").load(path)
+VIDEO_TYPES = {"mp4": "video/mp4", "m4v": "video/mp4", "avi": "video/x-msvideo", "mov": "video/quicktime", "mkv": "video/x-matroska", "webm": "video/webm"}
+
+
+def read_videos(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
+    """Uploaded files, video files alone (by their extension, in any case): path, length, modification time and type.
+
+    The file names are filtered while listing; contents are read only if asked for."""
+    any_case = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(map(any_case, VIDEO_TYPES)) + "}").load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    mime = (F.when(ext.isin("mp4", "m4v"), "video/mp4").when(ext == "avi", "video/x-msvideo")
-             .when(ext == "mov", "video/quicktime").when(ext == "mkv", "video/x-matroska")
-             .when(ext == "webm", "video/webm").otherwise("application/octet-stream"))
-    return files.withColumn("content_type", mime).filter(F.col("content_type").startswith(mime_prefix))
+    kind = F.create_map(*(F.lit(x) for pair in VIDEO_TYPES.items() for x in pair))[ext]
+    return files.select("path", "length", "modificationTime", kind.alias("content_type"), *(["content"] if content else []))
+
+
+def write_uploads(files: DataFrame, folder: str) -> DataFrame:
+    """Store uploads (name, content) as files of a shared folder; returns (name, length) of those written.
+
+    A task that is run again writes the same files."""
+    def write(batches):
+        import pyarrow.fs as pafs
+        store, path = pafs.FileSystem.from_uri(folder if "://" in folder else folder.replace("file:", "", 1))
+        store.create_dir(path, recursive=True)
+        for pdf in batches:
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                with store.open_output_stream(f"{path}/{name}", compression=None) as f:
+                    f.write(content)
+            yield pdf.assign(length=pdf["content"].map(len))[["name", "length"]]
+
+    return files.select("name", "content").mapInPandas(write, "name string, length long")

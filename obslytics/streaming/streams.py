@@ -14,7 +14,7 @@ from __future__ import annotations
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -185,6 +185,46 @@ def stream_history(metrics: DataFrame, n: int = 1000) -> DataFrame:
                                           GroupStateTimeout.NoTimeout)
 
 
+HISTORY_ROW = "host string, timestamp timestamp, cpu_percent double"
+
+
+def history_sink(stream: DataFrame, path: str, checkpoint: str, n: int = 1000, buckets: int = 16, expire: str | None = None, trigger_once: bool = True):
+    """T7 in built-in operators: the newest ``n`` samples of every host, kept as a table.
+
+    A micro-batch is first trimmed to the newest ``n`` of each host and bucket (by hash; each map task forwards no more),
+    so that no task sees more than ``n * (buckets + 1)`` rows of a host, then merged with the table of the batch before
+    and written to its own folder with overwrite: a retried batch replaces itself.  With ``expire`` (an interval such as
+    "7 days") hosts whose newest sample is older than that, by event time, leave the table."""
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("host", "timestamp", "cpu_percent")
+        newest = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("timestamp"), F.desc("cpu_percent")))
+        rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("timestamp", "cpu_percent"), F.lit(buckets)))
+        rows = rows.withColumn("_k", newest("host", "_bucket")).where(F.col("_k") <= n).drop("_k", "_bucket")
+        if batch_id:
+            rows = rows.unionByName(spark.read.schema(HISTORY_ROW).parquet(f"{path}/batch={batch_id - 1}"))
+        kept = rows.withColumn("_k", newest("host")).where(F.col("_k") <= n).drop("_k")
+        if expire:
+            now = rows.agg(F.max("timestamp")).first()[0]
+            last = Window.partitionBy("host")
+            kept = (kept.withColumn("_last", F.max("timestamp").over(last))
+                        .where(F.col("_last") >= F.lit(now) - F.expr(f"interval {expire}")).drop("_last")) if now is not None else kept
+        kept.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    if trigger_once:
+        w = w.trigger(availableNow=True)
+    return w.start()
+
+
+def history_summary(spark, path: str) -> DataFrame:
+    """Samples kept, their time range and mean CPU per host, from the newest batch's table."""
+    rows = spark.read.schema(HISTORY_ROW + ", batch long").parquet(path)
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == F.lit(last)).groupBy("host").agg(
+        F.count(F.lit(1)).alias("retained"), F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"), F.avg("cpu_percent").alias("cpu_avg"))
+
+
 def alerts_sink(stream: DataFrame, path: str, checkpoint: str, trigger_once: bool = True):
     """Deliver alerts to a table.  Each micro-batch is written to its own
     ``batch=<id>`` folder with overwrite, so a retried batch replaces itself
