@@ -39,7 +39,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), keep_text=True)
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,18 +232,34 @@ def _cut(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             .mapInArrow(cut, "h long, c long, n long, before int, after int, bytes binary"))
 
 
+HOT_KEYS = 10_000    # a key that holds more than this share of all rows is joined apart: there are at most so many
+
+
+def hot_keys(counts: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
+    """Keys with more than ``total / HOT_KEYS`` rows, of ``counts`` (one row a key) that sum up to ``total``: at most ``HOT_KEYS``."""
+    return counts.where(F.col(rows) * HOT_KEYS > total).select(*keys)
+
+
+def join_apart(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """Inner join by ``keys`` that leaves the rows of hot keys where they are: their few rows of ``right`` are broadcast."""
+    hot = F.broadcast(hot)
+    few = F.broadcast(right.join(hot, keys, "left_semi"))
+    return left.join(hot, keys, "left_semi").join(few, keys).unionByName(left.join(hot, keys, "left_anti").join(right, keys))
+
+
 def repeated_ranges(texts: DataFrame, length: int = 400, cap: int = CAP) -> DataFrame:
     """Rows (k1, k2, ranges): byte ranges of each distinct text that repeated windows cover.
 
     ``texts(k1, k2, text)`` has a row for each row of the corpus; the key is 128 bits of the text's hash."""
     reach = length - gram_of(length)
     all_anchors = stored(anchor_table(texts, length), "anchors")
-    often = all_anchors.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
-    found = stored(all_anchors.join(often, "h"), "repeated-anchors")
+    often = stored(all_anchors.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "often")
+    found = stored(join_apart(all_anchors, often.select("h"), ["h"], hot_keys(often, ["h"], "times", all_anchors.count())), "repeated-anchors")
     classes = stored(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("after").alias("after"),
                                                  F.min(F.struct("k1", "k2", "at")).alias("where")), "classes")
-    several = classes.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    wanted = stored(classes.join(several, "h").select("h", "c", "n", "before", "after", "where.*", "contexts"), "wanted")
+    several = stored(classes.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several")
+    wanted = join_apart(classes, several, ["h"], hot_keys(several, ["h"], "contexts", classes.count()))
+    wanted = stored(wanted.select("h", "c", "n", "before", "after", "where.*", "contexts"), "wanted")
 
     whole = classes.where("n > 1").select("h", "c", F.array(F.struct((-F.col("before")).alias("lo"), F.col("after").alias("hi"))).alias("ranges"))
     results = [whole]
@@ -269,7 +285,8 @@ def repeated_ranges(texts: DataFrame, length: int = 400, cap: int = CAP) -> Data
     for more in results[1:]:
         ranges = ranges.union(more)
     ranges = stored(ranges.select("h", "c", F.explode("ranges").alias("r")).select("h", "c", "r.*"), "class-ranges")
-    return (found.join(ranges, ["h", "c"]).select("k1", "k2", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
+    common = hot_keys(classes, ["h", "c"], "n", found.count())
+    return (join_apart(found, ranges, ["h", "c"], common).select("k1", "k2", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
             .groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
 
 
@@ -290,13 +307,14 @@ def _halved(rows: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP,
-                   keep: bool = False) -> DataFrame:
-    """Rows (id, n_bytes, n_removed, n_spans, kept_sha256), and the kept bytes where ``keep``."""
+                   keep: bool = False, keep_text: bool = False) -> DataFrame:
+    """Rows (id, n_bytes, n_removed, n_spans, kept_sha256), where ``keep`` the kept bytes as ``kept`` and where ``keep_text``
+    the same as ``kept_text``, with U+FFFD for a character whose bytes were cut."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("text"))
     texts = keyed.select("k1", "k2", "text")
     ranges = repeated_ranges(texts, length, cap)
-    names = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep]
+    names = ["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep, *["kept_text"] * keep_text]
 
     def removed(batches):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -314,11 +332,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                     kept.append(raw[at:lo])
                     at = hi
                 kept = b"".join([*kept, raw[at:]])
-                rows.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), *[kept] * keep))
-            cols = list(zip(*rows, strict=True)) or [()] * (4 + keep)
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=False))], names=names)
+                rows.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(),
+                             *[kept] * keep, *[kept.decode("utf-8", "replace")] * keep_text))
+            cols = list(zip(*rows, strict=True)) or [()] * (4 + keep + keep_text)
+            kinds = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * keep + [pa.string()] * keep_text
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], names=names)
 
-    ddl = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep
+    ddl = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep + ", kept_text string" * keep_text
     result = distinct_texts(texts).join(ranges, ["k1", "k2"], "left").select("k1", "k2", "packed", "ranges").mapInArrow(removed, ddl)
     return keyed.select("id", "k1", "k2").join(result, ["k1", "k2"]).select(F.col("id").alias(id_col), *names[2:])

@@ -66,3 +66,42 @@ def test_kept_bytes_nulls_and_empty(spark):
     got = {r.n_bytes: bytes(r.kept) for r in S.remove_repeats(df, 40, keep=True).collect()}
     assert got == {53: b"end", 50: b""}
     assert S.remove_repeats(df.limit(0), 40).count() == 0
+    cut = spark.createDataFrame([(1, "é" * 30 + "a"), (2, "é" * 30 + "b")], "doc_id long, text string")  # 41 bytes would cut a character
+    assert {r.doc_id: r.kept_text for r in S.remove_repeats(cut, 60, keep_text=True).collect()} == {1: "a", 2: "b"}
+
+
+def test_query_against_brute_force(spark):
+    """The registered query over all of sf0.01, by the bytes themselves, and the text that it returns."""
+    from obslytics.llm import queries
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = queries.QUERIES["op4_suffix_dedup"](spark, sf).collect()
+    raw = {d: (t or "").encode() for d, t in docs}
+    seen = Counter(hash(b[i:i + 400]) for b in raw.values() for i in range(len(b) - 399))
+    for r in rows:
+        b, covered, at = raw[r.doc_id], [], 0
+        for i in range(len(b) - 399):
+            if seen[hash(b[i:i + 400])] > 1:
+                if covered and i <= covered[-1][1]:
+                    covered[-1][1] = i + 400
+                else:
+                    covered.append([i, i + 400])
+        kept = b""
+        for lo, hi in covered:
+            kept, at = kept + b[at:lo], hi
+        kept += b[at:]
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(b), len(b) - len(kept), len(covered))
+        assert r.kept_sha256 == hashlib.sha256(kept).hexdigest() and r.kept_text == kept.decode("utf-8", "replace")
+    assert len(rows) == len(docs)
+
+
+def test_hot_keys_stay_where_they_are(spark):
+    """An anchor that most rows share: its rows are joined by broadcast, the results stay."""
+    rows = [(1, i) for i in range(400)] + [(k, k) for k in range(2, 60)] * 2
+    left = spark.createDataFrame(rows, "h long, x long")
+    counts = left.groupBy("h").count().withColumnRenamed("count", "times")
+    hot = S.hot_keys(counts, ["h"], "times", left.count())
+    assert hot.count() <= S.HOT_KEYS and hot.where("h = 1").count() == 1
+    right = spark.createDataFrame([(k, k * 10) for k in range(0, 60, 3)] + [(1, 7), (1, 8)], "h long, y long")
+    got = S.join_apart(left, right, ["h"], hot)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "h").select("h", "x", "y").collect()))
