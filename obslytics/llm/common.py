@@ -28,6 +28,21 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+HOT_KEYS = 10_000    # a key that holds more than this share of all rows is joined apart: there are at most so many
+
+
+def hot_keys(counts: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
+    """Keys with more than ``total / HOT_KEYS`` rows, of ``counts`` (one row a key) that sum up to ``total``: at most ``HOT_KEYS``."""
+    return counts.where(F.col(rows) * HOT_KEYS > total).select(*keys)
+
+
+def join_apart(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """Join (inner or left) by ``keys`` that leaves the rows of hot keys where they are: their few rows of ``right`` are broadcast."""
+    hot = F.broadcast(hot)
+    few = F.broadcast(right.join(hot, keys, "left_semi"))
+    return left.join(hot, keys, "left_semi").join(few, keys, how).unionByName(left.join(hot, keys, "left_anti").join(right, keys, how))
+
+
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of the links ``a - b`` and, for each, the smallest node that it reaches by them."""
     nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obslytics.llm import words as W
-from obslytics.llm.common import stored
+from obslytics.llm.common import hot_keys, join_apart, stored
 
 CAP = 8192          # contexts of one collection
 TOGETHER = 2048     # contexts of small collections that one construction takes at once
@@ -232,21 +232,6 @@ def _cut(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             .mapInArrow(cut, "h long, c long, n long, before int, after int, bytes binary"))
 
 
-HOT_KEYS = 10_000    # a key that holds more than this share of all rows is joined apart: there are at most so many
-
-
-def hot_keys(counts: DataFrame, keys: list[str], rows: str, total: int) -> DataFrame:
-    """Keys with more than ``total / HOT_KEYS`` rows, of ``counts`` (one row a key) that sum up to ``total``: at most ``HOT_KEYS``."""
-    return counts.where(F.col(rows) * HOT_KEYS > total).select(*keys)
-
-
-def join_apart(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
-    """Inner join by ``keys`` that leaves the rows of hot keys where they are: their few rows of ``right`` are broadcast."""
-    hot = F.broadcast(hot)
-    few = F.broadcast(right.join(hot, keys, "left_semi"))
-    return left.join(hot, keys, "left_semi").join(few, keys).unionByName(left.join(hot, keys, "left_anti").join(right, keys))
-
-
 def repeated_ranges(texts: DataFrame, length: int = 400, cap: int = CAP) -> DataFrame:
     """Rows (k1, k2, ranges): byte ranges of each distinct text that repeated windows cover.
 

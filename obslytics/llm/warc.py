@@ -3,8 +3,9 @@
 ``write_archives`` writes one gzip member for each capture into archive files in a shared folder; of captures with
 equal payloads the one with the largest id is the response and the others are revisits that refer to it.
 ``build_index`` sorts the captures by reversed-host URL key and id into compressed blocks; beside each index file
-lies its sparse directory with the first key of every block.  ``lookup`` finds captures by binary search, first among
-the index files, then in one directory, and reads one block and then the record by byte range.
+lies its sparse directory with the first key of every block.  The list of index files is one more file of the same form.
+``lookup`` finds captures by binary search, first among the index files, then in one directory, and reads one block and
+then the record by byte range.
 
 Folders can be in any store that ``pyarrow.fs`` opens by URI.  A task that is run again writes new files; files of
 lost attempts are named by no index row.
@@ -30,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obslytics.llm.common import new_folder, stored
+from obslytics.llm.common import hot_keys, join_apart, new_folder, stored
 
 ARCHIVE_BYTES = 256 << 20
 BLOCK_LINES = 500
@@ -103,9 +104,11 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     """Captures (key, page_id, file, at, size) of the records written.  Payloads below ``min_bytes`` are never revisits."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                         F.coalesce(payload_col, F.lit("")).alias("payload")).withColumn("sha1", F.sha1("payload"))
-    same = (rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha1")
-            .agg(F.count("*").alias("n"), F.max("page_id").alias("response")).where("n > 1").select("sha1", "response"))
-    rows = (rows.join(same, "sha1", "left")
+    same = stored(rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha1")
+                  .agg(F.count("*").alias("n"), F.max("page_id").alias("response")).where("n > 1"), "equal-payloads")
+    # payloads that very many pages share stay where they are
+    hot = hot_keys(same, ["sha1"], "n", max(1, same.agg(F.sum("n")).first()[0] or 0))
+    rows = (join_apart(rows, same.select("sha1", "response"), ["sha1"], hot, "left")
             .select(surt(F.col("url")).alias("key"), "page_id", "url", "payload", F.unhex("sha1").alias("sha1"),
                     F.when(~F.col("page_id").eqNullSafe(F.col("response")) & (F.octet_length("payload") >= min_bytes), F.col("response"))
                     .alias("refers_to")))
@@ -140,12 +143,28 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
 
 
 def build_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Index files over ``captures``; returns their list (file, key, page_id, blocks): the first entry of each."""
+    """Index files over ``captures``; returns their list (file, key, page_id, blocks): the first entry of each.
+
+    The list itself is written as one more file of the same form, named ``ROOT``: a reader holds its directory, one
+    entry for each ``BLOCK_LINES`` index files, and no task a list of all files."""
+    ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    files = stored(ordered.mapInArrow(_index_writer(folder), INDEX_DDL), "index-files")
+    lines = files.select("key", "page_id", "file", F.lit(0).cast("long").alias("at"), "blocks")
+    stored(lines.repartition(1).sortWithinPartitions("key", "page_id").mapInArrow(_index_writer(folder, ROOT), INDEX_DDL), "index-root").count()
+    return files
+
+
+ROOT = "root"
+INDEX_DDL = "file string, key string, page_id long, blocks long"
+
+
+def _index_writer(folder: str, own_name: str | None = None):
+    """Writes sorted lines as compressed blocks and a directory with the first key of each."""
 
     def write(batches):
         store, path = open_folder(folder)
         store.create_dir(path, recursive=True)
-        name = f"index-{uuid.uuid4().hex}"
+        name = own_name or f"index-{uuid.uuid4().hex}"
         out, first, directory, at, lines = None, None, [], 0, []
 
         def flush():
@@ -173,8 +192,7 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((name, pa.string()), (first[0], pa.string()), (first[1], pa.int64()),
                                                                         (len(directory), pa.int64()))], names=["file", "key", "page_id", "blocks"])
 
-    ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    return stored(ordered.mapInArrow(write, "file string, key string, page_id long, blocks long"), "index-files")
+    return write
 
 
 # ---- reading ------------------------------------------------------------------------------------------------
@@ -187,10 +205,8 @@ def place(key: str, page_id: int | None) -> tuple:
 class Index:
     """Reader of an index and its archives; holds a few directories, blocks and open files at a time."""
 
-    def __init__(self, folder: str, files: list[tuple[str, str, int | None]]):
+    def __init__(self, folder: str):
         self.store, self.path = open_folder(folder)
-        self.files = sorted(files, key=lambda x: place(x[1], x[2]))
-        self.firsts = [place(k, i) for _, k, i in self.files]
         self.kept: OrderedDict = OrderedDict()
 
     def _cached(self, what: tuple, make):
@@ -207,31 +223,34 @@ class Index:
         file.seek(at)
         return file.read(size)
 
-    def directory(self, number: int) -> tuple[list, list]:
+    def directory(self, name: str) -> tuple[list, list]:
         def load():
-            with self.store.open_input_file(f"{self.path}/{self.files[number][0]}.directory") as f:
+            with self.store.open_input_file(f"{self.path}/{name}.directory") as f:
                 rows = [json.loads(x) for x in f.read().decode().split("\n")]
             return rows, [place(r[0], r[1]) for r in rows]
-        return self._cached(("directory", number), load)
+        return self._cached(("directory", name), load)
 
-    def block(self, number: int, entry: list) -> tuple[list, list]:
+    def block(self, name: str, entry: list) -> tuple[list, list]:
         def load():
-            raw = zlib.decompress(self.read(f"{self.files[number][0]}.blocks", entry[2], entry[3]))
+            raw = zlib.decompress(self.read(f"{name}.blocks", entry[2], entry[3]))
             rows = [json.loads(x) for x in raw.decode().split("\n")]
             return rows, [place(r[0], r[1]) for r in rows]
-        return self._cached(("block", number, entry[2]), load)
+        return self._cached(("block", name, entry[2]), load)
+
+    def lines(self, name: str, low: tuple, high: tuple, before: bool) -> Iterator[list]:
+        """Lines of an index file from ``low`` to ``high``, both included; with ``before`` also the last line below ``low``."""
+        rows, firsts = self.directory(name)
+        at = max(0, bisect.bisect_left(firsts, low) - 1)
+        while at < len(rows) and firsts[at] <= high:
+            lines, places = self.block(name, rows[at])
+            start = bisect.bisect_left(places, low)
+            yield from lines[max(0, start - 1) if before and at <= max(0, bisect.bisect_left(firsts, low) - 1) else start: bisect.bisect_right(places, high)]
+            at += 1
 
     def find(self, low: tuple, high: tuple) -> Iterator[list]:
-        """Index lines from ``low`` to ``high``, both included."""
-        number = max(0, bisect.bisect_left(self.firsts, low) - 1)
-        while number < len(self.files) and self.firsts[number] <= high:
-            rows, firsts = self.directory(number)
-            at = max(0, bisect.bisect_left(firsts, low) - 1)
-            while at < len(rows) and firsts[at] <= high:
-                lines, places = self.block(number, rows[at])
-                yield from lines[bisect.bisect_left(places, low): bisect.bisect_right(places, high)]
-                at += 1
-            number += 1
+        """Index lines from ``low`` to ``high``, both included: through the root, the directory and the blocks of the files."""
+        for entry in self.lines(ROOT, low, high, before=True):
+            yield from self.lines(entry[2], low, high, before=False)
 
     def captures(self, key: str) -> Iterator[dict]:
         """All captures of a key."""
@@ -243,14 +262,14 @@ FOUND_DDL = "page_id long, payload_bytes long, payload_digest string, record_typ
 
 
 def lookup(wanted: DataFrame, index: DataFrame, folder: str, keep_payload: bool = False) -> DataFrame:
-    """Captures of ``wanted(key, page_id)``, read through the index.
+    """Captures of ``wanted(key, page_id)``, read through the index files that ``index`` lists.
 
-    The list of index files, one for each task that sorted them, goes to every task; wanted keys are sorted, so a
-    task reads neighbouring blocks."""
-    files = [(r.file, r.key, r.page_id) for r in index.select("file", "key", "page_id").toLocalIterator()]
+    Wanted keys are sorted, so a task reads neighbouring blocks."""
+    if index.limit(1).count() == 0:
+        return wanted.sparkSession.createDataFrame([], FOUND_DDL)
 
     def read(batches):
-        reader = Index(folder, files)
+        reader = Index(folder)
         for batch in batches:
             out = []
             for key, page_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

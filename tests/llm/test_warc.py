@@ -48,8 +48,8 @@ def test_key_lookup_and_plain_gzip(spark, tmp_dir):
     df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
     captures = A.write_archives(df, f"file://{tmp_dir}/w")
     index = A.build_index(captures, f"file://{tmp_dir}/w")
-    files = [(r.file, r.key, r.page_id) for r in index.collect()]
-    reader = A.Index(f"file://{tmp_dir}/w", files)
+    assert index.count() >= 1
+    reader = A.Index(f"file://{tmp_dir}/w")
     assert sorted(x["page_id"] for x in reader.captures("org,example,www)/a")) == list(range(50))
     assert [x["payload"] for x in reader.captures("org,example)/b")] == [b"z"]
     assert list(reader.captures("org,example)/c")) == []
@@ -57,6 +57,29 @@ def test_key_lookup_and_plain_gzip(spark, tmp_dir):
     assert gzip.open(f"{tmp_dir}/w/{name}").read().startswith(b"WARC/1.1\r\nWARC-Type: response")
 
 
+def test_many_index_files(spark, monkeypatch, tmp_dir):
+    """More index files than a block of their list holds, and keys that several files share."""
+    monkeypatch.setattr(A, "BLOCK_LINES", 2)
+    folder = f"file://{tmp_dir}/w"
+    rows = [(i, f"http://h{i % 9}.org/{'a' if i % 2 else i}", f"t{i}") for i in range(120)]
+    captures = A.write_archives(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA), folder)
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert A.build_index(captures, folder).count() > 6
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    reader = A.Index(folder)
+    keys = {}
+    for r in captures.collect():
+        keys.setdefault(r.key, []).append(r.page_id)
+    for key, ids in keys.items():
+        assert sorted(x["page_id"] for x in reader.captures(key)) == sorted(ids)
+    assert list(reader.captures("a")) == [] and list(reader.captures("zz")) == []
+
+
 def test_repeats_nulls_empty(spark):
     rows = [(1, "u", "a"), (1, "u", "a"), (None, "u", "a"), (None, None, None), (2, "u", "b")]
     df = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
