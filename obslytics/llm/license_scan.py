@@ -11,7 +11,7 @@ they agree in any band.  The number of bands follows from the smallest similarit
 with too few of a template's words that share no shingle are left out, which loses nothing: they hold too few of its
 shingles; so are windows without any of its *required* words.
 
-The scan consists of Spark expressions and joins; templates are few (at most ``MOST_TEMPLATES``) and are held whole.
+The scan consists of Spark expressions and joins; templates are held ``MOST_TEMPLATES`` at a time.
 
 Defined results: null and empty texts have no matches; rows of the same id (null included) are one text collection;
 templates without words are never found; equal templates are found alike; without templates or rows the result is
@@ -202,20 +202,31 @@ def scan(docs: DataFrame, templates: DataFrame, num: int = 80, den: int = 100, i
 
     ``first_word`` is the place of the first window that holds the template, ``containment`` the largest share of the
     template's shingles in a window.  Texts are read and split once, whatever the templates' lengths."""
-    spark = docs.sparkSession
-    known = [(r[0], r[1]) for r in templates.select("license_id", "text").limit(MOST_TEMPLATES + 1).toLocalIterator()]
-    if len(known) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates: scan for them in parts")
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("scanned"))
+    found = rows.limit(0).select("doc", F.lit("").alias("license_id"), F.lit(0).alias("first_word"), F.lit(0.0).alias("containment"))
+    known = []
+    for row in templates.select("license_id", "text").toLocalIterator():
+        known.append((row[0], row[1]))
+        if len(known) == MOST_TEMPLATES:  # a part is searched by itself, with a scan of the documents of its own
+            found, known = found.unionByName(_retrieved(rows, known, num, den)), []
+    if known:
+        found = found.unionByName(_retrieved(rows, known, num, den))
+    # a window is retrieved by several bands; rows of one id and place are one window
+    return (found.groupBy("doc", "license_id", "first_word").agg(F.max("containment").alias("containment"))
+            .groupBy("doc", "license_id").agg(F.count("*").alias("n_windows"), F.min("first_word").cast("long").alias("first_word"),
+                                              F.max("containment").alias("containment")).withColumnRenamed("doc", id_col))
+
+
+def _retrieved(rows: DataFrame, known: list[tuple[str, str]], num: int, den: int) -> DataFrame:
+    """Rows (doc, license_id, first_word, containment) of the windows of ``rows`` (doc, scanned) that hold a template."""
+    spark = rows.sparkSession
     by_length = defaultdict(list)
     for number, (name, text) in enumerate(known):
         words = words_of(text)
         if words:
             by_length[len(words)].append((number, name, shingles_of(words)))
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("scanned"))
     if not by_length:
-        none = rows.limit(0).select("doc", F.lit("").alias("license_id"), F.lit(0).cast("long").alias("n_windows"),
-                                    F.lit(0).cast("long").alias("first_word"), F.lit(0.0).alias("containment"))
-        return none.withColumnRenamed("doc", id_col)
+        return rows.limit(0).select("doc", F.lit("").alias("license_id"), F.lit(0).alias("first_word"), F.lit(0.0).alias("containment"))
     # one class of windows for each length of a template; tests of a template: its words that share no shingle, how many a text needs
     classes, tests, table = [], [], []
     for number, (length, group) in enumerate(sorted(by_length.items())):
@@ -242,14 +253,10 @@ def scan(docs: DataFrame, templates: DataFrame, num: int = 80, den: int = 100, i
     mine = spark.createDataFrame(table, "kind int, bands int, template int, license_id string, wanted array<string>")
     keys = mine.select("kind", "template", F.explode(F.array_distinct(_bands(_hashes(F.col("wanted")), F.col("bands")))).alias("band"))
     # both tables are bounded: at most MOST_TEMPLATES * bands rows of three numbers, and each template's shingles once
-    retrieved = (windows.join(F.broadcast(keys), ["kind", "band"]).join(F.broadcast(mine.select("template", "license_id", "wanted")), "template")
-                 .withColumn("both", F.size(F.array_intersect("shingles", "wanted")))
-                 .where(F.col("both") * den >= F.size("wanted") * num)
-                 .select("doc", "license_id", "first_word", (F.col("both") / F.size("wanted")).alias("containment")))
-    # a window is retrieved by several bands; rows of one id and place are one window
-    return (retrieved.groupBy("doc", "license_id", "first_word").agg(F.max("containment").alias("containment"))
-            .groupBy("doc", "license_id").agg(F.count("*").alias("n_windows"), F.min("first_word").cast("long").alias("first_word"),
-                                              F.max("containment").alias("containment")).withColumnRenamed("doc", id_col))
+    return (windows.join(F.broadcast(keys), ["kind", "band"]).join(F.broadcast(mine.select("template", "license_id", "wanted")), "template")
+            .withColumn("both", F.size(F.array_intersect("shingles", "wanted")))
+            .where(F.col("both") * den >= F.size("wanted") * num)
+            .select("doc", "license_id", "first_word", (F.col("both") / F.size("wanted")).alias("containment")))
 
 
 def sql(templates: dict[str, str] = TEMPLATES) -> str:

@@ -113,3 +113,14 @@ def test_documents_are_scanned_once(spark, tmp_dir):
     plan = L.scan(spark.read.parquet(f"{tmp_dir}/documents.parquet"), L.templates_frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
     assert len({len(L.words_of(t)) for t in L.TEMPLATES.values()}) > 20  # of so many lengths
+
+
+def test_more_templates_than_are_held_at_a_time(spark, monkeypatch):
+    """Beyond the bound templates are searched in parts; equal ids in several parts are one template id."""
+    monkeypatch.setattr(L, "MOST_TEMPLATES", 3)
+    docs = corpus()[:150]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    some = [("a", "All rights reserved."), ("b", "Released under the MIT License."), ("c", "..."), ("a", "Licensed under CC BY-NC 4.0."), ("d", L.TEMPLATES["MIT notice"]),
+            ("e", L.TEMPLATES["BSD-2-Clause"]), ("f", L.TEMPLATES["GPL-3.0 line"])]
+    got = L.scan(df, spark.createDataFrame(some, "license_id string, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(docs, some) and len(got) > 5
