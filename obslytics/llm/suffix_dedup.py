@@ -11,13 +11,13 @@ would set the number of rounds):
 
 1. Every window of ``length`` bytes owns its smallest ``gram``-byte string by hash, its anchor.  Equal windows own
    equal anchors at the same place, so only contexts of one anchor string, aligned at it, need to be compared.
-2. An anchor string that occurs once is dropped.  Equal contexts fall into one class; a class with two
-   occurrences is repeated as a whole.  The classes of an anchor string form its collection.
+2. An anchor string that occurs once is dropped.  Equal contexts fall into one class, which enters the construction as
+   two strings if it occurs more than once.  The classes of an anchor string form its collection.
 3. A collection beyond ``cap`` contexts is split by the window's offset to the anchor: windows of half the offsets
    share a longer core, by whose content they are dealt anew.  At a single offset the core is the window itself,
    so every collection gets small without a limit on repeats, and a hot passage never meets in one task.
 
-Contexts, windows and texts are compared through the construction or by 128 bits of hash.
+Every repeat comes out of a construction; contexts of one class and equal texts are known by hash.
 
 Defined results: null text is empty; texts shorter than ``length`` keep all bytes; equal rows are repeats of each
 other; an empty table gives no rows; columns other than the id and the text are ignored, whatever their names.
@@ -146,16 +146,20 @@ RANGES_DDL = "g long, c long, ranges array<struct<lo:int,hi:int>>"
 
 
 def collections(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeated ranges of contexts(g, c, low, high, before, after, bytes), whose collections are bounded.
+    """Repeated ranges of contexts(g, c, n, low, high, before, after, bytes), whose collections are bounded; ``n``: how often
+    a context occurs.
 
     A task takes whole collections, in order, and joins small ones of equal offsets into one construction."""
 
     def take(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in rows.groupby(["low", "high"], sort=False):
-            found = column_wise(list(part["bytes"]), part["before"].to_numpy(), part["after"].to_numpy(), length)
+            # a context that occurs more than once is two strings of the collection
+            row = np.repeat(np.arange(len(part)), 1 + (part["n"].to_numpy() > 1))
+            found = column_wise([part["bytes"].iloc[i] for i in row], part["before"].to_numpy()[row], part["after"].to_numpy()[row], length)
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
             out.append(pd.DataFrame({"g": part["g"].to_numpy(), "c": part["c"].to_numpy(),
-                                     "ranges": [[{"lo": a, "hi": b} for a, b in x] for x in found]}))
+                                     "ranges": [[{"lo": a, "hi": b} for a, b in found[i]] for i in first]}))
         out = pd.concat(out)
         return out[out["ranges"].map(len) > 0]
 
@@ -179,7 +183,7 @@ def collections(contexts: DataFrame, length: int) -> DataFrame:
             for first, last in _groups(rows["g"].to_numpy()):
                 yield take(rows.iloc[first:last])
 
-    return (contexts.select("g", "c", "low", "high", "before", "after", "bytes").repartition("g").sortWithinPartitions("g")
+    return (contexts.select("g", "c", "n", "low", "high", "before", "after", "bytes").repartition("g").sortWithinPartitions("g")
             .mapInPandas(run, RANGES_DDL))
 
 
@@ -242,16 +246,14 @@ def repeated_ranges(texts: DataFrame, length: int = 400, cap: int = CAP) -> Data
     found = stored(join_apart(all_anchors, often.select("h"), ["h"], hot_keys(often, ["h"], "times", all_anchors.count())), "repeated-anchors")
     classes = stored(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("after").alias("after"),
                                                  F.min(F.struct("k1", "k2", "at")).alias("where")), "classes")
-    several = stored(classes.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several")
-    wanted = join_apart(classes, several, ["h"], hot_keys(several, ["h"], "contexts", classes.count()))
+    sizes = stored(classes.groupBy("h").agg(F.count("*").alias("contexts")), "sizes")
+    wanted = join_apart(classes, sizes, ["h"], hot_keys(sizes, ["h"], "contexts", classes.count()))
     wanted = stored(wanted.select("h", "c", "n", "before", "after", "where.*", "contexts"), "wanted")
 
-    whole = classes.where("n > 1").select("h", "c", F.array(F.struct((-F.col("before")).alias("lo"), F.col("after").alias("hi"))).alias("ranges"))
-    results = [whole]
     # level 0: a collection is an anchor string; each level halves the offsets of collections beyond the cap
     anchored = [F.col("h").alias("g"), F.lit(0).alias("low"), F.lit(reach).alias("high")]
-    small = _cut(texts, wanted.where(F.col("contexts") <= cap)).select(*anchored, "c", "before", "after", "bytes")
-    results.append(stored(collections(small, length).withColumnRenamed("g", "h"), "ranges"))
+    small = _cut(texts, wanted.where(F.col("contexts") <= cap)).select(*anchored, "c", "n", "before", "after", "bytes")
+    results = [stored(collections(small, length).withColumnRenamed("g", "h"), "ranges")]
     large = wanted.where(F.col("contexts") > cap)
     rows = None if large.isEmpty() else _cut(texts, large).select(*anchored, "h", "c", "n", "before", "after", "bytes")
     while rows is not None:
@@ -259,11 +261,11 @@ def repeated_ranges(texts: DataFrame, length: int = 400, cap: int = CAP) -> Data
         members = level.groupBy("g", "d").agg(F.sum("n").alias("n"), *(F.first(x).alias(x) for x in ("low", "high", "before", "after", "bytes")))
         members = stored(members, "members")
         names = level.select("h", "c", "g", "d")
-        twice = members.where("n > 1").select("g", "d", F.array(F.struct((-F.col("before")).alias("lo"), F.col("after").alias("hi"))).alias("ranges"))
-        sizes = stored(members.groupBy("g").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        small = members.join(sizes.where(F.col("size") <= cap).select("g"), "g").select("g", F.col("d").alias("c"), "low", "high", "before", "after", "bytes")
+        sizes = stored(members.groupBy("g").agg(F.count("*").alias("size"), F.max("n").alias("most")).where("size > 1 or most > 1"), "sizes")
+        small = (members.join(sizes.where(F.col("size") <= cap).select("g"), "g")
+                 .select("g", F.col("d").alias("c"), "n", "low", "high", "before", "after", "bytes"))
         part = stored(collections(small, length).withColumnRenamed("c", "d"), "ranges")
-        results.append(names.join(twice.union(part.select("g", "d", "ranges")), ["g", "d"]).select("h", "c", "ranges"))
+        results.append(names.join(part.select("g", "d", "ranges"), ["g", "d"]).select("h", "c", "ranges"))
         large = sizes.where(F.col("size") > cap).select("g")
         rows = None if large.isEmpty() else level.join(large, "g")
     ranges = results[0]
