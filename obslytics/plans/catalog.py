@@ -1680,6 +1680,7 @@ def _panel_rows_sql() -> str:
     return " UNION ALL ".join(f"SELECT '{panel}' AS panel, (SELECT count(*) FROM ({SQL[name]})) AS rows, 4::BIGINT AS sets" for panel, name in _PANELS.items())
 
 
+@register("chart_report_rows")
 def q_chart_report_rows(spark, sf):
     """The chart report written as a whole (without the model panels); the panels' rows read back, and the number of
     panel sets in its summary."""
@@ -1694,5 +1695,35 @@ def q_chart_report_rows(spark, sf):
     return out
 
 
-QUERIES["chart_report_rows"] = lambda spark, sf_dir: normalize(q_chart_report_rows(spark, sf_dir))
-SQL["chart_report_rows"] = _panel_rows_sql()
+SQL["chart_report_rows"] = _panel_rows_sql()  # the panels' own twins hold the adapter's tables already
+
+
+@register("svm_probabilities", """
+SELECT vec_id, cast(label AS VARCHAR) AS label, 1.0::DOUBLE AS total, true AS of_known_label
+FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42' || cast(vec_id AS VARCHAR)), vec_id) AS k,
+             round(count(*) OVER (PARTITION BY label) * 0.2) AS n FROM embeddings) WHERE k <= n""")
+def q_svm_probabilities(spark, sf):
+    """Probabilities of all classes for the held-out fifth; each row's sum to one, its prediction is the class of a label seen."""
+    from obslytics.operators import ml as ML
+    from pyspark.ml.functions import array_to_vector
+    e = embeddings(spark, sf).select("vec_id", F.col("label").cast("string").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    split = ML.stratified_split(e, "label", "vec_id", 0.2, 42)
+    model, labels = ML.train_svm(split.filter("split = 'train'"), n_features=32, max_iter=5)
+    pred = ML.svm_predictions(model, labels, split.filter("split = 'test'"))
+    return pred.select("vec_id", "label", F.aggregate("probability", F.lit(0.0), lambda s, x: s + x).alias("total"), F.col("prediction").isin(labels).alias("of_known_label"))
+
+
+@register("mlp_scored", _SEQ_FULL + """,
+seqs AS (SELECT session_id, seq_index, max(label) FILTER (step_index = 9) AS label FROM steps GROUP BY 1, 2)
+SELECT session_id, seq_index, label, true AS of_known_label
+FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42' || session_id || ':' || cast(seq_index AS VARCHAR)), session_id || ':' || cast(seq_index AS VARCHAR)) AS k,
+             round(count(*) OVER (PARTITION BY label) * 0.2) AS n FROM seqs) WHERE k <= n""")
+def q_mlp_scored(spark, sf):
+    """The held-out fifth of the sequences, each with a prediction among the labels seen (a small network)."""
+    from obslytics.operators import ml as ML
+    from obslytics.operators import sequences as SQ
+    seq = SQ.sequence_vectors(SQ.sequences(acts_with_k(spark, sf), 10)).withColumn("seq_key", F.concat_ws(":", "session_id", "seq_index"))
+    split = ML.stratified_split(seq, "label", "seq_key", 0.2, 42)
+    model = ML.train_mlp(split.filter("split = 'train'"), "label", "features", (4,), 3, 42)
+    labels = model.stages[-1].getLabels()
+    return model.transform(split.filter("split = 'test'")).select("session_id", "seq_index", "label", F.col("prediction").isin(labels).alias("of_known_label"))
