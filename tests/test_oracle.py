@@ -43,7 +43,7 @@ def test_matches_oracle(spark, duck, name):
     srows = [tuple(r) for r in sdf.collect()]
     rel = duck.sql(E.oracle_sql()[name])
     assert sorted(sdf.columns) == sorted(rel.columns)
-    to_duck = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    to_duck = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     assert {f.name: to_duck.get(f.dataType.simpleString()) for f in sdf.schema} == \
         {c: str(t) for c, t in zip(rel.columns, rel.types)}
     assert _rows(sdf.columns, srows) == _rows(rel.columns, rel.fetchall())
