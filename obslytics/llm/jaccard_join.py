@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obslytics.llm import words as W
-from obslytics.llm.common import components, stored, union_find
+from obslytics.llm.common import components, hot_keys, join_apart, stored, union_find
 
 SHINGLE = 5
 RUN_LIMIT = 8
@@ -350,14 +350,15 @@ def links(docs: DataFrame, described: DataFrame, sim: Similarity, id_col: str, t
     short = stored(sizes.join(frequent, "set").where(F.col("frequent") > spare(F.floor(F.col("n_shingles") * sim.num / sim.den)))
                    .select("set", "n_shingles", "frequent"), "short")
     # ... and share so many that they meet below one of the rarer ones of each
-    times = member.groupBy("signature").agg(F.count("*").alias("times"))
+    times = stored(member.groupBy("signature").agg(F.count("*").alias("times")), "times")
+    hot = hot_keys(times, ["signature"], "times", times.agg(F.sum("times")).first()[0] or 0)
     rarest = Window.partitionBy("set").orderBy("times", "signature")
-    placed = (member.join(short, "set").join(times, "signature").withColumn("nth", F.row_number().over(rarest))
+    placed = (join_apart(member.join(short, "set"), times, ["signature"], hot).withColumn("nth", F.row_number().over(rarest))
               .where(F.col("nth") <= F.col("frequent") - spare(F.floor(F.col("n_shingles") * sim.num / sim.den)))
               .select("signature", "set", "n_shingles"))
     placed = stored(placed, "placed")
     centre = placed.groupBy("signature").agg(F.min("set").alias("a"))
-    stars = stored(placed.join(centre, "signature").where("a != set").select("a", F.col("set").alias("b")).distinct(), "stars")
+    stars = stored(join_apart(placed, centre, ["signature"], hot).where("a != set").select("a", F.col("set").alias("b")).distinct(), "stars")
     pairs = stored(pairs.union(stars).distinct(), "pairs")
 
     # one row stands for each set that a pair names
