@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obslytics.session import checkpoint_dir
+from obslytics.session import checkpoint_dir, default_parallelism
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,19 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends, any executor can reread it."""
-    path = new_folder(df.sparkSession, tag)
+FILE_ROWS = 250_000  # of narrow tables whose size is known beforehand
+
+
+def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends, any executor can reread it.
+
+    ``rows``, a bound of its rows where one is known, keeps a narrow table from being written as many small files."""
+    spark = df.sparkSession
+    path = new_folder(spark, tag)
+    if rows is not None:
+        df = df.coalesce(max(default_parallelism(spark), -(-rows // FILE_ROWS)))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 HOT_KEYS = 10_000    # a key that holds more than this share of all rows is joined apart: there are at most so many
@@ -80,7 +88,7 @@ def components(links: DataFrame) -> DataFrame:
              .select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
              .mapInPandas(_forest, "a long, b long").distinct())
     edges = stored(edges, "links")
-    state = None
+    state, n = None, edges.count()
     while True:
         # large star: strictly larger neighbours move to the smallest node of the neighbourhood
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -91,11 +99,11 @@ def components(links: DataFrame) -> DataFrame:
         edges = stored(large.join(small, "a")
                        .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")),
                                                  F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-                       .select("e.*").where("a != b").distinct(), "stars")
+                       .select("e.*").where("a != b").distinct(), "stars", 2 * n)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state = now
+        state, n = now, now[0]
     members = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return members.union(roots)

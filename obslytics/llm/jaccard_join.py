@@ -331,11 +331,11 @@ def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def links(docs: DataFrame, described: DataFrame, sim: Similarity, id_col: str, text_col: str,
           run_limit: int = RUN_LIMIT) -> DataFrame:
     """Verified links between set fingerprints that connect every class of linked sets."""
-    total = described.agg(F.sum("n_shingles")).first()[0] or 0
+    total, docs_n = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     parts = max(64, total // 2 // SIGNATURES_PER_PART + 1)
     found = stored(proposals(packed_signatures(docs, text_col, sim, parts, run_limit), sim, run_limit), "proposals")
     member = found.where("signature is not null").select("signature", "members").mapInPandas(_members, "signature long, set long")
-    frequent = stored(member.groupBy("set").agg(F.count("*").alias("frequent")), "frequent")
+    frequent = stored(member.groupBy("set").agg(F.count("*").alias("frequent")), "frequent", docs_n)
     spare = lambda size: F.floor(size / 16)
 
     # a linked pair shares more signatures than the smaller set has to spare; frequent ones were not counted
@@ -348,18 +348,19 @@ def links(docs: DataFrame, described: DataFrame, sim: Similarity, id_col: str, t
     # a pair that shares frequent signatures only: both sets have more of them than the smaller one has to spare
     sizes = described.where("set is not null").select("set", "n_shingles").distinct()
     short = stored(sizes.join(frequent, "set").where(F.col("frequent") > spare(F.floor(F.col("n_shingles") * sim.num / sim.den)))
-                   .select("set", "n_shingles", "frequent"), "short")
+                   .select("set", "n_shingles", "frequent"), "short", docs_n)
     # ... and share so many that they meet below one of the rarer ones of each
-    times = stored(member.groupBy("signature").agg(F.count("*").alias("times")), "times")
+    times = stored(member.groupBy("signature").agg(F.count("*").alias("times")), "times", total)
     hot = hot_keys(times, ["signature"], "times", times.agg(F.sum("times")).first()[0] or 0)
     rarest = Window.partitionBy("set").orderBy("times", "signature")
     placed = (join_apart(member.join(short, "set"), times, ["signature"], hot).withColumn("nth", F.row_number().over(rarest))
               .where(F.col("nth") <= F.col("frequent") - spare(F.floor(F.col("n_shingles") * sim.num / sim.den)))
               .select("signature", "set", "n_shingles"))
-    placed = stored(placed, "placed")
+    placed = stored(placed, "placed", total)
     centre = placed.groupBy("signature").agg(F.min("set").alias("a"))
-    stars = stored(join_apart(placed, centre, ["signature"], hot).where("a != set").select("a", F.col("set").alias("b")).distinct(), "stars")
-    pairs = stored(pairs.union(stars).distinct(), "pairs")
+    stars = stored(join_apart(placed, centre, ["signature"], hot).where("a != set").select("a", F.col("set").alias("b")).distinct(), "stars", total)
+    n_pairs = pairs.count() + stars.count()
+    pairs = stored(pairs.union(stars).distinct(), "pairs", n_pairs)
 
     # one row stands for each set that a pair names
     named = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(short.select("set")).distinct()
@@ -378,7 +379,7 @@ def links(docs: DataFrame, described: DataFrame, sim: Similarity, id_col: str, t
     state = (short.join(family.select(F.col("node").alias("set"), F.col("component").alias("family")), "set")
              .join(components(linked).withColumnRenamed("node", "set"), "set", "left")
              .select("set", "n_shingles", "family", F.coalesce("component", "set").alias("component")))
-    state = stored(state, "families")
+    state = stored(state, "families", docs_n)
     apart = state.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("family")
     apart = stored(state.join(apart, "family"), "apart")
     if apart.isEmpty():

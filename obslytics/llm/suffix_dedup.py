@@ -242,13 +242,14 @@ def repeated_ranges(texts: DataFrame, length: int = 400, cap: int = CAP) -> Data
     ``texts(k1, k2, text)`` has a row for each row of the corpus; the key is 128 bits of the text's hash."""
     reach = length - gram_of(length)
     all_anchors = stored(anchor_table(texts, length), "anchors")
-    often = stored(all_anchors.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "often")
-    found = stored(join_apart(all_anchors, often.select("h"), ["h"], hot_keys(often, ["h"], "times", all_anchors.count())), "repeated-anchors")
+    total = all_anchors.count()
+    often = stored(all_anchors.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "often", total)
+    found = stored(join_apart(all_anchors, often.select("h"), ["h"], hot_keys(often, ["h"], "times", total)), "repeated-anchors", total)
     classes = stored(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("before").alias("before"), F.first("after").alias("after"),
-                                                 F.min(F.struct("k1", "k2", "at")).alias("where")), "classes")
-    sizes = stored(classes.groupBy("h").agg(F.count("*").alias("contexts")), "sizes")
+                                                 F.min(F.struct("k1", "k2", "at")).alias("where")), "classes", total)
+    sizes = stored(classes.groupBy("h").agg(F.count("*").alias("contexts")), "sizes", total)
     wanted = join_apart(classes, sizes, ["h"], hot_keys(sizes, ["h"], "contexts", classes.count()))
-    wanted = stored(wanted.select("h", "c", "n", "before", "after", "where.*", "contexts"), "wanted")
+    wanted = stored(wanted.select("h", "c", "n", "before", "after", "where.*", "contexts"), "wanted", total)
 
     # level 0: a collection is an anchor string; each level halves the offsets of collections beyond the cap
     anchored = [F.col("h").alias("g"), F.lit(0).alias("low"), F.lit(reach).alias("high")]
@@ -271,7 +272,7 @@ def repeated_ranges(texts: DataFrame, length: int = 400, cap: int = CAP) -> Data
     ranges = results[0]
     for more in results[1:]:
         ranges = ranges.union(more)
-    ranges = stored(ranges.select("h", "c", F.explode("ranges").alias("r")).select("h", "c", "r.*"), "class-ranges")
+    ranges = stored(ranges.select("h", "c", F.explode("ranges").alias("r")).select("h", "c", "r.*"), "class-ranges", total)
     common = hot_keys(classes, ["h", "c"], "n", found.count())
     return (join_apart(found, ranges, ["h", "c"], common).select("k1", "k2", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
             .groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
