@@ -28,15 +28,20 @@ def hash_bucket(col: str) -> Column:
     return F.substring(col, 1, 3)
 
 
+NULL_BUCKETS = 256
+
+
 def ordered_index(df: DataFrame, keys: list[str], order: str, tie: str | None = None, rn_col: str = "rn",
                   prev_col: str | None = "prev", size_col: str | None = None, bucket=time_bucket) -> DataFrame:
     """Add ``rn_col`` (1-based position within ``keys`` ordered by ``order``, ``tie``),
     ``prev_col`` (the ``order`` value of the preceding row, NULL for the first)
-    and optionally ``size_col`` (rows in the row's key group).  ``bucket`` maps the
+    and optionally ``size_col`` (rows in the row's key group).  Rows whose order value is NULL come first, by a hash of the tie.  ``bucket`` maps the
     name of the order column to a column that never decreases with it.
     """
-    # structs compare with NULL fields equal, so rows with a NULL key or time form groups too
-    group = F.struct(F.struct(F.lit(0), *keys).alias("key"), bucket(order).alias("bucket"))
+    # structs compare with NULL fields equal, so rows with a NULL key or time form groups too; those without a time,
+    # which no bucket tells apart, are dealt by a hash of the tie
+    spread = F.when(F.col(order).isNull(), F.pmod(F.xxhash64(tie), F.lit(NULL_BUCKETS))).otherwise(0) if tie else F.lit(0)
+    group = F.struct(F.struct(F.lit(0), *keys).alias("key"), bucket(order).alias("bucket"), spread.cast("int").alias("spread"))
     rows = df.withColumn("_g", group)
     local = Window.partitionBy("_g").orderBy(order, *([tie] if tie else []))
     rows = rows.withColumn("_lrn", F.row_number().over(local))
@@ -44,7 +49,7 @@ def ordered_index(df: DataFrame, keys: list[str], order: str, tie: str | None =
         rows = rows.withColumn("_lprev", F.lag(order).over(local))
     bounds = (df.select(group.alias("_g"), F.col(order).alias("_o")).groupBy("_g")
                 .agg(F.count(F.lit(1)).alias("_cnt"), F.max("_o").alias("_lmax")))
-    by_key = Window.partitionBy(F.col("_g.key")).orderBy(F.col("_g.bucket"))
+    by_key = Window.partitionBy(F.col("_g.key")).orderBy(F.col("_g.bucket"), F.col("_g.spread"))
     before = by_key.rowsBetween(Window.unboundedPreceding, -1)
     extra = [F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_offset")]
     if prev_col:

@@ -21,6 +21,22 @@ def test_hot_key_matches_window(spark):
     assert a == b
 
 
+def test_rows_without_a_time_are_spread(spark):
+    """Half of a key's rows have no time: they come first, each at its own place, dealt to many buckets."""
+    base = dt.datetime(2024, 1, 1)
+    rows = [("hot" if i % 3 else "k", None if i % 2 else base + dt.timedelta(seconds=i), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key string, ts timestamp, tie long")
+    got = ordered_index(df, ["key"], "ts", "tie", size_col="size").collect()
+    for key in ("hot", "k"):
+        own = sorted((r["rn"], r["ts"], r["prev"], r["size"]) for r in got if r["key"] == key)
+        want = sorted((r[1] for r in rows if r[0] == key), key=lambda t: (t is not None, t))
+        assert [r[0] for r in own] == list(range(1, len(want) + 1)) and [r[1] for r in own] == want
+        assert [r[2] for r in own] == [None, *want[:-1]] and all(r[3] == len(want) for r in own)
+    # the same places whenever the rows are read again
+    again = {r["tie"]: r["rn"] for r in ordered_index(df.repartition(7), ["key"], "ts", "tie").collect()}
+    assert again == {r["tie"]: r["rn"] for r in got}
+
+
 def test_global_order(spark):
     df = spark.range(2000).select(((F.col("id") * 37) % 2000).alias("ts"), F.col("id").alias("tie"))
     got = ordered_index(df, [], "ts", "tie", bucket=lambda c: F.floor(F.col(c) / 100))
