@@ -27,9 +27,9 @@ from obslytics.llm.common import stored
 SEQUENCE = 2048
 #: pieces that one task packs together
 GROUP = 50_000
-#: distinct words, and parts of words, whose ids a worker keeps (about 200 bytes each)
-WORDS_HELD = 500_000
-PARTS_HELD = 800_000
+#: distinct words, and parts of words, of a generation whose ids a worker keeps (about 200 bytes each)
+WORDS_HELD = 200_000
+PARTS_HELD = 200_000
 
 
 # ---- tokens -------------------------------------------------------------------------------------------------
@@ -58,16 +58,19 @@ class WordTokenizer:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        # two generations: the older one is dropped when the newer one is full, what is used moves to the newer one
+        self.words, self.older_words = {"": b""}, {}
+        self.parts, self.older_parts = {}, {}
 
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            spelled = part.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+            ids = self.older_parts.get(part)
+            if ids is None:
+                spelled = part.encode().decode("latin-1").translate(self.letters)
+                ids = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
             if len(self.parts) >= PARTS_HELD:
-                self.parts.clear()
+                self.parts, self.older_parts = {}, self.parts
             self.parts[part] = ids
         return ids
 
@@ -81,14 +84,13 @@ class WordTokenizer:
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.replace("\n", " ").split(" ")
+        if len(self.words) >= WORDS_HELD:
+            self.words, self.older_words = {"": b""}, self.words
         try:
             return b"".join(map(self.words.__getitem__, words))
         except KeyError:
-            new = {w: self._word(w) for w in set(words).difference(self.words)}
-        if len(self.words) + len(new) > WORDS_HELD:
-            kept = {w: self.words[w] for w in set(words).intersection(self.words)}
-            self.words = {"": b""} | kept
-        self.words.update(new)
+            older = self.older_words
+            self.words.update({w: older[w] if w in older else self._word(w) for w in set(words).difference(self.words)})
         return b"".join(map(self.words.__getitem__, words))
 
 
