@@ -38,12 +38,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obslytics.llm import words as W
-from obslytics.llm.common import components, hot_keys, join_apart, stored, union_find
+from obslytics.llm.common import components, stored, union_find
 
 SHINGLE = 5
 RUN_LIMIT = 8
 SIGNATURES_PER_PART = 1_000_000
 MEMBERS_PER_ROW = 4096
+STAR_ROWS = 256             # of a frequent signature, about so many sets meet its centre in one place
 
 
 # ---- sets ---------------------------------------------------------------------------------------------------
@@ -222,7 +223,7 @@ def packed_signatures(docs: DataFrame, text_col: str, sim: Similarity, parts: in
     return docs.select(F.col(text_col)).mapInArrow(pack, PACKED_DDL)
 
 
-FOUND_DDL = "a long, b long, shared long, least long, signature long, members binary"
+FOUND_DDL = "a long, b long, shared long, least long, signature long, times long, members binary"
 
 
 def _fits(a: np.ndarray, b: np.ndarray, sim: Similarity) -> np.ndarray:
@@ -232,7 +233,7 @@ def _fits(a: np.ndarray, b: np.ndarray, sim: Similarity) -> np.ndarray:
 
 def proposals(packed: DataFrame, sim: Similarity, run_limit: int) -> DataFrame:
     """Rows (a, b, shared, least) of candidate pairs, how many signatures they share here and the smaller size, and
-    rows (signature, members) for frequent signatures."""
+    rows (signature, times, members) for frequent signatures; ``times``: members of the signature in all of its rows."""
 
     def propose(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["part"].iloc[0])
@@ -259,11 +260,12 @@ def proposals(packed: DataFrame, sim: Similarity, run_limit: int) -> DataFrame:
         members = np.concatenate([np.stack([sig[inside].astype(np.int64), owner[inside]], 1), beside])
         members = members[np.argsort(members[:, 0], kind="stable")]
         at, lengths = _runs(members[:, 0])
-        rows = [(members[s, 0] | part << 48, members[i: min(i + MEMBERS_PER_ROW, s + n), 1].tobytes())
+        rows = [(members[s, 0] | part << 48, n, members[i: min(i + MEMBERS_PER_ROW, s + n), 1].tobytes())
                 for s, n in zip(at.tolist(), lengths.tolist(), strict=True) for i in range(s, s + n, MEMBERS_PER_ROW)]
         out = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "shared": shared, "least": pairs[:, 2]}, dtype="Int64")
-        more = pd.DataFrame({"signature": pd.Series([r[0] for r in rows], dtype="Int64"), "members": [r[1] for r in rows]})
-        return pd.concat([out, more], ignore_index=True)[["a", "b", "shared", "least", "signature", "members"]]
+        more = pd.DataFrame({"signature": pd.Series([r[0] for r in rows], dtype="Int64"), "times": pd.Series([r[1] for r in rows], dtype="Int64"),
+                             "members": [r[2] for r in rows]})
+        return pd.concat([out, more], ignore_index=True)[["a", "b", "shared", "least", "signature", "times", "members"]]
 
     return packed.groupBy("part").applyInPandas(propose, FOUND_DDL)
 
@@ -307,8 +309,19 @@ def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
 
 def _members(batches):
     for pdf in batches:
-        for signature, raw in zip(pdf["signature"], pdf["members"], strict=True):
-            yield pd.DataFrame({"signature": signature, "set": np.frombuffer(raw, np.int64)})
+        for signature, times, raw in zip(pdf["signature"], pdf["times"], pdf["members"], strict=True):
+            yield pd.DataFrame({"signature": signature, "times": times, "set": np.frombuffer(raw, np.int64)})
+
+
+def stars(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every set of placed(signature, times, set) with the smallest one that is placed below its signature.
+
+    The sets of a signature are dealt by hash, the more of them the more often, and its centre goes to each deal."""
+    deals = F.expr(f"times div {STAR_ROWS}")
+    centre = (placed.groupBy("signature").agg(F.min("set").alias("a"), F.max("times").alias("times"))
+              .select("signature", "a", F.explode(F.sequence(F.lit(0).cast("long"), deals)).alias("deal")))
+    dealt = placed.select("signature", F.pmod(F.xxhash64("set"), deals + 1).alias("deal"), F.col("set").alias("b"))
+    return dealt.join(centre, ["signature", "deal"]).where("a != b").select("a", "b").distinct()
 
 
 # ---- the join -----------------------------------------------------------------------------------------------
@@ -334,7 +347,7 @@ def links(docs: DataFrame, described: DataFrame, sim: Similarity, id_col: str, t
     total, docs_n = described.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     parts = max(64, total // 2 // SIGNATURES_PER_PART + 1)
     found = stored(proposals(packed_signatures(docs, text_col, sim, parts, run_limit), sim, run_limit), "proposals")
-    member = found.where("signature is not null").select("signature", "members").mapInPandas(_members, "signature long, set long")
+    member = found.where("signature is not null").select("signature", "times", "members").mapInPandas(_members, "signature long, times long, set long")
     frequent = stored(member.groupBy("set").agg(F.count("*").alias("frequent")), "frequent", docs_n)
     spare = lambda size: F.floor(size / 16)
 
@@ -350,17 +363,13 @@ def links(docs: DataFrame, described: DataFrame, sim: Similarity, id_col: str, t
     short = stored(sizes.join(frequent, "set").where(F.col("frequent") > spare(F.floor(F.col("n_shingles") * sim.num / sim.den)))
                    .select("set", "n_shingles", "frequent"), "short", docs_n)
     # ... and share so many that they meet below one of the rarer ones of each
-    times = stored(member.groupBy("signature").agg(F.count("*").alias("times")), "times", total)
-    hot = hot_keys(times, ["signature"], "times", times.agg(F.sum("times")).first()[0] or 0)
     rarest = Window.partitionBy("set").orderBy("times", "signature")
-    placed = (join_apart(member.join(short, "set"), times, ["signature"], hot).withColumn("nth", F.row_number().over(rarest))
+    placed = (member.join(short, "set").withColumn("nth", F.row_number().over(rarest))
               .where(F.col("nth") <= F.col("frequent") - spare(F.floor(F.col("n_shingles") * sim.num / sim.den)))
-              .select("signature", "set", "n_shingles"))
-    placed = stored(placed, "placed", total)
-    centre = placed.groupBy("signature").agg(F.min("set").alias("a"))
-    stars = stored(join_apart(placed, centre, ["signature"], hot).where("a != set").select("a", F.col("set").alias("b")).distinct(), "stars", total)
-    n_pairs = pairs.count() + stars.count()
-    pairs = stored(pairs.union(stars).distinct(), "pairs", n_pairs)
+              .select("signature", "times", "set"))
+    starred = stored(stars(stored(placed, "placed", total)), "stars", total)
+    n_pairs = pairs.count() + starred.count()
+    pairs = stored(pairs.union(starred).distinct(), "pairs", n_pairs)
 
     # one row stands for each set that a pair names
     named = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(short.select("set")).distinct()
@@ -375,7 +384,7 @@ def links(docs: DataFrame, described: DataFrame, sim: Similarity, id_col: str, t
     linked = stored(verified(pairs, texts, sim), "verified")
 
     # families that the stars left apart
-    family = components(stars)
+    family = components(starred)
     state = (short.join(family.select(F.col("node").alias("set"), F.col("component").alias("family")), "set")
              .join(components(linked).withColumnRenamed("node", "set"), "set", "left")
              .select("set", "n_shingles", "family", F.coalesce("component", "set").alias("component")))
