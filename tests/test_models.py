@@ -150,3 +150,35 @@ def test_uploads_are_listed_without_their_contents(spark, tmp_dir):
     assert "content" not in plan.split("ReadSchema")[1].split("\n")[0]
     assert sorted((r.path.split("/")[-1], r.length, r.content_type) for r in listed.collect()) == [("a.mp4", 5, "video/mp4"), ("b.MoV", 1, "video/quicktime")]
     assert bytes(R.read_videos(spark, f"{tmp_dir}/up", content=True).where("length = 5").first().content) == b"12345"
+
+
+def test_sequences_are_grouped_once(spark):
+    """The flat vector and the order features come out of one grouping, equal to both apart; a null key has no vector."""
+    rows = [(s, q, i, "ab"[i % 2], i / 7, float(q), float(i * q), 2.0, i / 3) for s in ("u", "v", None) for q in range(2) for i in range(10)]
+    seq = spark.createDataFrame(rows, "session_id string, seq_index long, step_index long, label string, confidence double, hour double, k double, weekday double, gap_minutes double")
+    got = SQ.sequence_vectors(seq)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    flat = {(r.session_id, r.seq_index): list(r.features) for r in SQ.flatten_sequences(seq).collect()}
+    folds = {(r.session_id, r.seq_index): list(r)[2:] for r in SQ.order_features(seq, label=None).collect()}
+    assert {(r.session_id, r.seq_index): list(r.features) for r in got.collect()} == {k: flat[k] + folds[k] for k in flat if k[0]}
+
+
+def test_split_sequences_read_written_rows(spark):
+    """The split, and with it the training, no longer rests on the events: its plan reads the written sequences alone."""
+    split = catalog._split_sequences(catalog._seq_vectors(spark, SF_SMALL))
+    assert all("events.parquet" not in f for f in split.inputFiles()) and split.inputFiles()
+    assert split.count() == catalog._seq_vectors(spark, SF_SMALL).count()
+
+
+def test_training_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return float(x)
+
+    rows = spark.range(60).withColumn("x", counted("id")).repartition(4, "x")
+    data = rows.select(F.when(F.col("x") % 2 == 0, "a").otherwise("b").alias("label"), array_to_vector(F.array("x", -F.col("x"))).alias("features"))
+    ML.train_mlp(data, "label", "features", (2,), 2, 42)
+    assert seen.value == 60
