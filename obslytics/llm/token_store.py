@@ -60,12 +60,14 @@ class ByteTokenizer:
     """
 
     _plain = re.compile("\n?[\x21-\x7e\xa1-\u024f]+")
+    _marks = frozenset(".,;:!?)")
     _pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")  # fixed: the vocabulary's own pattern
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.space = " ".translate(self.letters)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.line = self.ids("\n")
@@ -80,7 +82,10 @@ class ByteTokenizer:
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            spelled = part.encode().decode("latin-1").translate(self.letters)
+            if part.isascii() and part[1:].isalnum() and part[0] == " ":
+                spelled = self.space + part[1:]
+            else:
+                spelled = part.encode().decode("latin-1").translate(self.letters)
             ids = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(spelled)])
             if len(self.parts) >= PARTS_HELD:
                 self.parts.clear()
@@ -92,7 +97,13 @@ class ByteTokenizer:
         ids = self.older.get(word)
         if ids is None:
             text = word[1:] if word[:1] == "\n" else " " + word
-            if self._plain.fullmatch(word) and "<|" not in word:
+            body = text[:-1] if text[-1:] in self._marks else text
+            core = body.removeprefix(" ")
+            if core.isalpha() and self._plain.fullmatch(core) or core.isascii() and core.isdigit():  # most words: one pre-token, or a mark more
+                ids = self._part(body)
+                if len(body) < len(text):
+                    ids += self._part(text[-1])
+            elif self._plain.fullmatch(word) and "<|" not in word:
                 ids = b"".join(map(self._part, self._pieces.findall(text)))
             elif not (body := word.removeprefix("\n")) or body[0].isspace() or body[-1].isspace():
                 return None  # cannot be looked up by itself
@@ -112,13 +123,17 @@ class ByteTokenizer:
         offsets = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
         codes, get = coded.indices.to_numpy(), self.words.get
-        ids = [get(w) or self._learnt(w) for w in coded.dictionary.to_pylist()]
-        alone = np.array([x is not None for x in ids], bool)
-        size = np.array([len(x) // self.width if x else 0 for x in ids], np.int64)
+        ids = [get(w) or self._learnt(w) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        unknown = [i for i, x in enumerate(ids) if x is None]
+        alone = np.ones(len(ids), bool)
+        alone[unknown] = False
+        for i in unknown:
+            ids[i] = b""
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
         start = np.cumsum(size) - size
         each = size[codes]
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(each)])
-        flat = np.frombuffer(b"".join([x for x in ids if x]), self.kind)
+        flat = np.frombuffer(b"".join(ids), self.kind)
         tokens = flat[np.repeat(start[codes] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
         wrong = ~alone[codes]
         wrong[offsets[:-1]] = False

@@ -112,3 +112,21 @@ def test_query_against_the_library(spark):
     rows = queries.QUERIES["op12_token_store"](spark, SF_SMALL).collect()
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in rows) == sorted(expected(docs))
+
+
+def test_words_of_one_pretoken_need_no_cutting():
+    """Words of letters or digits, with a mark or without, are one or two pre-tokens: equal to the library, not cut by the pattern."""
+    tokenizer = T.ByteTokenizer(PATH)
+    words = ["hello", "Été,", "ordinaire.", "ªº", "ÿ?", "12345", "7;", "ǅa", "x)", "don't", "a1", "1a.", "...", ".", "a..", "it's,", "²", "½.", "a\u0301", "<|x", "é!"]
+    for word in words:
+        for text in (f"q {word} r", f"q\n{word} r", word, f"{word} {word}"):
+            assert tokenizer.encode(text) == tokenizer.ids(text), text
+
+    class Never:
+        def findall(self, text):
+            raise AssertionError(text)
+
+    plain = T.ByteTokenizer(PATH)
+    plain._pieces = Never()
+    text = "we hello Été, ordinaire. 12345 7; fin!\nNext, line"
+    assert plain.encode(text) == tokenizer.ids(text)
