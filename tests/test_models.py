@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from obslytics.operators import ml as ML
@@ -182,3 +182,79 @@ def test_training_reads_its_rows_once(spark):
     data = rows.select(F.when(F.col("x") % 2 == 0, "a").otherwise("b").alias("label"), array_to_vector(F.array("x", -F.col("x"))).alias("features"))
     ML.train_mlp(data, "label", "features", (2,), 2, 42)
     assert seen.value == 60
+
+
+def plain_events(spark, folder, users=12, each=30):
+    rows = [(u * each + i, f"2024-01-{1 + i % 9:02d} 0{u % 9}:{i:02d}:00", u, ("view", "error", "signup")[(u + i) % 3], float((7 * u + i) % 100), f'{{"k": {(u * i) % 50}}}')
+            for u in range(users) for i in range(each)]
+    df = spark.createDataFrame(rows, "event_id long, t string, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t").write.parquet(f"{folder}/events.parquet")
+
+
+def test_models_are_trained_on_few_parts(spark, tmp_dir, monkeypatch):
+    """The parts of the training rows follow the task slots, not the partitions that the shuffles leave."""
+    plain_events(spark, tmp_dir)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shuffles, parts, seen = spark.conf.get("spark.sql.shuffle.partitions"), {}, []
+    slots = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", str(5 * slots))
+    forest, mlp = ML.train_forest, ML.train_mlp
+
+    def small_forest(df, label, features, **_):
+        parts["forest"] = df.rdd.getNumPartitions()
+        seen.append(df.count())
+        return forest(df, label, features, 3, 3)
+
+    def small_mlp(df, label, features, *_):
+        parts["mlp"] = df.rdd.getNumPartitions()
+        return mlp(df, label, features, (4,), 2)
+
+    monkeypatch.setattr(ML, "train_forest", small_forest)
+    monkeypatch.setattr(ML, "train_mlp", small_mlp)
+    try:
+        got = catalog.QUERIES["model_comparison"](spark, tmp_dir).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    assert sorted(r.model_name for r in got) == ["MLP", "RandomForest"]
+    assert parts == {"forest": slots, "mlp": slots}
+    assert 0.7 * 36 < seen[0] < 36  # 12 users with 3 sequences each, less the held-out ones
+
+
+def test_few_parts_grow_with_the_rows(spark):
+    df = spark.range(0, 100, 1, 4 * spark.sparkContext.defaultParallelism).checkpoint(eager=True)
+    slots = spark.sparkContext.defaultParallelism
+    few = ML.few_parts(df)
+    assert few.rdd.getNumPartitions() == slots and sorted(r.id for r in few.collect()) == list(range(100))
+    assert ML.few_parts(df, 1) is df
+    assert ML.few_parts(few) is few
+
+
+def test_forest_of_a_vector_is_that_of_its_columns(spark):
+    df = rings(spark).withColumn("_a", vector_to_array("features")).select("*", F.col("_a")[0].alias("f0"), F.col("_a")[1].alias("f1")).checkpoint()
+    trees = [ML.train_forest(df, "label", cols, 5, 4).stages[2].toDebugString.split("\n", 1)[1] for cols in (["f0", "f1"], ["features"])]
+    assert trees[0] == trees[1]
+
+
+def test_rows_of_plain_keys_are_ordered_in_one_bucket(spark, monkeypatch):
+    """Only the rows of hot keys are dealt by the minute; the order is the same, without a key or a time too."""
+    rows = [(str(i), ("a", "b", None)[i % 3], None if i % 7 == 0 else f"2024-01-01 00:{(i * 11) % 60:02d}:00", 0.5, i, "x") for i in range(90)]
+    df = spark.createDataFrame(rows, "id string, session_id string, t string, confidence double, k int, activity_type string").withColumn("timestamp", F.col("t").cast("timestamp"))
+    indexed, buckets = SQ.ordered_index, []
+
+    def spy(rows, keys, order, tie, **more):
+        by = more.get("bucket", SQ.time_bucket)
+        buckets.append(rows.where(F.col(order).isNotNull()).select(*keys, by(order).alias("b")).distinct().count())
+        return indexed(rows, keys, order, tie, **more)
+
+    monkeypatch.setattr(SQ, "ordered_index", spy)
+    got = sorted(map(str, SQ.sequence_rows(df).collect()))
+    monkeypatch.setattr(SQ, "HOT_ROWS", 5)
+    assert got == sorted(map(str, SQ.sequence_rows(df).collect()))
+    assert buckets[0] == 3 and buckets[1] > 20
+    for key in ("a", "b", None):
+        mine = [r for r in SQ.sequence_rows(df).collect() if r.session_id == key]
+        timed = [r for r in sorted(mine, key=lambda r: r.rn) if r.timestamp is not None]
+        assert sorted(r.rn for r in mine) == list(range(1, 31))
+        assert [r.rn for r in timed] == list(range(31 - len(timed), 31))
+        assert [(r.timestamp, r.id) for r in timed] == sorted((r.timestamp, r.id) for r in timed)
