@@ -224,10 +224,10 @@ def test_models_are_trained_on_few_parts(spark, tmp_dir, monkeypatch):
 def test_few_parts_grow_with_the_rows(spark):
     df = spark.range(0, 100, 1, 4 * spark.sparkContext.defaultParallelism).checkpoint(eager=True)
     slots = spark.sparkContext.defaultParallelism
-    few = ML.few_parts(df)
+    few = ML.few_parts(df, "id")
     assert few.rdd.getNumPartitions() == slots and sorted(r.id for r in few.collect()) == list(range(100))
-    assert ML.few_parts(df, 1) is df
-    assert ML.few_parts(few) is few
+    assert ML.few_parts(df, "id", 1) is df
+    assert ML.few_parts(few, "id") is few
 
 
 def test_forest_of_a_vector_is_that_of_its_columns(spark):
