@@ -15,8 +15,8 @@ equal ones propose candidates, which are verified exactly on the texts.
 
 A frequent signature (more than ``run_limit`` sets) proposes no pairs.  That loses nothing as long as a set has no
 more frequent signatures than it has to spare.  The other sets below a frequent signature are compared with one of
-them; families of such sets that this leaves in several components are then compared block by block, so the classes
-are exact.  A pair is verified only if it shares enough signatures.  Signatures and set fingerprints have 64 bits.
+them; of families of such sets that this leaves in several components, the sets that share a rare enough shingle
+(prefixes, see ``meetings``) are then compared block by block, so the classes are exact.  A pair is verified only if it shares enough signatures.  Signatures and set fingerprints have 64 bits.
 
 Defined results: null and empty texts and texts without words have the empty set, which links with nothing; equal
 sets are one class, whose copies are never paired; repeated rows are copies; an empty table gives no rows; columns
@@ -44,6 +44,7 @@ SHINGLE = 5
 RUN_LIMIT = 8
 SIGNATURES_PER_PART = 1_000_000
 MEMBERS_PER_ROW = 4096
+SHINGLES_AT_ONCE = 1 << 20
 STAR_ROWS = 256             # of a frequent signature, about so many sets meet its centre in one place
 
 
@@ -388,43 +389,130 @@ def links(docs: DataFrame, described: DataFrame, sim: Similarity, id_col: str, t
     state = (short.join(family.select(F.col("node").alias("set"), F.col("component").alias("family")), "set")
              .join(components(linked).withColumnRenamed("node", "set"), "set", "left")
              .select("set", "n_shingles", "family", F.coalesce("component", "set").alias("component")))
-    state = stored(state, "families", docs_n)
-    apart = state.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("family")
-    apart = stored(state.join(apart, "family"), "apart")
-    if apart.isEmpty():
+    apart = stored(in_several(stored(state, "families", docs_n)), "apart")
+    shingles = apart.agg(F.sum("n_shingles")).first()[0]
+    if not shingles:
         return linked
-    return linked.union(stored(compared(apart, texts, sim), "compared"))
+    # a family may hold many sets that are far from each other: only those that can link stay together
+    met = components(meetings(apart, texts, sim, max(64, shingles // SIGNATURES_PER_PART + 1)))
+    apart = in_several(apart.drop("family").join(met.select(F.col("node").alias("set"), F.col("component").alias("family")), "set"))
+    return linked.union(stored(compared(stored(apart, "met"), texts, sim), "compared"))
+
+
+def _dealt(part: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
+    """One row for each part, with the bytes of its rows of each column."""
+    order = np.argsort(part, kind="stable")
+    starts, lengths = _runs(part[order])
+    columns = {name: x[order] for name, x in columns.items()}
+    return pd.DataFrame({"part": part[order][starts].astype(np.int32)} | {
+        name: [x[first: first + n].tobytes() for first, n in zip(starts.tolist(), lengths.tolist(), strict=True)] for name, x in columns.items()})
+
+
+def _gathered(pdf: pd.DataFrame, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(pdf[name]), kind)
+
+
+def size_band(sizes: np.ndarray, sim: Similarity) -> np.ndarray:
+    """Bands of sizes; those of a linked pair are equal or neighbours."""
+    return np.floor(np.log(sizes) / np.log(sim.den / sim.num) + 1e-9).astype(np.int32)
+
+
+def meetings(members: DataFrame, texts: DataFrame, sim: Similarity, parts: int) -> DataFrame:
+    """Pairs (a, b) that connect all linked ones among members(set), by prefixes.
+
+    Shingles are ordered by the number of members that have them, rare ones first.  Of a linked pair the first common
+    shingle stands in each set among the first ``size - least overlap + 1``, so the sets that have a shingle there, and
+    sizes of neighbouring bands, are connected.  All is dealt by hash, of shingles or of sets, to ``parts`` in packed form."""
+
+    def shingles(batches):
+        for pdf in batches:
+            names, held, n = pdf["set"].tolist(), [], 0
+            for last, found in enumerate(shingle_sets(_unpacked(pa.array(pdf["packed"], pa.binary()))), 1):
+                held.append(found)
+                n += len(found)
+                if n < SHINGLES_AT_ONCE and last < len(names):
+                    continue
+                token, size = np.concatenate(held), np.array([len(x) for x in held], np.int32)
+                name = np.array(names[last - len(held): last], np.int64)
+                yield _dealt(token % np.uint64(parts), {"token": token, "name": np.repeat(name, size), "size": np.repeat(size, size)})
+                held, n = [], 0
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        token, name, size = _gathered(pdf, "token", "<u8"), _gathered(pdf, "name", "<i8"), _gathered(pdf, "size", "<i4")
+        order = np.argsort(token, kind="stable")
+        lengths = _runs(token[order])[1]
+        times = np.repeat(lengths, lengths).astype(np.int32)
+        order, times = order[times > 1], times[times > 1]  # what no other member has connects none
+        token, name, size = token[order], name[order], size[order]
+        return _dealt(name.view(np.uint64) % np.uint64(parts), {"token": token, "name": name, "size": size, "times": times})
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        token, name, size, times = (_gathered(pdf, x, kind) for x, kind in (("token", "<u8"), ("name", "<i8"), ("size", "<i4"), ("times", "<i4")))
+        order = np.lexsort((token, times, name))
+        token, name, size = token[order], name[order], size[order].astype(np.int64)
+        starts, lengths = _runs(name)
+        nth = np.arange(len(name)) - np.repeat(starts, lengths) + size - np.repeat(lengths, lengths)  # those of no other member come first
+        keep = nth <= size - -(-size * sim.num // sim.den)
+        token, name, band = token[keep], name[keep], size_band(size[keep], sim)
+        return _dealt(token % np.uint64(parts), {"token": token, "name": name, "band": band})
+
+    def connected(pdf: pd.DataFrame) -> pd.DataFrame:
+        token, name, band = (np.tile(_gathered(pdf, x, kind), 2) for x, kind in (("token", "<u8"), ("name", "<i8"), ("band", "<i4")))
+        band[len(band) // 2:] += 1
+        order = np.lexsort((band, token))
+        token, name, band = token[order], name[order], band[order]
+        starts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (band[1:] != band[:-1])))
+        nodes, root = union_find(np.repeat(name[starts], np.diff(np.append(starts, len(name)))), name)
+        moved = nodes != root
+        return pd.DataFrame({"a": nodes[moved], "b": root[moved]})
+
+    ddl = "part int, token binary, name binary"
+    return (members.select("set").join(texts, "set").mapInPandas(shingles, f"{ddl}, size binary")
+            .groupBy("part").applyInPandas(counted, f"{ddl}, size binary, times binary")
+            .groupBy("part").applyInPandas(first, f"{ddl}, band binary")
+            .groupBy("part").applyInPandas(connected, "a long, b long"))
+
+
+def in_several(state: DataFrame) -> DataFrame:
+    """The rows of state(family, component, ...) whose family lies in several components."""
+    several = state.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("family")
+    return state.join(several, "family")
 
 
 def compared(members: DataFrame, texts: DataFrame, sim: Similarity, block: int = 512) -> DataFrame:
     """Links within each family of members(set, n_shingles, family, component), found by comparing blocks of sets.
 
-    A set is compared in the size band of its own and the one above; blocks of one large component are not compared
-    with each other.  Each task holds two blocks and returns a forest of their links."""
+    A set is compared in the size band of its own and, with the sets of that band, the one above; blocks of one large
+    component are not compared with each other.  Each task holds two blocks and returns a forest of their links."""
     ratio = sim.den / sim.num
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(np.log(ratio)).cast("double"))
-    dealt = members.withColumn("band", F.explode(F.array(band, band + 1)))
+    dealt = members.select("*", F.inline(F.array(F.struct(band.alias("band"), F.lit(False).alias("low")),
+                                                 F.struct((band + 1).alias("band"), F.lit(True).alias("low")))))
     keys = ["family", "band"]
     large = dealt.groupBy(*keys, "component").agg(F.count("*").alias("n")).where(F.col("n") > block)
     dealt = dealt.join(large, [*keys, "component"], "left")
     mixed = dealt.where("n is null").groupBy(*keys).agg(F.count("*").alias("rest"))
     dealt = dealt.join(mixed, keys, "left")
     deal = lambda n: F.pmod(F.xxhash64("set"), F.expr(f"cast(({n} - 1) div {block} + 1 as bigint)"))
-    dealt = dealt.select(*keys, "set", F.when(F.col("n").isNotNull(), F.col("component")).alias("of"),
+    dealt = dealt.select(*keys, "low", "set", F.when(F.col("n").isNotNull(), F.col("component")).alias("of"),
                          F.when(F.col("n").isNotNull(), deal("n")).otherwise(deal("rest")).alias("block"))
     dealt = stored(dealt, "dealt")
-    blocks = dealt.select(*keys, F.struct("of", "block").alias("at")).distinct()
+    at = F.struct("of", "low", "block").alias("at")
+    blocks = dealt.select(*keys, at).distinct()
     couples = (blocks.withColumnRenamed("at", "x").join(blocks.withColumnRenamed("at", "y"), keys)
                .where((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("x.of") == F.col("y.of"), F.lit(False)))
+               .where(~(F.col("x.low") & F.col("y.low")))  # those meet in their own band
                .withColumn("at", F.explode(F.array_distinct(F.array("x", "y")))))
-    rows = (dealt.select(*keys, "set", F.struct("of", "block").alias("at")).join(couples, [*keys, "at"]).join(texts, "set")
+    rows = (dealt.select(*keys, "set", at).join(couples, [*keys, "at"]).join(texts, "set")
             .select(*keys, "x", "y", "set", "packed"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = list(shingle_sets(_unpacked(pa.array(pdf["packed"], pa.binary()))))
         names, size = pdf["set"].to_numpy(), np.array([len(x) for x in sets])
-        tokens, index = np.unique(np.concatenate(sets), return_inverse=True)
+        tokens, index, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(len(sets)), size)
+        shared = times > 1  # the others are in no two sets
+        owner, index, tokens = owner[shared[index]], (np.cumsum(shared) - 1)[index[shared[index]]], tokens[shared]
         both = np.zeros((len(sets), len(sets)), np.float32)
         for first in range(0, len(tokens), 4096):  # counts of shared shingles, some thousand shingles at a time
             here = (index >= first) & (index < first + 4096)

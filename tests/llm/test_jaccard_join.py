@@ -135,3 +135,38 @@ def test_frequent_signatures_bring_their_times(spark):
     assert rows and max(r.times for r in rows) == 60
     for r in rows:
         assert r.times == sum(len(x.members) // 8 for x in rows if x.signature == r.signature)
+
+
+def test_sets_far_apart_are_not_compared(spark):
+    """Only sets that can link stay in one family, whatever lines they share; so a large family is not compared as a whole."""
+    rng = random.Random(8)
+    common = " ".join(f"c{i}" for i in range(30))
+    texts = {k: common + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for k in range(400)}
+    for k in range(0, 400, 40):  # each of these has a partner
+        texts[1000 + k] = texts[k] + " more"
+    names = {k: J.fingerprint(next(J.shingle_sets(J.pa.array([t])))) for k, t in texts.items()}
+    df = spark.createDataFrame([(names[k], t) for k, t in texts.items()], "set long, text string").repartition(3)
+    sets = J.compressed(df.selectExpr("0L as id", "set as text_key", "text")).selectExpr("text_key as set", "packed")
+    met = J.meetings(df.select("set"), sets, J.Similarity(), 5).collect()
+    nodes, root = J.union_find(np.array([r.a for r in met]), np.array([r.b for r in met]))
+    family = dict(zip(nodes.tolist(), root.tolist()))
+    for k in range(0, 400, 40):
+        assert family[names[k]] == family[names[1000 + k]]
+    assert sorted(np.unique(root, return_counts=True)[1].tolist()) == [2] * 10
+
+
+def test_meetings_connect_all_linked_sets(spark):
+    sim = J.Similarity()
+    sets = {t: s for _, t in corpus(5) if t and len(s := next(J.shingle_sets(J.pa.array([t]))))}
+    names = {t: J.fingerprint(s) for t, s in sets.items()}
+    df = spark.createDataFrame([(n, t) for t, n in names.items()], "set long, text string").repartition(3).dropDuplicates(["set"])
+    packed = J.compressed(df.selectExpr("0L as id", "set as text_key", "text")).selectExpr("text_key as set", "packed")
+    met = J.meetings(df.select("set"), packed, sim, 3).collect()
+    nodes, root = J.union_find(np.array([r.a for r in met]), np.array([r.b for r in met]))
+    family, linked = dict(zip(nodes.tolist(), root.tolist())), 0
+    for (_, a), (_, b) in itertools.combinations([(t, sets[t]) for t in sets], 2):
+        both = len(np.intersect1d(a, b))
+        if both * sim.den >= (len(a) + len(b) - both) * sim.num and J.fingerprint(a) != J.fingerprint(b):
+            linked += 1
+            assert family[J.fingerprint(a)] == family[J.fingerprint(b)]
+    assert linked > 50
