@@ -210,16 +210,18 @@ def packed_signatures(docs: DataFrame, text_col: str, sim: Similarity, parts: in
             starts, lengths = _runs(found)
             nth = np.arange(len(found)) - np.repeat(starts, lengths)
             beside = nth > run_limit
-            part = (found >> np.uint64(48)) % np.uint64(parts)
-            for p in np.unique(part).tolist():
-                here = part == p
-                main, rest = here & ~beside, here & beside
-                used, index = np.unique(owner_of[main], return_inverse=True)
-                more = np.stack([(found[rest] & np.uint64((1 << 48) - 1)).astype(np.int64), owners[owner_of[rest]]], 1)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([p], pa.int32()), *(pa.array([x], pa.binary()) for x in (
-                        _six_bytes(found[main]), index.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), owners[used].tobytes(),
-                        sizes[used].tobytes(), more.tobytes()))], schema=PACKED)
+            part = ((found >> np.uint64(48)) % np.uint64(parts)).astype(np.uint16)
+            order = np.argsort(part, kind="stable")  # one pass, however many parts there are
+            part, found, owner_of, beside = part[order], found[order], owner_of[order], beside[order]
+            rows = []
+            for first, n in zip(*(x.tolist() for x in _runs(part)), strict=True):
+                rest = beside[first: first + n]
+                signature, owner = found[first: first + n], owner_of[first: first + n]
+                used, index = np.unique(owner[~rest], return_inverse=True)
+                more = np.stack([(signature[rest] & np.uint64((1 << 48) - 1)).astype(np.int64), owners[owner[rest]]], 1)
+                rows.append((int(part[first]), _six_bytes(signature[~rest]), index.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(),
+                             owners[used].tobytes(), sizes[used].tobytes(), more.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, field.type) for x, field in zip(zip(*rows), PACKED, strict=True)], schema=PACKED)
 
     return docs.select(F.col(text_col)).mapInArrow(pack, PACKED_DDL)
 

@@ -170,3 +170,17 @@ def test_meetings_connect_all_linked_sets(spark):
             linked += 1
             assert family[J.fingerprint(a)] == family[J.fingerprint(b)]
     assert linked > 50
+
+
+def test_each_part_gets_its_own_signatures(spark):
+    """However many parts there are, a batch of texts gives the same signatures, one row for each part that has some."""
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(50)], "doc_id long, text string").coalesce(1)
+    sim = J.Similarity()
+    few, many = (J.packed_signatures(df, "text", sim, parts, 8).collect() for parts in (1, 500))
+    found = np.sort(J._from_six(few[0].signatures))
+    assert len(few) == 1 and len({r.part for r in many}) == len(many) > 300
+    assert np.array_equal(found, np.sort(np.concatenate([J._from_six(r.signatures) for r in many])))
+    for r in many:
+        assert set((J._from_six(r.signatures) % 2**48).tolist()) <= set(found.tolist())
+        owner = np.frombuffer(r.owners, np.int64)[np.frombuffer(r.owner_of, "<u2")]
+        assert len(owner) == len(J._from_six(r.signatures)) and len(r.owners) == 2 * len(r.sizes)
